@@ -24,10 +24,11 @@ from kinetrace.llm.words import SPACE, words
 from kinetrace.storage import keep
 
 #: ratio -> (SQL of the integer ratio, least distance of a fence from its quartile, has a lower fence)
+#: (four lines more than there are: a short text with one line twice is no junk)
 RATIOS: dict[str, tuple[str, int, bool]] = {
     "word_length": ("100 * word_chars div n_words", 300, True),
     "symbols": ("1000 * n_symbols div word_chars", 100, False),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 300, False),
+    "dup_lines": ("1000 * n_dup_lines div (n_lines + 4)", 300, False),
     "repeats": ("1000 * n_repeat_words div n_words", 300, False),
 }
 #: A fence is this many interquartile ranges away from its quartile.
