@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrace.llm import fingerprints, licenses, minhash, mixing, quality_rules, suffix_dedup, warc
+from kinetrace.llm import fingerprints, licenses, minhash, mixing, pieces, quality_rules, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_mixing, op3_licenses, op5_suffix_dedup, op6_warc, op9_minhash, op10_quality_rules]
+    found = [op1_fingerprints, op2_mixing, op3_licenses, op5_suffix_dedup, op6_warc, op7_pieces, op9_minhash, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
