@@ -1,6 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings. The vocabulary is chosen on the labelled sample:
+Terms are words and word beginnings. Of labelled examples that are copies of each other
+(same label, same least five-word shingle) one is kept: a term must not look telling
+because one text was copied. The vocabulary is chosen on these examples:
 terms that stand far more often in toxic examples, by chi-square. Document frequencies
 count all documents. Examples and documents are unit vectors of (1 + log tf) * idf.
 
@@ -9,8 +11,9 @@ greatest weight of every term in every block. A query's bound for a block is the
 of its weights times those maxima; blocks are opened in falling order of bounds until
 the next bound is under the K-th best cosine, so the K nearest are exact.
 
-The neighbours vote with their cosines. The share of toxic votes and the best cosine go
-through a logistic curve, fitted on the examples with themselves left out; documents
+The neighbours vote with their cosines. The share of toxic votes, the best cosine and
+the length of the document's vector go through a logistic curve, fitted on the
+examples with themselves left out; documents
 without any vocabulary term take the examples' share of toxic ones among such texts.
 The nearest examples are returned as evidence.
 
@@ -32,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.llm.sampling import MOST_LABELLED, held_out, labelled
-from kinetrace.llm.shingles import utf8
+from kinetrace.llm.shingles import WordHashes, shingle_set, utf8
 from kinetrace.storage import keep
 
 K = 15
 BLOCK = 64
 MOST_TERMS = 4096
 #: A term of the vocabulary: in so many toxic examples, with this chi-square, this many times the clean rate.
-LEAST_EXAMPLES, LEAST_CHI2, LEAST_RATIO = 3, 12.0, 4.0
+LEAST_EXAMPLES, LEAST_CHI2, LEAST_RATIO = 5, 25.0, 5.0
 THRESHOLD = 0.7
 MODULUS, FOLD = 3, 1
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+")
@@ -79,6 +82,18 @@ def vocabulary(sample: DataFrame, most: int = MOST_TERMS) -> tuple[list[str], tu
     return [r["term"] for r in marked.orderBy(F.desc("chi2"), "term").limit(most).select("term").collect()], (n0, n1)
 
 
+def unlike(sample: DataFrame) -> DataFrame:
+    """One of the examples that share a label and their least shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            keys = [int(s[0].view(np.int64)) if len(s := shingle_set(t, memo)) else 0 for t in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["text", "y", "key"])
+
+    return sample.mapInArrow(run, "text string, y int, key long").groupBy("key", "y").agg(F.min("text").alias("text")).select("text", "y")
+
+
 class TermIds(dict):
     """word -> ids of its terms in the vocabulary."""
 
@@ -114,9 +129,11 @@ def _count(memo_terms, column: int, names: list[str]):
     return run
 
 
-def weighted(ids: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def weighted(ids: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, float]:
+    """A unit vector of TF-IDF weights, and the length that it had."""
     w = (1 + np.log(times)) * idf[ids]
-    return w / np.sqrt((w * w).sum()) if len(w) else w
+    length = float(np.sqrt((w * w).sum()))
+    return w / length, length
 
 
 class Index:
@@ -177,7 +194,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every document; evidence: hashes of the nearest examples' texts."""
     spark = docs.sparkSession
-    sample = labelled(docs, labels, "toxic", MODULUS, FOLD, most)
+    sample = keep(unlike(labelled(docs, labels, "toxic", MODULUS, FOLD, most)), "examples")
     terms, (n0, n1) = vocabulary(sample)
     shared_terms = spark.sparkContext.broadcast(terms)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -193,13 +210,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
     empty = [r["y"] for r in examples if not r["terms"]]
     full = [r for r in examples if r["terms"]]
     y = np.array([r["y"] for r in full], float)
-    known = [(np.array(r["terms"]), weighted(np.array(r["terms"]), np.array(r["times"]), idf)) for r in full]
+    lengths = [weighted(np.array(r["terms"]), np.array(r["times"]), idf) for r in full]
+    known = [(np.array(r["terms"]), w) for r, (w, _) in zip(full, lengths, strict=True)]
     share = (sum(empty) + n1 / max(1, n0 + n1)) / (len(empty) + 1)
     if not full:
         index, curve = None, None
     else:
         index = Index(known, y, len(terms))
-        left = np.array([index.votes(*known[i], without=at)[:2] for at, i in enumerate(index.order)])
+        left = np.array([(*index.votes(*known[i], without=at)[:2], np.log1p(lengths[i][1])) for at, i in enumerate(index.order)])
         curve = _curve(left, index.y)
     shared = spark.sparkContext.broadcast((index, curve, share, idf, [full[i]["h"] for i in index.order] if index else []))
 
@@ -215,8 +233,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
                 if len(memo) > 100_000:
                     memo.clear()
                 t = np.array(ids)
-                vote, best, place = index.votes(t, weighted(t, np.array(times), idf))
-                p = 1 / (1 + np.exp(-np.clip(curve @ [1.0, vote, best], -30, 30))) if len(place) else share
+                w, length = weighted(t, np.array(times), idf)
+                vote, best, place = index.votes(t, w)
+                p = 1 / (1 + np.exp(-np.clip(curve @ [1.0, vote, best, np.log1p(length)], -30, 30))) if len(place) else share
                 memo[key] = float(p), [hashes[i] for i in place[:3]]
             return memo[key]
 
