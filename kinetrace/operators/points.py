@@ -79,7 +79,7 @@ def mesh(points: DataFrame, k: int) -> DataFrame:
     d = F.pow(F.col("a.x0") - F.col("b.x0"), F.lit(2)) + F.pow(F.col("a.y0") - F.col("b.y0"), F.lit(2))
     near = Window.partitionBy("point_id").orderBy("d", "neighbor_id")
     pairs = a.join(b, F.lit(True)).select(F.col("a.point_id").alias("point_id"), F.col("b.point_id").alias("neighbor_id"), d.alias("d"))
-    return pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("point_id", "neighbor_id", "rank")
+    return pairs.withColumn("rank", F.row_number().over(near).cast("long")).where(F.col("rank") <= k).select("point_id", "neighbor_id", "rank")
 
 
 def neighbour_offset(tracks: DataFrame, links: DataFrame) -> DataFrame:

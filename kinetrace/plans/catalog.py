@@ -104,7 +104,7 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
     keys = [F.regexp_replace("name", "[0-9]+", ""), F.regexp_extract("name", "([0-9]+)", 1).cast("long"), F.col("name")]
     top = c.orderBy(*keys).limit(200)
-    return top.select("name", F.row_number().over(Window.orderBy(*keys)).alias("place"))
+    return top.select("name", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
 
 
 # ---- masks, meshes, violations --------------------------------------------

@@ -63,7 +63,7 @@ tracks AS (
   FROM (SELECT DISTINCT video_id FROM raw) v CROSS JOIN range({N_POINTS}) p(p) CROSS JOIN range({N_FRAMES}) f(f)
   LEFT JOIN raw ON raw.video_id = v.video_id AND raw.point_id = p.p AND raw.frame_idx = f.f),
 points AS (SELECT point_id, round(avg(x), 4) AS x0, round(avg(y), 4) AS y0 FROM tracks GROUP BY point_id),
-videos AS (SELECT video_id, max(frame_idx) + 1 AS num_frames, 60.0 + length(video_id) % 3 AS frame_rate FROM tracks GROUP BY video_id),
+videos AS (SELECT video_id, max(frame_idx) + 1 AS num_frames, CAST(60 + length(video_id) % 3 AS DOUBLE) AS frame_rate FROM tracks GROUP BY video_id),
 trials AS (SELECT i AS trial_id, i * {TRIAL} AS first, i * {TRIAL} + {TRIAL - 1} AS last FROM range({N_FRAMES // TRIAL}) r(i)),
 image AS (
   SELECT vec_id AS y, CAST(i - 1 AS BIGINT) AS x, round(CAST(embedding[i] AS DOUBLE), 4) AS value
