@@ -173,3 +173,49 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         col = F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col("_row")[c]
         out.append(col.alias(c))
     return copies.select(*out)
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of :func:`mixture` over ``documents``; seats are dealt one by one, by highest quotients."""
+
+    def number(*parts: str) -> str:
+        joined = " || ':' || ".join(f"coalesce(CAST({p} AS VARCHAR), 'null')" for p in parts)
+        return f"CAST('0x' || substr(md5('{SEED}:' || {joined}), 1, 8) AS BIGINT)"
+
+    def cut(low: str, high: str) -> str:
+        a = f"least(greatest({low} - (upto - size), 0), size)"
+        return f"greatest({a}, least({high} - (upto - size), size)) - {a}"
+
+    return rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, count(*) AS n FROM d GROUP BY source),
+w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(place - 1) % {len(WEIGHTS)} + 1] AS weight
+      FROM (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM t)),
+f AS (SELECT *, CAST(sum(s) OVER () AS BIGINT) AS words, {MAX_REPEATS} * s AS room,
+        CAST(sum(s) OVER () AS BIGINT) - CAST(coalesce(sum({MAX_REPEATS} * s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
+        CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS unfilled,
+        greatest(1, least({BLOCK_WORDS}, coalesce(min(s) FILTER (s > 0) OVER (), 0) // {BLOCKS})) AS block
+      FROM w WINDOW o AS (ORDER BY s / weight, place)),
+l AS (SELECT *, room * unfilled < rest * weight AS filled FROM f),
+v AS (SELECT rest, unfilled FROM l WHERE NOT filled ORDER BY s / weight, place LIMIT 1),
+g AS (SELECT l.source, l.place, l.s, l.n, l.block, CAST(ceil(l.n / {SHARD_DOCS}) AS BIGINT) AS shards, (2 * l.words + l.block) // (2 * l.block) AS seats,
+        CASE WHEN filled THEN CAST(l.room AS DOUBLE) ELSE CAST(l.weight * v.rest AS DOUBLE) / v.unfilled END AS target FROM l, v),
+q AS (SELECT place, count(*) AS quota FROM (
+        SELECT place, seats, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, place) AS won FROM g, range(1, (SELECT max(seats) + 1 FROM g)) r(k) WHERE target > 0)
+      WHERE won <= seats GROUP BY place),
+p AS (SELECT d.doc_id, d.size, g.place, g.s, g.target, g.block, {number("d.doc_id")} % g.shards AS shard, coalesce(q.quota, 0) AS source_quota
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN q ON q.place = g.place),
+h AS (SELECT place, shard, any_value(source_quota) AS source_quota, CAST(ceil(sum(size) / any_value(block)) AS BIGINT) AS blocks FROM p GROUP BY place, shard),
+hq AS (SELECT place, shard, count(*) AS quota FROM (
+        SELECT place, shard, source_quota, row_number() OVER (PARTITION BY place ORDER BY blocks / (2 * k - 1) DESC, shard) AS won
+        FROM h, range(1, (SELECT max(source_quota) + 1 FROM h)) r(k) WHERE blocks > 0)
+      WHERE won <= source_quota GROUP BY place, shard),
+plan AS (SELECT *, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS passes, CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS run FROM (
+        SELECT h.place, h.shard, blocks, least(coalesce(hq.quota, 0), {MAX_REPEATS} * blocks) AS quota, {number("h.place", "h.shard")} % greatest(blocks, 1) AS start
+        FROM h LEFT JOIN hq ON hq.place = h.place AND hq.shard = h.shard)),
+o AS (SELECT p.*, plan.passes, plan.run, plan.start, plan.blocks,
+        CAST(sum(size) OVER (PARTITION BY p.place, p.shard ORDER BY md5('order:{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+      FROM p JOIN plan ON p.place = plan.place AND p.shard = plan.shard)
+SELECT doc_id, size, s AS source_size, target, CAST(passes AS BIGINT) AS passes,
+       CAST(passes * size + {cut("start * block", "least(start + run, blocks) * block")} + {cut("0", "greatest(start + run - blocks, 0) * block")} AS BIGINT) AS taken
+FROM o"""

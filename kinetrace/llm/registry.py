@@ -60,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mixing": mixing.oracle_sql(),
         "op3_licenses": licenses.oracle_sql(),
         "op6_warc": warc.oracle_sql(),
         "op9_minhash": minhash.oracle_sql(),
