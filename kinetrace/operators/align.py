@@ -338,3 +338,25 @@ def transformed(images: DataFrame, warps: DataFrame) -> DataFrame:
             yield pd.DataFrame({"image_id": p["image_id"], "height": p["height"], "width": p["width"], "data": out})
 
     return images.join(warps, "image_id").select("image_id", "height", "width", "data", "warp").mapInPandas(run, "image_id long, height int, width int, data array<double>")
+
+
+def flow_fields(images: DataFrame, template: np.ndarray, blur: int = 5, window: int = 7, rounds: int = 10) -> DataFrame:
+    """(image_id, y, x, dx, dy): dense flow of every image against one template, in parallel; a row for each pixel."""
+    shared = images.sparkSession.sparkContext.broadcast(np.asarray(template, float))
+
+    def run(parts):
+        for p in parts:
+            for i, h, w, d in zip(p["image_id"], p["height"], p["width"], p["data"], strict=True):
+                u, v = dense_flow(shared.value, np.array(d, float).reshape(h, w), blur, window, rounds)
+                y, x = np.mgrid[:h, :w]
+                yield pd.DataFrame({"image_id": i, "y": y.ravel(), "x": x.ravel(), "dx": u.ravel(), "dy": v.ravel()})
+
+    return images.select("image_id", "height", "width", "data").mapInPandas(run, "image_id long, y long, x long, dx double, dy double")
+
+
+def augmented(image: DataFrame, height: int, width: int, blurred_image: DataFrame, weight: float) -> DataFrame:
+    """An image mixed with a version of itself (edges, blur, equalisation), scaled to 0..1 before registration."""
+    both = image.join(blurred_image.select("y", "x", F.col("value").alias("other")), ["y", "x"])
+    mixed = both.select("y", "x", ((1 - weight) * F.col("value") + weight * F.col("other")).alias("value"))
+    span = mixed.agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    return mixed.join(span, F.lit(True)).select("y", "x", ((F.col("value") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0))).alias("value"))

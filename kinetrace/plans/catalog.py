@@ -339,6 +339,47 @@ def colour_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(image.select("y", "x", *scalar.colour_map(F.col("value"), [(0, 0, 1), (1, 0, 0), (0, 1, 0)])), "r", "g", "b")
 
 
+_SOBEL = [(-1, 0, 1), (-2, 0, 2), (-1, 0, 1)]
+
+
+def _sobel(spark: SparkSession, turned: bool) -> DataFrame:
+    cells = [(y, x, float(_SOBEL[x][y] if turned else _SOBEL[y][x]) * -1) for y in range(3) for x in range(3)]
+    return spark.createDataFrame(cells, "y long, x long, value double")
+
+
+@query("""SELECT a.y, a.x, round(sum(i.value * (a.i - 1) * CASE a.j WHEN 1 THEN 2 ELSE 1 END), 4) + 0.0 AS gx, round(sum(i.value * (a.j - 1) * CASE a.i WHEN 1 THEN 2 ELSE 1 END), 4) + 0.0 AS gy
+FROM (SELECT y, x, i.i, j.j FROM image, range(3) i(i), range(3) j(j)) a JOIN image i ON i.x = a.x + a.i - 1 AND i.y = a.y + a.j - 1 GROUP BY a.y, a.x""")
+def sobel_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients by 3 x 3 kernels; outside of the image stands 0."""
+    image = tables.image(spark, sf_dir)
+    gx = spectral.convolved_2d(image, _sobel(spark, False), 64, 64, 3, 3).select("y", "x", F.col("value").alias("gx"))
+    gy = spectral.convolved_2d(image, _sobel(spark, True), 64, 64, 3, 3).select("y", "x", F.col("value").alias("gy"))
+    return rounded(gx.join(gy, ["y", "x"]), "gx", "gy")
+
+
+@query("SELECT i.y + k.y AS y, i.x + k.x AS x, round(sum(i.value * k.value), 4) + 0.0 AS value FROM image i, kern k GROUP BY ALL", _KERNEL)
+def convolution_2d_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectral.convolved_2d(tables.image(spark, sf_dir), scalar.cosine_kernel(spark, 5, 5.0, (2.0, 2.0)), 64, 64, 5, 5, "full"), "value")
+
+
+@query("SELECT i.y + k.y - 4 AS y, i.x + k.x - 4 AS x, round(sum(i.value * k.value), 4) + 0.0 AS value FROM image i, kern k WHERE i.y + k.y - 4 BETWEEN 0 AND 59 AND i.x + k.x - 4 BETWEEN 0 AND 59 GROUP BY ALL", _KERNEL)
+def convolution_2d_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectral.convolved_2d(tables.image(spark, sf_dir), scalar.cosine_kernel(spark, 5, 5.0, (2.0, 2.0)), 64, 64, 5, 5, "valid"), "value")
+
+
+COMPLEX = SPECTRAL + f""", cs AS (SELECT video_id, axis, point_id, f_idx, o // {POOL} AS t_ds, avg(re) AS re, avg(im) AS im FROM conv GROUP BY ALL),
+ca AS (SELECT *, sqrt(re * re + im * im) AS a FROM cs),
+cm AS (SELECT video_id, t_ds, avg(p) AS m FROM (SELECT video_id, t_ds, axis, point_id, sum(a) AS p FROM ca GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("SELECT video_id, axis, point_id, f_idx, t_ds, round(re / (0.95 * m + 0.05) * hz ** 0.5, 4) + 0.0 AS re, round(im / (0.95 * m + 0.05) * hz ** 0.5, 4) + 0.0 AS im FROM ca JOIN cm USING (video_id, t_ds) JOIN hz USING (f_idx)", COMPLEX)
+def normalised_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complex spectrograms pooled before the magnitude is taken; the phase is kept."""
+    y = spectral.convolved(_traces(spark, sf_dir), spectral.taps_table(spark, TAPS), WIDTH, tables.N_FRAMES)
+    pooled = spectral.pooled(y, [*KEYS, "f_idx"], "o", ["re", "im"], POOL)
+    return rounded(spectral.normalised_complex(pooled, HZ), "re", "im")
+
+
 # ---- tensors --------------------------------------------------------------
 
 TENSOR = SPECTRAL + ", ten AS (SELECT video_id AS elem, axis AS xy, point_id AS points, f_idx AS frequency, t_ds AS time, round(value, 4) + 0.0 AS value FROM norm)"
@@ -635,12 +676,36 @@ def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.kalman(_tracks(spark, sf_dir))
 
 
-@query()
-def registered_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _shots(spark: SparkSession) -> tuple[DataFrame, np.ndarray]:
+    """Four pictures of two blobs, each a little farther from the first."""
     y, x = np.mgrid[:48, :48]
     shot = lambda dx, dy: (np.exp(-((x - 20 - dx) ** 2 + (y - 24 - dy) ** 2) / 60) + 0.7 * np.exp(-((x - 32 - dx) ** 2 + (y - 14 - dy) ** 2) / 30)).ravel().tolist()
     images = spark.createDataFrame([(i, 48, 48, shot(i * 0.7, -i * 0.4)) for i in range(4)], "image_id long, height int, width int, data array<double>")
-    return align.registered(images, np.reshape(shot(0, 0), (48, 48)), "affine")
+    return images, np.reshape(shot(0, 0), (48, 48))
+
+
+@query()
+def registered_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.registered(*_shots(spark), "affine")
+
+
+@query()
+def transformed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pictures resampled onto the first."""
+    images, first = _shots(spark)
+    return align.transformed(images, align.registered(images, first, "translation")).select("image_id", F.posexplode("data").alias("pixel", "value"))
+
+
+@query()
+def chained_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warps to the first picture from warps to the one before."""
+    images, first = _shots(spark)
+    return align.chained(align.registered(images, first, "euclidean").withColumn("session", F.lit("s")))
+
+
+@query()
+def dense_flow_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.flow_fields(*_shots(spark))
 
 
 @query()
