@@ -93,16 +93,14 @@ def sketches(counts: DataFrame) -> DataFrame:
 
 def fences(sketch: DataFrame) -> DataFrame:
     """Lower and upper fence of every ratio, one row per language and source."""
-    sketch.createOrReplaceTempView("_quality_sketch")
     quartiles = sketch.sparkSession.sql("""
         SELECT lang, source, ratio,
                min(CASE WHEN 4 * upto >= total THEN bin END) AS q1,
                min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS q3
         FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bin) AS upto,
                      sum(n) OVER (PARTITION BY lang, source, ratio) AS total
-              FROM _quality_sketch)
-        GROUP BY lang, source, ratio""")
-    sketch.sparkSession.catalog.dropTempView("_quality_sketch")
+              FROM {sketch})
+        GROUP BY lang, source, ratio""", sketch=sketch)
     columns = []
     for name, (_, margin, lower) in RATIOS.items():
         reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), F.lit(margin))
