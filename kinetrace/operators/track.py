@@ -1,13 +1,16 @@
 """Point tracking by optical flow with a mesh, and simple per-series filters.
 
-Tracking is a recursion over a video's frames, with rewinds, so a video is one group.
-Its frames come in order, one Arrow batch at a time held; only the frames that a rewind
-can reach stay in memory.
+Tracking is a recursion over a video's frames, with rewinds, so a video stays in one
+task. Its frames pass through in order, an Arrow batch at a time; only the frames that
+a rewind can reach stay in memory, however long the video is.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -99,54 +102,84 @@ class Tracker:
         new = new - self.p.rigidity * ((new[:, None, :] - new[self.near]).mean(1) - self.rest)
         return new - self.p.relaxation * (new - self.home)
 
-    def run(self, frames: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions [T, P, 2] and violations [T, P] of all frames; a frame's rewinds are limited."""
-        n = len(frames)
-        images = [self.image(f) for f in frames]
-        tracks, bad = np.zeros((n, len(self.home), 2)), np.zeros((n, len(self.home)), bool)
-        at, frozen, rewinds, i = self.home.copy(), np.zeros(len(self.home), bool), {}, 0
-        previous = images[0] if n else None
-        while i < n:
-            at = self.step(previous, images[i], at, frozen)
+    def stream(self, frames: Iterable[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(frame, positions [P, 2], violations [P]) in order, each once no rewind can reach it any more.
+
+        Only the last ``reach`` frames are held: a rewind goes back no farther than that
+        from the newest frame, and at most ``most_rewinds`` times from one frame.
+        """
+        reach = self.p.before * (self.p.most_rewinds + 1) + 1
+        images: dict[int, np.ndarray] = {}
+        tracks: dict[int, np.ndarray] = {}
+        bad: dict[int, np.ndarray] = {}
+        rewinds: dict[int, int] = {}
+        none = np.zeros(len(self.home), bool)
+        at, frozen, source = self.home.copy(), none, iter(frames)
+        i, newest, first = 0, -1, 0
+        while True:
+            if i > newest:
+                frame = next(source, None)
+                if frame is None:
+                    break
+                newest += 1
+                images[newest] = self.image(frame)
+                while first < newest - reach:
+                    yield first, tracks.pop(first), bad.pop(first, none)
+                    images.pop(first - 1, None)
+                    rewinds.pop(first, None)
+                    first += 1
+            at = self.step(images[max(i - 1, 0)], images[i], at, frozen)
             tracks[i] = at
             far = np.linalg.norm(at - self.home, axis=1) > self.p.threshold
             if far.any():
                 hit = far.copy()
                 hit[np.unique(self.near[far])] = True
-                bad[max(i - self.p.before, 0) : min(i + self.p.after, n), hit] = True
-            if far.any() and rewinds.get(i, 0) < self.p.most_rewinds:
-                rewinds[i] = rewinds.get(i, 0) + 1
-                i = max(i - self.p.before, 0)
-                previous, at = images[max(i - 1, 0)], tracks[i].copy()
-                frozen = bad[i].copy()
-                continue
-            previous, frozen = images[i], bad[i].copy()
+                for k in range(max(i - self.p.before, first), i + self.p.after):
+                    bad[k] = bad.get(k, none) | hit
+                if rewinds.get(i, 0) < self.p.most_rewinds:
+                    rewinds[i] = rewinds.get(i, 0) + 1
+                    i = max(i - self.p.before, first)
+                    at, frozen = tracks[i].copy(), bad.get(i, none)
+                    continue
+            frozen = bad.get(i, none)
             i += 1
-        return tracks, bad
+        for k in range(first, newest + 1):
+            yield k, tracks[k], bad.get(k, none)
+
+    def run(self, frames: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions [T, P, 2] and violations [T, P] of all frames."""
+        rows = list(self.stream(frames))
+        return np.array([r[1] for r in rows]).reshape(len(rows), len(self.home), 2), np.array([r[2] for r in rows], bool).reshape(len(rows), len(self.home))
 
 
 def track_points(frames: DataFrame, points: DataFrame, params: TrackerParams | None = None, contiguous: bool = False) -> DataFrame:
     """(video_id, frame_idx, point_id, x, y, violation): each video by itself, or all as one sequence.
 
-    ``frames``: (video_id, frame_idx, height, width, channels, data). Points are one
-    image's, collected and sent along.
+    ``frames``: (video_id, frame_idx, height, width, channels, data). A video's frames
+    come to one task in order and pass through; points are one image's, collected and
+    sent along.
     """
     params = params or TrackerParams()
     rows = points.orderBy("point_id").select("point_id", "x0", "y0").collect()
     ids, home = [r[0] for r in rows], np.array([r[1:] for r in rows], float).reshape(len(rows), 2)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["video_id", "frame_idx"])
-        images = [np.frombuffer(d, np.uint8).reshape(h, w, c) for d, h, w, c in zip(p["data"], p["height"], p["width"], p["channels"], strict=True)]
-        xy, bad = Tracker(home, params).run(images)
-        n = len(ids)
-        return pd.DataFrame({
-            "video_id": np.repeat(p["video_id"].to_numpy(), n), "frame_idx": np.repeat(p["frame_idx"].to_numpy(), n), "point_id": np.tile(ids, len(p)),
-            "x": xy[:, :, 0].ravel(), "y": xy[:, :, 1].ravel(), "violation": bad.ravel(),
-        })
-
-    key = F.lit("0").alias("sequence") if contiguous else F.col("video_id")
-    return frames.groupBy(key).applyInPandas(run, "video_id string, frame_idx long, point_id long, x double, y double, violation boolean")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for p in parts for r in p.itertuples(index=False))
+        for _, video in groupby(rows, key=lambda r: None if contiguous else r.video_id):
+            names: deque[tuple[str, int]] = deque()
+
+            def images(video=video, names=names) -> Iterator[np.ndarray]:
+                for r in video:
+                    names.append((r.video_id, r.frame_idx))
+                    yield np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
+
+            for _, xy, bad in Tracker(home, params).stream(images()):
+                name, frame = names.popleft()
+                yield pd.DataFrame({"video_id": name, "frame_idx": frame, "point_id": ids, "x": xy[:, 0], "y": xy[:, 1], "violation": bad})
+
+    dealt = frames.repartition(1) if contiguous else frames.repartition("video_id")
+    ordered = dealt.sortWithinPartitions("video_id", "frame_idx")
+    return ordered.mapInPandas(run, "video_id string, frame_idx long, point_id long, x double, y double, violation boolean")
 
 
 def blob_frames(spark: SparkSession, videos: int = 2, n: int = 12, size: int = 48) -> DataFrame:
