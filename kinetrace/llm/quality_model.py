@@ -28,6 +28,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetrace.llm.sampling import MOST_LABELLED, held_out, labelled
 from kinetrace.llm.shingles import utf8
@@ -195,28 +196,29 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tup
     return vectors, model
 
 
-def scored(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), most: int = MOST_LABELLED) -> DataFrame:
-    """The columns in ``carry`` and the score of every row of ``docs``."""
+def scored(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...], most: int = MOST_LABELLED) -> DataFrame:
+    """(row, score): the columns in ``carry`` as a struct, and the score, of every row of ``docs``. A text that is carried is sent once."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, most))
+    inside = carry.index("text") if "text" in carry else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, (vectors, model) = Words(), shared.value
         for batch in batches:
-            scores = [model.probability(x.astype(float)) for x in pooled(utf8(batch.column(1)), vectors, memo)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*scores, np.empty(0)]), pa.float64())], ["_row", "score"])
+            texts = batch.column(1) if inside is None else batch.column(0).field(inside)
+            scores = [model.probability(x.astype(float)) for x in pooled(utf8(texts), vectors, memo)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*scores, np.empty(0)]), pa.float64())], ["row", "score"])
 
-    rows = docs.select(F.struct(*carry).alias("_row"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_row {kind}, score double").select("_row.*", "score")
+    own = [] if inside is not None else [F.col("text").cast("string").alias("text")]
+    rows = docs.select(F.struct(*carry).alias("row"), *own)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    out = scored(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels)
+    out = scored(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, ("doc_id",)).select("row.doc_id", "score")
     return out.select("doc_id", held_out(MODULUS, FOLD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects."""
-    packed = docs.withColumn("_doc", F.struct(*docs.columns)).select("_doc", "doc_id", "text")
-    return scored(packed, labels, carry=("_doc",)).where(F.col("score") >= THRESHOLD).select("_doc.*")
+    return scored(docs, labels, tuple(docs.columns)).where(F.col("score") >= THRESHOLD).select("row.*")
