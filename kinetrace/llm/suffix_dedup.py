@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetrace.llm.shingles import mixed, utf8
 from kinetrace.storage import keep
@@ -340,7 +341,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rows = with_spans(docs.select(F.struct(*[c for c in columns if c not in ("text", "n_chars")]).alias("_rest"), "text", "doc_id"), "_rest").select("_rest", "text", "runs")
     names = ["_rest", "_left"]
-    kind = rows.schema["_rest"].dataType.simpleString()
-    cut = rows.mapInArrow(run, f"_rest {kind}, _left string")
+    cut = rows.mapInArrow(run, T.StructType([rows.schema["_rest"], T.StructField("_left", T.StringType())]))
     put = {"text": F.col("_left"), "n_chars": F.length("_left").cast("long")}
     return cut.select(*[put.get(c, F.col(f"_rest.{c}")).alias(c) for c in columns])
