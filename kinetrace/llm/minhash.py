@@ -9,15 +9,15 @@ where minimum and maximum lean on each other: once in 100,000).
 
 Links: equal sets are one node from the start. A bucket's members are compared with a
 pivot, not with each other, and every comparison is exact, on the full sets. Where a
-bucket still holds several components, other pivots are tried against the members
-outside their component; what remains is settled pair by pair, after pruning by size
-and by the triangle inequality of the Jaccard distance around the first pivot. So no
-link between buckets' members is lost, and a group of many copies takes about as many
-comparisons as it has members.
+bucket still holds several components, two more pivots are tried against the members
+outside their component; what can then still be a link, by rare first shingles and
+positions, is compared pair by pair. So no link between buckets' members is lost, and a
+group of many copies takes about as many comparisons as it has members.
 
 Defined cases: a null text, an empty one and one without words have an empty set and
 no links. A null id has no links, a null component and is kept. Rows that repeat an
-id are one node and stay or go together. Extra columns are ignored. Empty in, empty out.
+id and text are one node and stay or go together; rows of one id with different texts
+share that node's links, besides the copies of their own text. Extra columns are ignored. Empty in, empty out.
 """
 
 from __future__ import annotations
@@ -117,32 +117,29 @@ def near_duplicates(docs: DataFrame, permutations: int = PERMUTATIONS) -> DataFr
     members = keep(rows.join(buckets, "band").select("band", "pivot", "members", "node", "n"), "buckets")
 
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = keep(compared(pairs, docs), "compared")
-    links = _linked(first)
+    links = keep(_linked(compared(pairs, docs)), "links")
     labels = components(links)
 
-    # buckets of two are settled; in larger ones other pivots may see links that the first did not
-    others = [F.max("node"), F.max(F.struct(F.xxhash64("node"), F.col("node")))["node"], F.min(F.struct(F.xxhash64("node"), F.col("node")))["node"]]
-    for pick in others:
+    # buckets of two are settled; in larger ones other pivots see links that the first did not:
+    # the member that meets most others, then one by chance
+    for central in (True, False):
         open_ = _unsettled(members, labels)
         if not open_.head(1):
             break
-        pivots = open_.groupBy("band").agg(pick.alias("pivot2"))
-        p = pivots.join(open_.select(F.col("band"), F.col("node").alias("pivot2"), F.col("label").alias("label2")), ["band", "pivot2"])
-        again = open_.join(p, "band").where("label <> label2").select(F.least("node", "pivot2").alias("a"), F.greatest("node", "pivot2").alias("b")).distinct()
+        if central:
+            meets = open_.groupBy("node").agg(F.sum("members").alias("meets"))
+            ranked = open_.join(meets, "node").withColumn("rank", F.struct("meets", "node"))
+        else:
+            ranked = open_.withColumn("rank", F.struct(F.xxhash64("node"), F.col("node")))
+        pivots = ranked.groupBy("band").agg(F.max(F.struct("rank", "node", "label")).alias("p")).select("band", F.col("p.node").alias("pivot2"), F.col("p.label").alias("label2"))
+        again = open_.join(pivots, "band").where("label <> label2").select(F.least("node", "pivot2").alias("a"), F.greatest("node", "pivot2").alias("b")).distinct()
         found = keep(_linked(compared(again, docs)), "links")
         if found.head(1):
             links = links.union(found)
             labels = components(links)
     open_ = _unsettled(members, labels)
     if open_.head(1):
-        distance = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (F.col("shared") / F.col("joint")).alias("like"))
-        at = keep(open_.join(distance, ["pivot", "node"], "left").withColumn("like", F.coalesce("like", F.lit(1.0))), "unsettled")
-        x, y = at.alias("x"), at.alias("y")
-        close = (F.abs(F.col("x.like") - F.col("y.like")) <= 1 - LEAST / 100 + 1e-9) & (100 * F.col("x.n") >= LEAST * F.col("y.n")) & (100 * F.col("y.n") >= LEAST * F.col("x.n"))
-        rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node")) & close)
-        rest = rest.where("x.node <> x.pivot AND y.node <> y.pivot").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        found = keep(_linked(compared(rest, docs)), "links")
+        found = keep(_linked(compared(_possible(open_, docs), docs)), "links")
         if found.head(1):
             labels = components(links.union(found))
 
@@ -159,6 +156,45 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return keep(named.join(mixed_, "band", "left_semi"), "unsettled")
 
 
+def _possible(open_: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components among these nodes that can be links, by prefix and position.
+
+    With shingles ordered from rare to frequent, two sets of similarity J share one of
+    the first n - ceil(J n) + 1 of each, and from the first that they share on, each
+    must have as many left as the intersection needs. A text that was edited in many
+    places begins with shingles of its own, and falls out.
+    """
+    nodes = open_.select("node", "label", "n").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t, memo).view(np.int64) for t in utf8(batch.column(3))]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["node", "label", "n", "s"])
+
+    sets = keep(texts.join(nodes, "node").select("node", "label", "n", "text").mapInArrow(run, "node long, label long, n long, s array<long>"), "open-sets")
+    rows = sets.select("node", "label", "n", F.explode("s").alias("g"))
+    seen = rows.groupBy("g").agg(F.count("*").alias("seen")).where("seen > 1")
+    shared = rows.join(seen, "g").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "g"))).alias("s"))
+    own = F.col("n") - F.size("s")
+    length = F.col("n") - F.expr(f"({LEAST} * n + 99) div 100") + 1
+    prefix = keep(
+        shared.where(length > own).select("node", "label", "n", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), (length - own).cast("int"))).alias("i", "x"))
+        .select("node", "label", "n", (F.col("n") - F.col("own") - F.col("i")).alias("left"), F.col("x.g").alias("g")), "prefixes",
+    )
+    # pairs within the most common component of a shingle are never formed
+    most = prefix.groupBy("g", "label").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    mixed_ = prefix.join(most, "g")
+    x, y = mixed_.where("label <> top").alias("x"), mixed_.alias("y")
+    need = F.expr(f"({LEAST} * (x.n + y.n) + {LEAST + 99}) div {LEAST + 100}")
+    fit = (100 * F.col("x.n") >= LEAST * F.col("y.n")) & (100 * F.col("y.n") >= LEAST * F.col("x.n")) & (F.least("x.left", "y.left") >= need)
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.label") != F.col("y.label")) & fit)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without those that a near-duplicate of a smaller id stands for."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
