@@ -1,5 +1,7 @@
 """WARC archives written and read as streams, through a chunked record table.
 
+Archives are .warc.gz: one gzip member per record, as the standard has it.
+
 Writing: equal payloads are found by their digest, and the one with the largest page_id
 is a response record, the others are revisits that refer to it. Each task writes its
 records to archives of its own in the shared folder (a new one after ``ROLL`` bytes)
@@ -23,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -37,6 +40,8 @@ from kinetrace.storage import keep, new_path
 CHUNK = 1 << 18
 #: An archive is closed when it has so many bytes.
 ROLL = 64 << 20
+#: How hard gzip tries.
+LEVEL = 4
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 0
 # Fixed values of the WARC 1.1 standard.
@@ -86,15 +91,16 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, da
         for batch in batches:
             for page, url, payload, sha, first, revisit in zip(*batch.columns, strict=True):
                 if out is None:
-                    name, records = f"{uuid.uuid4().hex}.warc", 0
+                    name, records = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{base}/{name}")
                 body = payload.as_buffer()
                 digest = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
-                out.write(record_head(page.as_py(), url.as_py(), body.size, digest, first.as_py(), revisit.as_py(), date))
+                member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                out.write(member.compress(record_head(page.as_py(), url.as_py(), body.size, digest, first.as_py(), revisit.as_py(), date)))
                 if not revisit.as_py():
                     for at in range(0, body.size, CHUNK):
-                        out.write(body.slice(at, min(CHUNK, body.size - at)))
-                out.write(b"\r\n\r\n")
+                        out.write(member.compress(body.slice(at, min(CHUNK, body.size - at))))
+                out.write(member.compress(b"\r\n\r\n") + member.flush())
                 records += 1
                 if out.tell() >= ROLL:
                     done.append((f"{folder}/{name}", records, out.tell()))
@@ -109,7 +115,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, da
     return keep(told.mapInArrow(run, "archive string, records long, bytes long"), "warc-list")
 
 
-def _head(stream: pa.NativeFile, first: bytes) -> dict[str, str]:
+def _head(stream: _Lines, first: bytes) -> dict[str, str]:
     """Header lines up to the empty one; names in lower case."""
     fields = {"": first.decode().strip()}
     while (line := stream.readline()).strip():
@@ -118,11 +124,31 @@ def _head(stream: pa.NativeFile, first: bytes) -> dict[str, str]:
     return fields
 
 
+class _Inflated:
+    """The bytes of the gzip members of a stream, one after another, a bounded piece at a time."""
+
+    def __init__(self, stream: pa.NativeFile) -> None:
+        self.stream, self.member, self.held = stream, zlib.decompressobj(31), b""
+
+    def read(self, n: int) -> bytes:
+        while True:
+            if not self.held:
+                self.held = self.stream.read(1 << 16)
+                if not self.held:
+                    return b""
+            out = self.member.decompress(self.held, n)
+            self.held = self.member.unconsumed_tail
+            if self.member.eof:
+                self.held, self.member = self.member.unused_data, zlib.decompressobj(31)
+            if out:
+                return out
+
+
 class _Lines:
     """readline() and bounded read() over a stream, with one small buffer."""
 
     def __init__(self, stream: pa.NativeFile) -> None:
-        self.stream, self.rest = stream, b""
+        self.stream, self.rest = _Inflated(stream), b""
 
     def readline(self) -> bytes:
         while (at := self.rest.find(b"\n")) < 0:
