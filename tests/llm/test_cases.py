@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, for every operator."""
 
 import hashlib
+import re
 from collections import Counter
 
 import pytest
@@ -163,6 +164,43 @@ def test_licenses(docs):
     assert got[4]["license"] is None and got[4]["licenses"] == ""
 
 
+def test_common_licenses_and_full_texts(spark):
+    texts = [(1, "Some text.\nLicensed under CC BY-NC 4.0.\nMore."), (2, licenses._MIT), (3, "Copyright 2020 X\n" + licenses._GNU.format("program is free software: you can", "GNU General Public License", "3", "program", "General Public").replace(", ", ",\n"))]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1]["license"] == "CC-BY-NC-4.0" and got[1]["dice"] == 1.0
+    assert got[2]["license"] == "MIT" and got[2]["dice"] == 1.0
+    assert got[3]["license"] == "GPL-3.0" and got[3]["dice"] > 0.95
+
+
+def brute_windows(text, templates):
+    words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    found = {}
+    for name, notice in templates:
+        t = set(licenses.bigrams(notice))
+        for i in range(len(grams)):
+            for j in range(i + 1, min(len(grams), i + licenses.bounds(len(t))[1]) + 1):
+                a = set(grams[i:j])
+                if (dice := 2 * len(a & t) / (len(a) + len(t))) >= 0.75:
+                    found[name] = max(found.get(name, 0), dice)
+    return found
+
+
+def test_license_windows_equal_brute_force(spark):
+    filler = "alpha beta of the gamma to the delta any purpose " * 4
+    wrapped = re.sub(r"((?:\S+ ){7})", r"\1\n", licenses._ISC)
+    texts = [
+        (1, f"{filler} we say: Released under the MIT License. {filler}"), (2, f"{filler}\n{wrapped}\n{filler}"), (3, "Copyright (c) 2020 X. All rights reserved. Do not copy."),
+        (4, filler), (5, None), (6, "the mit license released under the terms"), (7, f"{filler} licensed under the gnu the general public license version 3 or {filler}"), (8, "one"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.license_windows(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, text in texts:
+        want = brute_windows(text or "", licenses.TEMPLATES)
+        assert got[i]["licenses"] == ",".join(sorted(want))
+        assert (got[i]["license"], got[i]["dice"]) == (min((-d, n) for n, d in want.items())[::-1][0], max(want.values())) if want else got[i]["license"] is None
+    assert got[1]["license"] == "MIT" and got[2]["license"] == "ISC" and got[3]["license"] == "Proprietary"
+
+
 def brute_repeats(texts):
     n = suffix_dedup.LENGTH
     data = [(t or "").encode() for _, t in texts]
