@@ -107,6 +107,14 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("name", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
 
 
+@query("SELECT c_name AS name, row_number() OVER (ORDER BY regexp_replace(c_name, '[0-9]+', '', 'g'), CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_name) AS place FROM customer")
+def natural_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name in natural order, numbered by ranges."""
+    c = tables.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    key = F.struct(F.regexp_replace("name", "[0-9]+", ""), F.regexp_extract("name", "([0-9]+)", 1).cast("long"), F.col("name"))
+    return points.batches(c, key, 1).select("name", (F.col("batch_id") + 1).cast("long").alias("place"))
+
+
 # ---- masks, meshes, violations --------------------------------------------
 
 POLYGONS = [("a", 0, 4.5, 3.5), ("a", 1, 50.5, 8.5), ("a", 2, 40.5, 55.5), ("a", 3, 10.5, 48.5), ("b", 0, 20.5, 1.5), ("b", 1, 62.5, 30.5), ("b", 2, 22.5, 60.5)]

@@ -92,6 +92,11 @@ def test_taps():
     assert spectral.spectrum(np.ones(100), taps, 20).shape == (5, 0)
 
 
+def test_natural_order_of_every_customer(spark):
+    rows = catalog.QUERIES["natural_order_all"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r["place"] for r in rows) == list(range(1, 1501))
+
+
 def test_entry_and_queries(spark):
     import __spark_entry__ as entry
 
