@@ -721,3 +721,100 @@ def vqt_filter_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variable-Q bank itself, over the same traces."""
     taps, _ = spectral.make_taps(1.0, 1 / 24, 0.4, BINS, WIDTH, 2, 4)
     return spectral.vqt(spectral.packed(_traces(spark, sf_dir)), taps, POOL)
+
+
+# ---- every row as an image --------------------------------------------------
+
+def _all_sql(name: str, *changes: tuple[str, str]) -> str:
+    """The SQL of a query over the first 64 rows, over all rows of ``embeddings``."""
+    sql = SQL[name]
+    for old, new in (" WHERE vec_id < 64", ""), *changes:
+        if old not in sql:
+            raise ValueError(f"{name}: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _over_all(name: str, *changes: tuple[str, str]) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__], SQL[f.__name__] = f, _all_sql(name, *changes)
+        return f
+
+    return put
+
+
+_HEIGHT = "(SELECT max(vec_id) + 1 FROM embeddings)"
+_ALL_REMAP = ("range(4096) r(i)", f"range(64 * {_HEIGHT}) r(i)")
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """All vectors as an image, and its height."""
+    height = tables.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    height = 0 if height is None else height + 1
+    return tables.image(spark, sf_dir, height), height
+
+
+@_over_all("masked_image")
+def masked_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(points.masked(_whole(spark, sf_dir)[0], points.mask_intersection(_masks(spark))), "value")
+
+
+@_over_all("border_mask", ("y >= 64 - 2", f"y >= {_HEIGHT} - 2"), ("abs(y - 32)", f"abs(y - {_HEIGHT} // 2)"))
+def border_mask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image, height = _whole(spark, sf_dir)
+    return points.border_masked(image, height, 64, top=3, bottom=2, left=0, right=5, centre=4)
+
+
+def _convolved_all(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    image, height = _whole(spark, sf_dir)
+    return rounded(spectral.convolved_2d(image, scalar.cosine_kernel(spark, 5, 5.0, (2.0, 2.0)), height, 64, 5, 5, mode), "value")
+
+
+@_over_all("convolution_2d", ("i.y + k.y - 2 BETWEEN 0 AND 63", f"i.y + k.y - 2 BETWEEN 0 AND {_HEIGHT} - 1"))
+def convolution_2d_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _convolved_all(spark, sf_dir, "same")
+
+
+@_over_all("convolution_2d_full")
+def convolution_2d_full_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _convolved_all(spark, sf_dir, "full")
+
+
+@_over_all("convolution_2d_valid", ("i.y + k.y - 4 BETWEEN 0 AND 59", f"i.y + k.y - 4 BETWEEN 0 AND {_HEIGHT} - 5"))
+def convolution_2d_valid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _convolved_all(spark, sf_dir, "valid")
+
+
+@_over_all("sobel_gradients")
+def sobel_gradients_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image, height = _whole(spark, sf_dir)
+    gx = spectral.convolved_2d(image, _sobel(spark, False), height, 64, 3, 3).select("y", "x", F.col("value").alias("gx"))
+    gy = spectral.convolved_2d(image, _sobel(spark, True), height, 64, 3, 3).select("y", "x", F.col("value").alias("gy"))
+    return rounded(gx.join(gy, ["y", "x"]), "gx", "gy")
+
+
+@_over_all("colour_mapped")
+def colour_mapped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_whole(spark, sf_dir)[0].select("y", "x", *scalar.colour_map(F.col("value"), [(0, 0, 1), (1, 0, 0), (0, 1, 0)])), "r", "g", "b")
+
+
+@_over_all("remapped_image", _ALL_REMAP)
+def remapped_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image, height = _whole(spark, sf_dir)
+    return rounded(align.remapped(image, align.warp_remap(spark, WARP, height, 64)), "value")
+
+
+@_over_all("remapped_nearest", _ALL_REMAP)
+def remapped_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image, height = _whole(spark, sf_dir)
+    return align.remapped(image, align.warp_remap(spark, WARP, height, 64), method="nearest")
+
+
+@_over_all("equalised_image")
+def equalised_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(align.equalised(_whole(spark, sf_dir)[0], 16), "value")
+
+
+@_over_all("min_max_image")
+def min_max_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tensor.min_max(_whole(spark, sf_dir)[0].withColumn("k", F.lit(0)), ["k"]), "value")

@@ -97,6 +97,13 @@ def test_natural_order_of_every_customer(spark):
     assert sorted(r["place"] for r in rows) == list(range(1, 1501))
 
 
+def test_images_of_every_vector(spark, con):
+    n = con.sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
+    assert n > 64
+    for name in ("masked_image", "border_mask", "convolution_2d", "sobel_gradients", "colour_mapped", "remapped_image", "remapped_nearest", "equalised_image", "min_max_image"):
+        assert catalog.QUERIES[f"{name}_all"](spark, SF).count() == 64 * n
+
+
 def test_entry_and_queries(spark):
     import __spark_entry__ as entry
 
