@@ -28,21 +28,21 @@ def nearest_bins(events: DataFrame, axis: DataFrame, least: float = 800.0) -> Da
     return both.where("kind = 1").select("event_id", near.alias("t_ds"))
 
 
-def around_events(factor: DataFrame, bins: DataFrame, before: int, after: int) -> DataFrame:
-    """(event_id, r, rel, value): the factor (idx, r, value) at [t - before, t + after) around each event's bin."""
-    at = bins.select("event_id", F.col("t_ds").alias("mid"), F.explode(F.sequence(F.col("t_ds") - before, F.col("t_ds") + after - 1)).alias("idx"))
-    return at.join(factor, "idx").select("event_id", "r", (F.col("idx") - F.col("mid")).alias("rel"), "value")
+def around_events(factor: DataFrame, bins: DataFrame, before: int, after: int, by: tuple[str, ...] = (), events: tuple[str, ...] = ()) -> DataFrame:
+    """(event_id, r, rel, value), with the keys ``by`` of the factor and ``events`` of the bins: the factor (idx, r, value) at [t - before, t + after) around each event's bin."""
+    at = bins.select("event_id", *events, F.col("t_ds").alias("mid"), F.explode(F.sequence(F.col("t_ds") - before, F.col("t_ds") + after - 1)).alias("idx"))
+    return at.join(factor, "idx").select("event_id", *events, *by, "r", (F.col("idx") - F.col("mid")).alias("rel"), "value")
 
 
-def scaled_factor(factor: DataFrame) -> DataFrame:
-    """Absolute values over each component's population deviation."""
-    s = factor.groupBy("r").agg(F.stddev_pop(F.abs("value")).alias("s"))
-    return factor.join(s, "r").select("idx", "r", (F.abs("value") / F.nullif("s", F.lit(0.0))).alias("value"))
+def scaled_factor(factor: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Absolute values over each component's population deviation; each ``by`` for itself."""
+    s = factor.groupBy(*by, "r").agg(F.stddev_pop(F.abs("value")).alias("s"))
+    return factor.join(s, [*by, "r"]).select(*by, "idx", "r", (F.abs("value") / F.nullif("s", F.lit(0.0))).alias("value"))
 
 
-def peri_event(traces: DataFrame) -> DataFrame:
-    """Mean and population deviation over events at each relative index."""
-    return traces.groupBy("r", "rel").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"))
+def peri_event(traces: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and population deviation over events at each relative index; each ``by`` for itself."""
+    return traces.groupBy(*by, "r", "rel").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"))
 
 
 def interpolated(samples: DataFrame, grid: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ def min_max(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(over, keys).withColumn("value", (F.col("value") - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))).drop("_a", "_b")
 
 
-def mttkrp(tensor: DataFrame, factors: dict[str, DataFrame], mode: str) -> DataFrame:
-    """(idx, r, value): sum over cells of value times the product of the other modes' factors (idx, r, value)."""
+def mttkrp(tensor: DataFrame, factors: dict[str, DataFrame], mode: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(idx, r, value): sum over cells of value times the product of the other modes' factors (idx, r, value); each ``by`` for itself."""
     out, product, rank = tensor, F.col("value"), None
     for i, (dim, f) in enumerate((d, f) for d, f in factors.items() if d != mode):
         g = f.select(F.col("idx").alias(f"_i{i}"), F.col("r").alias(f"_r{i}"), F.col("value").alias(f"_v{i}"))
@@ -93,7 +93,7 @@ def mttkrp(tensor: DataFrame, factors: dict[str, DataFrame], mode: str) -> DataF
         out = out.join(g, on if rank is None else on & (F.col(rank) == F.col(f"_r{i}")))
         rank = rank or f"_r{i}"
         product = product * F.col(f"_v{i}")
-    return out.groupBy(F.col(mode).alias("idx"), F.col(rank).alias("r")).agg(F.sum(product).alias("value"))
+    return out.groupBy(*by, F.col(mode).alias("idx"), F.col(rank).alias("r")).agg(F.sum(product).alias("value"))
 
 
 def gram(factor: DataFrame) -> DataFrame:
@@ -102,11 +102,11 @@ def gram(factor: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.idx") == F.col("b.idx")).groupBy(F.col("a.r").alias("r"), F.col("b.r").alias("s")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("value"))
 
 
-def correlations(factor: DataFrame) -> DataFrame:
-    """(r, s, corr): correlations of a factor's columns, without the identity."""
-    a, b = factor.alias("a"), factor.alias("b")
-    c = a.join(b, F.col("a.idx") == F.col("b.idx")).groupBy(F.col("a.r").alias("r"), F.col("b.r").alias("s")).agg(F.corr("a.value", "b.value").alias("corr"))
-    return c.select("r", "s", (F.col("corr") - F.when(F.col("r") == F.col("s"), 1.0).otherwise(0.0)).alias("corr"))
+def correlations(factor: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(r, s, corr): correlations of a factor's columns, without the identity; each ``by`` for itself."""
+    a, b = factor, factor.select(*by, "idx", F.col("r").alias("_s"), F.col("value").alias("_v"))
+    c = a.join(b, [*by, "idx"]).groupBy(*by, "r", F.col("_s").alias("s")).agg(F.corr("value", "_v").alias("corr"))
+    return c.select(*by, "r", "s", (F.col("corr") - F.when(F.col("r") == F.col("s"), 1.0).otherwise(0.0)).alias("corr"))
 
 
 def explained_variance(vectors: DataFrame, column: str, width: int) -> np.ndarray:
@@ -186,7 +186,7 @@ class CP:
         return spark.createDataFrame(rows, "elem string, mode string, idx long, r int, value double")
 
 
-def fit_each(tensor: DataFrame, dims: list[str], rank: int, iterations: int = 50, seed: int = 0) -> DataFrame:
+def fit_each(tensor: DataFrame, dims: list[str], rank: int, iterations: int = 50, seed: int = 0, tolerance: float = 0.0) -> DataFrame:
     """An independent non-negative fit of every element, in parallel; an element is as large as one recording's tensor."""
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
@@ -195,6 +195,7 @@ def fit_each(tensor: DataFrame, dims: list[str], rank: int, iterations: int = 50
         x[tuple(part[d].to_numpy() for d in dims)] = part["value"].to_numpy()
         rng = np.random.default_rng(seed)
         f = [rng.random((n, rank)) for n in shape]
+        norm, last = float((x * x).sum()), None
         for _ in range(iterations):
             for i in range(len(dims)):
                 letters = "abcdefgh"[: len(dims)]
@@ -204,14 +205,19 @@ def fit_each(tensor: DataFrame, dims: list[str], rank: int, iterations: int = 50
                 for r in range(rank):
                     if g[r, r] > 1e-12:
                         f[i][:, r] = np.maximum(0, f[i][:, r] + (m[:, r] - f[i] @ g[:, r]) / g[r, r])
+            error = norm - 2 * float((m * f[-1]).sum()) + float((g * (f[-1].T @ f[-1])).sum())
+            error = float(np.sqrt(max(error, 0.0) / norm)) if norm else 0.0
+            if last is not None and abs(last - error) < tolerance:
+                break
+            last = error
         rows = [(part["elem"].iloc[0], d, i, r, float(v)) for d, a in zip(dims, f, strict=True) for i, row in enumerate(a) for r, v in enumerate(row)]
         return pd.DataFrame(rows, columns=["elem", "mode", "idx", "r", "value"])
 
     return tensor.groupBy("elem").applyInPandas(fit, "elem string, mode string, idx long, r int, value double")
 
 
-def polar_loadings(factor: DataFrame, points: int) -> DataFrame:
+def polar_loadings(factor: DataFrame, points: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(point, r, magnitude, angle) of a factor whose first half of indices is x and second half y."""
     half = lambda k: F.sum(F.when(F.floor(F.col("idx") / points) == k, F.col("value")).otherwise(0.0))
-    xy = factor.groupBy((F.col("idx") % points).alias("point"), "r").agg(half(0).alias("x"), half(1).alias("y"))
-    return xy.select("point", "r", F.hypot("x", "y").alias("magnitude"), F.atan2("y", "x").alias("angle"))
+    xy = factor.groupBy(*by, (F.col("idx") % points).alias("point"), "r").agg(half(0).alias("x"), half(1).alias("y"))
+    return xy.select(*by, "point", "r", F.hypot("x", "y").alias("magnitude"), F.atan2("y", "x").alias("angle"))

@@ -501,9 +501,9 @@ def polar_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cp_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-negative CP of one element, fitted by distributed passes."""
-    t = _tensor(spark, sf_dir).where("elem = 'purchase'")
-    return tensor.CP(RANK, iterations=3).fit(t, ["xy", "points", "frequency", "time"]).table(spark)
+    """Independent non-negative CP of every element, with the iterations and tolerance of ``tensor.CP``."""
+    default = tensor.CP(RANK)
+    return tensor.fit_each(_tensor(spark, sf_dir), ["xy", "points", "frequency", "time"], RANK, default.iterations, tolerance=default.tolerance)
 
 
 @query()
@@ -818,3 +818,78 @@ def equalised_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_over_all("min_max_image")
 def min_max_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tensor.min_max(_whole(spark, sf_dir)[0].withColumn("k", F.lit(0)), ["k"]), "value")
+
+
+# ---- every video, element and event -------------------------------------------
+
+EACH = f"""{TRACES}, f AS (SELECT video_id, frame_idx AS idx, point_id AS r, x AS value FROM tracks),
+axis AS (SELECT o // {POOL} AS t_ds, avg(o) + {(WIDTH - 1) / 2} AS sample FROM range({tables.N_FRAMES - WIDTH + 1}) r(o) GROUP BY 1),
+ev AS (SELECT event_id, event_type, (epoch(ts) - {tables.START}) / 3600.0 AS moment FROM events),
+bins AS (SELECT event_id, event_type, arg_min(t_ds, row(abs(sample - moment), t_ds)) AS t_ds FROM ev, axis WHERE moment > 100 GROUP BY 1, 2),
+g AS (SELECT video_id, idx, r, abs(value) / nullif(stddev_pop(abs(value)) OVER (PARTITION BY video_id, r), 0) AS value FROM f),
+around AS (SELECT event_id, event_type, video_id, r, idx - t_ds AS rel, value FROM bins JOIN g ON idx >= t_ds - 4 AND idx < t_ds + 4)"""
+VIDEO = ("video_id",)
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tracks(spark, sf_dir).select("video_id", F.col("frame_idx").alias("idx"), F.col("point_id").alias("r"), F.col("x").alias("value"))
+
+
+@query("SELECT video_id, a.r, b.r AS s, round(corr(a.value, b.value) - CASE WHEN a.r = b.r THEN 1 ELSE 0 END, 4) + 0.0 AS corr FROM f a JOIN f b USING (video_id, idx) GROUP BY video_id, a.r, b.r", EACH)
+def factor_correlations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tensor.correlations(_factors(spark, sf_dir), VIDEO), "corr")
+
+
+@query("SELECT video_id, idx AS point, r, round(sqrt(x * x + y * y), 4) + 0.0 AS magnitude, round(atan2(y, x), 4) + 0.0 AS angle FROM (SELECT video_id, idx % 360 AS idx, r, sum(CASE WHEN idx < 360 THEN value ELSE 0 END) AS x, sum(CASE WHEN idx >= 360 THEN value ELSE 0 END) AS y FROM f GROUP BY 1, 2, 3)", EACH)
+def polar_loadings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tensor.polar_loadings(_factors(spark, sf_dir), 360, VIDEO), "magnitude", "angle")
+
+
+@query("SELECT video_id, idx, r, round(value, 4) + 0.0 AS value FROM g", EACH)
+def scaled_factor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(align.scaled_factor(_factors(spark, sf_dir), VIDEO), "value")
+
+
+def _all_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.table(spark, sf_dir, "events")
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - tables.START) / 3600.0
+    bins = align.nearest_bins(e.select("event_id", at.alias("at")), spectral.time_axis(spark, tables.N_FRAMES, WIDTH, POOL), least=100)
+    return bins.join(e.select("event_id", "event_type"), "event_id")
+
+
+@query("SELECT event_id, event_type, t_ds FROM bins", EACH)
+def nearest_event_bins_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_bins(spark, sf_dir)
+
+
+def _all_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.around_events(align.scaled_factor(_factors(spark, sf_dir), VIDEO), _all_bins(spark, sf_dir), 4, 4, VIDEO, ("event_type",))
+
+
+@query("SELECT event_type, video_id, r, rel, round(avg(value), 4) + 0.0 AS mean, round(stddev_pop(value), 4) + 0.0 AS std, count(*) AS n FROM around GROUP BY ALL", EACH)
+def peri_event_average_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages around each event type of each video's factor."""
+    return rounded(align.peri_event(_all_traces(spark, sf_dir), ("event_type", "video_id")), "mean", "std")
+
+
+@query("SELECT event_id, event_type, video_id, r, rel, round(value, 4) + 0.0 AS value FROM around", EACH)
+def event_traces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_all_traces(spark, sf_dir), "value")
+
+
+@query(f"""SELECT p.video_id, p.r AS key, q.x, round(CASE WHEN a.idx IS NULL THEN NULL WHEN b.idx IS NULL THEN a.value ELSE a.value + (b.value - a.value) * (q.x - a.idx * 2.5) / 2.5 END, 4) + 0.0 AS value
+FROM (SELECT DISTINCT video_id, r FROM f) p CROSS JOIN (SELECT i AS x FROM range({tables.N_FRAMES * 5 // 2}) t(i)) q
+LEFT JOIN f a ON a.video_id = p.video_id AND a.r = p.r AND a.idx = floor(q.x / 2.5) AND q.x <= {tables.N_FRAMES - 1} * 2.5 LEFT JOIN f b ON b.video_id = p.video_id AND b.r = p.r AND b.idx = a.idx + 1""", EACH)
+def interpolated_factor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every video's factor over all frames on the finer grid; outside of its samples there is no value."""
+    s = _factors(spark, sf_dir).select(F.struct("video_id", "r").alias("key"), (F.col("idx") * 2.5).alias("x"), "value")
+    out = align.interpolated(s, spark.range(tables.N_FRAMES * 5 // 2).select(F.col("id").alias("x")))
+    out = out.select(F.col("key.video_id").alias("video_id"), F.col("key.r").alias("key"), "x", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+    return rounded(out, "value")
+
+
+@query("""SELECT t.elem, t.frequency AS idx, CAST(a.r AS INTEGER) AS r, round(sum(t.value * a.value * b.value * c.value), 2) + 0.0 AS value
+FROM ten t JOIN fac a ON a.mode = 'xy' AND a.idx = t.xy JOIN fac b ON b.mode = 'points' AND b.idx = t.points AND b.r = a.r JOIN fac c ON c.mode = 'time' AND c.idx = t.time AND c.r = a.r
+GROUP BY ALL""", TENSOR + FACTORS)
+def khatri_rao_product_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tensor.mttkrp(_tensor(spark, sf_dir), fixed_factors(spark), "frequency", ("elem",)), "value", digits=2)

@@ -104,6 +104,23 @@ def test_images_of_every_vector(spark, con):
         assert catalog.QUERIES[f"{name}_all"](spark, SF).count() == 64 * n
 
 
+def test_every_element_and_video(spark):
+    for name, key in (("cp_factors", "elem"), ("khatri_rao_product_all", "elem"), ("factor_correlations_all", "video_id"), ("nearest_event_bins_all", "event_type")):
+        assert {r[0] for r in catalog.QUERIES[name](spark, SF).select(key).distinct().collect()} == {"click", "error", "purchase", "signup", "view"}
+
+
+def test_fits_of_elements_equal_the_distributed_fit(spark):
+    import numpy as np
+
+    from kinetrace.operators import tensor
+
+    rng = np.random.default_rng(0)
+    cells = spark.createDataFrame([("a", i, j, k, float(rng.random())) for i in range(3) for j in range(4) for k in range(5)], "elem string, i long, j long, k long, value double")
+    want = tensor.CP(2, iterations=4).fit(cells.drop("elem"), ["i", "j", "k"]).factors
+    got = tensor.fit_each(cells, ["i", "j", "k"], 2, 4, tolerance=1e-9).collect()
+    assert all(abs(r["value"] - want[r["mode"]][r["idx"], r["r"]]) < 1e-9 for r in got)
+
+
 def test_entry_and_queries(spark):
     import __spark_entry__ as entry
 
