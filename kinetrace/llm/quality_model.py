@@ -3,9 +3,8 @@
 Words are runs of letters, of digits or of symbols, hashed to ``BUCKETS`` rows. Random
 indexing over the whole corpus: each row has a sparse random index vector (``ONES``
 entries of +1 or -1 in ``WIDTH``), and a word's vector is the sum of its neighbours'
-index vectors, weighted down for frequent neighbours by normalising. Partial sums of
-the tasks are added up block by block, in two levels, so no reducer has more than a
-bounded slice.
+index vectors, scaled to length one. Partial sums of the tasks are added up block by
+block, in two levels, so no reducer has more than a bounded slice.
 
 A document is the mean and the spread of its word vectors, with its length and the
 share of distinct words. The network (one hidden layer, numpy, Adam) is fitted on a
@@ -165,18 +164,25 @@ class Network:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
+    def constant(self, y: np.ndarray) -> Network:
+        """What is left to say without labels of both kinds: their share, or 0.5, for every row."""
+        share = np.clip(y.mean() if len(y) else 0.5, 1e-9, 1 - 1e-9)
+        self.mean, self.scale, self.temperature = np.zeros(2 * WIDTH + 2), np.ones(2 * WIDTH + 2), 1.0
+        self.p = [np.zeros((2 * WIDTH + 2, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.array([np.log(share / (1 - share))])]
+        return self
 
-class Constant:
-    """What is left to say without labels of both kinds."""
-
-    def __init__(self, y: np.ndarray) -> None:
-        self.value = float(y.mean()) if len(y) else 0.5
+    def state(self) -> tuple:
+        """Plain arrays and numbers, which executors can read without this package."""
+        return self.mean, self.scale, self.temperature, self.p
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return np.full(len(x), self.value)
+    @classmethod
+    def of(cls, state: tuple) -> Network:
+        model = cls()
+        model.mean, model.scale, model.temperature, model.p = state
+        return model
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[np.ndarray, Network | Constant]:
+def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[np.ndarray, Network]:
     """Word vectors of the whole corpus, and the network fitted on at most ``most`` labelled documents."""
     spark = docs.sparkSession
     vectors = word_vectors(docs)
@@ -188,21 +194,23 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tup
             x = [r.astype("<f4").tobytes() for part in pooled(utf8(batch.column(0)), shared.value, memo) for r in part]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], ["x", "y"])
 
-    rows = labelled(docs, labels, "quality", MODULUS, FOLD, most).mapInArrow(features, "x binary, y int").collect()
+    rows = labelled(docs, labels, "quality", MODULUS, FOLD, most).select("text", "y").mapInArrow(features, "x binary, y int").collect()
     rows = sorted((r["x"], r["y"]) for r in rows)  # the order of the tasks doesn't matter
     x = np.array([np.frombuffer(r[0], "<f4") for r in rows], float).reshape(len(rows), 2 * WIDTH + 2)
     y = np.array([r[1] for r in rows], float)
-    model = Network().fit(x, y) if len(y) > 10 and 0 < y.sum() < len(y) else Constant(y)
+    model = Network().fit(x, y) if 0 < y.sum() < len(y) else Network().constant(y)
     return vectors, model
 
 
 def scored(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...], most: int = MOST_LABELLED) -> DataFrame:
     """(row, score): the columns in ``carry`` as a struct, and the score, of every row of ``docs``. A text that is carried is sent once."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, most))
+    vectors, model = fitted(docs, labels, most)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, model.state()))
     inside = carry.index("text") if "text" in carry else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (vectors, model) = Words(), shared.value
+        memo, (vectors, state) = Words(), shared.value
+        model = Network.of(state)
         for batch in batches:
             texts = batch.column(1) if inside is None else batch.column(0).field(inside)
             scores = [model.probability(x.astype(float)) for x in pooled(utf8(texts), vectors, memo)]

@@ -19,7 +19,7 @@ def held_out(modulus: int, fold: int):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, fold: int, most: int = MOST_LABELLED) -> DataFrame:
-    """(text, y) of at most ``most`` labelled documents outside the held-out fold, chosen by a hash of the id.
+    """(text, y, doc_id) of at most ``most`` labelled documents outside the held-out fold, chosen by a hash of the id.
 
     Ids with conflicting labels are left out. The chosen ids are bounded by ``most``, so they are broadcast.
     """
@@ -27,4 +27,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, fold:
     known = known.where(~held_out(modulus, fold)).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1").select("doc_id", "y")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    return texts.join(F.broadcast(chosen), "doc_id").select("text", "y", "doc_id")

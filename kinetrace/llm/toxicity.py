@@ -1,184 +1,168 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings. Of labelled examples that are copies of each other
-(same label, same least five-word shingle) one is kept: a term must not look telling
-because one text was copied. The vocabulary is chosen on these examples:
-terms that stand far more often in toxic examples, by chi-square. Document frequencies
-count all documents. Examples and documents are unit vectors of (1 + log tf) * idf.
-
-The index holds the examples' postings in blocks of ``BLOCK`` examples, with the
-greatest weight of every term in every block. A query's bound for a block is the sum
-of its weights times those maxima; blocks are opened in falling order of bounds until
-the next bound is under the K-th best cosine, so the K nearest are exact.
+Terms are words of letters in lower case (ASCII), known by 64-bit hashes; every term
+of every example is indexed. A term weighs (1 + log tf) * idf * lift: document
+frequencies count all documents, and lift is the squared ratio of the toxic examples
+that have the term to those expected if it told nothing, both plus ``PRIOR`` (so a
+rare or indifferent term has a lift near 1, and no term is left out). For the lift,
+examples of one label with the same least five-word shingle count once: a term must
+not look telling because one text was copied. Documents and examples are unit vectors.
+
+The index is inverted and blocked: examples stand in blocks of ``BLOCK``, those with
+the same heaviest terms together. The lists of frequent terms (in more than one of
+``FREQUENT`` examples; they hold most postings) are cut into blocks, with the term's
+greatest weight in each; the short lists of all other terms are read whole. A query's
+bound for a block is the best sum over rare terms in it plus the weights of its frequent
+terms times their block maxima; the blocks with the best bounds are opened first, then
+all whose bound is not under the K-th best cosine so far, so the K nearest are exact.
 
 The neighbours vote with their cosines. The share of toxic votes, the best cosine and
-the length of the document's vector go through a logistic curve, fitted on the
-examples with themselves left out; documents
-without any vocabulary term take the examples' share of toxic ones among such texts.
-The nearest examples are returned as evidence.
+the length of the document's vector go through a logistic curve, fitted on the examples
+with themselves left out; documents that share no term with any example take the share
+of toxic examples. The nearest examples are returned as evidence.
 
 Defined cases: null, empty and wordless texts have no terms. Without labels of both
 kinds every score is the share of label 1, or 0. Null ids are never held out. Equal
 texts have equal scores. Ties between examples go to the earlier one in the index
-(examples are ordered by text hash). Extra columns are ignored.
+(examples are ordered by heaviest term, then id, then text hash). Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.sampling import MOST_LABELLED, held_out, labelled
+from kinetrace.llm.sampling import held_out, labelled
 from kinetrace.llm.shingles import WordHashes, shingle_set, utf8
 from kinetrace.storage import keep
 
 K = 15
 BLOCK = 64
-MOST_TERMS = 4096
-#: A term of the vocabulary: in so many toxic examples, with this chi-square, this many times the clean rate.
-LEAST_EXAMPLES, LEAST_CHI2, LEAST_RATIO = 5, 25.0, 5.0
+#: A term is frequent if it is in more than one of so many examples.
+FREQUENT = 20
+#: Blocks that are opened before the others' bounds are looked at.
+FIRST = 4
+#: Bounds and cosines are single-precision sums; blocks this close to the K-th best are opened.
+SLACK = 1e-5
+#: Most labelled documents in the index.
+MOST_EXAMPLES = 10_000
+#: Examples that are added to both sides of a term's lift.
+PRIOR = 5.0
 THRESHOLD = 0.7
 MODULUS, FOLD = 3, 1
+#: Examples named as evidence.
+EVIDENCE = 3
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+")
-_BEGINNING = 4
-
-
-def terms_of(word: bytes) -> tuple[bytes, ...]:
-    """A word and its beginning, in lower case (ASCII)."""
-    word = word.lower()
-    start = word.decode("utf-8", "ignore")[:_BEGINNING].encode()
-    return (word, start + b"*") if len(start) < len(word) else (word,)
+#: Terms whose document frequencies travel together.
+_SLICE = 1 << 14
 
 
-def vocabulary(sample: DataFrame, most: int = MOST_TERMS) -> tuple[list[str], tuple[int, int]]:
-    """The terms that mark toxic examples, and the numbers of clean and toxic examples."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        n = [0, 0]
-        for batch in batches:
-            for text, y in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                n[y] += 1
-                counts[y].update({t for w in set(_TOKEN.findall(text)) for t in terms_of(w)})
-        names = [*counts[0].keys() | counts[1].keys()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([t.decode() for t in names] + [""]), *[pa.array([counts[y][t] for t in names] + [n[y]], pa.int64()) for y in (0, 1)]], ["term", "clean", "toxic"]
-        )
-
-    sums = keep(sample.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "terms")
-    totals = sums.where("term = ''").first()
-    n0, n1 = (int(totals["clean"]), int(totals["toxic"])) if totals else (0, 0)
-    if not n0 or not n1:
-        return [], (n0, n1)
-    a, b, n = F.col("toxic").cast("double"), F.col("clean").cast("double"), float(n0 + n1)
-    chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / ((a + b) * (n - a - b) * n0 * n1 + 1e-9)
-    marked = sums.where((F.col("term") != "") & (a >= LEAST_EXAMPLES) & (a / n1 >= LEAST_RATIO * b / n0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    return [r["term"] for r in marked.orderBy(F.desc("chi2"), "term").limit(most).select("term").collect()], (n0, n1)
-
-
-def unlike(sample: DataFrame) -> DataFrame:
-    """One of the examples that share a label and their least shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            keys = [int(s[0].view(np.int64)) if len(s := shingle_set(t, memo)) else 0 for t in utf8(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["text", "y", "key"])
+class Terms(dict):
+    """word -> hash of its lower case; forgets all when it has grown."""
 
-    return sample.mapInArrow(run, "text string, y int, key long").groupBy("key", "y").agg(F.min("text").alias("text")).select("text", "y")
-
-
-class TermIds(dict):
-    """word -> ids of its terms in the vocabulary."""
-
-    def __init__(self, terms: list[str]) -> None:
-        super().__init__()
-        self.ids = {t.encode(): i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 1 << 18:
             self.clear()
-        self[word] = found = tuple(self.ids[t] for t in terms_of(word) if t in self.ids)
-        return found
+        self[word] = h = xxhash.xxh3_64_intdigest(word.lower())
+        return h
 
-
-def counted(text: bytes, memo: TermIds) -> tuple[list[int], list[int]]:
-    """Term ids of a text, ascending, and how often each stands in it."""
-    n = Counter(i for ids in map(memo.__getitem__, _TOKEN.findall(text)) if ids for i in ids)
-    ids = sorted(n)
-    return ids, [n[i] for i in ids]
-
-
-_COUNTED = "terms array<int>, times array<int>"
-
-
-def _count(memo_terms, column: int, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = TermIds(memo_terms.value)
-        for batch in batches:
-            found = [counted(t, memo) for t in utf8(batch.column(column))]
-            lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:column], *lists], names)
-
-    return run
-
-
-def weighted(ids: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, float]:
-    """A unit vector of TF-IDF weights, and the length that it had."""
-    w = (1 + np.log(times)) * idf[ids]
-    length = float(np.sqrt((w * w).sum()))
-    return w / length, length
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct terms of a text, ascending, and how often each stands in it."""
+        found = _TOKEN.findall(text)
+        return np.unique(np.fromiter(map(self.__getitem__, found), np.uint64, len(found)), return_counts=True)
 
 
 class Index:
-    """Examples in blocks with the greatest weight of each term in each block."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, terms: int) -> None:
-        # examples that share their heaviest term stand together, which makes the bounds tight
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][int(np.argmax(vectors[i][1]))], tuple(vectors[i][0]), i))
-        self.y, self.order = y[order], np.array(order, int)
-        self.blocks = -(-len(order) // BLOCK)
-        self.top = np.zeros((terms, self.blocks), np.float64)
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in zip(*vectors[i], strict=True):
-                lists.setdefault((int(t), at // BLOCK), []).append((at % BLOCK, w))
-                self.top[t, at // BLOCK] = max(self.top[t, at // BLOCK], w)
-        self.lists = {k: (np.array([a for a, _ in v]), np.array([w for _, w in v])) for k, v in lists.items()}
-
-    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """The examples' weights as a blocked inverted index; made of plain arrays, which executors can read without this package."""
+
+    def __init__(self, state: tuple) -> None:
+        self.state = state
+        self.vocabulary, self.weight, self.y, self.ids, self.entry, self.place, self.value, self.frequent, self.dense, self.top = state
+        self.blocks = len(self.dense)
+
+    @classmethod
+    def built(cls, vocabulary: np.ndarray, weight: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray) -> tuple[Index, np.ndarray]:
+        """The index of ``examples`` (term numbers, times), each with a label and an id, and the examples' order in it."""
+        vectors = [cls.unit(t, n, weight)[0] for t, n in examples]
+        size = np.array([len(t) for t, _ in examples], np.int64)
+        in_examples = np.bincount(np.concatenate([t for t, _ in examples]), minlength=len(vocabulary))
+        common = np.flatnonzero(in_examples * FREQUENT > len(examples))
+        frequent = np.full(len(vocabulary), -1, np.int32)
+        frequent[common] = np.arange(len(common))
+        # examples with the same heaviest frequent term, then the same heaviest term, stand together: that makes bounds tight
+        heaviest = np.full((2, len(examples)), -1, np.int64)
+        for i, ((t, _), w) in enumerate(zip(examples, vectors, strict=True)):
+            if len(t):
+                heaviest[0, i] = t[np.argmax(w)]
+                at = frequent[t] >= 0
+                heaviest[1, i] = t[at][np.argmax(w[at])] if at.any() else -1
+        order = np.lexsort(heaviest)
+        terms, value = np.concatenate([examples[i][0] for i in order]), np.concatenate([vectors[i] for i in order])
+        place = np.repeat(np.arange(len(order)), size[order])
+        blocks = -(-len(order) // BLOCK)
+        often = frequent[terms] >= 0
+        dense = np.zeros((blocks, len(common), BLOCK), np.float32)
+        dense[place[often] // BLOCK, frequent[terms[often]], place[often] % BLOCK] = value[often]
+        terms, value, place = terms[~often], value[~often], place[~often]
+        by_term = np.lexsort((place, terms))
+        entry = np.searchsorted(terms[by_term], np.arange(len(vocabulary) + 1))
+        return cls((vocabulary, weight, y[order], ids[order], entry, place[by_term].astype(np.int32), value[by_term].astype(np.float32), frequent, dense, dense.max(axis=2).T.copy())), order
+
+    @staticmethod
+    def unit(terms: np.ndarray, times: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+        """A unit vector of TF-IDF weights, and the length that it had."""
+        w = (1 + np.log(times)) * weight[terms]
+        length = float(np.sqrt((w * w).sum()))
+        return w / max(length, 1e-300), length
+
+    def query(self, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Numbers and weights of the terms that examples have too, and the length of their vector."""
+        at = np.searchsorted(self.vocabulary, hashes)
+        there = at < len(self.vocabulary)
+        there[there] = self.vocabulary[at[there]] == hashes[there]
+        return at[there], *self.unit(at[there], times[there], self.weight)
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, best first; ``without`` is left out."""
-        bound = w @ self.top[ids]
-        place, cosine, least = np.empty(0, int), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(cosine) >= k and bound[b] < least - 1e-12):
+        often = self.frequent[terms] >= 0
+        rare, common = terms[~often], self.frequent[terms[often]]
+        begin, size = self.entry[rare], self.entry[rare + 1] - self.entry[rare]
+        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        known = np.bincount(self.place[at], np.repeat(w[~often], size) * self.value[at], self.blocks * BLOCK).astype(float).reshape(self.blocks, BLOCK)
+        if without >= 0:
+            known[without // BLOCK, without % BLOCK] = -np.inf
+        weights = w[often].astype(np.float32)
+        bound = known.max(axis=1) + weights @ self.top[common]
+        by_bound = np.argsort(-bound, kind="stable")
+        place, cosine, least = np.empty(0, np.int64), np.empty(0), 0.0
+        for some in (by_bound[:FIRST], by_bound[FIRST:]):
+            some = some[(bound[some] > 0) & (bound[some] >= least - SLACK)]
+            if not len(some):
                 break
-            dots = np.zeros(BLOCK)
-            for t, x in zip(ids, w, strict=True):
-                if (found := self.lists.get((int(t), int(b)))) is not None:
-                    dots[found[0]] += x * found[1]
-            hit = np.flatnonzero(dots > 0)
-            hit = hit[hit + b * BLOCK != without]
-            place, cosine = np.concatenate([place, hit + b * BLOCK]), np.concatenate([cosine, dots[hit]])
-            best = np.lexsort((place, -np.round(cosine, 12)))[:k]
+            full = known[some] + weights @ self.dense[some[:, None], common[None, :]]
+            y, x = np.nonzero(full > max(0.0, least - SLACK))
+            place, cosine = np.concatenate([place, some[y] * BLOCK + x]), np.concatenate([cosine, full[y, x]])
+            best = np.lexsort((place, -np.round(cosine, 6)))[:k]
             place, cosine = place[best], cosine[best]
             if len(cosine) == k:
                 least = cosine[-1]
         return place, cosine
 
-    def votes(self, ids: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, float, np.ndarray]:
-        """Share of toxic votes, the best cosine, and the nearest examples."""
-        place, cosine = self.nearest(ids, w, without=without)
-        return (float((cosine * self.y[place]).sum() / cosine.sum()), float(cosine[0]), place) if len(place) else (0.0, 0.0, place)
+    def features(self, hashes: np.ndarray, times: np.ndarray, without: int = -1) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """Share of toxic votes, best cosine and length (None without neighbours), then the neighbours and their cosines."""
+        terms, w, length = self.query(hashes, times)
+        place, cosine = self.nearest(terms, w, without=without)
+        vote = np.array([(cosine * self.y[place]).sum() / cosine.sum(), cosine[0], np.log1p(length)]) if len(place) else None
+        return vote, place, cosine
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton's method with a small ridge."""
     x = np.column_stack([np.ones(len(x)), x])
     b = np.zeros(x.shape[1])
@@ -191,59 +175,111 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence) of every document; evidence: hashes of the nearest examples' texts."""
-    spark = docs.sparkSession
-    sample = keep(unlike(labelled(docs, labels, "toxic", MODULUS, FOLD, most)), "examples")
-    terms, (n0, n1) = vocabulary(sample)
-    shared_terms = spark.sparkContext.broadcast(terms)
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vectors = keep(flat.mapInArrow(_count(shared_terms, 1, ["doc_id", "terms", "times"]), f"doc_id long, {_COUNTED}"), "term-counts")
-    df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each term of the vocabulary
-        df[r["t"]] = r["count"]
-    idf = np.log((1 + vectors.count()) / (1 + df)) + 1
-
-    kept = sample.select(F.col("y"), F.xxhash64("text").alias("h"), "text")
-    examples = kept.mapInArrow(_count(shared_terms, 2, ["y", "h", "terms", "times"]), f"y int, h long, {_COUNTED}").collect()
-    examples.sort(key=lambda r: (r["h"], r["y"], r["terms"]))
-    empty = [r["y"] for r in examples if not r["terms"]]
-    full = [r for r in examples if r["terms"]]
-    y = np.array([r["y"] for r in full], float)
-    lengths = [weighted(np.array(r["terms"]), np.array(r["times"]), idf) for r in full]
-    known = [(np.array(r["terms"]), w) for r, (w, _) in zip(full, lengths, strict=True)]
-    share = (sum(empty) + n1 / max(1, n0 + n1)) / (len(empty) + 1)
-    if not full:
-        index, curve = None, None
-    else:
-        index = Index(known, y, len(terms))
-        left = np.array([(*index.votes(*known[i], without=at)[:2], np.log1p(lengths[i][1])) for at, i in enumerate(index.order)])
-        curve = _curve(left, index.y)
-    shared = spark.sparkContext.broadcast((index, curve, share, idf, [full[i]["h"] for i in index.order] if index else []))
+def lift(toxic: np.ndarray, all_: np.ndarray, share: float) -> np.ndarray:
+    """How much more often a term is in toxic examples than expected, squared."""
+    return np.square((toxic + PRIOR) / (all_ * share + PRIOR))
+
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many documents each term of ``vocabulary`` is, and the number of documents. Tasks' counts are added slice by slice."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, curve, share, idf, hashes = shared.value
-        memo: dict[tuple, tuple[float, list[int]]] = {}
-
-        def score(ids: list[int], times: list[int]) -> tuple[float, list[int]]:
-            if index is None or not ids:
-                return share, []
-            key = (tuple(ids), tuple(times))
-            if key not in memo:
-                if len(memo) > 100_000:
-                    memo.clear()
-                t = np.array(ids)
-                w, length = weighted(t, np.array(times), idf)
-                vote, best, place = index.votes(t, w)
-                p = 1 / (1 + np.exp(-np.clip(curve @ [1.0, vote, best, np.log1p(length)], -30, 30))) if len(place) else share
-                memo[key] = float(p), [hashes[i] for i in place[:3]]
-            return memo[key]
+        memo, known = Terms(), shared.value
+        total = np.zeros(len(known) + 1, np.int64)
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                h, _ = memo.of(text)
+                at = np.searchsorted(known, h)
+                at = at[at < len(known)]
+                total[at[known[at] == h[: len(at)]]] += 1
+                total[-1] += 1
+        slices = [(i // _SLICE, total[i : i + _SLICE]) for i in range(0, len(total), _SLICE)] if total[-1] else []
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in slices], pa.int32()), pa.array([x.tobytes() for _, x in slices], pa.binary())], ["slice", "counts"])
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
+
+    schema = "slice int, counts binary"
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, schema).groupBy("slice").applyInArrow(added, schema).collect()  # as long as the vocabulary
+    total = np.zeros(len(vocabulary) + 1, np.int64)
+    for r in rows:
+        total[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["counts"], np.int64)
+    return total[:-1], int(total[-1])
+
+
+def examples_of(sample: DataFrame) -> list[tuple]:
+    """(doc_id, y, text hash, alike, terms, times) of every labelled row, in an order that doesn't depend on tasks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, words = Terms(), WordHashes()
         for batch in batches:
-            found = [score(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"]
-            )
+            found = [(t, *memo.of(t)) for t in utf8(batch.column(0))]
+            alike = [int(s[0].view(np.int64)) if len(s := shingle_set(t, words)) else 0 for t, _, _ in found]
+            hashes = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _, _ in found]
+            columns = [pa.array(hashes, pa.int64()), pa.array(alike, pa.int64()), *[pa.array([f[i].astype(kind).tobytes() for f in found], pa.binary()) for i, kind in ((1, "<u8"), (2, "<i4"))]]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), *columns], ["doc_id", "y", "h", "alike", "terms", "times"])
+
+    rows = sample.mapInArrow(run, "doc_id long, y int, h long, alike long, terms binary, times binary").collect()  # a bounded sample
+    return sorted((r["doc_id"], r["y"], r["h"], r["alike"], np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["times"], "<i4")) for r in rows) if rows else []
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[tuple | None, np.ndarray | None, float]:
+    """The index's state and the curve (None without labels of both kinds), and the share of toxic examples."""
+    sample = keep(labelled(docs, labels, "toxic", MODULUS, FOLD, most), "examples")
+    examples = examples_of(sample)
+    y = np.array([e[1] for e in examples], float)
+    share = float(y.mean()) if len(y) else 0.0
+    if not 0 < y.sum() < len(y):
+        return None, None, share
+    vocabulary = np.unique(np.concatenate([e[4] for e in examples]))
+    if not len(vocabulary):
+        return None, None, share
+    numbered = [(np.searchsorted(vocabulary, e[4]), e[5]) for e in examples]
+    once = {(e[3], e[1]): i for i, e in enumerate(examples)}.values()
+    seen = np.zeros((2, len(vocabulary)))
+    for i in once:
+        seen[int(y[i]), numbered[i][0]] += 1
+    frequency, n = document_frequencies(docs, vocabulary)
+    weight = (np.log((1 + n) / (1 + frequency)) + 1) * lift(seen[1], seen.sum(axis=0), sum(y[i] for i in once) / len(once))
+    index, order = Index.built(vocabulary, weight, numbered, y, np.array([e[0] for e in examples], np.int64))
+    places = {(examples[i][0], examples[i][2]): at for at, i in enumerate(order.tolist())}
+    shared = docs.sparkSession.sparkContext.broadcast((index.state, places))
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, places = shared.value
+        index, memo = Index(state), Terms()
+        for batch in batches:
+            rows = []
+            for text, y, doc in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x, _, _ = index.features(*memo.of(text), without=places[doc, xxhash.xxh3_64_intdigest(text) - (1 << 63)])
+                if x is not None:
+                    rows.append((*x.tolist(), float(y)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], ["vote", "best", "length", "y"])
+
+    rows = sorted(tuple(r) for r in sample.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(left_out, "vote double, best double, length double, y double").collect())
+    if not rows:
+        return None, None, share
+    x = np.array(rows)
+    return index.state, curve(x[:, :3], x[:, 3]), share
 
-    out = vectors.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence) of every document; evidence: id, label and cosine of the nearest examples."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, b, share = shared.value
+        index, memo = Index(state) if state else None, Terms()
+        named = pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())])
+        for batch in batches:
+            scores, evidence = [], []
+            for text in utf8(batch.column(1)):
+                x, place, cosine = index.features(*memo.of(text)) if index else (None, (), ())
+                scores.append(share if x is None else float(1 / (1 + np.exp(-np.clip(b[0] + b[1:] @ x, -30, 30)))))
+                evidence.append([{"doc_id": int(index.ids[p]), "label": int(index.y[p]), "cosine": float(c)} for p, c in zip(place[:EVIDENCE], cosine[:EVIDENCE], strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(named))], ["doc_id", "score", "evidence"])
+
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
     return out.select("doc_id", held_out(MODULUS, FOLD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
