@@ -1,277 +1,294 @@
-"""SentencePiece encoding and decoding as a max-plus scan.
-
-The segmentation of a text is the best path over its positions: each piece is an edge
-from where it starts to where it ends, weighted by its score (sums of log
-probabilities, so paths add and choices take the maximum). No piece of the vocabulary
-goes on from another character to a space mark, so a text falls into short segments
-with independent paths; many at once are scored in one array program, and what a task
-has seen is remembered.
-
-A segment over ``LONG`` characters (a giant text without spaces) is split into chunks.
-The state between two chunks is how far the last piece reaches over the cut, so a
-chunk is a matrix of best scores from the state on entering to the state on leaving.
-Matrices combine associatively in the max-plus algebra: pairs are multiplied level by
-level, then the states at all cuts follow from the top down, and every chunk is traced
-back by itself.
-
-Scores are those of the model file. A character without a piece costs ten less than
-the worst score and is spelled in byte pieces; a space mark that stands in the text
-itself is spelled so too, which makes decoding exact for any text. Ties go to the
-longer last piece within a segment or chunk.
+"""SentencePiece encoding and decoding as a max-plus scan, with the ids of the library.
+
+The model file is a BPE model: the pair of neighbours whose joint piece has the greatest
+score is merged first, the leftmost on ties. A sequence of pieces is what these merges
+make of a text exactly if every two neighbours are what the merges make of the two
+alone: as long as no merge has crossed the cuts, the merges between two cuts run as if
+there were nothing else. So a text's encoding is the one path over its positions whose
+edges are pieces and whose weights, 0 for neighbours that stay apart and -inf for
+others, add up to 0: the best path in the max-plus algebra.
+
+A giant document is split into chunks, which are rows of a table. The state at a cut
+between two chunks is the piece that reaches it or goes over it. Each chunk yields its
+matrix from states on entering to states on leaving; a document's matrices are combined
+associatively, pair by pair and level by level, the states at all cuts follow from the
+top down, and each chunk is traced back by itself from the two states it got.
+
+No piece of the vocabulary goes on from another character to a space mark, so between
+two such places the paths of a chunk are independent: words that a task has seen are
+remembered, only what cuts go through takes part in a matrix, and a run without spaces
+of more than ``LONG`` characters is solved by the path instead of by merges.
+
+Normalising is that of the file, which must be the identity with a space mark in front
+(:func:`load` refuses others, and files that are no BPE models). A character without a
+piece is spelled in byte pieces. Decoding gives the text back; a space mark that stands
+in the text itself comes back as a space, as in the library, and ``exact`` is false.
 
 Defined cases: null and empty texts have no pieces and decode to "". Repeated rows are
-encoded each. Extra columns are ignored. An empty table gives an empty result.
+encoded each. Bytes that are no UTF-8 count as U+FFFD. Extra columns are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.llm.shingles import utf8
+from kinetrace.storage import keep
 
-#: Most characters of a segment that is scored as a whole, and the length of a chunk of longer ones.
+#: Most characters of a segment that is solved by merges.
 LONG = 64
+#: Characters of a chunk, and most bytes of a document that is one.
+CHUNK = 1 << 16
 SPACE = "▁"
-#: Stands for a space mark in the text itself; no piece and no valid text has it.
-_OWN = "\ud800"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_EDGE = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 _REMEMBERED = 1 << 18
-_U = np.uint64
-_STEP = _U(0x9E3779B97F4A7C15)
-_NO = -np.inf
-
-
-def _codes(text: str) -> np.ndarray:
-    """Characters as numbers from 1; 0 ends a row."""
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
+#: The state before a document and after it.
+NONE = 0
+_WIDE = 64
 
 
 class Vocabulary:
-    """Pieces with scores, found by the hash of their characters, and the bytes each id stands for."""
+    """Pieces with scores and ids, and the bytes that each id stands for."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: list[int]) -> None:
         """``pieces``: (piece, score, id) of the ordinary pieces; ``byte_ids``: the ids of the 256 byte pieces."""
         self.longest = max(len(p) for p, _, _ in pieces)
-        self.unknown = min(s for _, s, _ in pieces) - 10.0
-        keys = np.array([self._key(p) for p, _, _ in pieces], _U)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        if (self.keys[1:] == self.keys[:-1]).any():
-            raise ValueError("two pieces have the same hash")
-        self.scores = np.array([s for _, s, _ in pieces])[order]
-        self.ids = np.array([i for _, _, i in pieces], np.int32)[order]
-        # a first look by the low bits tells most strings that are no piece
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[self.keys & _U((1 << 20) - 1)] = True
-        self.byte_ids = np.array(byte_ids, np.int32)
-        self.spelled = [b""] * (1 + max([*(i for _, _, i in pieces), *byte_ids]))
-        for p, _, i in pieces:
+        self.score = {p: s for p, s, _ in pieces}
+        self.id = {p: i for p, _, i in pieces}
+        self.byte_ids = byte_ids
+        self.spelled = [b""] * (1 + max([*self.id.values(), *byte_ids]))
+        for p, i in self.id.items():
             self.spelled[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(byte_ids):
             self.spelled[i] = bytes([b])
-
-    @staticmethod
-    def _key(piece: str) -> int:
-        h = np.zeros(1, _U)
-        for c in piece:
-            h = _mix(h * _STEP + _U(ord(c) + 1))
-        return int(h[0])
-
-    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and id of the piece of every length at every position of the rows of ``codes`` (0 ends a row): [length - 1, row, position]."""
-        rows, width = codes.shape
-        score = np.full((self.longest, rows, width), _NO)
-        ident = np.full((self.longest, rows, width), -1, np.int32)
-        h = np.zeros((rows, width), _U)
-        there = np.ones((rows, width), bool)
-        for n in range(min(self.longest, width)):
-            h = h[:, : width - n] if n else h
-            h = _mix(h * _STEP + codes[:, n:].astype(_U))
-            there = there[:, : width - n] & (codes[:, n:] > 0)
-            y, x = np.nonzero(there & self.filter[h & _U((1 << 20) - 1)])
-            k = h[y, x]
-            at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-            hit = self.keys[at] == k
-            score[n, y[hit], x[hit]] = self.scores[at[hit]]
-            ident[n, y[hit], x[hit]] = self.ids[at[hit]]
-        lone = (codes > 0) & (ident[0] < 0)
-        score[0][lone] = self.unknown
-        return score, ident
-
-    def best(self, codes: np.ndarray, lengths: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> list[np.ndarray]:
-        """The ids of the best path of each row, from character ``enter`` to ``leave`` (all of it by default)."""
-        rows, width = codes.shape
-        score, ident = self.edges(codes)
-        enter = np.zeros(rows, np.int64) if enter is None else enter
-        leave = lengths if leave is None else leave
-        total = np.full((rows, width + 1), _NO)
-        total[np.arange(rows), enter] = 0.0
-        back = np.zeros((rows, width + 1), np.int32)
-        for end in range(1, width + 1):
-            for n in range(min(self.longest, end), 0, -1):
-                new = total[:, end - n] + score[n - 1, :, end - n]
-                better = new > total[:, end]
-                total[better, end] = new[better]
-                back[better, end] = n
-        at, row = leave.copy(), np.arange(rows)
-        pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while (go := at > enter).any():
-            r = row[go]
-            n = back[r, at[go]]
-            at[go] -= n
-            pieces.append((r, at[go], n))
-        out_row, out_at, out_n = (np.concatenate(x) for x in zip(*pieces, strict=True)) if pieces else (np.empty(0, int),) * 3
-        order = np.lexsort((out_at, out_row))
-        out_row, out_at, out_n = out_row[order], out_at[order], out_n[order]
-        found = ident[out_n - 1, out_row, out_at]
-        cuts = np.searchsorted(out_row, np.arange(rows + 1))
-        odd = set(out_row[found < 0].tolist())
-        cuts = cuts.tolist()
-        out = [found[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        for i in odd:
-            out[i] = self._in_bytes(out[i], codes[i], out_at[cuts[i] : cuts[i + 1]])
+        self.stays: dict[tuple[str, str], bool] = {}
+
+    def merged(self, s: str) -> list[str]:
+        """What the merges make of a short string."""
+        parts, score = list(s), self.score
+        while len(parts) > 1:
+            best, at = -np.inf, -1
+            for i in range(len(parts) - 1):
+                x = score.get(parts[i] + parts[i + 1])
+                if x is not None and x > best:
+                    best, at = x, i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def apart(self, a: str, b: str) -> bool:
+        """If ``a`` and ``b`` side by side stay the two pieces they are; with "" for one, if the other stays whole."""
+        found = self.stays.get((a, b))
+        if found is None:
+            if len(self.stays) > _REMEMBERED:
+                self.stays.clear()
+            found = self.stays[a, b] = self.merged(a + b) == ([a, b] if a and b else [a or b])
+        return found
+
+    def ids(self, parts: list[str]) -> list[int]:
+        out: list[int] = []
+        for p in parts:
+            i = self.id.get(p)
+            if i is None:
+                out += [self.byte_ids[b] for b in p.encode()]
+            else:
+                out.append(i)
         return out
 
-    def _in_bytes(self, ids: np.ndarray, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        parts: list[int] = []
-        for i, x in zip(ids.tolist(), at.tolist(), strict=True):
-            if i >= 0:
-                parts.append(i)
-            else:
-                c = chr(codes[x] - 1)
-                parts += self.byte_ids[list((SPACE if c == _OWN else c).encode())].tolist()
-        return np.array(parts, np.int32)
-
-    def transfer(self, codes: np.ndarray) -> np.ndarray:
-        """Max-plus matrices [row, state on entering, state on leaving] of full chunks of LONG characters with look-ahead."""
-        rows, states = len(codes), self.longest
-        score, _ = self.edges(codes)
-        total = np.full((rows, states, LONG + states), _NO)
-        total[:, np.arange(states), np.arange(states)] = 0.0
-        for at in range(LONG):
-            for n in range(1, states + 1):
-                np.maximum(total[:, :, at + n], total[:, :, at] + score[n - 1, :, at][:, None], out=total[:, :, at + n])
-        return total[:, :, LONG : LONG + states]
-
-    def scan(self, text: str) -> np.ndarray:
-        """The ids of one long segment, by chunks."""
-        n = len(text) // LONG  # the last chunk has the rest too
-        codes = _codes(text)
-        padded = np.concatenate([codes, np.zeros(LONG + self.longest, np.uint32)])
-        look = LONG + self.longest
-        windows = np.stack([padded[i * LONG : i * LONG + look] for i in range(n - 1)]) if n > 1 else np.zeros((0, look), np.uint32)
-        tail = codes[(n - 1) * LONG :]
-        states = np.zeros(n + 1, np.int64)  # on entering chunk i; the last is the end
-        if n > 1:
-            levels = [np.concatenate([self.transfer(windows[i : i + 256]) for i in range(0, n - 1, 256)])]
-            while len(levels[-1]) > 1:
-                m = levels[-1]
-                pairs = len(m) // 2
-                joined = [_times(m[i : min(i + 512, 2 * pairs) : 2], m[i + 1 : min(i + 512, 2 * pairs) : 2]) for i in range(0, 2 * pairs, 512)]
-                levels.append(np.concatenate([*joined, m[2 * pairs :]]))
-            # the tail's best score from each state on entering it
-            rest = self._from_states(tail)
-            cuts = np.array([0, int(np.argmax(levels[-1][0, 0] + rest))])
-            for m in levels[-2::-1]:  # states at the cuts of each level, from those of the level above
-                wider = np.zeros(len(m) + 1, np.int64)
-                pairs = len(m) // 2
-                wider[: 2 * pairs + 1 : 2] = cuts[: pairs + 1]
-                wider[-1] = cuts[-1]
-                left, right = m[0 : 2 * pairs : 2], m[1 : 2 * pairs : 2]
-                k = np.arange(pairs)
-                wider[1 : 2 * pairs : 2] = np.argmax(left[k, wider[0 : 2 * pairs : 2]] + right[k, :, wider[2 : 2 * pairs + 1 : 2]], axis=1)
-                cuts = wider
-            states[: len(cuts)] = cuts
-        parts: list[np.ndarray] = []
-        for i in range(0, n - 1, 256):
-            block = windows[i : i + 256]
-            enter, leave = states[i : i + len(block)], LONG + states[i + 1 : i + 1 + len(block)]
-            parts += self.best(block, leave, enter, leave)
-        row = tail[None, :]
-        parts += self.best(row, np.array([len(tail)]), states[n - 1 : n].copy(), np.array([len(tail)]))
-        return np.concatenate(parts)
-
-    def _from_states(self, tail: np.ndarray) -> np.ndarray:
-        """Best scores from each of the first positions of the tail to its end."""
-        score, _ = self.edges(tail[None, :])
-        n = len(tail)
-        best = np.full(n + 1, _NO)
-        best[n] = 0.0
-        for at in range(n - 1, -1, -1):
-            for k in range(1, min(self.longest, n - at) + 1):
-                best[at] = max(best[at], score[k - 1, 0, at] + best[at + k])
-        return best[: self.longest]
-
-
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus products of two stacks of matrices."""
-    out = np.full((len(a), a.shape[1], b.shape[2]), _NO)
-    for k in range(a.shape[2]):
-        np.maximum(out, a[:, :, k][:, :, None] + b[:, k, :][:, None, :], out=out)
-    return out
+    def pieces_at(self, text: str, at: int, end: int) -> Iterator[int]:
+        """Where the pieces (or the lone character) that start at ``at`` end, up to ``end``."""
+        for stop in range(at + 1, min(at + self.longest, end) + 1):
+            if stop == at + 1 or text[at:stop] in self.score:
+                yield stop
+
+
+class Paths:
+    """The zero-weight paths over a stretch of text: for every position the pieces that end there, with the set (bits) of entering states they are reached from."""
+
+    def __init__(self, v: Vocabulary, text: str, enter: list[tuple[int, int]], stop: int, end: int) -> None:
+        """``enter``: pieces (start, end) that paths begin after, (i, i) for none; paths take pieces that start before ``stop`` and end by ``end``."""
+        self.v, self.text, self.enter = v, text, enter
+        self.at: dict[int, dict[int, int]] = {}
+        for bit, (a, b) in enumerate(enter):
+            self.at.setdefault(b, {})[a] = 1 << bit
+        apart = v.apart
+        for p in range(min((b for _, b in enter), default=stop), stop):
+            nodes = self.at.get(p)
+            if not nodes:
+                continue
+            for q in v.pieces_at(text, p, end):
+                piece, reached = text[p:q], 0
+                for a, mask in nodes.items():
+                    if apart(text[a:p], piece):
+                        reached |= mask
+                if reached:
+                    self.at.setdefault(q, {})[p] = reached
+
+    def back(self, start: int, end: int, bit: int) -> list[str]:
+        """The pieces of the path from entering state ``bit`` that ends with the piece (start, end), that one included."""
+        out = []
+        while True:
+            piece = self.text[start:end]
+            out.append(piece)
+            before = [(a, m) for a, m in self.at[start].items() if m >> bit & 1 and self.v.apart(self.text[a:start], piece)]
+            (a, _), end = before[0], start
+            if (a, end) == self.enter[bit]:
+                return out[::-1]
+            start = a
 
 
 class Encoder:
-    """Encodes whole texts; remembers the segments it has seen, up to a bound."""
+    """Encodes texts and chunks of texts; remembers the segments it has seen, up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v, self.memo = vocabulary, {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_SEGMENT.findall(SPACE + t.replace(SPACE, _OWN).replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.memo) > _REMEMBERED:
-            self.memo.clear()
-        new = set().union(*split).difference(self.memo) if split else set()
-        by_width: dict[int, list[str]] = {}
-        for s in new:
+    def segment(self, s: str) -> bytes:
+        """The ids, packed, of a text between two edges."""
+        found = self.memo.get(s)
+        if found is None:
             if len(s) > LONG:
-                self.memo[s] = self.v.scan(s).tobytes()
-            else:
-                by_width.setdefault(-(-len(s) // 4) * 4, []).append(s)
-        for width, segments in by_width.items():
-            most = max(16, (1 << 16) // width)
-            for i in range(0, len(segments), most):
-                some = segments[i : i + most]
-                lengths = np.array([len(s) for s in some])
-                codes = np.zeros((len(some), width), np.uint32)
-                codes[np.arange(width)[None, :] < lengths[:, None]] = _codes("".join(some))
-                for s, ids in zip(some, self.v.best(codes, lengths), strict=True):
-                    self.memo[s] = ids.tobytes()
-        get = self.memo.__getitem__
-        out = [np.frombuffer(b"".join(map(get, s)), np.int32) for s in split]
-        for s in new:
-            if len(s) > LONG:  # a giant segment is not kept
-                del self.memo[s]
-        return out
+                p = Paths(self.v, s, [(0, 0)], len(s), len(s))
+                (start,) = p.at[len(s)]
+                return np.array(self.v.ids(p.back(start, len(s), 0)), "<i4").tobytes()
+            if len(self.memo) > _REMEMBERED:
+                self.memo.clear()
+            found = self.memo[s] = np.array(self.v.ids(self.v.merged(s)), "<i4").tobytes()
+        return found
+
+    def marked(self, text: str) -> np.ndarray:
+        """The ids of a text whose spaces are marks already."""
+        return np.frombuffer(b"".join(map(self.segment, _SEGMENT.findall(text))), "<i4")
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.marked(SPACE + text.replace(" ", SPACE)) if text else np.empty(0, "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded: the pieces' bytes without the mark put before the text."""
         return b"".join(map(self.v.spelled.__getitem__, ids.tolist()))[1:].decode()
 
+    def _edges(self, text: str, begin: int, stop: int) -> tuple[int, int] | None:
+        """The first edge from ``begin`` on and the last before ``stop``; none in a run that goes through."""
+        found = [m.start() for m in _EDGE.finditer(text, begin, stop)]
+        return (found[0], found[-1]) if found else None
+
+    def states(self, text: str, cut: int, end: int) -> list[tuple[int, int]]:
+        """All pieces that start before a cut and reach it."""
+        v = self.v
+        return [(a, b) for a in range(max(0, cut - v.longest), cut) for b in v.pieces_at(text, a, end) if b >= cut and v.apart("", text[a:b])]
+
+    def transfer(self, text: str, begin: int, stop: int) -> list[tuple[int, int]]:
+        """The finite entries (state on entering, state on leaving) of the chunk text[begin:stop]; it is the first if begin is 0, the last if stop is the end."""
+        end = len(text)
+        enter = [(0, 0)] if begin == 0 else self.states(text, begin, end)
+        leave = lambda a, b: (b == end if stop == end else b >= stop) and a < stop
+        edges = self._edges(text, begin, stop)
+        if edges is None:
+            p = Paths(self.v, text, enter, stop, end)
+            out = [((a, b), mask) for b, nodes in p.at.items() for a, mask in nodes.items() if leave(a, b)]
+        else:
+            first, last = edges
+            p = Paths(self.v, text, enter, first, first)
+            reached = 0
+            for mask in p.at.get(first, {}).values():
+                reached |= mask
+            q = Paths(self.v, text, [(last, last)], stop, end)
+            out = [((a, b), reached) for b, nodes in q.at.items() for a, _ in nodes.items() if leave(a, b) and a >= last and b > last]
+        entered = [NONE if begin == 0 else self._code(x, begin) for x in enter]
+        return [(entered[i], NONE if stop == end else self._code(x, stop)) for x, mask in out for i in range(len(enter)) if mask >> i & 1]
+
+    @staticmethod
+    def _code(piece: tuple[int, int], cut: int) -> int:
+        return (cut - piece[0]) * _WIDE + piece[1] - cut
+
+    def trace(self, text: str, begin: int, stop: int, entered: int, left: int) -> np.ndarray:
+        """The ids of the pieces that start in the chunk text[begin:stop], given its states."""
+        end = len(text)
+        before = (0, 0) if begin == 0 else (begin - entered // _WIDE, begin + entered % _WIDE)
+        if before[1] >= stop:
+            return np.empty(0, "<i4")
+        edges = self._edges(text, begin, stop)
+        first, last = edges or (stop, before[1])
+        out: list[np.ndarray] = []
+        if edges is not None:
+            if before[1] < first:
+                p = Paths(self.v, text, [before], first, first)
+                (start,) = p.at[first]
+                out.append(np.array(self.v.ids(p.back(start, first, 0)), "<i4"))
+            out.append(self.marked(text[first:last]))
+            before = (last, last)
+        p = Paths(self.v, text, [before], stop, end)
+        if stop == end:
+            (start,), to = p.at[end], end
+        else:
+            start, to = stop - left // _WIDE, stop + left % _WIDE
+        out.append(np.array(self.v.ids(p.back(start, to, 0)), "<i4"))
+        return np.concatenate(out)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The max-plus product of two matrices."""
+    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+
+
+def states_at_cuts(entries: list[list[tuple[int, int]]]) -> list[int]:
+    """The states at the cuts around and between the chunks of one document, whose matrices' finite entries these are."""
+    cuts = [sorted({a for a, _ in entries[0]})]
+    for i, m in enumerate(entries):
+        cuts.append(sorted({b for _, b in m} | ({a for a, _ in entries[i + 1]} if i + 1 < len(entries) else set())))
+    level = []
+    for m, rows, columns in zip(entries, cuts[:-1], cuts[1:], strict=True):
+        x = np.full((len(rows), len(columns)), -np.inf, np.float32)
+        for a, b in m:
+            x[rows.index(a), columns.index(b)] = 0
+        level.append(x)
+    levels = [level]
+    while len(level) > 1:
+        level = [times(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        levels.append(level)
+    at = [0, int(np.argmax(levels[-1][0][0]))]
+    for level in levels[-2::-1]:  # a cut in the middle of each pair, between those of the level above
+        finer = [at[0]]
+        for i in range(0, len(level), 2):
+            if i + 1 < len(level):
+                finer.append(int(np.argmax(level[i][finer[-1]] + level[i + 1][:, at[i // 2 + 1]])))
+            finer.append(at[i // 2 + 1])
+        at = finer
+    return [states[i] for states, i in zip(cuts, at, strict=True)]
+
 
 def load(model_file: str) -> tuple[list[tuple[str, float, int]], list[int]]:
-    """Ordinary pieces and byte pieces of a SentencePiece model file."""
+    """Ordinary pieces and byte pieces of a SentencePiece BPE model file."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    model = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
+    n = model.normalizer_spec
+    if model.trainer_spec.model_type != model.trainer_spec.BPE or not model.trainer_spec.byte_fallback:
+        raise ValueError("the model file must be a BPE model with byte pieces")
+    if n.precompiled_charsmap or not n.add_dummy_prefix or n.remove_extra_whitespaces or not n.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("the model file must normalise by the identity with a space mark in front")
     pieces, byte_ids = [], [0] * 256
     for i in range(sp.get_piece_size()):
         if sp.is_byte(i):
             byte_ids[int(sp.id_to_piece(i)[1:-1], 16)] = i
-        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+        elif model.pieces[i].type == model.pieces[i].NORMAL:
             pieces.append((sp.id_to_piece(i), sp.get_score(i), i))
+        elif not (sp.is_control(i) or sp.is_unknown(i)):
+            raise ValueError("the model file has pieces of other kinds")
+    if any(_EDGE.search(p) for p, _, _ in pieces):
+        raise ValueError("a piece goes over a space mark")
     return pieces, byte_ids
 
 
@@ -281,52 +298,112 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _groups(texts: Iterator[bytes], size: int = 1 << 19) -> Iterator[list[str]]:
-    some: list[str] = []
-    held = 0
-    for t in texts:
-        some.append(t.decode())
-        held += len(t)
-        if held >= size:
-            yield some
-            some, held = [], 0
-    if some:
-        yield some
+_KEY = "k1 long, k2 int"
+Batches = Iterator[pa.RecordBatch]
 
 
-def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """(doc_id, ids): the pieces of every whole text."""
-    return _encoded(docs.sparkSession, docs, model_file, digest=False)
+def _cut(chunk: int, longest: int) -> Callable[[Batches], Batches]:
+    """Texts to chunks, each with its neighbourhood as far as a piece can reach."""
 
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+                marked = SPACE + text.decode("utf-8", "replace").replace(" ", SPACE)
+                for number, at in enumerate(range(0, len(marked), chunk)):
+                    begin = max(0, at - longest)
+                    row = [[k1], [k2], [number], [marked[begin : at + chunk + longest]], [at - begin], [min(at + chunk, len(marked)) - begin]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["k1", "k2", "chunk", "piece", "begin", "stop"])
+
+    return run
+
+
+def _combined(key: tuple, table: pa.Table) -> pa.Table:
+    table = table.sort_by("chunk")
+    found = states_at_cuts([list(zip(a, b, strict=True)) for a, b in zip(table.column("entered").to_pylist(), table.column("leaving").to_pylist(), strict=True)])
+    n = len(table)
+    columns = [pa.array([k.as_py()] * n, t) for k, t in zip(key, (pa.int64(), pa.int32()), strict=True)]
+    return pa.table([*columns, table.column("chunk"), pa.array(found[:-1], pa.int32()), pa.array(found[1:], pa.int32())], ["k1", "k2", "chunk", "enter", "leave"])
+
+
+def giant_ids(texts: DataFrame, model: tuple, chunk: int = CHUNK) -> DataFrame:
+    """(k1, k2, ids) of every different text of (k1, k2, text); ids are packed 32-bit numbers."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    longest = max(len(p) for p, _, _ in model[0])
+    row = F.first(F.struct("piece", "begin", "stop")).alias("x")
+    # equal texts have equal chunks: one of each goes on, each to a task of its own
+    cut = texts.mapInArrow(_cut(chunk, longest), f"{_KEY}, chunk int, piece string, begin int, stop int").groupBy("k1", "k2", "chunk").agg(row)
+    chunks = keep(cut.select("k1", "k2", "chunk", "x.piece", "x.begin", "x.stop"), "giant-chunks")
+
+    def transfers(batches: Batches) -> Batches:
+        e = Encoder(Vocabulary(*shared.value))
+        for batch in batches:
+            found = [e.transfer(text.decode(), begin, stop) for text, begin, stop in zip(utf8(batch.column(3)), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            lists = [pa.array([[x[i] for x in m] for m in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["k1", "k2", "chunk", "entered", "leaving"])
 
-def round_trip(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """Encode and decode every whole text: its pieces counted and hashed, and the decoded text's hash."""
-    return _encoded(docs.sparkSession, docs, model_file, digest=True)
+    def traced(batches: Batches) -> Batches:
+        e = Encoder(Vocabulary(*shared.value))
+        for batch in batches:
+            numbers = [batch.column(i).to_pylist() for i in (4, 5, 6, 7)]
+            ids = [e.trace(text.decode(), *x).tobytes() for text, *x in zip(utf8(batch.column(3)), *numbers, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], ["k1", "k2", "chunk", "ids"])
 
+    def put_together(key: tuple, table: pa.Table) -> pa.Table:
+        ids = b"".join(x.as_py() for x in table.sort_by("chunk").column("ids"))
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), pa.array([ids], pa.binary())], ["k1", "k2", "ids"])
 
-def _encoded(spark: SparkSession, docs: DataFrame, model_file: str | None, digest: bool) -> DataFrame:
-    shared = spark.sparkContext.broadcast(load(model_file or default_model()))
+    matrices = chunks.mapInArrow(transfers, f"{_KEY}, chunk int, entered array<int>, leaving array<int>")
+    states = matrices.groupBy("k1", "k2").applyInArrow(_combined, f"{_KEY}, chunk int, enter int, leave int")
+    both = chunks.join(states, ["k1", "k2", "chunk"]).select("k1", "k2", "chunk", "piece", "begin", "stop", "enter", "leave")
+    return both.mapInArrow(traced, f"{_KEY}, chunk int, ids binary").groupBy("k1", "k2").applyInArrow(put_together, f"{_KEY}, ids binary")
+
+
+def encoded(docs: DataFrame, model_file: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_pieces, ids): the pieces of every whole text."""
+    return _encoded(docs, model_file, chunk, digest=False)
+
+
+def round_trip(docs: DataFrame, model_file: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Encode and decode every whole text: its pieces counted and hashed, and the decoded text's hash."""
+    return _encoded(docs, model_file, chunk, digest=True)
+
+
+def _encoded(docs: DataFrame, model_file: str | None, chunk: int, digest: bool) -> DataFrame:
+    model = load(model_file or default_model())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    giant = F.octet_length("text") > chunk
+
+    def told(ids: pa.Array, found: list[np.ndarray], texts: list[str] | None, e: Encoder) -> pa.RecordBatch:
+        n = pa.array([len(x) for x in found], pa.int64())
+        if not digest:
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([*found, np.empty(0, "<i4")]), pa.int32()))
+            return pa.RecordBatch.from_arrays([ids, n, lists], ["doc_id", "n_pieces", "ids"])
+        back = [e.decode(x) if len(x) else "" for x in found]
+        sha = [hashlib.sha256(t.encode()).hexdigest() for t in back]
+        columns = [ids, pa.array([len(t) for t in texts or back], pa.int64()), n, pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in found], pa.string()), pa.array(sha, pa.string())]
+        exact = pa.array([a == b for a, b in zip(texts, back, strict=True)] if texts is not None else sha, pa.bool_() if texts is not None else pa.string())
+        return pa.RecordBatch.from_arrays([*columns, exact], ["doc_id", "n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "exact"])
+
+    def whole(batches: Batches) -> Batches:
+        e = Encoder(Vocabulary(*shared.value))
+        for batch in batches:
+            texts = [t.decode("utf-8", "replace") for t in utf8(batch.column(1))]
+            yield told(batch.column(0), [e.encode(t) for t in texts], texts, e)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finished(batches: Batches) -> Batches:
         e = Encoder(Vocabulary(*shared.value))
         for batch in batches:
-            at = 0
-            for texts in _groups(utf8(batch.column(1))):
-                found = e.encode(texts)
-                ids = batch.column(0).slice(at, len(texts))
-                at += len(texts)
+            for i in range(len(batch)):
+                part = told(batch.column(0).slice(i, 1), [np.frombuffer(batch.column(2)[i].as_py(), "<i4")], None, e)
                 if digest:
-                    back = [e.decode(x) if len(x) else "" for x in found]
-                    columns = [
-                        ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([len(x) for x in found], pa.int64()),
-                        pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in found]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
-                        pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "exact"])
-                else:
-                    ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in found], pa.int64()), lists], ["doc_id", "n_pieces", "ids"])
+                    part = part.set_column(5, "exact", pa.array([part.column(4)[0].as_py() == batch.column(1)[i].as_py()], pa.bool_()))
+                yield part
 
     schema = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean" if digest else "doc_id long, n_pieces long, ids array<int>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    keyed = rows.where(giant).select("doc_id", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), "text")
+    ids = giant_ids(keyed.select("k1", "k2", "text"), model, chunk)
+    of_giants = keyed.select("doc_id", F.sha2("text", 256).alias("sha"), "k1", "k2").join(ids, ["k1", "k2"]).select("doc_id", "sha", "ids")
+    return rows.where(~giant).mapInArrow(whole, schema).union(of_giants.mapInArrow(finished, schema))

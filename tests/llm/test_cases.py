@@ -249,63 +249,115 @@ def test_warc(spark):
     assert warc.warc_round_trip(pages.limit(0)).collect() == []
 
 
-def test_pieces_against_the_plain_recursion():
-    import random
+def library():
+    import sentencepiece
 
-    model = pieces.load(pieces.default_model())
-    v = pieces.Vocabulary(*model)
-    e = pieces.Encoder(v)
-    score = {p: s for p, s, _ in model[0]}
-    by_id = {i: s for _, s, i in model[0]}
-
-    def best(t):
-        t = pieces.SPACE + t.replace(pieces.SPACE, pieces._OWN).replace(" ", pieces.SPACE)
-        b = [0.0] + [-1e300] * len(t)
-        for j in range(1, len(t) + 1):
-            for k in range(max(0, j - v.longest), j):
-                s = score.get(t[k:j], v.unknown if j - k == 1 else None)
-                if s is not None:
-                    b[j] = max(b[j], b[k] + s)
-        return b[-1]
-
-    def total(ids):
-        out, j, raw = 0.0, 0, set(model[1])
-        while j < len(ids):
-            if ids[j] in raw:
-                b = v.spelled[ids[j]][0]
-                out, j = out + v.unknown, j + (1 if b < 128 else 2 if b < 224 else 3 if b < 240 else 4)
-            else:
-                out, j = out + by_id[ids[j]], j + 1
-        return out
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
 
-    random.seed(3)
-    texts = [t for _, t in TEXTS if t] + ["".join(random.choice(a) for _ in range(n)) for a in ("thenad", "thenandéß😀\0\n ▁xyz") for n in (1, 63, 64, 65, 127, 128, 191, 192, 193, 400, 2000)]
-    for t, ids in zip(texts, e.encode(texts), strict=True):
-        assert e.decode(ids) == t
-        assert abs(total(ids.tolist()) - best(t)) < 1e-6
 
+def awkward_texts():
+    import random
+
+    random.seed(3)
+    made = ["".join(random.choice(a) for _ in range(n)) for a in ("thenad", "thenandéß😀\0\n ▁xyz", "x", " ", "0123 in the er") for n in (1, 2, 63, 64, 65, 127, 128, 191, 400, 2000)]
+    return [t for _, t in TEXTS if t] + made
+
+
+def test_pieces_have_the_ids_of_the_library():
+    e, sp = pieces.Encoder(pieces.Vocabulary(*pieces.load(pieces.default_model()))), library()
+    for t in awkward_texts():
+        ids = e.encode(t)
+        assert ids.tolist() == sp.encode(t)
+        assert e.decode(ids) == t.replace("▁", " ")
+        marked = pieces.SPACE + t.replace(" ", pieces.SPACE)
+        for chunk in (17, 50, 128):  # a chunk is at least as long as a piece
+            rows = []
+            for at in range(0, len(marked), chunk):
+                begin = max(0, at - e.v.longest)
+                rows.append((marked[begin : at + chunk + e.v.longest], at - begin, min(at + chunk, len(marked)) - begin))
+            states = pieces.states_at_cuts([e.transfer(*r) for r in rows])
+            assert [i for r, a, b in zip(rows, states, states[1:], strict=False) for i in e.trace(*r, a, b)] == sp.encode(t)
+
+
+def test_giant_documents_in_chunks(spark):
+    sp = library()
+    texts = [*TEXTS, (6, "x" * 3000), (6, "x" * 3000), *((50 + i, t) for i, t in enumerate(awkward_texts()))]
+    docs = documents(spark, texts)
+    for chunk in (64, 1000):
+        got = Counter((r["doc_id"], tuple(r["ids"])) for r in pieces.encoded(docs, chunk=chunk).collect())
+        assert got == Counter((i, tuple(sp.encode(t or ""))) for i, t in texts)
+    told = pieces.round_trip(docs, chunk=64).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["exact"]) for r in told) == Counter((i, len(t or ""), "▁" not in (t or "")) for i, t in texts)
+
+
+def test_every_document_has_the_ids_of_the_library(spark):
+    sp, docs = library(), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    assert {r["doc_id"]: r["ids"] for r in pieces.encoded(docs).collect()} == {r["doc_id"]: sp.encode(r["text"] or "") for r in rows}
+
+
+def test_toxicity_against_brute_force(spark):
+    """Every step again with plain loops: terms, document frequencies, lift, all cosines, votes, curve, evidence."""
+    import random
+    import zlib
 
-def test_nearest_examples_are_exact():
     import numpy as np
 
-    rng = np.random.default_rng(5)
-    vectors = []
-    for _ in range(700):
-        ids = np.sort(rng.choice(60, rng.integers(1, 6), replace=False))
-        w = rng.random(len(ids)) + 0.1
-        vectors.append((ids, w / np.linalg.norm(w)))
-    index = toxicity.Index(vectors, rng.integers(0, 2, 700).astype(float), 60)
-    dense = np.zeros((700, 60))
-    for at, i in enumerate(index.order):
-        dense[at, vectors[i][0]] = vectors[i][1]
-    for i in range(0, 700, 50):
-        ids, w = vectors[i]
-        q = np.zeros(60)
-        q[ids] = w
-        cosine = dense @ q
-        order = [j for j in np.lexsort((np.arange(700), -np.round(cosine, 12))) if cosine[j] > 0][: toxicity.K]
-        place, found = index.nearest(ids, w)
-        assert place.tolist() == order and np.allclose(found, cosine[order])
+    random.seed(8)
+    common, rare = [f"c{chr(97 + i)}" for i in range(20)], [f"r{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    texts, marks = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = random.choices(common, k=random.randrange(60)) + random.choices(rare, k=8) + (random.choices(["idiot", "scum", "trash"], k=2) if toxic and i % 12 else [])
+        random.shuffle(words)
+        texts.append((i, " ".join(words)))
+        if i % 3:
+            marks.append((i, None, int(toxic)))
+    texts += [(500 + i, t) for i, (_, t) in enumerate(TEXTS)] + [(700, texts[1][1]), (701, "Idiot!"), (702, "zzzz")]
+    marks += [(700, None, 0)]
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(documents(spark, texts), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+
+    terms = {i: Counter(w.lower() for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", t or "")) for i, t in texts}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in texts}
+    examples = [(i, y) for i, _, y in marks if not held[i]]
+    df = Counter(t for c in terms.values() for t in c)
+    by_text = dict(texts)
+
+    def alike(i):
+        w = (by_text[i] or "").encode().lower()
+        s = toxicity.shingle_set(w, toxicity.WordHashes())
+        return int(s[0]) if len(s) else 0
+
+    once = {(alike(i), y): (i, y) for i, y in sorted(examples)}.values()
+    seen = (Counter(), Counter())
+    for i, y in once:
+        seen[y].update(terms[i].keys())
+    share = sum(y for _, y in once) / len(once)
+    vocabulary = {t for i, _ in examples for t in terms[i]}
+    weight = {t: (np.log((1 + len(texts)) / (1 + df[t])) + 1) * ((seen[1][t] + toxicity.PRIOR) / ((seen[0][t] + seen[1][t]) * share + toxicity.PRIOR)) ** 2 for t in vocabulary}
+
+    def vector(i):
+        v = {t: (1 + np.log(n)) * weight[t] for t, n in terms[i].items() if t in vocabulary}
+        length = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / length for t, x in v.items()}, length
+
+    vectors = {i: vector(i) for i in terms}
+
+    def features(i, without=None):
+        v, length = vectors[i]
+        found = [(sum(x * vectors[j][0].get(t, 0) for t, x in v.items()), j, y) for j, y in examples if j != without]
+        best = sorted((f for f in found if f[0] > 0), reverse=True)[: toxicity.K]
+        return best, [sum(c * y for c, _, y in best) / sum(c for c, _, _ in best), best[0][0], np.log1p(length)] if best else None
+
+    left = [(features(i, i)[1], y) for i, y in examples]
+    b = toxicity.curve(np.array([x for x, _ in left if x]), np.array([y for x, y in left if x], float))
+    for i, _ in texts:
+        best, x = features(i)
+        want = sum(y for _, y in examples) / len(examples) if x is None else 1 / (1 + np.exp(-(b[0] + np.dot(b[1:], x))))
+        assert abs(got[i]["score"] - want) < 2e-3, i
+        assert got[i]["held_out"] == held[i] and got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], [c for c, _, _ in best[: toxicity.EVIDENCE]], atol=1e-5)
+        assert all(dict(examples)[e["doc_id"]] == e["label"] for e in got[i]["evidence"])
 
 
 def test_near_duplicates_against_all_pairs(spark):
