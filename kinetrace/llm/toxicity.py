@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ FIRST = 4
 #: Bounds and cosines are single-precision sums; blocks this close to the K-th best are opened.
 SLACK = 1e-5
 #: Most labelled documents in the index.
-MOST_EXAMPLES = 10_000
+MOST_EXAMPLES = 5_000
 #: Examples that are added to both sides of a term's lift.
 PRIOR = 5.0
 THRESHOLD = 0.7
@@ -111,8 +112,8 @@ class Index:
         dense[place[often] // BLOCK, frequent[terms[often]], place[often] % BLOCK] = value[often]
         terms, value, place = terms[~often], value[~often], place[~often]
         by_term = np.lexsort((place, terms))
-        entry = np.searchsorted(terms[by_term], np.arange(len(vocabulary) + 1))
-        return cls((vocabulary, weight, y[order], ids[order], entry, place[by_term].astype(np.int32), value[by_term].astype(np.float32), frequent, dense, dense.max(axis=2).T.copy())), order
+        entry = np.searchsorted(terms[by_term], np.arange(len(vocabulary) + 1)).astype(np.int32)
+        return cls((vocabulary, weight.astype(np.float32), y[order], ids[order], entry, place[by_term].astype(np.int32), value[by_term].astype(np.float32), frequent, dense, dense.max(axis=2).T.copy())), order
 
     @staticmethod
     def unit(terms: np.ndarray, times: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -132,7 +133,7 @@ class Index:
         """Places and cosines of the k nearest examples that share a term, best first; ``without`` is left out."""
         often = self.frequent[terms] >= 0
         rare, common = terms[~often], self.frequent[terms[often]]
-        begin, size = self.entry[rare], self.entry[rare + 1] - self.entry[rare]
+        begin, size = self.entry[rare].astype(np.int64), (self.entry[rare + 1] - self.entry[rare]).astype(np.int64)
         at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
         known = np.bincount(self.place[at], np.repeat(w[~often], size) * self.value[at], self.blocks * BLOCK).astype(float).reshape(self.blocks, BLOCK)
         if without >= 0:
@@ -186,7 +187,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, known = Terms(), shared.value
-        total = np.zeros(len(known) + 1, np.int64)
+        total = np.zeros(len(known) + 1, np.int32)
         for batch in batches:
             for text in utf8(batch.column(0)):
                 h, _ = memo.of(text)
@@ -198,7 +199,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in slices], pa.int32()), pa.array([x.tobytes() for _, x in slices], pa.binary())], ["slice", "counts"])
 
     def added(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
+        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in table.column("counts"))
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
 
     schema = "slice int, counts binary"
@@ -206,6 +207,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
     total = np.zeros(len(vocabulary) + 1, np.int64)
     for r in rows:
         total[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["counts"], np.int64)
+    shared.destroy()
     return total[:-1], int(total[-1])
 
 
@@ -225,8 +227,8 @@ def examples_of(sample: DataFrame) -> list[tuple]:
     return sorted((r["doc_id"], r["y"], r["h"], r["alike"], np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["times"], "<i4")) for r in rows) if rows else []
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[tuple | None, np.ndarray | None, float]:
-    """The index's state and the curve (None without labels of both kinds), and the share of toxic examples."""
+def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[Broadcast | None, np.ndarray | None, float]:
+    """The index's state, sent out, and the curve (None without labels of both kinds), and the share of toxic examples."""
     sample = keep(labelled(docs, labels, "toxic", MODULUS, FOLD, most), "examples")
     examples = examples_of(sample)
     y = np.array([e[1] for e in examples], float)
@@ -262,16 +264,15 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tup
     if not rows:
         return None, None, share
     x = np.array(rows)
-    return index.state, curve(x[:, :3], x[:, 3]), share
+    return shared, curve(x[:, :3], x[:, 3]), share
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every document; evidence: id, label and cosine of the nearest examples."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, most))
+    shared, b, share = fitted(docs, labels, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, b, share = shared.value
-        index, memo = Index(state) if state else None, Terms()
+        index, memo = Index(shared.value[0]) if shared else None, Terms()
         named = pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())])
         for batch in batches:
             scores, evidence = [], []
