@@ -3,16 +3,21 @@
 Each document gets a few counts. Counts become integer ratios; per language and
 source a histogram sketch of each ratio is kept (a count per bin: bins of width one
 below 1000, of three significant digits above), so partial sketches merge by adding
-counts and any order of merging gives the same sketch. The quartiles of a sketch
-give Tukey fences, and the fences are joined back to filter the documents.
+counts and any order of merging gives the same sketch.
+
+An upper fence is a quantile of the group's sketch, the share of documents that is
+taken as normal (``RATIOS``), or the Tukey fence of its quartiles if that is further
+out; word lengths have a lower Tukey fence as well. No fence is a fixed value. A group
+of fewer than ``LEAST`` documents uses the sketch of its language, merged from its
+groups, and a small language that of the corpus. Fences are joined back to filter.
 
 Everything is a built-in expression; the text is read once, and the counts are kept
 in the shared folder between the sketch and the filter.
 
 Defined cases: a null or empty text has no words, so the base rules reject it. A null
 language or source is a group of its own. Repeated rows count once each. An empty
-table gives an empty result. Extra columns are ignored. A group of one document has
-fences around its own values, so it keeps the document.
+table gives an empty result. Extra columns are ignored. A document at a fence stays,
+so a corpus of one document keeps it if it passes the base rules.
 """
 
 from __future__ import annotations
@@ -23,16 +28,18 @@ from pyspark.sql import functions as F
 from kinetrace.llm.words import SPACE, words
 from kinetrace.storage import keep
 
-#: ratio -> (SQL of the integer ratio, least distance of a fence from its quartile, has a lower fence)
+#: ratio -> (SQL of the integer ratio, thousandths of a group that are normal, has a lower fence)
 #: (four lines more than there are: a short text with one line twice is no junk)
 RATIOS: dict[str, tuple[str, int, bool]] = {
-    "word_length": ("100 * word_chars div n_words", 300, True),
-    "symbols": ("1000 * n_symbols div word_chars", 100, False),
-    "dup_lines": ("1000 * n_dup_lines div (n_lines + 4)", 300, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 300, False),
+    "word_length": ("100 * word_chars div n_words", 900, True),
+    "symbols": ("1000 * n_symbols div word_chars", 900, False),
+    "dup_lines": ("1000 * n_dup_lines div (n_lines + 4)", 980, False),
+    "repeats": ("1000 * n_repeat_words div n_words", 980, False),
 }
-#: A fence is this many interquartile ranges away from its quartile.
+#: A Tukey fence is this many interquartile ranges away from its quartile.
 FENCE = 3
+#: Documents that a group needs for thresholds of its own.
+LEAST = 100
 MIN_WORDS = 50
 
 
@@ -91,23 +98,33 @@ def sketches(counts: DataFrame) -> DataFrame:
     return good.select("lang", "source", F.inline(each)).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """Lower and upper fence of every ratio, one row per language and source."""
-    quartiles = sketch.sparkSession.sql("""
-        SELECT lang, source, ratio,
-               min(CASE WHEN 4 * upto >= total THEN bin END) AS q1,
-               min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS q3
-        FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bin) AS upto,
-                     sum(n) OVER (PARTITION BY lang, source, ratio) AS total
-              FROM {sketch})
-        GROUP BY lang, source, ratio""", sketch=sketch)
-    columns = []
-    for name, (_, margin, lower) in RATIOS.items():
-        reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), F.lit(margin))
-        columns.append(F.max(F.when(F.col("ratio") == name, F.col("q3") + reach)).alias(f"max_{name}"))
-        if lower:
-            columns.append(F.max(F.when(F.col("ratio") == name, F.col("q1") - reach)).alias(f"min_{name}"))
-    return quartiles.groupBy("lang", "source").agg(*columns)
+def fence_names() -> list[str]:
+    return [f"max_{name}" for name in RATIOS] + [f"min_{name}" for name, x in RATIOS.items() if x[2]]
+
+
+def fences_sql(sketch: str) -> str:
+    """SQL (for Spark and DuckDB) for one row of fences per language and source, out of a table of sketches."""
+    normal = " ".join(f"WHEN '{name}' THEN {level}" for name, (_, level, _) in RATIOS.items())
+    upper = [f"max(CASE WHEN ratio = '{name}' THEN greatest(q, q3 + {FENCE} * (q3 - q1)) END) AS max_{name}" for name in RATIOS]
+    lower = [f"max(CASE WHEN ratio = '{name}' THEN q1 - {FENCE} * (q3 - q1) END) AS min_{name}" for name, x in RATIOS.items() if x[2]]
+    own = ", ".join(f"CASE WHEN g.total >= {LEAST} THEN g.{x} WHEN l.total >= {LEAST} THEN l.{x} ELSE c.{x} END AS {x}" for x in ("q1", "q3", "q"))
+    return f"""
+WITH merged AS (
+  SELECT 0 AS level, lang, source, ratio, bin, n FROM {sketch}
+  UNION ALL SELECT 1 AS level, lang, NULL AS source, ratio, bin, sum(n) AS n FROM {sketch} GROUP BY lang, ratio, bin
+  UNION ALL SELECT 2 AS level, NULL AS lang, NULL AS source, ratio, bin, sum(n) AS n FROM {sketch} GROUP BY ratio, bin),
+levels AS (
+  SELECT level, lang, source, ratio, max(total) AS total, CAST(min(CASE WHEN 4 * upto >= total THEN bin END) AS BIGINT) AS q1,
+         CAST(min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS BIGINT) AS q3,
+         CAST(min(CASE WHEN 1000 * upto >= (CASE ratio {normal} END) * total THEN bin END) AS BIGINT) AS q
+  FROM (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bin) AS upto,
+               sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM merged) t
+  GROUP BY level, lang, source, ratio)
+SELECT lang, source, {", ".join(upper + lower)}
+FROM (SELECT g.lang, g.source, g.ratio, {own} FROM levels g
+      JOIN levels l ON l.level = 1 AND l.ratio = g.ratio AND l.lang IS NOT DISTINCT FROM g.lang
+      JOIN levels c ON c.level = 2 AND c.ratio = g.ratio WHERE g.level = 0) t
+GROUP BY lang, source"""
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -117,7 +134,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     measured size whether that table is broadcast.
     """
     counts = keep(document_counts(docs), "quality-counts")
-    limits = fences(sketches(counts))
+    limits = docs.sparkSession.sql(fences_sql("{sketch}"), sketch=keep(sketches(counts), "quality-sketches"))
     verdict = F.lit(True)
     for name, (sql, _, lower) in RATIOS.items():
         # a document that failed the base rules may have no words to divide by
@@ -144,11 +161,7 @@ def oracle_sql() -> str:
         return f"CASE WHEN {value} < 1000 THEN {value} ELSE {value} - {value} % CAST(pow(10, length(CAST({value} AS VARCHAR)) - 3) AS BIGINT) END"
 
     bins = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{name}' AS ratio, {bin_of(f'({ratio(sql)})')} AS bin FROM good" for name, (sql, _, _) in RATIOS.items())
-    limit = ", ".join(
-        [f"max(CASE WHEN ratio = '{name}' THEN q3 + greatest({FENCE} * (q3 - q1), {margin}) END) AS max_{name}" for name, (_, margin, _) in RATIOS.items()]
-        + [f"max(CASE WHEN ratio = '{name}' THEN q1 - greatest({FENCE} * (q3 - q1), {margin}) END) AS min_{name}" for name, (_, margin, low) in RATIOS.items() if low]
-    )
-    names = [f"max_{name}" for name in RATIOS] + [f"min_{name}" for name, x in RATIOS.items() if x[2]]
+    names = fence_names()
     guard = {name: f"({bin_of(f'({ratio(sql)})')})" for name, (sql, _, _) in RATIOS.items()}
     verdict = " AND ".join([f"{guard[name]} <= max_{name}" for name in RATIOS] + [f"{guard[name]} >= min_{name}" for name, x in RATIOS.items() if x[2]])
     return rf"""
@@ -172,12 +185,7 @@ counts AS (
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 good AS (SELECT * FROM judged WHERE NOT base_failed),
 sketch AS (SELECT lang, source, ratio, bin, count(*) AS n FROM ({bins}) GROUP BY ALL),
-quart AS (
-  SELECT lang, source, ratio, CAST(min(CASE WHEN 4 * upto >= total THEN bin END) AS BIGINT) AS q1,
-         CAST(min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS BIGINT) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bin) AS upto,
-               sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM sketch) GROUP BY ALL),
-fence AS (SELECT lang, source, {limit} FROM quart GROUP BY ALL)
+fence AS ({fences_sql("sketch")})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        CASE WHEN base_failed THEN false ELSE coalesce({verdict}, false) END AS kept, {", ".join(names)}
 FROM judged j LEFT JOIN fence f ON j.lang IS NOT DISTINCT FROM f.lang AND j.source IS NOT DISTINCT FROM f.source"""

@@ -201,6 +201,17 @@ def test_license_windows_equal_brute_force(spark):
     assert got[1]["license"] == "MIT" and got[2]["license"] == "ISC" and got[3]["license"] == "Proprietary"
 
 
+def test_thresholds_follow_the_source(spark):
+    """A share of symbols that is normal in one source is out of the way in another; a small source takes its language's fences."""
+    prose = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, prose + " |" * (6 + i % 3), "en", "tables") for i in range(150)] + [(1000 + i, prose, "en", "prose") for i in range(850)]
+    rows += [(5000, prose + " |" * 6, "en", "prose"), (5001, prose + " |" * 6, "en", "small"), (5002, prose + " |" * 200, "en", "tables"), (5003, prose, "en", "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert got[0]["kept"] and not got[5000]["kept"] and not got[5002]["kept"] and got[5003]["kept"]
+    assert got[0]["max_symbols"] > got[1000]["max_symbols"] and got[5001]["max_symbols"] != got[5000]["max_symbols"]
+
+
 def brute_repeats(texts):
     n = suffix_dedup.LENGTH
     data = [(t or "").encode() for _, t in texts]
