@@ -197,8 +197,8 @@ def _possible(open_: DataFrame, docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without those that a near-duplicate of a smaller id stands for."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").cast("long") == F.col("g.doc_id"), "left_anti")
 
 
 def oracle_sql() -> str:

@@ -167,7 +167,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         r"slice(regexp_extract_all(_row.text, '[^\\x20\\x09-\\x0D]+', 0), CAST(first + 1 AS INT), CAST(last - first AS INT))), ' ')) "
         "ELSE array() END"
     )
-    copies = mixed.select("_row", F.explode(F.concat(F.array_repeat(F.col("_row.text"), F.col("passes").cast("int")), part)).alias("_text"))
+    # a document without words adds nothing: it is there once, if at all
+    copies_of = F.when(F.col("size") > 0, F.col("passes")).otherwise(F.least("passes", F.lit(1)))
+    copies = mixed.select("_row", F.explode(F.concat(F.array_repeat(F.col("_row.text"), copies_of.cast("int")), part)).alias("_text"))
     out = []
     for c in columns:
         col = F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col("_row")[c]
