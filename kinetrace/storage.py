@@ -2,8 +2,8 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, the folder that
 the driver and every executor can reach; an executor that is lost takes nothing
-with it. The setting is read from the session and only set here when it is unset
-(tests, a laptop).
+with it. The setting is read from the session and only set here when it is unset and
+the master is local (tests, a laptop); a cluster without it is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='kinetrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
