@@ -9,23 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Ranges of time that samples and events are dealt into.
+_RANGES = 4096
+
+
 def nearest_bins(events: DataFrame, axis: DataFrame, least: float = 800.0) -> DataFrame:
     """(event_id, t_ds): for events that are a number above ``least``, the bin whose sample is nearest, the first on ties.
 
-    Events and samples are merged in one order of time and each event looks both ways,
-    so no event meets all samples.
+    Time is cut into equal ranges. Samples are ordered within their range, and the ranges'
+    ends follow from one bounded table, so every gap between neighbouring samples is known
+    without ordering all; it is dealt to the ranges that it touches, where events meet it.
+    Work is in proportion to samples and events, in tasks by range.
     """
-    e = events.where(~F.isnan("at") & (F.col("at") > least)).select(F.col("at").alias("x"), "event_id", F.lit(None).cast("long").alias("t_ds"), F.lit(1).alias("kind"))
-    a = axis.select(F.col("sample").cast("double").alias("x"), F.lit(None).cast("long").alias("event_id"), F.col("t_ds").cast("long").alias("t_ds"), F.lit(0).alias("kind"))
-    # a time axis is one per recording; larger sets of recordings add theirs as the partition
-    order = Window.partitionBy(F.lit(0)).orderBy("x", "kind", "event_id")
-    own = F.when(F.col("kind") == 0, F.struct("x", "t_ds"))
-    both = e.unionByName(a).select(
-        "x", "event_id", "kind",
-        F.last(own, True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("lo"), F.first(own, True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("hi"),
-    )
-    near = F.when(F.col("hi").isNull() | (F.col("x") - F.col("lo.x") <= F.col("hi.x") - F.col("x")), F.col("lo.t_ds")).otherwise(F.col("hi.t_ds"))
-    return both.where("kind = 1").select("event_id", near.alias("t_ds"))
+    e = events.where(~F.isnan("at") & (F.col("at") > least)).select("event_id", F.col("at").alias("x"))
+    samples = axis.groupBy(F.col("sample").cast("double").alias("x")).agg(F.min(F.col("t_ds").cast("long")).alias("first"), F.max(F.col("t_ds").cast("long")).alias("last"))
+    low, high = samples.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        return e.select("event_id", F.lit(None).cast("long").alias("t_ds"))
+    step = (high - low) / _RANGES or 1.0
+    at = lambda x: F.greatest(F.lit(0), F.least(F.lit(_RANGES - 1), F.floor((x - low) / step))).cast("int")
+    dealt = samples.withColumn("range", at(F.col("x")))
+    heads = dealt.groupBy("range").agg(F.min(F.struct("x", "first")).alias("head"))  # a row for each range
+    behind = heads.select("range", F.lead("head").over(Window.orderBy("range")).alias("behind"))
+    inner = dealt.withColumn("next", F.lead(F.struct("x", "first")).over(Window.partitionBy("range").orderBy("x")))
+    known = inner.join(behind, "range").select("x", "last", F.coalesce("next", "behind").alias("hi"))
+    gaps = known.select(F.struct("x", "last").alias("lo"), "hi").union(samples.where(F.col("x") == low).select(F.lit(None).cast("struct<x: double, last: bigint>"), F.struct("x", "first")))
+    ends = F.coalesce(at(F.col("lo.x")), F.lit(0)), F.coalesce(at(F.col("hi.x")), F.lit(_RANGES - 1))
+    touched = gaps.select("lo", "hi", F.explode(F.sequence(*ends)).alias("range"))
+    inside = (F.col("lo").isNull() | (F.col("x") >= F.col("lo.x"))) & (F.col("hi").isNull() | (F.col("x") < F.col("hi.x")))
+    near = F.when(F.col("hi").isNull() | (F.col("x") - F.col("lo.x") <= F.col("hi.x") - F.col("x")), F.col("lo.last")).otherwise(F.col("hi.first"))
+    return e.withColumn("range", at(F.col("x"))).join(touched, "range").where(inside).select("event_id", near.alias("t_ds"))
 
 
 def around_events(factor: DataFrame, bins: DataFrame, before: int, after: int, by: tuple[str, ...] = (), events: tuple[str, ...] = ()) -> DataFrame:
@@ -310,6 +323,22 @@ def registered(images: DataFrame, template: np.ndarray, motion: str = "affine",
     return images.select("image_id", "height", "width", "data").mapInPandas(run, "image_id long, warp array<double>")
 
 
+def registered_to_previous(images: DataFrame, motion: str = "affine", blur: int = 5) -> DataFrame:
+    """(session, image_id, warp): every image of a session against the one before, in parallel; the first has the identity."""
+    order = Window.partitionBy("session").orderBy("image_id")
+    pairs = images.select("session", "image_id", "height", "width", "data", F.lag("data").over(order).alias("before"))
+
+    def run(parts):
+        for p in parts:
+            warps = []
+            for h, w, d, before in zip(p["height"], p["width"], p["data"], p["before"], strict=True):
+                first = np.eye(3)[: 3 if motion == "homography" else 2]
+                warps.append((first if before is None else safe_registration(np.reshape(before, (h, w)).astype(float), np.reshape(d, (h, w)).astype(float), motion, blur)).ravel().tolist())
+            yield pd.DataFrame({"session": p["session"], "image_id": p["image_id"], "warp": warps})
+
+    return pairs.mapInPandas(run, "session string, image_id long, warp array<double>")
+
+
 def chained(warps: DataFrame) -> DataFrame:
     """(image_id, warp): warps to the previous image made into warps to the first, an ordered product over a session's images."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,13 +148,25 @@ def cleaned(tracks: DataFrame, points: DataFrame, outliers: DataFrame) -> DataFr
 
 
 def relaxed(steps: DataFrame, value: str, rate: float, group: list[str], order: str) -> DataFrame:
-    """Leaky integration p_t = (1 - rate) (p_{t-1} + s_t): one array per series, folded in the JVM."""
-    packed = steps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_s"))
-    folded = packed.withColumn(
-        "_p",
-        F.aggregate("_s", F.array().cast("array<double>"), lambda acc, s: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + s[value]) * (1 - rate)))),
-    )
-    return folded.select(*group, F.posexplode("_p").alias("_i", "p"), "_s").select(*group, F.col("_s")[F.col("_i")][order].alias(order), "p")
+    """Leaky integration p_t = (1 - rate) (p_{t-1} + s_t), by segments of a series.
+
+    With a = 1 - rate, a segment by itself is a scaled running sum (its length keeps the
+    scale under a million), and what the segments before it add fades by a to the power of
+    its length: four of them reach below double precision. Linear in the series.
+    """
+    a = 1 - rate
+    if not 0 < a < 1:
+        raise ValueError("the rate must be between 0 and 1")
+    length = max(2, int(-6 * math.log(10) / math.log(a)))
+    by = [*group, "_g"]
+    placed = steps.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1)
+    placed = placed.select(*group, order, F.col(value).alias("_s"), F.floor(F.col("_i") / length).alias("_g"), (F.col("_i") % length).cast("double").alias("_j"))
+    fade = F.pow(F.lit(a), F.col("_j") + 1)
+    own = placed.withColumn("_own", fade * F.sum(F.col("_s") / F.pow(F.lit(a), F.col("_j"))).over(Window.partitionBy(*by).orderBy("_j")))
+    ends = own.groupBy(*by).agg(F.max_by("_own", "_j").alias("_end"))
+    before = Window.partitionBy(*group).orderBy("_g")
+    carried = sum((F.coalesce(F.lag("_end", k).over(before), F.lit(0.0)) * a ** ((k - 1) * length) for k in range(2, 5)), F.coalesce(F.lag("_end").over(before), F.lit(0.0)))
+    return own.join(ends.select(*by, carried.alias("_carried")), by).select(*group, order, (F.col("_own") + fade * F.col("_carried")).alias("p"))
 
 
 def frame_rate(videos: DataFrame, clamp: float | None = None) -> DataFrame:

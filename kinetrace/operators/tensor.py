@@ -111,12 +111,34 @@ def correlations(factor: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def explained_variance(vectors: DataFrame, column: str, width: int) -> np.ndarray:
     """Shares of variance of the principal components of array rows: sums of products on the executors, eigenvalues here."""
-    x = F.col(column)
-    cells = vectors.select(F.posexplode(x).alias("i", "a"), x.alias("x")).select("i", F.posexplode("x").alias("j", "b"), "a").where("i <= j")
-    sums = cells.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c")).collect()  # width squared rows
-    c = np.zeros((width, width))
-    for r in sums:
-        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["c"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # around the first row, so that large means do no harm; count, sums and sums of products of one task
+        origin, n, sums, products = None, 0, np.zeros(width), np.zeros((width, width))
+        for p in parts:
+            if len(p):
+                x = np.stack(p[column].to_numpy()).astype(float)
+                origin = x[0].copy() if origin is None else origin
+                x -= origin
+                n, sums, products = n + len(x), sums + x.sum(axis=0), products + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": [n], "mean": [(origin + sums / n).tolist()], "scatter": [(products - np.outer(sums, sums) / n).ravel().tolist()]})
+
+    def added(p: pd.DataFrame) -> pd.DataFrame:
+        n, mean, scatter = 0, np.zeros(width), np.zeros(width * width)
+        for k, m, part in zip(p["n"], p["mean"], p["scatter"], strict=True):
+            d = m - mean
+            scatter += part + np.outer(d, d).ravel() * (n * k / (n + k))
+            mean += d * k / (n + k)
+            n += k
+        return pd.DataFrame({"n": [n], "mean": [mean.tolist()], "scatter": [scatter.tolist()]})
+
+    schema = "n long, mean array<double>, scatter array<double>"
+    partial = vectors.select(column).where(F.col(column).isNotNull()).mapInPandas(run, schema)
+    sums = partial.groupBy(F.spark_partition_id() % 64).applyInPandas(added, schema)
+    total = added(sums.toPandas()).iloc[0]  # 64 rows of a fixed size
+    c = np.reshape(total["scatter"], (width, width)) / max(total["n"] - 1, 1)
+    c = scatter / max(n - 1, 1)
     w = np.linalg.eigvalsh(c)[::-1]
     return w / w.sum()
 
@@ -159,6 +181,7 @@ class CP:
                     yield pd.DataFrame({"idx": np.array(list(sums), "int64"), "v": [x.tolist() for x in sums.values()]})
 
                 rows = cells.mapInPandas(partial, "idx long, v array<double>").groupBy("idx").agg(*[F.sum(F.col("v")[r]).alias(f"v{r}") for r in range(rank)]).collect()
+                shared.destroy()
                 m = np.zeros_like(self.factors[d])
                 for r in rows:  # a row for each index of the mode
                     m[r["idx"]] = r[1:]

@@ -237,9 +237,11 @@ def cleaned_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.cleaned(t, p, points.dilated(points.too_far(t, p, THRESHOLD), 3, 5, tables.N_FRAMES)), "x", "y", digits=2)
 
 
-@query("SELECT a.video_id, a.point_id, a.frame_idx, round(sum(b.x * 0.95 ** (a.frame_idx - b.frame_idx + 1)), 3) + 0.0 AS p FROM tracks a JOIN tracks b ON a.video_id = b.video_id AND a.point_id = b.point_id AND b.frame_idx <= a.frame_idx GROUP BY ALL")
+@query("SELECT a.video_id, a.point_id, a.frame_idx, round(sum(b.x * 0.95 ** (a.frame_idx - b.frame_idx + 1)) + 1e-7, 3) + 0.0 AS p FROM tracks a JOIN tracks b ON a.video_id = b.video_id AND a.point_id = b.point_id AND b.frame_idx <= a.frame_idx GROUP BY ALL")
 def relaxed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(points.relaxed(_tracks(spark, sf_dir), "x", 0.05, ["video_id", "point_id"], "frame_idx"), "p", digits=3)
+    """Leaky sums; a little is added before rounding, so that exact halves go the same way on both sides."""
+    p = points.relaxed(_tracks(spark, sf_dir), "x", 0.05, ["video_id", "point_id"], "frame_idx")
+    return rounded(p.withColumn("p", F.col("p") + 1e-7), "p", digits=3)
 
 
 # ---- spectral -------------------------------------------------------------
@@ -707,8 +709,8 @@ def transformed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chained_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warps to the first picture from warps to the one before."""
-    images, first = _shots(spark)
-    return align.chained(align.registered(images, first, "euclidean").withColumn("session", F.lit("s")))
+    images, _ = _shots(spark)
+    return align.chained(align.registered_to_previous(images.withColumn("session", F.lit("s")), "euclidean"))
 
 
 @query()

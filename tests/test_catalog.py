@@ -74,6 +74,50 @@ def test_registration_finds_the_shift(spark):
         assert abs(r["warp"][5] + 0.4 * r["image_id"]) < 0.2
 
 
+def test_chained_warps_equal_direct_ones(spark):
+    direct = {r["image_id"]: r["warp"] for r in catalog.registered_images(spark, SF).collect()}
+    rows = catalog.chained_registration(spark, SF).collect()
+    assert len(rows) == len(direct) == 4
+    for r in rows:
+        assert abs(r["warp"][2] - 0.7 * r["image_id"]) < 0.2 and abs(r["warp"][5] + 0.4 * r["image_id"]) < 0.2
+        assert abs(r["warp"][2] - direct[r["image_id"]][2]) < 0.2 and abs(r["warp"][5] - direct[r["image_id"]][5]) < 0.2
+
+
+def test_relaxed_over_many_segments(spark):
+    from kinetrace.operators import points
+
+    rows = [("a", i, float((i * 7919) % 13 - 6)) for i in range(3000)] + [("b", 0, 2.0)]
+    for rate in (0.05, 0.3, 0.9, 0.9999):
+        got = {(r["k"], r["i"]): r["p"] for r in points.relaxed(spark.createDataFrame(rows, "k string, i long, v double"), "v", rate, ["k"], "i").collect()}
+        p = 0.0
+        for k, i, v in rows:
+            p = (1 - rate) * ((0.0 if i == 0 else p) + v)
+            assert abs(got[k, i] - p) < 1e-9
+
+
+def test_nearest_bins_on_an_irregular_axis(spark):
+    import random
+
+    from kinetrace.operators import align
+
+    random.seed(3)
+    samples = sorted({round(random.expovariate(1 / 50) ** 2, 2) for _ in range(300)})
+    axis = spark.createDataFrame([(float(x), i) for i, x in enumerate(samples)], "sample double, t_ds long")
+    at = [(i, random.choice([random.uniform(-50, samples[-1] + 500), random.choice(samples), samples[3] / 2 + samples[4] / 2])) for i in range(1500)] + [(9999, float("nan")), (9998, None)]
+    got = {r["event_id"]: r["t_ds"] for r in align.nearest_bins(spark.createDataFrame(at, "event_id long, at double"), axis, least=-10).collect()}
+    want = {i: min(range(len(samples)), key=lambda k: (abs(samples[k] - x), k)) for i, x in at if x is not None and x > -10}
+    assert got == want
+
+
+def test_principal_components(spark, con):
+    import numpy as np
+
+    x = np.stack([r[0] for r in con.sql("SELECT embedding FROM embeddings").fetchall()]).astype(float)
+    w = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    got = catalog.principal_components(spark, SF).toPandas()
+    assert np.allclose(np.sort(got.iloc[:, -1])[::-1], np.round(w / w.sum(), 4)[: len(got)], atol=1e-4)
+
+
 def test_taps():
     import numpy as np
 
