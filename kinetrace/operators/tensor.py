@@ -138,7 +138,6 @@ def explained_variance(vectors: DataFrame, column: str, width: int) -> np.ndarra
     sums = partial.groupBy(F.spark_partition_id() % 64).applyInPandas(added, schema)
     total = added(sums.toPandas()).iloc[0]  # 64 rows of a fixed size
     c = np.reshape(total["scatter"], (width, width)) / max(total["n"] - 1, 1)
-    c = scatter / max(n - 1, 1)
     w = np.linalg.eigvalsh(c)[::-1]
     return w / w.sum()
 
