@@ -85,7 +85,8 @@ class Index:
     def __init__(self, state: tuple) -> None:
         self.state = state
         self.vocabulary, self.weight, self.y, self.ids, self.entry, self.place, self.value, self.frequent, self.dense, self.top = state
-        self.blocks = len(self.dense)
+        self.blocks = self.dense.shape[1]
+        self.lists = self.dense.reshape(-1, BLOCK)
 
     @classmethod
     def built(cls, vocabulary: np.ndarray, weight: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray) -> tuple[Index, np.ndarray]:
@@ -108,12 +109,12 @@ class Index:
         place = np.repeat(np.arange(len(order)), size[order])
         blocks = -(-len(order) // BLOCK)
         often = frequent[terms] >= 0
-        dense = np.zeros((blocks, len(common), BLOCK), np.float32)
-        dense[place[often] // BLOCK, frequent[terms[often]], place[often] % BLOCK] = value[often]
+        dense = np.zeros((len(common), blocks, BLOCK), np.float32)
+        dense[frequent[terms[often]], place[often] // BLOCK, place[often] % BLOCK] = value[often]
         terms, value, place = terms[~often], value[~often], place[~often]
         by_term = np.lexsort((place, terms))
         entry = np.searchsorted(terms[by_term], np.arange(len(vocabulary) + 1)).astype(np.int32)
-        return cls((vocabulary, weight.astype(np.float32), y[order], ids[order], entry, place[by_term].astype(np.int32), value[by_term].astype(np.float32), frequent, dense, dense.max(axis=2).T.copy())), order
+        return cls((vocabulary, weight.astype(np.float32), y[order], ids[order], entry, place[by_term].astype(np.int32), value[by_term].astype(np.float32), frequent, dense, dense.max(axis=2))), order
 
     @staticmethod
     def unit(terms: np.ndarray, times: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -146,7 +147,8 @@ class Index:
             some = some[(bound[some] > 0) & (bound[some] >= least - SLACK)]
             if not len(some):
                 break
-            full = known[some] + weights @ self.dense[some[:, None], common[None, :]]
+            lists = self.lists.take((common[:, None] * self.blocks + some).ravel(), axis=0)
+            full = known[some] + (weights @ lists.reshape(len(common), len(some) * BLOCK)).reshape(-1, BLOCK)
             y, x = np.nonzero(full > max(0.0, least - SLACK))
             place, cosine = np.concatenate([place, some[y] * BLOCK + x]), np.concatenate([cosine, full[y, x]])
             best = np.lexsort((place, -np.round(cosine, 6)))[:k]
