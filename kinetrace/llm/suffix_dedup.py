@@ -1,26 +1,35 @@
 """Repeated passages by a prefix-free parse of the corpus.
 
 A byte is removed if a string of ``LENGTH`` bytes that covers it also starts anywhere
-else. Such strings are neighbours in the suffix order of the corpus, but that order is
-only wanted to a depth of LENGTH bytes, and only where texts repeat:
+else: such strings are neighbours in the suffix order of the corpus with a common
+prefix of LENGTH bytes or more. The order comes from the orders of the dictionary and
+of the parse, and only where texts repeat:
 
 * Parse. A rolling hash of ``GRAM`` bytes triggers at a position that is the least
   (rightmost on ties) among the ``REACH`` grams from some start; every start belongs to
   its trigger, and the starts of one trigger are the suffixes of one phrase. Which
   trigger a start has depends on the string of LENGTH bytes from it alone, so equal
   strings are in phrases of equal triggers: phrases never match in part, at any
-  distance, in any document.
-* Dictionary. A phrase with look-ahead (from its first start to LENGTH bytes after its
-  last) is known by a hash. Phrases whose look-ahead is unique in the corpus
-  (LENGTH - REACH + 1 bytes from the trigger, common to all their strings) hold no
-  repeat; phrases found twice as a whole hold nothing else.
-* Order. Only where the look-ahead repeats but the phrase doesn't (the first and last
-  phrase of a repeated passage) are single suffixes ordered by the hashes of their
-  strings, among the distinct phrases of the same look-ahead: equal neighbours repeat.
+  distance, in any document. (A fixed threshold for triggers has no such guarantee.)
+* Dictionary. A phrase with what its strings cover behind it is known by 128 bits of two
+  hashes. Phrases whose look-ahead is unique in the corpus (LENGTH - REACH + 1 bytes from
+  the trigger, common to all their strings) hold no repeat; phrases found twice as a
+  whole hold nothing else.
+* Order. Where the look-ahead repeats but the phrase doesn't (the first and last phrase
+  of a repeated passage), the phrases' bytes meet by look-ahead. Their beginnings, up to
+  the trigger, are put in the order of the dictionary's suffixes (sorted from the trigger
+  backwards), and what follows the trigger in the order of the parse's suffixes, each
+  with the common lengths of neighbours. A string that starts d bytes before the trigger
+  repeats if another phrase is within d bytes in the first order and LENGTH - d in the
+  second: both are runs of neighbours, so the answer is exact, on the bytes themselves.
+* Hot look-aheads. A look-ahead of more than ``HOT`` different phrases (a passage that a
+  good part of all documents share) doesn't meet in one place: each of its strings goes
+  by itself, by 128 bits of hashes, after equal ones of a task have been merged.
 
 Entries travel as packed arrays, a few for each task and bucket, after equal phrases
 of a task have been merged, so a passage that a third of all documents share is sent
-once per task. Hashes are polynomial modulo 2^64 over random byte values, then mixed.
+once per task. There are as many buckets as the corpus has parts of ``PART`` bytes.
+Long texts are parsed in slices.
 
 Texts are known by 96 bits of hashes of id and text, so repeated rows and null ids do
 no harm. Defined cases: a null text is empty; texts under LENGTH bytes keep all.
@@ -34,6 +43,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,14 +55,20 @@ LENGTH = 200
 GRAM = 16
 #: Grams from a start among which its trigger is, a power of two.
 REACH = 128
+#: Different phrases of one look-ahead that still meet in one place.
+HOT = 20_000
+#: Bytes of the corpus for each bucket.
+PART = 32 << 20
 _CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 #: A phrase: hashes of its look-ahead and of the whole, its text, its first start, last start and trigger from there, and if it stands for several.
-_PHRASE = np.dtype([("ahead", "u8"), ("whole", "u8"), ("k1", "i8"), ("k2", "i4"), ("s", "i4"), ("run", "u1"), ("off", "u1"), ("many", "u1")])
+_PHRASE = np.dtype([("ahead", "u8"), ("whole", "u8"), ("whole2", "u8"), ("k1", "i8"), ("k2", "i4"), ("s", "i4"), ("run", "u1"), ("off", "u1"), ("many", "u1")])
 _RUN = np.dtype([("k1", "i8"), ("k2", "i4"), ("s", "i4"), ("e", "i4")])
-#: A suffix: the hash of its string, its text and start, and if it is known to repeat.
-_SUFFIX = np.dtype([("string", "u8"), ("k1", "i8"), ("k2", "i4"), ("i", "i4"), ("known", "u1")])
+#: A phrase with its bytes from REACH - 1 before the trigger on (zero where it hasn't any), and if it is known to repeat.
+_BYTES = np.dtype([("k1", "i8"), ("k2", "i4"), ("s", "i4"), ("run", "u1"), ("off", "u1"), ("known", "u1"), ("data", "u1", REACH - 1 + LENGTH)])
+#: A suffix: hashes of its string, its text and start, and if it is known to repeat.
+_SUFFIX = np.dtype([("string", "u8"), ("string2", "u8"), ("k1", "i8"), ("k2", "i4"), ("i", "i4"), ("known", "u1")])
 
 
 class Rolling:
@@ -82,20 +98,47 @@ class Rolling:
 
 
 def chunks(texts: list[bytes], least: int = _CHUNK) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Runs of texts joined: their numbers, their bytes, their ends. Texts too short to repeat are left out."""
+    """Runs of texts joined: their numbers, their bytes, their ends. Texts too short to repeat are left out; a long one stands alone."""
     at: list[int] = []
     size = 0
     for i, t in enumerate(texts):
-        if len(t) >= LENGTH:
-            at.append(i)
-            size += len(t)
-        if at and (size >= least or i == len(texts) - 1):
+        if len(t) < LENGTH:
+            continue
+        if len(t) >= least:
+            yield [i], np.frombuffer(t, np.uint8), np.array([len(t)])
+            continue
+        at.append(i)
+        size += len(t)
+        if size >= least:
             yield at, np.frombuffer(b"".join([texts[j] for j in at]), np.uint8), np.cumsum([len(texts[j]) for j in at])
             at, size = [], 0
     if at:
         yield at, np.frombuffer(b"".join([texts[j] for j in at]), np.uint8), np.cumsum([len(texts[j]) for j in at])
 
 
+def slices(data: np.ndarray, ends: np.ndarray, roll: Rolling) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First starts, last starts and triggers of the phrases of some joined texts, a bounded slice of starts at a time with its offset; no phrase is cut."""
+    begin = 0
+    while len(data) - begin >= LENGTH:
+        part = data[begin : begin + 2 * _CHUNK + LENGTH]
+        whole = begin + len(part) == len(data)
+        roll.read(part)
+        trigger = triggers(roll, len(part))
+        start = np.arange(len(trigger)) + begin
+        inside = start + LENGTH <= ends[np.searchsorted(ends, start, side="right")]
+        change = trigger[1:] != trigger[:-1]
+        first = np.flatnonzero(inside & np.concatenate([[True], change | ~inside[:-1]]))
+        last = np.flatnonzero(inside & np.concatenate([change | ~inside[1:], [True]]))
+        if not whole:  # the last phrase may go on: it begins the next slice
+            again = first[-1] if len(first) and last[-1] == len(trigger) - 1 else len(trigger)
+            first, last = first[first < again], last[last < again]
+            yield begin, first, last, trigger
+            begin += int(again)
+        else:
+            yield begin, first, last, trigger
+            break
+
+
 def triggers(roll: Rolling, n: int) -> np.ndarray:
     """The trigger of every start in ``n`` bytes: a position, rightmost least of REACH grams."""
     grams = roll.every(GRAM)
@@ -111,23 +154,20 @@ def parse(texts: list[bytes], k1: np.ndarray, k2: np.ndarray, roll: Rolling) ->
     """All phrases of the texts."""
     found = [np.empty(0, _PHRASE)]
     for at, data, ends in chunks(texts):
-        roll.read(data)
-        trigger = triggers(roll, len(data))
         begins = np.concatenate([[0], ends[:-1]])
-        start = np.arange(len(trigger))
-        text = np.searchsorted(ends, start, side="right")
-        inside = start + LENGTH <= ends[text]
-        first = np.flatnonzero(inside & np.concatenate([[True], (trigger[1:] != trigger[:-1]) | ~inside[:-1]]))
-        last = np.flatnonzero(inside & np.concatenate([(trigger[1:] != trigger[:-1]) | ~inside[1:], [True]]))
-        t = trigger[first]
-        out = np.empty(len(first), _PHRASE)
-        out["ahead"] = roll.at(t, LENGTH - REACH + 1)
-        out["whole"] = roll.at(first, last - first + LENGTH) ^ ((t - first) * 256 + last - first).astype(np.uint64)
-        number = np.asarray(at)[text[first]]
-        out["k1"], out["k2"] = k1[number], k2[number]
-        out["s"] = first - begins[text[first]]
-        out["run"], out["off"], out["many"] = last - first, t - first, 0
-        found.append(out)
+        raw = data.data
+        for base, first, last, trigger in slices(data, ends, roll):
+            t = trigger[first]
+            out = np.empty(len(first), _PHRASE)
+            out["ahead"] = roll.at(t, LENGTH - REACH + 1)
+            out["whole"] = roll.at(first, last - first + LENGTH) ^ ((t - first) * 256 + last - first).astype(np.uint64)
+            out["whole2"] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((first + base).tolist(), (last + base + LENGTH).tolist(), strict=True)]
+            text = np.searchsorted(ends, first + base, side="right")
+            number = np.asarray(at)[text]
+            out["k1"], out["k2"] = k1[number], k2[number]
+            out["s"] = first + base - begins[text]
+            out["run"], out["off"], out["many"] = last - first, t - first, 0
+            found.append(out)
     return np.concatenate(found)
 
 
@@ -175,17 +215,17 @@ def _unpacked(table: pa.Table, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in table.column("blob")), dtype)
 
 
-def _runs_table(runs: np.ndarray, kind: int, off: np.ndarray | None = None) -> pa.Table:
+def _runs_table(runs: np.ndarray, kind: int | np.ndarray, bucket: int = 0, off: np.ndarray | None = None) -> pa.Table:
     n = len(runs)
     return pa.table({
-        "k1": pa.array(runs["k1"]), "k2": pa.array(runs["k2"]), "kind": pa.array(np.full(n, kind, np.int32)), "s": pa.array(runs["s"]), "e": pa.array(runs["e"]),
-        "off": pa.array(np.zeros(n, np.int32) if off is None else off.astype(np.int32)),
+        "k1": pa.array(runs["k1"]), "k2": pa.array(runs["k2"]), "kind": pa.array(np.broadcast_to(kind, n).astype(np.int32)), "s": pa.array(runs["s"]), "e": pa.array(runs["e"]),
+        "off": pa.array(np.zeros(n, np.int32) if off is None else off.astype(np.int32)), "home": pa.array(np.full(n, bucket, np.int32)),
     })
 
 
-_RUNS = "k1 long, k2 int, kind int, s int, e int, off int"
-#: Kinds of rows: starts that repeat, starts to be ordered one by one, and starts known to repeat that others are ordered among.
-REPEATS, OPEN, KNOWN = 0, 1, 2
+_RUNS = "k1 long, k2 int, kind int, s int, e int, off int, home int"
+#: Kinds of rows: starts that repeat; phrases to be ordered, and those known to repeat that they are ordered among; the same of a hot look-ahead.
+REPEATS, OPEN, KNOWN, HOT_OPEN, HOT_KNOWN = range(5)
 
 
 def _parsed(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -194,8 +234,8 @@ def _parsed(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         for batch in batches:
             texts = list(utf8(batch.column(2)))
             p = parse(texts, batch.column(0).to_numpy(), batch.column(1).to_numpy(), roll)
-            p = p[np.lexsort((p["whole"], p["ahead"]))]
-            g = _equal_runs(p["whole"], p["ahead"])
+            p = p[np.lexsort((p["whole2"], p["whole"], p["ahead"]))]
+            g = _equal_runs(p["whole2"], p["whole"], p["ahead"])
             size = np.bincount(g) if len(g) else np.empty(0, np.int64)
             again = size[g] > 1
             lead = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else again
@@ -215,54 +255,126 @@ def _settled(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
         if key[0].as_py() >= buckets:
             return _runs_table(_joined(_unpacked(table, _RUN)), REPEATS)
         p = _unpacked(table, _PHRASE)
-        p = p[np.lexsort((p["whole"], p["ahead"]))]
-        ahead, whole = _equal_runs(p["ahead"]), _equal_runs(p["whole"], p["ahead"])
+        p = p[np.lexsort((p["whole2"], p["whole"], p["ahead"]))]
+        ahead, whole = _equal_runs(p["ahead"]), _equal_runs(p["whole2"], p["whole"], p["ahead"])
         weight = 1 + p["many"].astype(np.int64)
         n_ahead, n_whole = np.bincount(ahead, weight)[ahead], np.bincount(whole, weight)[whole]
         lead = np.concatenate([[True], whole[1:] != whole[:-1]])
         open_ = (n_ahead > 1) & (n_whole == 1)
         with_open = np.bincount(ahead, open_)[ahead] > 0
         repeats, known = (n_whole > 1) & (p["many"] == 0), with_open & (n_whole > 1) & lead
+        hot = 2 * (np.bincount(ahead, lead)[ahead] > HOT)
         return pa.concat_tables([
             _runs_table(_joined(_as_runs(p[repeats])), REPEATS),
-            _runs_table(_as_runs(p[open_]), OPEN, p["off"][open_]),
-            _runs_table(_as_runs(p[known]), KNOWN, p["off"][known]),
+            _runs_table(_as_runs(p[open_]), (OPEN + hot)[open_], key[0].as_py(), p["off"][open_]),
+            _runs_table(_as_runs(p[known]), (KNOWN + hot)[known], key[0].as_py(), p["off"][known]),
         ])
 
     return run
 
 
-def _suffixes(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _common(rows: np.ndarray) -> np.ndarray:
+    """How many bytes each row shares with the one before, from the front."""
+    different = rows[1:] != rows[:-1]
+    return np.concatenate([[0], np.where(different.any(axis=1), different.argmax(axis=1), rows.shape[1])])
+
+
+def _order(rows: np.ndarray) -> np.ndarray:
+    return np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+
+
+def repeated_strings(x: np.ndarray) -> np.ndarray:
+    """Of phrases with bytes, the (phrase, start) pairs [n, 2] of open ones whose string another phrase has too.
+
+    Zero bytes past what a phrase has never count: a string lies within its phrase's bytes.
+    """
+    if len(x) < 2:
+        return np.empty((0, 2), np.int64)
+    back, ahead = x["data"][:, REACH - 2 :: -1], x["data"][:, REACH - 1 :]
+    parse, dictionary = _order(ahead), _order(back)
+    common_ahead, common_back = _common(ahead[parse]), _common(back[dictionary])
+    out = []
+    in_parse, in_dictionary = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+    for d in range(REACH):
+        there = (x["off"] >= d) & (x["off"].astype(int) - x["run"] <= d)
+        if there.sum() < 2:
+            continue
+        in_parse[parse], in_dictionary[dictionary] = np.cumsum(common_ahead < LENGTH - d), np.cumsum(common_back < d)
+        at = np.flatnonzero(there)
+        key = in_parse[at] * (len(x) + 1) + in_dictionary[at]
+        by_key = np.argsort(key, kind="stable")
+        g = _equal_runs(key[by_key])
+        again = at[by_key[np.bincount(g)[g] > 1]]
+        again = again[x["known"][again] == 0]
+        out.append(np.column_stack([again, x["s"][again].astype(np.int64) + x["off"][again] - d]))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _phrases_and_suffixes(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Bytes of the wanted phrases to their home bucket; strings of hot ones to a bucket of their own (beyond ``buckets``), equal ones merged."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = Rolling()
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found, where = [np.empty(0, _SUFFIX)], [np.empty(0, np.int64)]
+            phrases, homes, suffixes = [np.empty(0, _BYTES)], [np.empty(0, np.int64)], [np.empty(0, _SUFFIX)]
             for row, text in enumerate(utf8(batch.column(2))):
-                wanted = batch.column(3)[row].values.flatten()  # kind, s, e, off
-                kind, s, e, off = (x.to_numpy() for x in wanted)
-                roll.read(np.frombuffer(text, np.uint8))
-                n = e - s + 1
-                i = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                out = np.empty(len(i), _SUFFIX)
-                out["string"], out["i"], out["known"] = roll.at(i, LENGTH), i, np.repeat(kind == KNOWN, n)
-                out["k1"], out["k2"] = k1[row], k2[row]
-                found.append(out)
-                where.append(np.repeat((roll.at(s + off, LENGTH - REACH + 1) % _U(buckets)).astype(np.int64), n))
-            yield _blobs(np.concatenate(found), np.concatenate(where))
+                kind, s, e, off, home = (y.to_numpy() for y in batch.column(3)[row].values.flatten())
+                cold = np.flatnonzero(kind <= KNOWN)
+                out = np.zeros(len(cold), _BYTES)
+                out["k1"], out["k2"], out["s"], out["run"], out["off"], out["known"] = k1[row], k2[row], s[cold], e[cold] - s[cold], off[cold], kind[cold] == KNOWN
+                for j, (a, b, o) in enumerate(zip(s[cold].tolist(), e[cold].tolist(), off[cold].tolist(), strict=True)):
+                    data = np.frombuffer(text, np.uint8, b + LENGTH - a, a)
+                    out["data"][j, REACH - 1 - o : REACH - 1 - o + len(data)] = data
+                phrases.append(out)
+                homes.append(home[cold].astype(np.int64))
+                for j in np.flatnonzero(kind > KNOWN).tolist():
+                    i = np.arange(s[j], e[j] + 1)
+                    out = np.empty(len(i), _SUFFIX)
+                    strings = [xxhash.xxh3_128_intdigest(text[a : a + LENGTH]) for a in i.tolist()]
+                    out["string"], out["string2"] = [x & (2**64 - 1) for x in strings], [x >> 64 for x in strings]
+                    out["k1"], out["k2"], out["i"], out["known"] = k1[row], k2[row], i, kind[j] == HOT_KNOWN
+                    suffixes.append(out)
+            yield _blobs(np.concatenate(phrases), np.concatenate(homes))
+            x = np.concatenate(suffixes)
+            if len(x):
+                # one of equal strings is sent for all, as known; the others' repeats are settled
+                x = x[np.lexsort((x["known"], x["string2"], x["string"]))]
+                g = _equal_runs(x["string2"], x["string"])
+                again = np.bincount(g)[g] > 1
+                lead = np.concatenate([[True], g[1:] != g[:-1]])
+                sent, settled = x[lead].copy(), _suffix_runs(x[again & (x["known"] == 0)])
+                sent["known"] |= again[lead]
+                yield _blobs(sent, buckets + (sent["string"] % _U(buckets)).astype(np.int64))
+                parts = np.array_split(_joined(settled), 4)
+                yield _blobs(np.empty(0, _RUN), np.empty(0, np.int64), [(2 * buckets + (int(k1[0]) + i) % buckets, part) for i, part in enumerate(parts)])
 
     return run
 
 
-def _ordered(table: pa.Table) -> pa.Table:
-    x = _unpacked(table, _SUFFIX)
-    x = x[np.argsort(x["string"], kind="stable")]
-    g = _equal_runs(x["string"])
-    again = (np.bincount(g)[g] > 1) & (x["known"] == 0)
-    runs = np.empty(int(again.sum()), _RUN)
+def _suffix_runs(x: np.ndarray) -> np.ndarray:
+    runs = np.empty(len(x), _RUN)
     for a, b in (("k1", "k1"), ("k2", "k2"), ("s", "i"), ("e", "i")):
-        runs[a] = x[b][again]
-    return _runs_table(_joined(runs), REPEATS)
+        runs[a] = x[b]
+    return runs
+
+
+def _ordered(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        if bucket >= 2 * buckets:
+            return _runs_table(_joined(_unpacked(table, _RUN)), REPEATS)
+        if bucket >= buckets:
+            x = _unpacked(table, _SUFFIX)
+            x = x[np.lexsort((x["string2"], x["string"]))]
+            g = _equal_runs(x["string2"], x["string"])
+            return _runs_table(_joined(_suffix_runs(x[(np.bincount(g)[g] > 1) & (x["known"] == 0)])), REPEATS)
+        x = _unpacked(table, _BYTES)
+        pairs = repeated_strings(x)
+        runs = np.empty(len(pairs), _RUN)
+        runs["k1"], runs["k2"], runs["s"], runs["e"] = x["k1"][pairs[:, 0]], x["k2"][pairs[:, 0]], pairs[:, 1], pairs[:, 1]
+        return _runs_table(_joined(runs), REPEATS)
+
+    return run
 
 
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -273,13 +385,14 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(k1, k2, s, e): for each text the runs of starts whose string of LENGTH bytes starts anywhere else too."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _keyed(docs)
+    size = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
     blobs = texts.mapInArrow(_parsed(buckets), "bucket int, blob binary")
     settled = keep(blobs.groupBy("bucket").applyInArrow(_settled(buckets), _RUNS), "phrases")
-    wanted = settled.where(F.col("kind") != REPEATS).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "s", "e", "off")).alias("wanted"))
-    suffixes = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_suffixes(buckets), "bucket int, blob binary")
-    ordered = suffixes.groupBy("bucket").applyInArrow(_ordered, _RUNS)
+    wanted = settled.where(F.col("kind") != REPEATS).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "s", "e", "off", "home")).alias("wanted"))
+    entries = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_phrases_and_suffixes(buckets), "bucket int, blob binary")
+    ordered = entries.groupBy("bucket").applyInArrow(_ordered(buckets), _RUNS)
     return settled.where(F.col("kind") == REPEATS).union(ordered).select("k1", "k2", "s", "e")
 
 

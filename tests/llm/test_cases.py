@@ -56,6 +56,11 @@ def test_empty_tables(spark, docs, labels, name):
     assert ALL[name](docs.limit(0), labels.limit(0)).collect() == []
 
 
+def test_deduplicated_with_any_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4)], "doc_id long, text string, _gone int, g int")
+    assert [tuple(r) for r in minhash.deduplicated(docs).collect()] == [(1, "a b c d e f", 1, 2)]
+
+
 STAGES = {
     "good documents": lambda d, y: quality_model.good_documents(d, y),
     "deduplicated": lambda d, y: minhash.deduplicated(d),
@@ -227,7 +232,7 @@ def brute_repeats(texts):
     return Counter(out)
 
 
-def test_suffix_dedup_against_brute_force(spark):
+def repetitive_texts():
     import random
 
     random.seed(2)
@@ -235,11 +240,31 @@ def test_suffix_dedup_against_brute_force(spark):
     passage = " ".join(word() for _ in range(60))
     texts = [(i, " ".join(word() for _ in range(random.randrange(80)))) for i in range(20)]
     texts += [(100 + i, f"{word()} {passage[i * 9 :]} {word()} {passage[: 150 + 20 * i]}") for i in range(8)]
+    texts += [(300 + i, f"{' '.join(word() for _ in range(50))} {passage[20:-20]} {' '.join(word() for _ in range(50))}") for i in range(12)]
     texts += [*TEXTS, (200, passage), (201, passage), (202, "ab" * 300), (203, ("abc" * 70)[:199]), (204, "xyz" * 67), (205, "xyz" * 67), (206, "é" * 150)]
+    return texts
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    texts = repetitive_texts()
     got = Counter(tuple(r) for r in suffix_dedup.suffix_dedup(documents(spark, texts)).collect())
     assert got == brute_repeats(texts)
 
 
+def test_long_texts_in_slices(monkeypatch):
+    import numpy as np
+
+    texts = [t.encode() for _, t in repetitive_texts() if t]
+    texts = [*texts, b" ".join(texts), b"ab" * 5000]
+    n = np.arange(len(texts))
+    whole = suffix_dedup.parse(texts, n, n.astype(np.int32), suffix_dedup.Rolling())
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 300)
+    sliced = suffix_dedup.parse(texts, n, n.astype(np.int32), suffix_dedup.Rolling())
+    assert len(whole) > 100 and sorted(whole.tolist()) == sorted(sliced.tolist())
+
+
 def test_warc(spark):
     html = [(1, "http://a/1", "<p>x</p>"), (2, "http://b\r\nX: 1", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "é" * 400_000), (None, "u", "é" * 400_000), (7, "u", "a\r\n\r\nWARC/1.1\r\n"), (2, "http://c", "<p>x</p>")]
     pages = spark.createDataFrame([(*r, 9) for r in html], "page_id long, url string, html string, size long")
@@ -428,3 +453,26 @@ def test_pipeline_against_its_parts(spark):
     unlike = {r["doc_id"] for r in minhash.near_duplicates(d.where(d.doc_id.isin(list(good)))).where("kept").collect()}
     got = {r["doc_id"] for r in out.collect()}
     assert got and got <= unlike <= good
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """All queries from another folder, where only the driver finds the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "3g").getOrCreate()
+for name, query in entry.queries().items():
+    if name == "pipeline" or name.startswith("op"):
+        print("rows", name, query(spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert done.stdout.count("rows") == 12
