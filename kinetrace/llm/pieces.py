@@ -74,16 +74,16 @@ class Vocabulary:
 
     def merged(self, s: str) -> list[str]:
         """What the merges make of a short string."""
-        parts, score = list(s), self.score
-        while len(parts) > 1:
-            best, at = -np.inf, -1
-            for i in range(len(parts) - 1):
-                x = score.get(parts[i] + parts[i + 1])
-                if x is not None and x > best:
-                    best, at = x, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, get, none = list(s), self.score.get, -np.inf
+        scores = [get(a + b, none) for a, b in zip(s, s[1:], strict=False)]
+        while scores and (best := max(scores)) > none:
+            at = scores.index(best)
+            parts[at : at + 2] = [both := parts[at] + parts[at + 1]]
+            del scores[at]
+            if at < len(scores):
+                scores[at] = get(both + parts[at + 1], none)
+            if at:
+                scores[at - 1] = get(parts[at - 1] + both, none)
         return parts
 
     def apart(self, a: str, b: str) -> bool:
@@ -147,28 +147,33 @@ class Paths:
             start = a
 
 
-class Encoder:
-    """Encodes texts and chunks of texts; remembers the segments it has seen, up to a bound."""
+class Segments(dict):
+    """A text between two edges -> its packed ids; forgets all when it has grown."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v, self.memo = vocabulary, {}
+    def __init__(self, v: Vocabulary) -> None:
+        super().__init__()
+        self.v = v
 
-    def segment(self, s: str) -> bytes:
-        """The ids, packed, of a text between two edges."""
-        found = self.memo.get(s)
-        if found is None:
-            if len(s) > LONG:
-                p = Paths(self.v, s, [(0, 0)], len(s), len(s))
-                (start,) = p.at[len(s)]
-                return np.array(self.v.ids(p.back(start, len(s), 0)), "<i4").tobytes()
-            if len(self.memo) > _REMEMBERED:
-                self.memo.clear()
-            found = self.memo[s] = np.array(self.v.ids(self.v.merged(s)), "<i4").tobytes()
+    def __missing__(self, s: str) -> bytes:
+        if len(s) > LONG:  # not kept
+            p = Paths(self.v, s, [(0, 0)], len(s), len(s))
+            (start,) = p.at[len(s)]
+            return np.array(self.v.ids(p.back(start, len(s), 0)), "<i4").tobytes()
+        if len(self) > _REMEMBERED:
+            self.clear()
+        self[s] = found = np.array(self.v.ids(self.v.merged(s)), "<i4").tobytes()
         return found
 
+
+class Encoder:
+    """Encodes texts and chunks of texts."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v, self.segments = vocabulary, Segments(vocabulary)
+
     def marked(self, text: str) -> np.ndarray:
         """The ids of a text whose spaces are marks already."""
-        return np.frombuffer(b"".join(map(self.segment, _SEGMENT.findall(text))), "<i4")
+        return np.frombuffer(b"".join(map(self.segments.__getitem__, _SEGMENT.findall(text))), "<i4")
 
     def encode(self, text: str) -> np.ndarray:
         return self.marked(SPACE + text.replace(" ", SPACE)) if text else np.empty(0, "<i4")

@@ -11,13 +11,17 @@ so is never read.
 Reading: every archive is read as a stream. A record's payload becomes rows of
 (archive, record number, chunk number, ...) of at most ``CHUNK`` bytes, each with the
 payload's length and SHA-1 so far, so that no step holds a whole record and any prefix
-can be verified. The last chunk of a record holds its digest, which must be the one in
-its header.
+can be verified. The last chunk of a record holds its digest, and if that is the one in
+its header (``verified``, null where none is stated); a record of this writer that
+differs is an error. Archives of others are read too: WARC 1.0 and 1.1, every record
+type, folded header lines, blocks that are no HTTP messages (the payload is the block),
+missing digests. Chunks carry the record's own id and its target.
 
 Defined cases: a null html is an empty payload. A null url is left out of the header; a
 null page_id gives a record without a number, and is the response for its payload only
 if no page with a number has it. Rows that repeat a page_id and a payload are all
-responses if that page_id is the largest. Extra columns are ignored. No pages: no archives.
+responses if that page_id is the largest (and share a record id, which others never
+do). Extra columns are ignored. No pages: no archives.
 """
 
 from __future__ import annotations
@@ -53,20 +57,29 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """The id of the response for a payload, which its revisits can tell too."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def info_record(date: str) -> bytes:
+    """The record at the beginning of an archive."""
+    body = b"software: kinetrace\r\nformat: WARC File Format 1.1\r\n"
+    head = f"{VERSION}\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
 
 
 def record_head(page_id: int | None, url: str | None, size: int, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
     """Everything of a record before its payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    lines = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    own = f"<urn:uuid:{uuid.uuid4()}>" if revisit else record_id(page_id, digest)
+    lines = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=''.join(chr(c) for c in range(33, 127)))}")
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
         if refers_to is not None:
             lines.append(f"X-Refers-To-Page-ID: {refers_to}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (0 if revisit else size)}"]
@@ -92,7 +105,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, da
             for page, url, payload, sha, first, revisit in zip(*batch.columns, strict=True):
                 if out is None:
                     name, records = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(f"{base}/{name}")
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                    member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    out.write(member.compress(info_record(date)) + member.flush())
                 body = payload.as_buffer()
                 digest = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
                 member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -115,22 +130,50 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, da
     return keep(told.mapInArrow(run, "archive string, records long, bytes long"), "warc-list")
 
 
-def _head(stream: _Lines, first: bytes) -> dict[str, str]:
-    """Header lines up to the empty one; names in lower case."""
-    fields = {"": first.decode().strip()}
-    while (line := stream.readline()).strip():
-        name, _, value = line.decode().partition(":")
-        fields[name.strip().lower()] = value.strip()
+def _fields(lines: Iterator[bytes]) -> dict[str, str]:
+    """Header lines up to the empty one; names in lower case, folded lines joined, the first of repeated names."""
+    fields: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if not text.strip():
+            break
+        if text[0] in " \t" and name:
+            fields[name] = f"{fields[name]} {text.strip()}".strip()
+            continue
+        key, _, value = text.partition(":")
+        name = key.strip().lower()
+        fields.setdefault(name, value.strip())
     return fields
 
 
+def _http_fields(stream: _Lines, most: int) -> tuple[dict[str, str], int]:
+    """The header of an HTTP message of at most ``most`` bytes, and the bytes it took."""
+    used = 0
+
+    def lines() -> Iterator[bytes]:
+        nonlocal used
+        first = True
+        while used < most and (line := stream.readline(most - used)):
+            used += len(line)
+            if not first or not line.strip():
+                yield line
+            first = False
+
+    return _fields(lines()), used
+
+
 class _Inflated:
-    """The bytes of the gzip members of a stream, one after another, a bounded piece at a time."""
+    """The bytes of the gzip members of a stream, one after another, a bounded piece at a time; a stream without gzip's mark is read as it is."""
 
     def __init__(self, stream: pa.NativeFile) -> None:
-        self.stream, self.member, self.held = stream, zlib.decompressobj(31), b""
+        self.stream, self.member, self.held = stream, zlib.decompressobj(31), stream.read(1 << 16)
+        self.plain = self.held[:2] != b"\x1f\x8b"
 
     def read(self, n: int) -> bytes:
+        if self.plain:
+            out, self.held = self.held[:n], self.held[n:]
+            return out or self.stream.read(n)
         while True:
             if not self.held:
                 self.held = self.stream.read(1 << 16)
@@ -150,14 +193,15 @@ class _Lines:
     def __init__(self, stream: pa.NativeFile) -> None:
         self.stream, self.rest = _Inflated(stream), b""
 
-    def readline(self) -> bytes:
-        while (at := self.rest.find(b"\n")) < 0:
+    def readline(self, most: int = 1 << 30) -> bytes:
+        while (at := self.rest.find(b"\n")) < 0 and len(self.rest) < most:
             more = self.stream.read(1 << 16)
             if not more:
                 line, self.rest = self.rest, b""
                 return line
             self.rest += more
-        line, self.rest = self.rest[: at + 1], self.rest[at + 1 :]
+        at = min(at + 1 if at >= 0 else most, most)
+        line, self.rest = self.rest[:at], self.rest[at:]
         return line
 
     def read(self, n: int) -> bytes:
@@ -168,56 +212,60 @@ class _Lines:
 
 
 def chunk_rows(stream: pa.NativeFile, data: bool, chunk: int = CHUNK) -> Iterator[tuple]:
-    """(record, chunk_no, page_id, record_type, refers_to, payload_bytes, payload_digest so far, is_last, data) of an archive."""
+    """The rows of one archive, without its name (see ``CHUNKS``)."""
     lines, record = _Lines(stream), 0
     while first := lines.readline():
         if not first.strip():
             continue
-        head = _head(lines, first)
-        if head[""] != VERSION:
-            raise ValueError(f"not a record of {VERSION}: {head['']!r}")
-        length, used = int(head["content-length"]), 0
-        status = lines.readline()
-        used += len(status)
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"record {record} begins with {first[:40]!r}")
+        head = _fields(iter(lines.readline, b""))
+        kind, left = head.get("warc-type", "").lower(), int(head["content-length"])
         http: dict[str, str] = {}
-        while line := lines.readline():
-            used += len(line)
-            if not line.strip():
+        if head.get("content-type", "").lower().startswith("application/http"):
+            http, used = _http_fields(lines, left)
+            left -= used
+        page, refers = (int(x) if (x := head.get(name)) else None for name in ("x-page-id", "x-refers-to-page-id"))
+        algorithm, _, stated = head.get("warc-payload-digest", "").partition(":")
+        stated = stated.upper() if algorithm.lower() == "sha1" else None
+        named = record, head.get("warc-record-id"), head.get("warc-target-uri")
+        sha, size, number = hashlib.sha1(), 0, 0
+        while True:
+            part = lines.read(min(chunk, left)) if left else b""
+            if left and not part:
+                raise ValueError("the archive ends within a record")
+            left -= len(part)
+            size += len(part)
+            sha.update(part)
+            if kind == "revisit":  # what it holds is no payload
+                if left:
+                    continue
+                length = http.get("content-length", "")
+                yield *named, 0, page, kind, refers, int(length) if length.isdigit() else None, stated, None, True, b""
+                break
+            digest = base64.b32encode(sha.copy().digest()).decode()
+            verified = digest == stated if not left and stated else None
+            if verified is False and "x-page-id" in head:
+                raise ValueError(f"record {record}: payload is {digest}, header says {stated}")
+            yield *named, number, page, kind, refers, size, digest, verified, not left, part if data else b""
+            number += 1
+            if not left:
                 break
-            name, _, value = line.decode().partition(":")
-            http[name.strip().lower()] = value.strip()
-        page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
-        page, refers = int(page) if page else None, int(refers) if refers else None
-        stated = head["warc-payload-digest"].removeprefix("sha1:")
-        if head["warc-type"] == "revisit":
-            yield record, 0, page, "revisit", refers, int(http["content-length"]), stated, True, b""
-        else:
-            sha, size, left, number = hashlib.sha1(), 0, length - used, 0
-            while True:
-                part = lines.read(min(chunk, left)) if left else b""
-                if left and not part:
-                    raise ValueError("the archive ends within a record")
-                left -= len(part)
-                size += len(part)
-                sha.update(part)
-                digest = base64.b32encode(sha.copy().digest()).decode()
-                if not left and digest != stated:
-                    raise ValueError(f"record {record}: payload is {digest}, header says {stated}")
-                yield record, number, page, "response", refers, size, digest, not left, part if data else b""
-                number += 1
-                if not left:
-                    break
         record += 1
 
 
-CHUNKS = "archive string, record long, chunk_no long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, is_last boolean, data binary"
+CHUNKS = (
+    "archive string, record long, warc_id string, target string, chunk_no long, page_id long, record_type string, refers_to long, payload_bytes long, "
+    "payload_digest string, verified boolean, is_last boolean, data binary"
+)
 
 
 def read_chunks(archives: DataFrame, data: bool = True) -> DataFrame:
     """The chunk table of the listed archives; without ``data`` the payloads are verified but not returned."""
     parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = CHUNKS.replace(",", "").split()[::2]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    types = [kinds[x] for x in CHUNKS.replace(",", "").split()[1::2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -227,7 +275,7 @@ def read_chunks(archives: DataFrame, data: bool = True) -> DataFrame:
             for archive in batch.column(0).to_pylist():
                 fs, path = _filesystem(archive)
                 rows, held = [], 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for row in chunk_rows(stream, data):
                         rows.append((archive, *row))
                         held += len(row[-1]) + 200
@@ -248,7 +296,7 @@ def records(chunks: DataFrame) -> DataFrame:
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives in the shared folder and read them back: one row per record."""
     folder = new_path(pages.sparkSession, "warc")
-    return records(read_chunks(write_archives(pages, folder), data=False))
+    return records(read_chunks(write_archives(pages, folder), data=False)).where("record_type IN ('response', 'revisit')")
 
 
 def oracle_sql() -> str:

@@ -265,7 +265,7 @@ def test_long_texts_in_slices(monkeypatch):
     assert len(whole) > 100 and sorted(whole.tolist()) == sorted(sliced.tolist())
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     html = [(1, "http://a/1", "<p>x</p>"), (2, "http://b\r\nX: 1", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "é" * 400_000), (None, "u", "é" * 400_000), (7, "u", "a\r\n\r\nWARC/1.1\r\n"), (2, "http://c", "<p>x</p>")]
     pages = spark.createDataFrame([(*r, 9) for r in html], "page_id long, url string, html string, size long")
     got = warc.warc_round_trip(pages).collect()
@@ -279,10 +279,44 @@ def test_warc(spark):
     assert Counter(tuple(r) for r in got) == want
     from kinetrace.storage import new_path
 
-    chunks = warc.read_chunks(warc.write_archives(pages.where("page_id = 5"), new_path(spark, "warc-test"))).orderBy("chunk_no").collect()
+    chunks = warc.read_chunks(warc.write_archives(pages.where("page_id = 5"), new_path(spark, "warc-test"))).where("record_type = 'response'").orderBy("chunk_no").collect()
     assert [c["chunk_no"] for c in chunks] == [0, 1, 2, 3] and b"".join(bytes(c["data"]) for c in chunks) == ("é" * 400_000).encode()
     assert chunks[0]["payload_digest"] == base64.b32encode(hashlib.sha1(bytes(chunks[0]["data"])).digest()).decode()
     assert warc.warc_round_trip(pages.limit(0)).collect() == []
+    import gzip
+
+    written = warc.write_archives(pages, f"file://{tmp_path}").collect()
+    raw = b"".join(gzip.decompress(open(r["archive"].removeprefix("file://"), "rb").read()) for r in written)
+    assert raw.count(b"WARC-Type: response") + raw.count(b"WARC-Type: revisit") == sum(r["records"] for r in written) == len(html)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", raw)
+    assert len(set(ids)) == len(ids) - 1  # one page has the same payload twice
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Two versions, several members and none, folded lines, no digest, a wrong one, and blocks that are no HTTP messages."""
+    import gzip
+
+    def record(version, kind, block, *lines, content="application/http; msgtype=response"):
+        return "\r\n".join([f"WARC/{version}", f"WARC-Type: {kind}", *lines, f"Content-Type: {content}", f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Long: a\r\n  b\r\n\r\n<p>hi</p>\n"
+    parts = [
+        record("1.0", "warcinfo", b"software: other\r\n", content="application/warc-fields"),
+        record("1.0", "response", http, "WARC-Record-ID: <urn:x:1>", "WARC-Target-URI:", " http://a/"),
+        record("1.0", "request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", content="application/http; msgtype=request"),
+        record("1.1", "resource", b"\n\nplain block", "WARC-Payload-Digest: sha1:AAAA", content="text/plain"),
+        record("1.1", "revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", "WARC-Payload-Digest: sha1:QQQQ"),
+        record("1.1", "metadata", b"", content="text/plain"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "b.warc").write_bytes(b"".join(parts))
+    read = lambda name: warc.read_chunks(spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "archive string")).drop("archive").orderBy("record").collect()
+    got = read("a.warc.gz")
+    assert got == read("b.warc")
+    assert [r["record_type"] for r in got] == ["warcinfo", "response", "request", "resource", "revisit", "metadata"]
+    assert bytes(got[1]["data"]) == b"<p>hi</p>\n" and got[1]["target"] == "http://a/" and got[1]["warc_id"] == "<urn:x:1>" and got[1]["verified"] is None
+    assert bytes(got[3]["data"]) == b"\n\nplain block" and got[3]["verified"] is False
+    assert got[4]["payload_digest"] == "QQQQ" and got[4]["payload_bytes"] is None and got[5]["payload_bytes"] == 0
 
 
 def library():
