@@ -50,7 +50,7 @@ CHUNK = 1 << 16
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _EDGE = re.compile(f"(?<=[^{SPACE}]){SPACE}")
-_REMEMBERED = 1 << 18
+_REMEMBERED = 1 << 19
 #: The state before a document and after it.
 NONE = 0
 _WIDE = 64
@@ -112,6 +112,82 @@ class Vocabulary:
                 yield stop
 
 
+class Merger:
+    """The merges of many short strings at once, a string in each row of an array."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+        names = list(v.score)
+        number = {p: i for i, p in enumerate(names)}
+        self.name_ids = np.array([v.id[p] for p in names], "<i4")
+        self.scores = np.array([v.score[p] for p in names])
+        pairs = [((number[p[:i]] << 20) | number[p[i:]], n) for n, p in enumerate(names) for i in range(1, len(p)) if p[:i] in number and p[i:] in number]
+        key, joint = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for step in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
+            # keys that share a slot with one before them go to the next table
+            slot, keys, values = self._slot(key, step), np.full(1 << 18, -1, np.int64), np.full(1 << 18, -1, np.int32)
+            _, first = np.unique(slot, return_index=True)
+            keys[slot[first]], values[slot[first]] = key[first], joint[first]
+            self.tables.append((step, keys, values))
+            rest = np.ones(len(key), bool)
+            rest[first] = False
+            key, joint = key[rest], joint[rest]
+        if len(key):
+            raise ValueError("too many pairs of pieces")
+        # characters as pieces; those without one are numbered -1 and never merge
+        self.chars = np.full(0x110000, -1, np.int32)
+        lone = [p for p in names if len(p) == 1]
+        self.chars[[ord(p) for p in lone]] = [number[p] for p in lone]
+
+    @staticmethod
+    def _slot(key: np.ndarray, step: int) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(step)) >> np.uint64(46)).astype(np.int64)
+
+    def joint(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that two neighbours make, -1 for none."""
+        key = (a.astype(np.int64) << 20) | b
+        key[(a < 0) | (b < 0)] = -2
+        out = np.full(key.shape, -1, np.int32)
+        for step, keys, values in self.tables:
+            slot = self._slot(key, step)
+            np.copyto(out, values[slot], where=keys[slot] == key)
+        return out
+
+    def merged(self, strings: list[str]) -> list[np.ndarray]:
+        """The pieces' ids of every string (bytes for what has no piece)."""
+        n = np.array([len(s) for s in strings])
+        codes = np.frombuffer("".join(strings).encode("utf-32-le"), "<u4")
+        width = int(n.max()) + 1
+        at = np.arange(width)
+        parts = np.full((len(strings), width), -1, np.int32)
+        there = at < n[:, None]
+        parts[there] = self.chars[codes]
+        unknown = np.flatnonzero((there & (parts < 0)).any(axis=1)).tolist()
+        both = np.full(parts.shape, -1, np.int32)
+        both[:, :-1] = self.joint(parts[:, :-1], parts[:, 1:])
+        score = np.where(both >= 0, self.scores[both], -np.inf)
+        left = np.flatnonzero(both.max(axis=1) >= 0)
+        while len(left):
+            p, b, s = parts[left], both[left], score[left]
+            row, m = np.arange(len(left)), s.argmax(axis=1)
+            new = b[row, m]
+            onward = np.minimum(at + (at > m[:, None]), width - 1)
+            p, b, s = (np.take_along_axis(x, onward, axis=1) for x in (p, b, s))
+            p[:, -1], b[:, -1], s[:, -1] = -1, -1, -np.inf
+            p[row, m] = new
+            for a in (m, np.maximum(m - 1, 0)):
+                x = self.joint(p[row, a], p[row, np.minimum(a + 1, width - 1)])
+                b[row, a], s[row, a] = x, np.where(x >= 0, self.scores[x], -np.inf)
+            parts[left], both[left], score[left] = p, b, s
+            n[left] -= 1
+            left = left[b.max(axis=1) >= 0]
+        out = [self.name_ids[x[:k]] for x, k in zip(parts, n.tolist(), strict=True)]
+        for i in unknown:
+            out[i] = np.array(self.v.ids(self.v.merged(strings[i])), "<i4")
+        return out
+
+
 class Paths:
     """The zero-weight paths over a stretch of text: for every position the pieces that end there, with the set (bits) of entering states they are reached from."""
 
@@ -152,17 +228,26 @@ class Segments(dict):
 
     def __init__(self, v: Vocabulary) -> None:
         super().__init__()
-        self.v = v
+        self.v, self.merger = v, Merger(v)
 
-    def __missing__(self, s: str) -> bytes:
-        if len(s) > LONG:  # not kept
-            p = Paths(self.v, s, [(0, 0)], len(s), len(s))
-            (start,) = p.at[len(s)]
-            return np.array(self.v.ids(p.back(start, len(s), 0)), "<i4").tobytes()
+    def learn(self, split: list[list[str]]) -> None:
+        """Have all segments of some texts that can be kept, many at once."""
         if len(self) > _REMEMBERED:
             self.clear()
-        self[s] = found = np.array(self.v.ids(self.v.merged(s)), "<i4").tobytes()
-        return found
+        by_width: dict[int, list[str]] = {}
+        for s in set().union(*split).difference(self):
+            if len(s) <= LONG:
+                by_width.setdefault(-(-len(s) // 4), []).append(s)
+        for strings in by_width.values():
+            for i in range(0, len(strings), 4096):
+                some = strings[i : i + 4096]
+                self.update(zip(some, [x.tobytes() for x in self.merger.merged(some)], strict=True))
+
+    def __missing__(self, s: str) -> bytes:
+        """One over LONG characters, which isn't kept."""
+        p = Paths(self.v, s, [(0, 0)], len(s), len(s))
+        (start,) = p.at[len(s)]
+        return np.array(self.v.ids(p.back(start, len(s), 0)), "<i4").tobytes()
 
 
 class Encoder:
@@ -171,12 +256,25 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v, self.segments = vocabulary, Segments(vocabulary)
 
-    def marked(self, text: str) -> np.ndarray:
-        """The ids of a text whose spaces are marks already."""
-        return np.frombuffer(b"".join(map(self.segments.__getitem__, _SEGMENT.findall(text))), "<i4")
+    def marked(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts whose spaces are marks already."""
+        split = [_SEGMENT.findall(t) for t in texts]
+        self.segments.learn(split)
+        return [np.frombuffer(b"".join(map(self.segments.__getitem__, s)), "<i4") for s in split]
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of every text, a bounded number of texts at a time."""
+        some: list[str] = []
+        held = 0
+        for i, t in enumerate(texts):
+            some.append(SPACE + t.replace(" ", SPACE) if t else "")
+            held += len(t)
+            if held > 1 << 22 or i == len(texts) - 1:
+                yield from self.marked(some)
+                some, held = [], 0
 
     def encode(self, text: str) -> np.ndarray:
-        return self.marked(SPACE + text.replace(" ", SPACE)) if text else np.empty(0, "<i4")
+        return next(self.encode_all([text]))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded: the pieces' bytes without the mark put before the text."""
@@ -230,7 +328,7 @@ class Encoder:
                 p = Paths(self.v, text, [before], first, first)
                 (start,) = p.at[first]
                 out.append(np.array(self.v.ids(p.back(start, first, 0)), "<i4"))
-            out.append(self.marked(text[first:last]))
+            out += self.marked([text[first:last]])
             before = (last, last)
         p = Paths(self.v, text, [before], stop, end)
         if stop == end:
@@ -396,7 +494,7 @@ def _encoded(docs: DataFrame, model_file: str | None, chunk: int, digest: bool)
         e = Encoder(Vocabulary(*shared.value))
         for batch in batches:
             texts = [t.decode("utf-8", "replace") for t in utf8(batch.column(1))]
-            yield told(batch.column(0), [e.encode(t) for t in texts], texts, e)
+            yield told(batch.column(0), list(e.encode_all(texts)), texts, e)
 
     def finished(batches: Batches) -> Batches:
         e = Encoder(Vocabulary(*shared.value))
