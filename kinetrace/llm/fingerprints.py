@@ -38,6 +38,7 @@ def chosen(docs: DataFrame, text: str, out: str, k: int = K, window: int = WINDO
     later = "".join(f", get(_h, i + {j})" for j in range(1, k))
     packed = f"shiftleft(xxhash64(h{later}) & 2147483647L, 32) | (2147483647L - i)"
     df = df.withColumn("_p", F.expr(f"transform(slice(_h, 1, CASE WHEN size(_h) = 0 THEN 0 ELSE greatest(size(_h) - {k - 1}, 1) END), (h, i) -> {packed})")).drop("_w", "_h")
+    df = df.withColumn("_p", F.expr(f"CASE WHEN size(_p) BETWEEN 1 AND {window - 1} THEN array(array_min(_p)) ELSE _p END"))  # one window, not a full one
     step = 1
     while step < window:
         df = df.withColumn("_p", F.expr(f"transform(slice(_p, 1, CASE WHEN size(_p) = 0 THEN 0 ELSE greatest(size(_p) - {step}, 1) END), (p, i) -> least(p, get(_p, i + {step})))"))

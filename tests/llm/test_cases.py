@@ -107,6 +107,46 @@ def test_fingerprints_against_python(spark, docs):
     assert max(gaps) <= fingerprints.WINDOW
 
 
+def test_fingerprints_against_brute_force(spark):
+    """Words, gram hashes (xxHash64 with seed 42, chained), windows, rightmost least, and likeness, by plain loops."""
+    import xxhash
+
+    texts = [(i, t) for i, (_, t) in enumerate(TEXTS)] + [(100 + i, f"{LONG[:3000]} {i}") for i in range(3)]
+    k, w = fingerprints.K, fingerprints.WINDOW
+
+    def marks(text):
+        words = re.findall("[^\\x20\\x09-\\x0d]+", text)
+        h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in words]
+        grams = []
+        for i in range(max(1, len(h) - k + 1) if h else 0):
+            seed = 42
+            for x in h[i : i + k]:
+                seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=seed)
+            grams.append(seed & 0x7FFFFFFF)
+        found = []
+        for i in range(max(1, len(grams) - w + 1) if grams else 0):
+            at = min(range(i, min(i + w, len(grams))), key=lambda j: (grams[j], -j))
+            if (at, grams[at]) not in found[-1:]:
+                found.append((at, grams[at]))
+        return [a for a, _ in found], list(dict.fromkeys(g for _, g in found))
+
+    def like(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(documents(spark, texts)).collect()}
+    order = sorted(got, reverse=True)
+    by_id = {i: t or "" for i, t in texts}
+    for n, i in enumerate(order):
+        text, after = by_id[i], by_id[order[(n + 1) % len(order)]]
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        at, own = marks(text)
+        _, changed = marks(edited)
+        r = got[i]
+        assert r["n_chars"] == len(text) and r["positions"] == at and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == " ".join(f"{x:x}" for x in own) and r["edited_fingerprint"] == " ".join(f"{x:x}" for x in changed)
+        assert abs(r["near_edited"] - like(own, changed)) < 1e-12 and abs(r["near_next"] - like(own, marks(after)[1])) < 1e-12
+
+
 def test_targets_by_filling(spark):
     texts = [(i, "w " * n) for i, n in enumerate([1, 2, 400, 300, 20, 7, 50, 90])]
     rows = [(i, t, "en", s, 1, "l", 1, "w", 0.1, 1) for (i, t), s in zip(texts, ["a", "a", "b", "c", "d", None, "e", "é"], strict=True)]
