@@ -683,7 +683,19 @@ def point_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kalman_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track.kalman(_tracks(spark, sf_dir))
+    return rounded(track.kalman(_tracks(spark, sf_dir)), "x", "y")
+
+
+# The axes don't meet, so the filter is a recursion of one position, one velocity and three covariances (a, b, d) for each.
+SQL["kalman_tracks"] = f"""WITH RECURSIVE {tables.SQL},
+k AS (
+  SELECT video_id, point_id, frame_idx, x AS sx, y AS sy, 0::DOUBLE AS vx, 0::DOUBLE AS vy, 0.5::DOUBLE AS a, 0::DOUBLE AS b, 1::DOUBLE AS d FROM tracks WHERE frame_idx = 0
+  UNION ALL
+  SELECT video_id, point_id, frame_idx, px + g * (x - px), py + g * (y - py), vx + h * (x - px), vy + h * (y - py), (1 - g) * a, (1 - g) * b, d - h * b
+  FROM (SELECT *, a / (a + 1) AS g, b / (a + 1) AS h FROM (
+    SELECT t.video_id, t.point_id, t.frame_idx, t.x, t.y, k.sx + k.vx AS px, k.sy + k.vy AS py, k.vx, k.vy, k.a + 2 * k.b + k.d + 0.01 AS a, k.b + k.d AS b, k.d + 0.01 AS d
+    FROM k JOIN tracks t ON t.video_id = k.video_id AND t.point_id = k.point_id AND t.frame_idx = k.frame_idx + 1) p) q)
+SELECT video_id, point_id, frame_idx, round(sx, 4) + 0.0 AS x, round(sy, 4) + 0.0 AS y FROM k"""
 
 
 def _shots(spark: SparkSession) -> tuple[DataFrame, np.ndarray]:
@@ -718,11 +730,16 @@ def dense_flow_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.flow_fields(*_shots(spark))
 
 
-@query()
+BANK = np.round(spectral.make_taps(1.0, 1 / 24, 0.4, BINS, WIDTH, 2, 4)[0], 8)
+
+
+@query(
+    "SELECT video_id, axis, point_id, f_idx, t_ds, round(value, 4) + 0.0 AS value FROM spec",
+    SPECTRAL.replace(_TAPS, "taps(f_idx, k, re, im) AS (VALUES " + ", ".join(f"({f}, {k}, {z.real:.8f}::DOUBLE, {z.imag:.8f}::DOUBLE)" for f, row in enumerate(BANK) for k, z in enumerate(row)) + ")"),
+)
 def vqt_filter_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variable-Q bank itself, over the same traces."""
-    taps, _ = spectral.make_taps(1.0, 1 / 24, 0.4, BINS, WIDTH, 2, 4)
-    return spectral.vqt(spectral.packed(_traces(spark, sf_dir)), taps, POOL)
+    return rounded(spectral.vqt(spectral.packed(_traces(spark, sf_dir)), BANK, POOL), "value")
 
 
 # ---- every row as an image --------------------------------------------------

@@ -118,6 +118,18 @@ def test_principal_components(spark, con):
     assert np.allclose(np.sort(got.iloc[:, -1])[::-1], np.round(w / w.sum(), 4)[: len(got)], atol=1e-4)
 
 
+def test_transformed_images_lie_on_the_first(spark):
+    """Resampled through their warps, the pictures differ from the first by little of what they differed before."""
+    import numpy as np
+
+    rows = catalog.transformed_images(spark, SF).toPandas()
+    pictures, first = catalog._shots(spark)
+    before = {r["image_id"]: np.abs(np.reshape(r["data"], (48, 48)) - first)[6:-6, 6:-6].mean() for r in pictures.collect()}
+    for i, part in rows.groupby("image_id"):
+        image = part.sort_values("pixel").value.to_numpy().reshape(48, 48)
+        assert np.abs(image - first)[6:-6, 6:-6].mean() <= 0.15 * before[i] + 1e-6
+
+
 def test_taps():
     import numpy as np
 
