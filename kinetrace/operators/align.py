@@ -133,17 +133,64 @@ def _corners(df: DataFrame, x: Column, y: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("_c"))
 
 
-def remapped(image: DataFrame, remap: DataFrame, fill: float = 0.0, method: str = "linear") -> DataFrame:
-    """The image sampled at each pixel's source: bilinear or nearest; ``fill`` stands outside."""
+#: Pixels on each side that a method reads.
+_REACH = {"linear": 1, "cubic": 2, "lanczos": 4}
+#: The cubic kernel's free parameter, as image libraries have it.
+_CUBIC = -0.75
+
+
+def _kernel(d: Column, method: str) -> Column:
+    """A method's weight at a distance."""
+    d = F.abs(d)
+    if method == "linear":
+        return F.greatest(1 - d, F.lit(0.0))
+    if method == "cubic":
+        far = _CUBIC * (d * d * d - 5 * d * d + 8 * d - 4)
+        return F.when(d <= 1, (_CUBIC + 2) * d * d * d - (_CUBIC + 3) * d * d + 1).when(d < 2, far).otherwise(0.0)
+    sinc = lambda x: F.sin(np.pi * x) / (np.pi * x)
+    return F.when(d < 1e-9, 1.0).when(d < 4, sinc(d) * sinc(d / 4)).otherwise(0.0)
+
+
+def _bordered(at: Column, n: int | None, border: str) -> Column:
+    """The pixel that stands for ``at`` on an axis of ``n`` pixels."""
+    if border == "constant":
+        return at
+    if border == "replicate":
+        return F.least(F.greatest(at, F.lit(0)), F.lit(n - 1))
+    if border == "wrap":
+        return F.pmod(at, F.lit(n))
+    if border == "reflect":
+        m = F.pmod(at, F.lit(2 * n))
+        return F.when(m < n, m).otherwise(2 * n - 1 - m)
+    raise ValueError("border is constant, replicate, reflect or wrap")
+
+
+def remapped(image: DataFrame, remap: DataFrame, fill: float = 0.0, method: str = "linear", border: str = "constant", shape: tuple[int, int] | None = None) -> DataFrame:
+    """The image sampled at each pixel's source: nearest, linear, cubic or lanczos (eight pixels wide).
+
+    Outside there is ``fill``, or with another border the pixels of an image of ``shape``
+    (height, width): the last one again, mirrored with it, or from the other end.
+    """
+    height, width = shape or (None, None)
+    if border != "constant" and shape is None:
+        raise ValueError("this border needs the image's shape")
     i = image.select(F.col("y").alias("iy"), F.col("x").alias("ix"), F.col("value").alias("iv"))
     if method == "nearest":
-        r = remap.select("y", "x", F.bround("src_y").cast("long").alias("cy"), F.bround("src_x").cast("long").alias("cx"))
+        cy, cx = _bordered(F.bround("src_y").cast("long"), height, border), _bordered(F.bround("src_x").cast("long"), width, border)
+        r = remap.select("y", "x", cy.alias("cy"), cx.alias("cx"))
         return r.join(i, (F.col("cy") == F.col("iy")) & (F.col("cx") == F.col("ix")), "left").select("y", "x", F.coalesce("iv", F.lit(fill)).alias("value"))
-    if method != "linear":
-        raise ValueError("method is linear or nearest")
-    c = _corners(remap, F.col("src_x"), F.col("src_y"))
-    hit = c.join(i, (F.col("_c.cy") == F.col("iy")) & (F.col("_c.cx") == F.col("ix")), "left")
-    return hit.groupBy("y", "x").agg(F.sum(F.col("_c.w") * F.coalesce("iv", F.lit(fill))).alias("value"))
+    if method not in _REACH:
+        raise ValueError("method is nearest, linear, cubic or lanczos")
+    reach = range(1 - _REACH[method], _REACH[method] + 1)
+
+    def axis(source: str, n: int | None) -> Column:
+        at = F.floor(source)
+        total = sum((_kernel(F.col(source) - at - k, method) for k in reach), F.lit(0.0))
+        return F.array(*[F.struct(_bordered(at + k, n, border).alias("at"), (_kernel(F.col(source) - at - k, method) / total).alias("w")) for k in reach])
+
+    rows = remap.select("y", "x", axis("src_x", width).alias("_h"), F.explode(axis("src_y", height)).alias("_v")).select("y", "x", "_v", F.explode("_h").alias("_h"))
+    hit = rows.join(i, (F.col("_v.at") == F.col("iy")) & (F.col("_h.at") == F.col("ix")), "left")
+    return hit.groupBy("y", "x").agg(F.sum(F.col("_v.w") * F.col("_h.w") * F.coalesce("iv", F.lit(fill))).alias("value"))
 
 
 def composed_remaps(ab: DataFrame, bc: DataFrame) -> DataFrame:

@@ -140,20 +140,21 @@ def spectrum(series: np.ndarray, taps: np.ndarray, by: int, padding: str = "vali
     return np.concatenate(out, axis=1)
 
 
-def vqt(channels: DataFrame, taps: np.ndarray, by: int, padding: str = "valid") -> DataFrame:
-    """spectrogram(video_id, axis, point_id, f_idx, t_ds, value) from packed channels."""
+def vqt(channels: DataFrame, taps: np.ndarray, by: int, padding: str = "valid", as_complex: bool = False) -> DataFrame:
+    """spectrogram(video_id, axis, point_id, f_idx, t_ds, value) from packed channels; complex ones have (re, im) for the value."""
     shared = channels.sparkSession.sparkContext.broadcast(taps)
-    names = ["video_id", "axis", "point_id", "f_idx", "t_ds", "value"]
+    values = ["re", "im"] if as_complex else ["value"]
+    names = ["video_id", "axis", "point_id", "f_idx", "t_ds", *values]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                y = spectrum(np.asarray(batch.column(3)[i].values, float), shared.value, by, padding)
+                y = spectrum(np.asarray(batch.column(3)[i].values, float), shared.value, by, padding, as_complex)
                 f, t = np.indices(y.shape)
                 head = [pa.array([batch.column(c)[i].as_py()] * y.size, batch.schema.types[c]) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(f.ravel().astype(np.int32)), pa.array(t.ravel().astype(np.int64)), pa.array(y.ravel())], names)
+                yield pa.RecordBatch.from_arrays([*head, pa.array(f.ravel().astype(np.int32)), pa.array(t.ravel().astype(np.int64)), *[pa.array(v.ravel()) for v in ((y.real, y.imag) if as_complex else (y,))]], names)
 
-    return channels.mapInArrow(run, "video_id string, axis int, point_id int, f_idx int, t_ds long, value double")
+    return channels.mapInArrow(run, f"video_id string, axis int, point_id int, f_idx int, t_ds long, {', '.join(f'{v} double' for v in values)}")
 
 
 def time_axis(spark: SparkSession, n: int, width: int, by: int) -> DataFrame:

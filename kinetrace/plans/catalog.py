@@ -291,6 +291,13 @@ def vqt_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_packed_spectrogram(spark, sf_dir), "value")
 
 
+@query(f"SELECT video_id, axis, point_id, f_idx, o // {POOL} AS t_ds, round(avg(re) + 3e-9, 4) + 0.0 AS re, round(avg(im) + 3e-9, 4) + 0.0 AS im FROM conv GROUP BY ALL", SPECTRAL)
+def vqt_packed_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean complex values; a little is added before rounding, so that exact halves go the same way on both sides."""
+    y = spectral.vqt(spectral.packed(_traces(spark, sf_dir)), TAPS, POOL, as_complex=True)
+    return rounded(y.withColumns({c: F.col(c) + 3e-9 for c in ("re", "im")}), "re", "im")
+
+
 @query("SELECT video_id, axis, point_id, f_idx, t_ds, round(value, 4) + 0.0 AS value FROM spec WHERE point_id = 3 AND axis = 1", SPECTRAL)
 def vqt_one_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A demonstration transform: the filter comes first, so one series is convolved."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from kinetrace.functions import params as P
 from kinetrace.operators import points, spectral, tensor, track
 from kinetrace.sources import files
+from kinetrace.storage import keep
 
 
 def _now() -> str:
@@ -79,11 +80,21 @@ class Project:
         return {m.name: sorted(x.name for x in m.iterdir()) for m in sorted(base.iterdir()) if m.is_dir()}
 
 
-def run(spark: SparkSession, frames: DataFrame, home: DataFrame, params: dict, project: Project) -> dict[str, DataFrame]:
-    """The behavioural pipeline: track points, make spectra, factor them. Each step ends in an artefact table and the next begins from it."""
+def run(spark: SparkSession, frames: DataFrame, home: DataFrame | None, params: dict, project: Project, videos: DataFrame | None = None, polygons: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The behavioural pipeline: track points, make spectra, factor them. Each step ends in an artefact table and the next begins from it.
+
+    ``videos`` (video_id, num_frames, frame_rate) gives the frame rate where no clamp does; without either it is 60.
+    Without ``home`` the points are a grid of ``points.spacing`` inside ``polygons`` (roi_id, ord, x, y).
+    """
     p = P.resolved(params)
     steps, out = p["steps"], {}
     project.save_run_info("system", system_info())
+    if home is None and "track" in steps:
+        if polygons is None:
+            raise ValueError("points or polygons are needed")
+        size = frames.agg(F.max("height").alias("h"), F.max("width").alias("w")).first()
+        inside = points.polygon_mask(points.pixels(spark, size["h"], size["w"]), polygons)
+        home = keep(points.grid_points(points.mask_intersection(inside), p["points"]["spacing"]), "points")
     if "track" in steps:
         t = p["tracker"]
         found = track.track_points(frames, home, track.TrackerParams(**t), contiguous=p["videos"]["contiguous"])
@@ -97,7 +108,7 @@ def run(spark: SparkSession, frames: DataFrame, home: DataFrame, params: dict, p
     if "spectra" in steps:
         s = p["spectra"]
         tracks, home = project.load(spark, "tracker", "tracks"), project.load(spark, "tracker", "points")
-        rate = p["videos"]["frame_rate_clamp"] or 60.0
+        rate = points.frame_rate(videos, p["videos"]["frame_rate_clamp"]).first()["frame_rate"] if videos is not None else p["videos"]["frame_rate_clamp"] or 60.0
         taps, hz = spectral.make_taps(rate, s["f_low"], s["f_high"], s["bins"], s["taps"], s["q_low"], s["q_high"], s["side"])
         traces = points.displacements(tracks, home)
         channels = spectral.packed(traces.withColumn("point_id", F.col("point_id").cast("int")))

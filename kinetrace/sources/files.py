@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def natural_key(name: Column) -> list[Column]:
-    """Sort keys that take the first number in a name as a number."""
-    return [F.regexp_replace(name, "[0-9]+", ""), F.try_to_number(F.nullif(F.regexp_extract(name, "([0-9]+)", 1), F.lit("")), F.lit("9" * 18)).cast("long"), name]
+    """Sort keys that take every number in a name as a number: texts and numbers in turn, beginning with a text."""
+    parts = F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    plain = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    # of two numbers the one with more digits is greater
+    padded = F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(plain(x)).cast("string"), 9, "0"), plain(x))).otherwise(x))
+    return [F.when(name.rlike("^[0-9]"), F.concat(F.array(F.lit("")), padded)).otherwise(padded), name]
 
 
 def find_paths(spark: SparkSession, folder: str, name_matches: str = ".*", folder_matches: str | None = None, depth: int = 6, natural: bool = True) -> DataFrame:

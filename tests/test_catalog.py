@@ -130,6 +130,61 @@ def test_transformed_images_lie_on_the_first(spark):
         assert np.abs(image - first)[6:-6, 6:-6].mean() <= 0.15 * before[i] + 1e-6
 
 
+@pytest.mark.parametrize("border", ["constant", "replicate", "reflect", "wrap"])
+def test_remaps_against_loops(spark, border):
+    import math
+
+    import numpy as np
+
+    from kinetrace.operators import align
+
+    rng = np.random.default_rng(4)
+    image, h, w = rng.random((6, 7)), 6, 7
+    sources = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-9, 15, 40), rng.uniform(-9, 14, 40), strict=True))] + [(40, 3.0, 2.0), (41, 0.5, 5.0)]
+
+    def pixel(y, x):
+        if border == "constant":
+            return image[y, x] if 0 <= y < h and 0 <= x < w else 0.25
+        if border == "replicate":
+            return image[min(max(y, 0), h - 1), min(max(x, 0), w - 1)]
+        if border == "wrap":
+            return image[y % h, x % w]
+        fold = lambda i, n: i % (2 * n) if i % (2 * n) < n else 2 * n - 1 - i % (2 * n)
+        return image[fold(y, h), fold(x, w)]
+
+    def weight(d, method):
+        d = abs(d)
+        if method == "linear":
+            return max(0.0, 1 - d)
+        if method == "cubic":
+            return 1.25 * d**3 - 2.25 * d**2 + 1 if d <= 1 else -0.75 * (d**3 - 5 * d**2 + 8 * d - 4) if d < 2 else 0.0
+        return 1.0 if d < 1e-9 else np.sinc(d) * np.sinc(d / 4) if d < 4 else 0.0
+
+    pixels = spark.createDataFrame([(y, x, float(image[y, x])) for y in range(h) for x in range(w)], "y long, x long, value double")
+    remap = spark.createDataFrame([(0, i, x, y) for i, x, y in sources], "y long, x long, src_x double, src_y double")
+    for method, reach in (("nearest", 0), ("linear", 1), ("cubic", 2), ("lanczos", 4)):
+        got = {r["x"]: r["value"] for r in align.remapped(pixels, remap, 0.25, method, border, (h, w)).collect()}
+        for i, x, y in sources:
+            if method == "nearest":
+                want = pixel(round(y), round(x))
+            else:
+                xs, ys = ([(k, weight(c - k, method)) for k in range(math.floor(c) + 1 - reach, math.floor(c) + reach + 1)] for c in (x, y))
+                want = sum(wx * wy * pixel(ky, kx) for kx, wx in xs for ky, wy in ys) / sum(a for _, a in xs) / sum(a for _, a in ys)
+            assert abs(got[i] - want) < 1e-9, (method, i)
+
+
+def test_natural_key_takes_every_number(spark):
+    import re
+
+    from kinetrace.sources import files
+
+    names = ["a10b2", "a10b10", "a2b30", "a2b4", "b1", "10", "9x", "9x08", "9x8", "a", "", "a010b1", "x" + "9" * 60, "x" + "1" * 61]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r["n"] for r in df.orderBy(*files.natural_key(df["n"])).collect()]
+    turns = lambda n: [int(p) if i % 2 else p for i, p in enumerate(re.split("([0-9]+)", n)) if p or i == 0]
+    assert got == sorted(names, key=lambda n: (turns(n), n))
+
+
 def test_taps():
     import numpy as np
 

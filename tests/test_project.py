@@ -53,6 +53,24 @@ def test_pipeline(spark, tmp_path):
         p.save_config("factors", {}, overwrite=False)
 
 
+def test_pipeline_from_polygons_and_video_rates(spark, tmp_path):
+    """Points are a grid inside the polygons; the spectra follow the videos' frame rate."""
+    polygons = spark.createDataFrame([("a", i, float(x), float(y)) for i, (x, y) in enumerate([(10, 10), (40, 10), (40, 40), (10, 40)])], "roi_id string, ord int, x double, y double")
+    videos = spark.createDataFrame([("v0", 12, 90.0), ("v1", 12, 90.0)], "video_id string, num_frames long, frame_rate double")
+    given = {"steps": ["track", "spectra"], "points": {"spacing": 14}, "tracker": {"neighbours": 2, "most_rewinds": 2}, "spectra": {"taps": 5, "pool": 2, "bins": 3}}
+    p = project.Project(str(tmp_path / "p"))
+    out = project.run(spark, track.blob_frames(spark), None, given, p, videos, polygons)
+    n = p.load(spark, "tracker", "points").count()
+    assert n in (4, 9) and out["tracks"].count() == 2 * 12 * n
+    from kinetrace.operators import spectral
+
+    taps, _ = spectral.make_taps(90.0, 1.0, 60.0, 3, 5, 4.0, 10.0)
+    raw = p.load(spark, "tracker", "tracks").where("video_id = 'v0' AND point_id = 0").toPandas().sort_values("frame_idx")
+    start = p.load(spark, "tracker", "points").where("point_id = 0").first()
+    got = p.load(spark, "spectra", "raw").where("video_id = 'v0' AND point_id = 0 AND axis = 0").toPandas().sort_values(["f_idx", "t_ds"])
+    assert abs(got.value.to_numpy().reshape(3, -1) - spectral.spectrum(raw.x.to_numpy() - start.x0, taps, 2)).max() < 1e-6
+
+
 def test_streams(spark, tmp_path):
     rows = [(f"2024-01-01 00:{m:02d}:00", "a", 1, float(m)) for m in range(0, 40, 5)]
     spark.createDataFrame(rows, "ts string, video_id string, point_id int, value double").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "video_id", "point_id", "value", "CAST(value AS LONG) AS frame_idx", "value AS step").write.parquet(str(tmp_path / "in"))
