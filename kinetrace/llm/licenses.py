@@ -98,7 +98,7 @@ def bounds(size: int, least: Fraction = LEAST) -> tuple[int, int]:
 
 
 def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: Fraction = LEAST) -> DataFrame:
-    """Per document the best license, its Dice, the number of matching units and all licenses found."""
+    """Per document the best license, its Dice, the number of matching units and the best licenses of all units."""
     known = [(name, *bounds(len(b), least), b) for name, text in templates if (b := bigrams(text))]
     lowest, highest = min(k[1] for k in known), max(k[2] for k in known)
     table = F.array(*[F.struct(F.lit(n).alias("id"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*map(F.lit, b)).alias("grams")) for n, lo, hi, b in known])
@@ -125,6 +125,8 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
         ).alias("_scores"),
     )
     named = found.select("doc_id", F.transform(F.col("_scores"), lambda s: F.filter(F.transform(s, lambda x: F.struct((-x["col1"]).alias("cost"), x["id"].alias("id"))), lambda x: x["cost"] <= -float(least))).alias("_hits"))
+    # of several templates that fit one unit, only the best stay
+    named = named.withColumn("_hits", F.transform("_hits", lambda h: F.filter(h, lambda x: x["cost"] == F.array_min(h)["cost"])))
     hits = named.select("doc_id", F.coalesce(F.filter("_hits", lambda h: F.size(h) > 0), F.array()).alias("_units"), F.coalesce(F.flatten("_hits"), F.array()).alias("_hits"))
     best = F.array_min("_hits")
     return hits.select(
@@ -173,7 +175,7 @@ w AS (SELECT rid, row_number() OVER () AS uid, list_filter(string_split(regexp_r
 g AS (SELECT rid, uid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
 s AS (SELECT rid, uid, id, CAST(2 * len(list_intersect(g, grams)) AS DOUBLE) / (len(g) + len(grams)) AS dice
       FROM g, t WHERE len(g) BETWEEN len(grams) // 4 AND len(grams) * 4),
-h AS (SELECT * FROM s WHERE dice >= {float(least)}),
+h AS (SELECT * FROM s WHERE dice >= {float(least)} QUALIFY dice = max(dice) OVER (PARTITION BY uid)),
 best AS (SELECT rid, id, dice, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, id) AS k FROM h),
 n AS (SELECT rid, count(DISTINCT uid) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM h GROUP BY rid)
 SELECT doc_id, best.id AS license, best.dice AS dice, CAST(coalesce(n.n, 0) AS BIGINT) AS n_units, coalesce(n.ids, '') AS licenses

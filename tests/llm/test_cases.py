@@ -214,7 +214,18 @@ def test_common_licenses_and_full_texts(spark):
     got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got[1]["license"] == "CC-BY-NC-4.0" and got[1]["dice"] == 1.0
     assert got[2]["license"] == "MIT" and got[2]["dice"] == 1.0
-    assert got[3]["license"] == "GPL-3.0" and got[3]["dice"] > 0.95
+    assert got[3]["license"] == "GPL-3.0" and got[3]["dice"] > 0.95 and got[3]["licenses"] == "GPL-3.0"
+
+
+def test_every_template_is_found_and_no_rival(spark):
+    """Each template in a document of its own, changed a little, is its license and no other is named; other prose has none."""
+    rows = [(i, f"Some words before it.\n{text.replace('.', ' .', 1)} xx\nAnd some words after.") for i, (_, text) in enumerate(licenses.TEMPLATES)]
+    rows += [(1000, "A license is what a park asks of dogs.\nPermission is granted to walk here, free of charge."), (1001, "the general public enjoys a free library")]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, _) in enumerate(licenses.TEMPLATES):
+        assert got[i]["license"] == name and name in got[i]["licenses"].split(","), (name, got[i])
+        assert len(got[i]["licenses"].split(",")) == 1 or got[i]["dice"] < 1
+    assert got[1000]["license"] is None and got[1001]["license"] is None
 
 
 def brute_windows(text, templates):
