@@ -430,9 +430,9 @@ def flow_fields(images: DataFrame, template: np.ndarray, blur: int = 5, window:
     return images.select("image_id", "height", "width", "data").mapInPandas(run, "image_id long, y long, x long, dx double, dy double")
 
 
-def augmented(image: DataFrame, height: int, width: int, blurred_image: DataFrame, weight: float) -> DataFrame:
+def augmented(image: DataFrame, other: DataFrame, weight: float) -> DataFrame:
     """An image mixed with a version of itself (edges, blur, equalisation), scaled to 0..1 before registration."""
-    both = image.join(blurred_image.select("y", "x", F.col("value").alias("other")), ["y", "x"])
+    both = image.join(other.select("y", "x", F.col("value").alias("other")), ["y", "x"])
     mixed = both.select("y", "x", ((1 - weight) * F.col("value") + weight * F.col("other")).alias("value"))
-    span = mixed.agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    return mixed.join(span, F.lit(True)).select("y", "x", ((F.col("value") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0))).alias("value"))
+    low, high = mixed.agg(F.min("value"), F.max("value")).first()
+    return mixed.select("y", "x", ((F.col("value") - F.lit(low)) / F.nullif(F.lit(high) - F.lit(low), F.lit(0.0))).alias("value"))

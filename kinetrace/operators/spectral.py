@@ -117,10 +117,6 @@ def packed(traces: DataFrame) -> DataFrame:
     return rows.select("video_id", "axis", "point_id", F.transform("s", lambda x: x["d"]).alias("series"))
 
 
-def unpacked(channels: DataFrame) -> DataFrame:
-    return channels.select("video_id", "axis", "point_id", F.posexplode("series").alias("t", "d")).withColumn("t", F.col("t").cast("long"))
-
-
 def spectrum(series: np.ndarray, taps: np.ndarray, by: int, padding: str = "valid", as_complex: bool = False, block: int = 1 << 16) -> np.ndarray:
     """[bins, time] of one series; output is made ``block`` samples at a time, so memory stays bounded."""
     bins, width = taps.shape
@@ -169,10 +165,6 @@ def size_estimate(videos: DataFrame, points: int, bins: int, width: int, by: int
     return videos.select("video_id", (2 * bins * points * frames * itemsize / 1e9).alias("gb"))
 
 
-def size_of_last_block(n: int, by: int) -> int:
-    return n - (n - 1) // by * by
-
-
 def convolved_2d(image: DataFrame, kernel: DataFrame, height: int, width: int, k_height: int, k_width: int, mode: str = "same") -> DataFrame:
     """Two-dimensional convolution as a join with the kernel's taps: full, same or valid."""
     k = kernel.select(F.col("y").alias("ky"), F.col("x").alias("kx"), F.col("value").alias("kv"))

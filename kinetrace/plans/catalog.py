@@ -919,3 +919,22 @@ FROM ten t JOIN fac a ON a.mode = 'xy' AND a.idx = t.xy JOIN fac b ON b.mode = '
 GROUP BY ALL""", TENSOR + FACTORS)
 def khatri_rao_product_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tensor.mttkrp(_tensor(spark, sf_dir), fixed_factors(spark), "frequency", ("elem",)), "value", digits=2)
+
+
+PIXELS = "pix AS (SELECT vec_id AS y, CAST(i - 1 AS BIGINT) AS x, round(CAST(embedding[i] AS DOUBLE), 4) AS value FROM embeddings, range(1, 65) r(i))"
+
+
+@query("SELECT y, x, CAST(c AS INTEGER) AS channel, value FROM pix, range(3) t(c)", PIXELS)
+def grey_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel of every vector in three equal channels."""
+    image = _whole(spark, sf_dir)[0]
+    return image.select("y", "x", F.posexplode(scalar.grey_to_rgb(F.col("value"))).alias("channel", "value"))
+
+
+@query(
+    "SELECT y, x, round((m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ()), 4) + 0.0 AS value FROM (SELECT y, x, 0.7 * value + 0.3 * value * value AS m FROM pix)", PIXELS
+)
+def augmented_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a row of an image, mixed with its squares and scaled."""
+    image = _whole(spark, sf_dir)[0]
+    return rounded(align.augmented(image, image.select("y", "x", (F.col("value") * F.col("value")).alias("value")), 0.3), "value")
