@@ -34,7 +34,8 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(t: DataFrame) -> DataFrame:
-    return t.groupBy("point_id").agg(F.round(F.avg("x"), 4).alias("x0"), F.round(F.avg("y"), 4).alias("y0"))
+    # a little is added before rounding: exact halves are common here, and sums in another order must not move them
+    return t.groupBy("point_id").agg(*[F.round(F.avg(c) + 1e-9, 4).alias(f"{c}0") for c in ("x", "y")])
 
 
 def videos(t: DataFrame, frame_rate: float = 60.0) -> DataFrame:
@@ -62,7 +63,7 @@ tracks AS (
   SELECT v.video_id, CAST(p.p AS INTEGER) AS point_id, f.f AS frame_idx, coalesce(raw.x, 0) AS x, coalesce(raw.y, 0) AS y
   FROM (SELECT DISTINCT video_id FROM raw) v CROSS JOIN range({N_POINTS}) p(p) CROSS JOIN range({N_FRAMES}) f(f)
   LEFT JOIN raw ON raw.video_id = v.video_id AND raw.point_id = p.p AND raw.frame_idx = f.f),
-points AS (SELECT point_id, round(avg(x), 4) AS x0, round(avg(y), 4) AS y0 FROM tracks GROUP BY point_id),
+points AS (SELECT point_id, round(avg(x) + 1e-9, 4) AS x0, round(avg(y) + 1e-9, 4) AS y0 FROM tracks GROUP BY point_id),
 videos AS (SELECT video_id, max(frame_idx) + 1 AS num_frames, CAST(60 + length(video_id) % 3 AS DOUBLE) AS frame_rate FROM tracks GROUP BY video_id),
 trials AS (SELECT i AS trial_id, i * {TRIAL} AS first, i * {TRIAL} + {TRIAL - 1} AS last FROM range({N_FRAMES // TRIAL}) r(i)),
 image AS (
