@@ -540,6 +540,62 @@ def test_pipeline_against_its_parts(spark):
     assert got and got <= unlike <= good
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """Every stage's rows from its own input, recomputed plainly: verdicts, linked groups, cut bytes, words taken, the library's ids."""
+    import corpus_pipeline
+    from kinetrace.storage import keep
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = {r["doc_id"] for r in quality_model.quality_scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("score >= 0.7").collect()}
+    tables = [docs]
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        tables.append(keep(stage(spark, tables[-1], sf), f"test-{number}"))
+    rows = [t.collect() for t in tables]
+    assert {r["doc_id"] for r in rows[1]} == good and set(rows[1]) <= set(rows[0])
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    nodes = {r["doc_id"]: shingles(r["text"]) for r in rows[1]}
+    least = {i: i for i in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, sa in nodes.items():
+            for b, sb in nodes.items():
+                if least[b] < least[a] and sa and sb and 100 * len(sa & sb) >= 75 * len(sa | sb):
+                    least[a], changed = least[b], True
+    assert set(rows[2]) == {r for r in rows[1] if least[r["doc_id"]] == r["doc_id"]}
+
+    n, data = suffix_dedup.LENGTH, {r["doc_id"]: (r["text"] or "").encode() for r in rows[2]}
+    seen = Counter(b[i : i + n] for b in data.values() for i in range(len(b) - n + 1))
+    want = {}
+    for doc, b in data.items():
+        gone = [False] * len(b)
+        for i in range(len(b) - n + 1):
+            if seen[b[i : i + n]] > 1:
+                gone[i : i + n] = [True] * n
+        parts, at = [], 0
+        for i in range(len(b) + 1):
+            if i == len(b) or gone[i]:
+                parts.append(b[at:i].decode("utf-8", "ignore"))
+                at = i + 1
+        want[doc] = "".join(parts)
+    assert {r["doc_id"]: r["text"] for r in rows[3]} == want and all(r["n_chars"] == len(r["text"]) for r in rows[3])
+
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mixture(tables[3]).collect()}
+    mixed = Counter()
+    for r in rows[4]:
+        mixed[r["doc_id"]] += len((r["text"] or "").encode().split())
+        assert set((r["text"] or "").split()) <= set((want[r["doc_id"]] or "").split())
+    assert {k: v for k, v in mixed.items() if v} == {k: v for k, v in taken.items() if v}
+
+    sp = library()
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in rows[5]) == Counter((r["doc_id"], tuple(sp.encode(r["text"] or ""))) for r in rows[4])
+
+
 def test_executors_need_no_copy_of_the_package(tmp_path):
     """All queries from another folder, where only the driver finds the package."""
     import os
