@@ -28,12 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths that this driver has given out and not yet deleted.
+_GIVEN: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver's JVM ends."""
+    """A fresh path below the shared folder, deleted by :func:`cleanup` or when the driver's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/kinetrace/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    _GIVEN.append(path)
     return path
 
 
@@ -43,3 +48,14 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete all scratch tables so far and forget cached ones; results that read them must have been written. The number of tables."""
+    spark.catalog.clearCache()
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = len(_GIVEN)
+    while _GIVEN:
+        p = path(_GIVEN.pop())
+        p.getFileSystem(conf).delete(p, True)
+    return n

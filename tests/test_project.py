@@ -71,6 +71,18 @@ def test_pipeline_from_polygons_and_video_rates(spark, tmp_path):
     assert abs(got.value.to_numpy().reshape(3, -1) - spectral.spectrum(raw.x.to_numpy() - start.x0, taps, 2)).max() < 1e-6
 
 
+def test_cleanup(spark):
+    import os
+
+    from kinetrace import storage
+
+    path = storage.new_path(spark, "kept")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path.removeprefix("file://"))
+    assert storage.cleanup(spark) >= 1
+    assert not os.path.exists(path.removeprefix("file://")) and storage.cleanup(spark) == 0
+
+
 def test_streams(spark, tmp_path):
     rows = [(f"2024-01-01 00:{m:02d}:00", "a", 1, float(m)) for m in range(0, 40, 5)]
     spark.createDataFrame(rows, "ts string, video_id string, point_id int, value double").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "video_id", "point_id", "value", "CAST(value AS LONG) AS frame_idx", "value AS step").write.parquet(str(tmp_path / "in"))
