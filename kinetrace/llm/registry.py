@@ -25,7 +25,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
-def op3_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op3_licenses: notices anywhere in the words of a text."""
     return licenses.license_windows(_table(spark, sf_dir, "documents"))
 
 
@@ -58,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_mixing, op3_licenses, op3_license_windows, op4_quality_model, op5_suffix_dedup, op6_warc, op7_pieces, op8_toxicity, op9_minhash, op10_quality_rules]
+    found = [op1_fingerprints, op2_mixing, op3_licenses, license_windows, op4_quality_model, op5_suffix_dedup, op6_warc, op7_pieces, op8_toxicity, op9_minhash, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
