@@ -140,10 +140,8 @@ _CUBIC = -0.75
 
 
 def _kernel(d: Column, method: str) -> Column:
-    """A method's weight at a distance."""
+    """The weight of cubic or lanczos at a distance."""
     d = F.abs(d)
-    if method == "linear":
-        return F.greatest(1 - d, F.lit(0.0))
     if method == "cubic":
         far = _CUBIC * (d * d * d - 5 * d * d + 8 * d - 4)
         return F.when(d <= 1, (_CUBIC + 2) * d * d * d - (_CUBIC + 3) * d * d + 1).when(d < 2, far).otherwise(0.0)
@@ -185,8 +183,12 @@ def remapped(image: DataFrame, remap: DataFrame, fill: float = 0.0, method: str
 
     def axis(source: str, n: int | None) -> Column:
         at = F.floor(source)
-        total = sum((_kernel(F.col(source) - at - k, method) for k in reach), F.lit(0.0))
-        return F.array(*[F.struct(_bordered(at + k, n, border).alias("at"), (_kernel(F.col(source) - at - k, method) / total).alias("w")) for k in reach])
+        part = F.col(source) - at
+        weights = [1 - part, part] if method == "linear" else [_kernel(part - k, method) for k in reach]
+        if method == "lanczos":
+            total = sum(weights, F.lit(0.0))
+            weights = [w / total for w in weights]
+        return F.array(*[F.struct(_bordered(at + k, n, border).alias("at"), w.alias("w")) for k, w in zip(reach, weights, strict=True)])
 
     rows = remap.select("y", "x", axis("src_x", width).alias("_h"), F.explode(axis("src_y", height)).alias("_v")).select("y", "x", "_v", F.explode("_h").alias("_h"))
     hit = rows.join(i, (F.col("_v.at") == F.col("iy")) & (F.col("_h.at") == F.col("ix")), "left")

@@ -604,9 +604,14 @@ def remap_to_unit_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(align.remap_to_unit(_remap(spark), 64, 64), "u", "v")
 
 
-@query("SELECT CAST(c.y AS BIGINT) AS y, CAST(c.x AS BIGINT) AS x, round(sum(w * coalesce(i.value, 0)), 4) + 0.0 AS value FROM corner c LEFT JOIN image i ON i.y = cy AND i.x = cx GROUP BY ALL", _W)
+def _shifted(image: DataFrame) -> DataFrame:
+    return rounded(image.withColumn("value", F.col("value") + 1e-9), "value")
+
+
+@query("SELECT CAST(c.y AS BIGINT) AS y, CAST(c.x AS BIGINT) AS x, round(sum(w * coalesce(i.value, 0)) + 1e-9, 4) + 0.0 AS value FROM corner c LEFT JOIN image i ON i.y = cy AND i.x = cx GROUP BY ALL", _W)
 def remapped_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.remapped(tables.image(spark, sf_dir), _remap(spark)), "value")
+    """Bilinear values; a little is added before rounding, so that exact halves go the same way on both sides."""
+    return _shifted(align.remapped(tables.image(spark, sf_dir), _remap(spark)))
 
 
 @query("SELECT CAST(r.y AS BIGINT) AS y, CAST(r.x AS BIGINT) AS x, coalesce(i.value, 0) AS value FROM remap r LEFT JOIN image i ON i.y = round_even(src_y, 0) AND i.x = round_even(src_x, 0)", _W)
@@ -827,7 +832,7 @@ def colour_mapped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_over_all("remapped_image", _ALL_REMAP)
 def remapped_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     image, height = _whole(spark, sf_dir)
-    return rounded(align.remapped(image, align.warp_remap(spark, WARP, height, 64)), "value")
+    return _shifted(align.remapped(image, align.warp_remap(spark, WARP, height, 64)))
 
 
 @_over_all("remapped_nearest", _ALL_REMAP)
