@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,9 @@ CHUNK = 1 << 16
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _EDGE = re.compile(f"(?<=[^{SPACE}]){SPACE}")
-_REMEMBERED = 1 << 19
+_REMEMBERED = 1 << 18
+#: Bytes of text that a task works on at a time.
+_GROUP = 1 << 20
 #: The state before a document and after it.
 NONE = 0
 _WIDE = 64
@@ -262,19 +264,12 @@ class Encoder:
         self.segments.learn(split)
         return [np.frombuffer(b"".join(map(self.segments.__getitem__, s)), "<i4") for s in split]
 
-    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of every text, a bounded number of texts at a time."""
-        some: list[str] = []
-        held = 0
-        for i, t in enumerate(texts):
-            some.append(SPACE + t.replace(" ", SPACE) if t else "")
-            held += len(t)
-            if held > 1 << 22 or i == len(texts) - 1:
-                yield from self.marked(some)
-                some, held = [], 0
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        return self.marked([SPACE + t.replace(" ", SPACE) if t else "" for t in texts])
 
     def encode(self, text: str) -> np.ndarray:
-        return next(self.encode_all([text]))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded: the pieces' bytes without the mark put before the text."""
@@ -462,6 +457,20 @@ def giant_ids(texts: DataFrame, model: tuple, chunk: int = CHUNK) -> DataFrame:
     return both.mapInArrow(traced, f"{_KEY}, chunk int, ids binary").groupBy("k1", "k2").applyInArrow(put_together, f"{_KEY}, ids binary")
 
 
+def _groups(texts: Iterable[bytes]) -> Iterator[list[str]]:
+    """Texts in lists of about _GROUP bytes."""
+    some: list[str] = []
+    held = 0
+    for t in texts:
+        some.append(t.decode("utf-8", "replace"))
+        held += len(t)
+        if held >= _GROUP:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def encoded(docs: DataFrame, model_file: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_pieces, ids): the pieces of every whole text."""
     return _encoded(docs, model_file, chunk, digest=False)
@@ -493,8 +502,10 @@ def _encoded(docs: DataFrame, model_file: str | None, chunk: int, digest: bool)
     def whole(batches: Batches) -> Batches:
         e = Encoder(Vocabulary(*shared.value))
         for batch in batches:
-            texts = [t.decode("utf-8", "replace") for t in utf8(batch.column(1))]
-            yield told(batch.column(0), list(e.encode_all(texts)), texts, e)
+            at = 0
+            for texts in _groups(utf8(batch.column(1))):
+                yield told(batch.column(0).slice(at, len(texts)), e.encode_all(texts), texts, e)
+                at += len(texts)
 
     def finished(batches: Batches) -> Batches:
         e = Encoder(Vocabulary(*shared.value))
