@@ -19,3 +19,9 @@ def words(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """The number of words as a long; 0 for a null text."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII string, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: list_transform(range(8), lambda b: CAST((ascii(c) >> CAST(b AS INTEGER)) & 1 AS BIGINT))))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, b: xor(c >> 1, CASE WHEN xor(c & 1, b) = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END)), CAST(4294967295 AS BIGINT))"
