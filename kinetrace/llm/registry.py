@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrace.llm import fingerprints, licenses, minhash, mixing, periodic, pieces, quality_model, quality_rules, suffix_dedup, toxicity, warc
+from kinetrace.llm import fingerprints, licenses, minhash, mixing, periodic, pieces, quality_model, quality_rules, repair, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_mixing, op3_licenses, license_windows, op4_quality_model, op5_suffix_dedup, op6_warc, op7_pieces, op8_toxicity, op9_minhash, op10_quality_rules, op12_periodic_runs]
+    found = [op1_fingerprints, op2_mixing, op3_licenses, license_windows, op4_quality_model, op5_suffix_dedup, op6_warc, op7_pieces, op8_toxicity, op9_minhash, op10_quality_rules, op11_conversation_repair, op12_periodic_runs]
     return {f.__name__: f for f in found}
 
 
@@ -74,5 +78,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.oracle_sql(),
         "op9_minhash": minhash.oracle_sql(),
         "op10_quality_rules": quality_rules.oracle_sql(),
+        "op11_conversation_repair": repair.oracle_sql(),
         "op12_periodic_runs": periodic.oracle_sql(),
     }
