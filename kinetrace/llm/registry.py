@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrace.llm import fingerprints, licenses, minhash, mixing, periodic, pieces, quality_model, quality_rules, repair, suffix_dedup, toxicity, warc
+from kinetrace.llm import chat, fingerprints, licenses, minhash, mixing, periodic, pieces, quality_model, quality_rules, repair, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_mixing, op3_licenses, license_windows, op4_quality_model, op5_suffix_dedup, op6_warc, op7_pieces, op8_toxicity, op9_minhash, op10_quality_rules, op11_conversation_repair, op12_periodic_runs]
+    found = [op1_fingerprints, op2_mixing, op3_licenses, license_windows, op4_quality_model, op5_suffix_dedup, op6_warc, op7_pieces, op8_toxicity, op9_minhash, op10_quality_rules, op11_conversation_repair, op12_periodic_runs, op13_chat_windows]
     return {f.__name__: f for f in found}
 
 
@@ -80,4 +84,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_quality_rules": quality_rules.oracle_sql(),
         "op11_conversation_repair": repair.oracle_sql(),
         "op12_periodic_runs": periodic.oracle_sql(),
+        "op13_chat_windows": chat.oracle_sql(),
     }
