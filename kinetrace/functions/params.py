@@ -15,7 +15,7 @@ DEFAULTS: dict[str, Any] = {
     "points": {"spacing": 16.0},
     "tracker": {"window": 9, "levels": 3, "iterations": 12, "neighbours": 8, "rigidity": 0.02, "relaxation": 0.002, "threshold": 25.0, "before": 3, "after": 3, "most_rewinds": 3},
     "spectra": {"f_low": 1.0, "f_high": 60.0, "bins": 36, "q_low": 4.0, "q_high": 10.0, "taps": 501, "pool": 20, "side": "center", "padding": "valid", "alpha": 0.95, "exponent": 1.0, "gamma": 0.5},
-    "factors": {"rank": 10, "iterations": 200, "tolerance": 1e-9, "non_negative": True, "elements": "concatenate"},
+    "factors": {"rank": 10, "iterations": 200, "tolerance": 1e-9, "non_negative": True, "elements": "concatenate", "samples": 0, "penalties": None},
 }
 
 

@@ -1,10 +1,8 @@
-"""Tensors with named dimensions as long tables, and their CP decomposition.
+"""Tensors with named dimensions as long tables.
 
 A tensor is (elem, <dims>, value). Rearranging is index arithmetic; joining elements
-along a dimension shifts indices by the lengths before. The decomposition's only large
-step, the matricised tensor times Khatri-Rao product, is a join of the cells with the
-factors and a grouped sum; everything of the size of a factor's rank squared is solved
-on the driver.
+along a dimension shifts indices by the lengths before. Their decomposition is in
+:mod:`kinetrace.operators.cp`.
 """
 
 from __future__ import annotations
@@ -17,8 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinetrace.storage import keep
-
 
 def merged_dims(tensor: DataFrame, outer: str, inner: str, inner_length: int) -> tuple[DataFrame, str]:
     """Two dimensions in one: index outer * length(inner) + inner, named "(outer inner)"."""
@@ -142,102 +138,6 @@ def explained_variance(vectors: DataFrame, column: str, width: int) -> np.ndarra
     return w / w.sum()
 
 
-class CP:
-    """CP decomposition of one element's long table, plain or non-negative.
-
-    Factors are kept as arrays on the driver and sent as bounded lookup tables: their
-    rows are the lengths of the dimensions. Each pass over a mode is one grouped sum.
-    """
-
-    def __init__(self, rank: int, non_negative: bool = True, iterations: int = 200, tolerance: float = 1e-9, seed: int = 0) -> None:
-        self.rank, self.non_negative, self.iterations, self.tolerance, self.seed = rank, non_negative, iterations, tolerance, seed
-
-    def fit(self, tensor: DataFrame, dims: list[str]) -> CP:
-        spark = tensor.sparkSession
-        cells = keep(tensor.select(*dims, "value"), "tensor")
-        lengths = cells.agg(*[(F.max(d) + 1).alias(d) for d in dims], F.sum(F.col("value") * F.col("value")).alias("_norm")).first()
-        rng = np.random.default_rng(self.seed)
-        self.factors = {d: rng.random((int(lengths[d] or 0), self.rank)) for d in dims}
-        self.errors: list[float] = []
-        norm = float(lengths["_norm"] or 0.0)
-        for _ in range(self.iterations):
-            for d in dims:
-                others = [o for o in dims if o != d]
-                shared = spark.sparkContext.broadcast({o: self.factors[o] for o in others})
-                rank = self.rank
-
-                def partial(parts: Iterator[pd.DataFrame], d: str = d, others: list[str] = others, shared=shared, rank: int = rank) -> Iterator[pd.DataFrame]:
-                    sums: dict[int, np.ndarray] = {}
-                    for p in parts:
-                        w = p["value"].to_numpy()[:, None]
-                        for o in others:
-                            w = w * shared.value[o][p[o].to_numpy()]
-                        idx, inverse = np.unique(p[d].to_numpy(), return_inverse=True)
-                        block = np.zeros((len(idx), rank))
-                        np.add.at(block, inverse, w)
-                        for i, row in zip(idx.tolist(), block, strict=True):
-                            sums[i] = sums[i] + row if i in sums else row
-                    yield pd.DataFrame({"idx": np.array(list(sums), "int64"), "v": [x.tolist() for x in sums.values()]})
-
-                rows = cells.mapInPandas(partial, "idx long, v array<double>").groupBy("idx").agg(*[F.sum(F.col("v")[r]).alias(f"v{r}") for r in range(rank)]).collect()
-                shared.destroy()
-                m = np.zeros_like(self.factors[d])
-                for r in rows:  # a row for each index of the mode
-                    m[r["idx"]] = r[1:]
-                g = np.prod([self.factors[o].T @ self.factors[o] for o in others], axis=0)
-                self.factors[d] = self._step(self.factors[d], m, g)
-            a = self.factors[dims[-1]]
-            error = norm - 2 * float((m * a).sum()) + float((g * (a.T @ a)).sum())
-            self.errors.append(float(np.sqrt(max(error, 0.0) / norm)) if norm else 0.0)
-            if len(self.errors) > 1 and abs(self.errors[-2] - self.errors[-1]) < self.tolerance:
-                break
-        return self
-
-    def _step(self, a: np.ndarray, m: np.ndarray, g: np.ndarray) -> np.ndarray:
-        if not self.non_negative:
-            return m @ np.linalg.pinv(g)
-        a = a.copy()
-        for r in range(self.rank):
-            if g[r, r] > 1e-12:
-                a[:, r] = np.maximum(0, a[:, r] + (m[:, r] - a @ g[:, r]) / g[r, r])
-        return a
-
-    def table(self, spark, elem: str = "0") -> DataFrame:
-        """factors(elem, mode, idx, r, value)."""
-        rows = [(elem, d, i, r, float(v)) for d, f in self.factors.items() for i, row in enumerate(f) for r, v in enumerate(row)]
-        return spark.createDataFrame(rows, "elem string, mode string, idx long, r int, value double")
-
-
-def fit_each(tensor: DataFrame, dims: list[str], rank: int, iterations: int = 50, seed: int = 0, tolerance: float = 0.0) -> DataFrame:
-    """An independent non-negative fit of every element, in parallel; an element is as large as one recording's tensor."""
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        shape = [int(part[d].max()) + 1 for d in dims]
-        x = np.zeros(shape)
-        x[tuple(part[d].to_numpy() for d in dims)] = part["value"].to_numpy()
-        rng = np.random.default_rng(seed)
-        f = [rng.random((n, rank)) for n in shape]
-        norm, last = float((x * x).sum()), None
-        for _ in range(iterations):
-            for i in range(len(dims)):
-                letters = "abcdefgh"[: len(dims)]
-                other = [j for j in range(len(dims)) if j != i]
-                m = np.einsum(f"{letters},{','.join(letters[j] + 'z' for j in other)}->{letters[i]}z", x, *[f[j] for j in other])
-                g = np.prod([f[j].T @ f[j] for j in other], axis=0)
-                for r in range(rank):
-                    if g[r, r] > 1e-12:
-                        f[i][:, r] = np.maximum(0, f[i][:, r] + (m[:, r] - f[i] @ g[:, r]) / g[r, r])
-            error = norm - 2 * float((m * f[-1]).sum()) + float((g * (f[-1].T @ f[-1])).sum())
-            error = float(np.sqrt(max(error, 0.0) / norm)) if norm else 0.0
-            if last is not None and abs(last - error) < tolerance:
-                break
-            last = error
-        rows = [(part["elem"].iloc[0], d, i, r, float(v)) for d, a in zip(dims, f, strict=True) for i, row in enumerate(a) for r, v in enumerate(row)]
-        return pd.DataFrame(rows, columns=["elem", "mode", "idx", "r", "value"])
-
-    return tensor.groupBy("elem").applyInPandas(fit, "elem string, mode string, idx long, r int, value double")
-
-
 def polar_loadings(factor: DataFrame, points: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(point, r, magnitude, angle) of a factor whose first half of indices is x and second half y."""
     half = lambda k: F.sum(F.when(F.floor(F.col("idx") / points) == k, F.col("value")).otherwise(0.0))

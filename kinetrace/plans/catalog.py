@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinetrace.functions import scalar
-from kinetrace.operators import align, points, spectral, tensor, track
+from kinetrace.operators import align, cp, points, spectral, tensor, track
 from kinetrace.plans import compare
 from kinetrace.sources import tables
 
@@ -508,16 +508,45 @@ def polar_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tensor.polar_loadings(_factor(spark, sf_dir), 360), "magnitude", "angle")
 
 
+DIMS = ["xy", "points", "frequency", "time"]
+PENALTIES = {"points": cp.Penalty(simplex=True), "frequency": cp.Penalty(sparsity=0.5), "time": cp.Penalty(smoothness=5.0)}
+
+
 @query()
 def cp_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Independent non-negative CP of every element, with the iterations and tolerance of ``tensor.CP``."""
-    default = tensor.CP(RANK)
-    return tensor.fit_each(_tensor(spark, sf_dir), ["xy", "points", "frequency", "time"], RANK, default.iterations, tolerance=default.tolerance)
+    """Independent non-negative CP of every element, until an element's error changes by less than a thousandth."""
+    return cp.CP(RANK, iterations=30, tolerance=1e-3).fit(_tensor(spark, sf_dir), DIMS).factors
 
 
 @query()
 def cp_factors_by_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tensor.fit_each(_tensor(spark, sf_dir), ["xy", "points", "frequency", "time"], RANK, iterations=20)
+    return cp.CP(RANK, iterations=20).fit(_tensor(spark, sf_dir), DIMS).factors
+
+
+@query()
+def cp_factors_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from 512 drawn fibres for each mode's pass."""
+    return cp.CP(RANK, samples=512, iterations=6).fit(_tensor(spark, sf_dir), DIMS).factors
+
+
+@query(
+    """SELECT elem, mode, n AS n_rows, true AS held, true AS objective_never_rises, true AS exact FROM (
+  SELECT elem, 'xy' AS mode, count(DISTINCT xy) AS n FROM ten GROUP BY elem UNION ALL SELECT elem, 'points', count(DISTINCT points) FROM ten GROUP BY elem
+  UNION ALL SELECT elem, 'frequency', count(DISTINCT frequency) FROM ten GROUP BY elem UNION ALL SELECT elem, 'time', count(DISTINCT time) FROM ten GROUP BY elem)""",
+    TENSOR,
+)
+def cp_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A penalised fit of every element: rows of each mode, if they keep what they are held to, if the objective ever
+    rose, and if the error that the passes tell is that of the factors against all cells."""
+    cells = _tensor(spark, sf_dir)
+    fit = cp.CP(RANK, penalties=PENALTIES, iterations=4).fit(cells, DIMS)
+    rows = fit.factors.groupBy("elem", "mode", "idx").agg(F.min("value").alias("least"), F.sum("value").alias("total"))
+    held = (F.col("least") >= 0) & ((F.col("mode") != "points") | (F.abs(F.col("total") - 1) < 1e-9))
+    told = spark.createDataFrame(fit.history, "sweep int, elem string, objective double, told double")
+    before = Window.partitionBy("elem").orderBy("sweep")
+    steps = told.withColumn("rise", F.col("objective") - F.lag("objective").over(before)).groupBy("elem").agg((F.max("rise") <= 1e-9).alias("objective_never_rises"), F.max_by("told", "sweep").alias("told"))
+    exact = steps.join(cp.residuals(cells, DIMS, fit.factors), "elem").select("elem", "objective_never_rises", (F.abs(F.col("told") - F.col("error")) < 1e-6).alias("exact"))
+    return rows.groupBy("elem", "mode").agg(F.count("*").alias("n_rows"), F.bool_and(held).alias("held")).join(exact, "elem")
 
 
 @query()

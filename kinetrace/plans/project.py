@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrace.functions import params as P
-from kinetrace.operators import points, spectral, tensor, track
+from kinetrace.operators import cp, points, spectral, tensor, track
 from kinetrace.sources import files
 from kinetrace.storage import keep
 
@@ -124,10 +124,8 @@ def run(spark: SparkSession, frames: DataFrame, home: DataFrame | None, params:
         if f["elements"] == "concatenate":
             cells = tensor.concatenated(cells, "time")
         dims = ["xy", "points", "frequency", "time"]
-        if f["elements"] == "separate":
-            factors = tensor.fit_each(cells, dims, f["rank"], f["iterations"], p["project"]["seed"])
-        else:
-            factors = tensor.CP(f["rank"], f["non_negative"], f["iterations"], f["tolerance"], p["project"]["seed"]).fit(cells, dims).table(spark)
+        penalties = {d: cp.Penalty(**x) for d, x in (f["penalties"] or {}).items()}
+        factors = cp.CP(f["rank"], f["non_negative"], penalties, f["samples"], f["iterations"], f["tolerance"], p["project"]["seed"]).fit(cells, dims).factors
         project.save("factors", "factors", factors)
         project.save_config("factors", f)
         out["factors"] = project.load(spark, "factors", "factors")

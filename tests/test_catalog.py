@@ -38,22 +38,6 @@ def test_same_as_sql(spark, con, name):
     assert got == want
 
 
-def test_cp_error_falls(spark):
-    import numpy as np
-
-    from kinetrace.operators import tensor
-
-    rng = np.random.default_rng(0)
-    a, b, c = rng.random((4, 2)), rng.random((5, 2)), rng.random((6, 2))
-    x = np.einsum("ir,jr,kr->ijk", a, b, c)
-    cells = spark.createDataFrame([(i, j, k, float(x[i, j, k])) for i in range(4) for j in range(5) for k in range(6)], "i long, j long, k long, value double")
-    for non_negative in (True, False):
-        cp = tensor.CP(2, non_negative, iterations=15).fit(cells, ["i", "j", "k"])
-        assert all(e2 <= e1 + 1e-6 for e1, e2 in zip(cp.errors, cp.errors[1:], strict=False))
-        assert cp.errors[-1] < 0.2
-        assert not non_negative or all((f >= 0).all() for f in cp.factors.values())
-
-
 def test_point_tracking_follows_blobs(spark):
     import numpy as np
 
@@ -220,18 +204,6 @@ def test_every_element_and_video(spark):
         assert {r[0] for r in catalog.QUERIES[name](spark, SF).select(key).distinct().collect()} == {"click", "error", "purchase", "signup", "view"}
 
 
-def test_fits_of_elements_equal_the_distributed_fit(spark):
-    import numpy as np
-
-    from kinetrace.operators import tensor
-
-    rng = np.random.default_rng(0)
-    cells = spark.createDataFrame([("a", i, j, k, float(rng.random())) for i in range(3) for j in range(4) for k in range(5)], "elem string, i long, j long, k long, value double")
-    want = tensor.CP(2, iterations=4).fit(cells.drop("elem"), ["i", "j", "k"]).factors
-    got = tensor.fit_each(cells, ["i", "j", "k"], 2, 4, tolerance=1e-9).collect()
-    assert all(abs(r["value"] - want[r["mode"]][r["idx"], r["r"]]) < 1e-9 for r in got)
-
-
 def test_entry_and_queries(spark):
     import __spark_entry__ as entry
 
