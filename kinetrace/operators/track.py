@@ -103,48 +103,11 @@ class Tracker:
         return new - self.p.relaxation * (new - self.home)
 
     def stream(self, frames: Iterable[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(frame, positions [P, 2], violations [P]) in order, each once no rewind can reach it any more.
-
-        Only the last ``reach`` frames are held: a rewind goes back no farther than that
-        from the newest frame, and at most ``most_rewinds`` times from one frame.
-        """
-        reach = self.p.before * (self.p.most_rewinds + 1) + 1
-        images: dict[int, np.ndarray] = {}
-        tracks: dict[int, np.ndarray] = {}
-        bad: dict[int, np.ndarray] = {}
-        rewinds: dict[int, int] = {}
-        none = np.zeros(len(self.home), bool)
-        at, frozen, source = self.home.copy(), none, iter(frames)
-        i, newest, first = 0, -1, 0
-        while True:
-            if i > newest:
-                frame = next(source, None)
-                if frame is None:
-                    break
-                newest += 1
-                images[newest] = self.image(frame)
-                while first < newest - reach:
-                    yield first, tracks.pop(first), bad.pop(first, none)
-                    images.pop(first - 1, None)
-                    rewinds.pop(first, None)
-                    first += 1
-            at = self.step(images[max(i - 1, 0)], images[i], at, frozen)
-            tracks[i] = at
-            far = np.linalg.norm(at - self.home, axis=1) > self.p.threshold
-            if far.any():
-                hit = far.copy()
-                hit[np.unique(self.near[far])] = True
-                for k in range(max(i - self.p.before, first), i + self.p.after):
-                    bad[k] = bad.get(k, none) | hit
-                if rewinds.get(i, 0) < self.p.most_rewinds:
-                    rewinds[i] = rewinds.get(i, 0) + 1
-                    i = max(i - self.p.before, first)
-                    at, frozen = tracks[i].copy(), bad.get(i, none)
-                    continue
-            frozen = bad.get(i, none)
-            i += 1
-        for k in range(first, newest + 1):
-            yield k, tracks[k], bad.get(k, none)
+        """(frame, positions [P, 2], violations [P]) in order, each once no rewind can reach it any more."""
+        going = Recursion(self)
+        for frame in frames:
+            yield from going.push(frame)
+        yield from going.rest()
 
     def run(self, frames: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Positions [T, P, 2] and violations [T, P] of all frames."""
@@ -152,6 +115,60 @@ class Tracker:
         return np.array([r[1] for r in rows]).reshape(len(rows), len(self.home), 2), np.array([r[2] for r in rows], bool).reshape(len(rows), len(self.home))
 
 
+class Recursion:
+    """A video's tracking so far: takes frames one by one, and can be taken apart and put together between two of them.
+
+    Only the last ``reach`` frames are held: a rewind goes back no farther than that
+    from the newest frame, and at most ``most_rewinds`` times from one frame.
+    """
+
+    def __init__(self, tracker: Tracker) -> None:
+        self.tracker, self.p = tracker, tracker.p
+        self.reach = self.p.before * (self.p.most_rewinds + 1) + 1
+        self.images: dict[int, np.ndarray] = {}
+        self.tracks: dict[int, np.ndarray] = {}
+        self.bad: dict[int, np.ndarray] = {}
+        self.rewinds: dict[int, int] = {}
+        self.none = np.zeros(len(tracker.home), bool)
+        self.at, self.frozen = tracker.home.copy(), self.none
+        self.i, self.newest, self.first = 0, -1, 0
+
+    def push(self, frame: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Take the next frame; yields what no rewind can reach any more."""
+        self.newest += 1
+        self.images[self.newest] = self.tracker.image(frame)
+        while self.first < self.newest - self.reach:
+            k = self.first
+            yield k, self.tracks.pop(k), self.bad.pop(k, self.none)
+            self.images.pop(k - 1, None)
+            self.rewinds.pop(k, None)
+            self.first += 1
+        while self.i <= self.newest:
+            self._step()
+
+    def _step(self) -> None:
+        i, p = self.i, self.p
+        self.at = self.tracker.step(self.images[max(i - 1, 0)], self.images[i], self.at, self.frozen)
+        self.tracks[i] = self.at
+        far = np.linalg.norm(self.at - self.tracker.home, axis=1) > p.threshold
+        if far.any():
+            hit = far.copy()
+            hit[np.unique(self.tracker.near[far])] = True
+            for k in range(max(i - p.before, self.first), i + p.after):
+                self.bad[k] = self.bad.get(k, self.none) | hit
+            if self.rewinds.get(i, 0) < p.most_rewinds:
+                self.rewinds[i] = self.rewinds.get(i, 0) + 1
+                self.i = max(i - p.before, self.first)
+                self.at, self.frozen = self.tracks[self.i].copy(), self.bad.get(self.i, self.none)
+                return
+        self.frozen = self.bad.get(i, self.none)
+        self.i += 1
+
+    def rest(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for k in range(self.first, self.newest + 1):
+            yield k, self.tracks[k], self.bad.get(k, self.none)
+
+
 def track_points(frames: DataFrame, points: DataFrame, params: TrackerParams | None = None, contiguous: bool = False) -> DataFrame:
     """(video_id, frame_idx, point_id, x, y, violation): each video by itself, or all as one sequence.
 
