@@ -220,19 +220,79 @@ def inverted_remap(remap: DataFrame) -> DataFrame:
     return at.select(F.col("y2").alias("y"), F.col("x2").alias("x"), "src_x", "src_y")
 
 
-def equalised(image: DataFrame, tile: int, bins: int = 64, clip: float = 4.0, scale: float = 1.0) -> DataFrame:
-    """Histogram equalisation in tiles: counts over ``clip`` times the mean are cut and spread evenly."""
+def interpolated_inverse(remap: DataFrame) -> DataFrame:
+    """The inverse of a remap (y, x, src_y, src_x) at every pixel inside what it covers, without holes.
+
+    Four neighbouring pixels are two triangles in the source, which are filled with the
+    pixels in them: each gets its place by barycentric weights. Cells that lack a pixel
+    are left out, a pixel in several triangles (on an edge, or in a fold) takes the first
+    by the cell's row, column and half. A triangle without area has no pixels.
+    """
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    part = remap.select("y", "x", "src_y", "src_x", F.explode(corners).alias("_c"))
+    at = part.select((F.col("y") - F.col("_c.i")).alias("cy"), (F.col("x") - F.col("_c.j")).alias("cx"), F.col("_c.i").alias("i"), F.col("_c.j").alias("j"), "src_y", "src_x")
+    one = lambda i, j, c: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col(c))).alias(f"{c[-1]}{i}{j}")
+    cells = at.groupBy("cy", "cx").agg(*[one(i, j, c) for i in (0, 1) for j in (0, 1) for c in ("src_y", "src_x")], F.count("*").alias("n")).where("n = 4")
+    corner = lambda i, j: F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j"), F.col(f"y{i}{j}").alias("y"), F.col(f"x{i}{j}").alias("x"))
+    half = lambda h, *at: F.struct(F.lit(h).alias("h"), *[corner(*ij).alias(n) for n, ij in zip("pqr", at, strict=True)])
+    halves = cells.select("cy", "cx", F.explode(F.array(half(0, (0, 0), (0, 1), (1, 0)), half(1, (1, 1), (1, 0), (0, 1)))).alias("t"))
+    ends = lambda c, f: f(*[F.col(f"t.{n}.{c}") for n in "pqr"])
+    span = lambda c: F.sequence(F.ceil(ends(c, F.least)), F.floor(ends(c, F.greatest)))
+    wide = F.ceil(ends("y", F.least)) <= F.floor(ends("y", F.greatest))
+    high = F.ceil(ends("x", F.least)) <= F.floor(ends("x", F.greatest))
+    filled = halves.where(wide & high).select("cy", "cx", "t", F.explode(span("y")).alias("y")).select("cy", "cx", "t", "y", F.explode(span("x")).alias("x"))
+    d = lambda a, b, c: F.col(f"t.{a}.{c}") - F.col(f"t.{b}.{c}")
+    area = d("q", "p", "x") * d("r", "p", "y") - d("r", "p", "x") * d("q", "p", "y")
+    px, py = F.col("x") - F.col("t.p.x"), F.col("y") - F.col("t.p.y")
+    weighed = filled.withColumn("_area", area).where("_area <> 0").select("*", ((px * d("r", "p", "y") - d("r", "p", "x") * py) / F.col("_area")).alias("u"), ((d("q", "p", "x") * py - px * d("q", "p", "y")) / F.col("_area")).alias("v"))
+    inside = weighed.where("u >= -1e-9 AND v >= -1e-9 AND u + v <= 1 + 1e-9")
+    place = lambda c, k: F.col(c) + F.col(f"t.p.{k}") + F.col("u") * d("q", "p", k) + F.col("v") * d("r", "p", k)
+    first = F.min(F.struct("cy", "cx", F.col("t.h").alias("h"), place("cx", "j").alias("sx"), place("cy", "i").alias("sy"))).alias("m")
+    return inside.groupBy("y", "x").agg(first).select("y", "x", F.col("m.sx").alias("src_x"), F.col("m.sy").alias("src_y"))
+
+
+def blended(image: DataFrame, tile: int, bins: int = 64, clip: float = 4.0, scale: float = 1.0) -> DataFrame:
+    """Histogram equalisation whose tables change smoothly: a pixel's value is blended from the tables of its four nearest tiles.
+
+    Tables are those of :func:`equalised`, for all bins; weights go by the distance to the tiles'
+    centres, and beyond the outer centres the nearest tiles count alone.
+    """
+    at = _binned(image, tile, bins)
+    counts = at.groupBy("ty", "tx", "bin").count()
+    tiles = at.groupBy("ty", "tx").agg(F.count("*").alias("n"))
+    every = tiles.select("ty", "tx", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    table = _tables(every.join(counts, ["ty", "tx", "bin"], "left").select("ty", "tx", "bin", "n", F.coalesce("count", F.lit(0)).alias("count")), bins, clip, scale)
+    last = tiles.agg(F.max("ty").alias("_ly"), F.max("tx").alias("_lx"))
+    place = lambda c, n: F.least(F.greatest((F.col(c) + 0.5) / tile - 0.5, F.lit(0.0)), F.col(n).cast("double"))
+    placed = at.join(last, F.lit(True)).select("y", "x", "bin", place("y", "_ly").alias("fy"), place("x", "_lx").alias("fx"))
+    four = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    part = lambda c, k: F.when(F.col(f"_c.{k}") == 1, F.col(c) - F.floor(c)).otherwise(1 - F.col(c) + F.floor(c))
+    near = placed.withColumn("_c", F.explode(four)).select("y", "x", "bin", (F.floor("fy") + F.col("_c.i")).alias("ty"), (F.floor("fx") + F.col("_c.j")).alias("tx"), (part("fy", "i") * part("fx", "j")).alias("w"))
+    return near.where("w > 0").join(table, ["ty", "tx", "bin"]).groupBy("y", "x").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def _binned(image: DataFrame, tile: int, bins: int) -> DataFrame:
+    """(y, x, ty, tx, bin): each pixel's tile and its level among ``bins``."""
     span = image.agg(F.min("value").alias("a"), F.max("value").alias("b"))
     level = F.least(F.floor((F.col("value") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0)) * bins), F.lit(bins - 1))
-    at = image.join(span, F.lit(True)).select("y", "x", F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"), F.coalesce(level, F.lit(0)).alias("bin"))
-    counts = at.groupBy("ty", "tx", "bin").count()
+    return image.join(span, F.lit(True)).select("y", "x", F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"), F.coalesce(level, F.lit(0)).alias("bin"))
+
+
+def _tables(counts: DataFrame, bins: int, clip: float, scale: float) -> DataFrame:
+    """(ty, tx, bin, value) from (ty, tx, bin, n, count): the running share of clipped counts."""
     whole = Window.partitionBy("ty", "tx")
-    n = F.sum("count").over(whole)
-    cut = counts.withColumn("n", n).withColumn("c", F.least(F.col("count").cast("double"), clip * F.col("n") / bins))
+    cut = counts.withColumn("c", F.least(F.col("count").cast("double"), clip * F.col("n") / bins))
     even = cut.withColumn("spare", (F.col("n") - F.sum("c").over(whole)) / bins)
     share = (F.sum("c").over(whole.orderBy("bin")) + F.col("spare") * (F.col("bin") + 1)) / F.col("n")
-    table = even.select("ty", "tx", "bin", (share * scale).alias("value"))
-    return at.join(table, ["ty", "tx", "bin"]).select("y", "x", "value")
+    return even.select("ty", "tx", "bin", (share * scale).alias("value"))
+
+
+def equalised(image: DataFrame, tile: int, bins: int = 64, clip: float = 4.0, scale: float = 1.0) -> DataFrame:
+    """Histogram equalisation in tiles: counts over ``clip`` times the mean are cut and spread evenly."""
+    at = _binned(image, tile, bins)
+    counts = at.groupBy("ty", "tx", "bin").count()
+    known = counts.withColumn("n", F.sum("count").over(Window.partitionBy("ty", "tx")))
+    return at.join(_tables(known, bins, clip, scale), ["ty", "tx", "bin"]).select("y", "x", "value")
 
 
 def rigid_motion(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -245,6 +305,43 @@ def rigid_motion(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, F.hypot(a, b).alias("scale"), F.atan2(b, a).alias("angle"), (F.col("mx") - a * F.col("mx0") + b * F.col("my0")).alias("dx"), (F.col("my") - b * F.col("mx0") - a * F.col("my0")).alias("dy"))
 
 
+#: Multipliers and modulus of the seeded draws, which any engine can repeat.
+DRAW = (7919, 104729, 15485863, 1000003)
+
+
+def drawn(trial: Column, point: Column, which: int, seed: int) -> Column:
+    """A number that orders the points of a trial at random; ``which`` of its two draws."""
+    a, b, c, m = DRAW
+    x = ((point + 1) * a + (trial + 1) * b + (which + 1) * c + seed) % m
+    return (x * x + x * (trial + 3)) % m
+
+
+def robust_motion(pairs: DataFrame, keys: list[str], tolerance: float, trials: int = 16, seed: int = 0) -> DataFrame:
+    """Rotation, scale and shift of points (point_id, x0, y0) to (x, y) per key, without those that move otherwise (RANSAC).
+
+    Each trial draws two points (the least of two seeded orders), which fix a motion; the
+    points that it takes to within ``tolerance`` of where they are vote for it. The trial with
+    most votes, the first of them, is refitted to its voters by least squares. Two equal
+    draws, or two points at one place, are no trial; a key without a trial has no row.
+    """
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))).alias("trial")
+    known = pairs.select(*keys, F.col("point_id").cast("long").alias("point_id"), "x0", "y0", "x", "y").dropna()
+    pick = lambda which: F.min(F.struct(drawn(F.col("trial"), F.col("point_id"), which, seed).alias("r"), "point_id", "x0", "y0", "x", "y")).alias(f"p{which}")
+    two = known.select("*", numbers).groupBy(*keys, "trial").agg(pick(0), pick(1))
+    u, v = (F.col(f"p1.{c}0") - F.col(f"p0.{c}0") for c in ("x", "y"))
+    p, q = (F.col(f"p1.{c}") - F.col(f"p0.{c}") for c in ("x", "y"))
+    n = u * u + v * v
+    motion = two.where(n > 0).select(*keys, "trial", ((u * p + v * q) / n).alias("a"), ((u * q - v * p) / n).alias("b"), F.col("p0.x0").alias("ox"), F.col("p0.y0").alias("oy"), F.col("p0.x").alias("tx"), F.col("p0.y").alias("ty"))
+    moved = known.join(motion, keys)
+    dx, dy = F.col("x0") - F.col("ox"), F.col("y0") - F.col("oy")
+    ex, ey = F.col("tx") + F.col("a") * dx - F.col("b") * dy - F.col("x"), F.col("ty") + F.col("b") * dx + F.col("a") * dy - F.col("y")
+    voters = moved.where(ex * ex + ey * ey <= tolerance * tolerance)
+    best = voters.groupBy(*keys, "trial").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max(F.struct("n", (-F.col("trial")).alias("t"))).alias("m"))
+    chosen = voters.join(best.select(*keys, (-F.col("m.t")).alias("trial"), F.col("m.n").alias("n_inliers")), [*keys, "trial"])
+    fitted = rigid_motion(chosen.select(*keys, "n_inliers", "x0", "y0", "x", "y"), [*keys, "n_inliers"])
+    return fitted
+
+
 # registration: one image per row, numpy inside
 
 

@@ -153,6 +153,55 @@ def vqt(channels: DataFrame, taps: np.ndarray, by: int, padding: str = "valid",
     return channels.mapInArrow(run, f"video_id string, axis int, point_id int, f_idx int, t_ds long, {', '.join(f'{v} double' for v in values)}")
 
 
+def overlap_saved(traces: DataFrame, taps: np.ndarray, by: int, padding: str = "valid", as_complex: bool = False, block: int = 4096) -> DataFrame:
+    """The same spectrogram from traces (video_id, axis, point_id, t, d), by overlap-save: no series is one row.
+
+    A row is a block of about ``block`` output samples (whole pools) with the samples that its
+    outputs overlap; one FFT of it serves all bins. ``valid``: outputs with full overlaps,
+    at the time of their first sample; ``same``: an output for every sample, at its own time,
+    zeros beyond the ends. Samples of one moment add up, null ones and missing moments are
+    zeros (missing ones have no ``same`` output).
+    """
+    if padding not in ("valid", "same"):
+        raise ValueError("padding is valid or same")
+    width, keys = taps.shape[1], ["video_id", "axis", "point_id"]
+    left = (width - 1) // 2 if padding == "same" else 0
+    right, size = width - 1 - left, by * -(-block // by)
+    n = 1 << (size + width - 2).bit_length()
+    shared = traces.sparkSession.sparkContext.broadcast(np.conj(np.fft.fft(taps, n)))
+    reached = F.sequence(F.floor((F.col("t") - right) / size), F.floor((F.col("t") + left) / size))
+    spread = traces.select(*keys, F.col("t").cast("long").alias("t"), "d").select(*keys, "t", "d", F.explode(reached).alias("block"))
+    blocks = spread.groupBy(*keys, "block").agg(F.collect_list(F.struct("t", F.coalesce("d", F.lit(0.0)).alias("d"))).alias("s")).select(*keys, "block", "s.t", "s.d")
+    values = ["re", "im"] if as_complex else ["value"]
+    names = [*keys, "f_idx", "t_ds", *values]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                first = batch.column(3)[i].as_py() * size - left
+                t = np.asarray(batch.column(4)[i].values) - first
+                x = np.bincount(t, weights=np.asarray(batch.column(5)[i].values, float), minlength=size + width - 1)
+                y = np.fft.ifft(np.fft.fft(x, n) * shared.value)[:, :size]
+                own = np.zeros(size, bool)
+                if padding == "same":
+                    own[t[(t >= left) & (t < left + size)] - left] = True
+                else:
+                    own[max(int(t.min()), 0) : max(int(t.max()) - width + 2, 0)] = True
+                counts = np.add.reduceat(own, np.arange(0, size, by)).astype(int)
+                pools = np.flatnonzero(counts)
+                if not len(pools):
+                    continue
+                y = np.where(own, y if as_complex else np.abs(y), 0)
+                pooled = np.add.reduceat(y, np.arange(0, size, by), axis=1)[:, pools] / counts[pools]
+                f, at = np.indices(pooled.shape)
+                head = [pa.array([batch.column(c)[i].as_py()] * pooled.size, batch.schema.types[c]) for c in range(3)]
+                t_ds = pools[at.ravel()] + batch.column(3)[i].as_py() * (size // by)
+                yield pa.RecordBatch.from_arrays([*head, pa.array(f.ravel().astype(np.int32)), pa.array(t_ds.astype(np.int64)), *[pa.array(v.ravel()) for v in ((pooled.real, pooled.imag) if as_complex else (pooled,))]], names)
+
+    kinds = dict(traces.dtypes)
+    return blocks.mapInArrow(run, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, f_idx int, t_ds long, {', '.join(f'{v} double' for v in values)}")
+
+
 def time_axis(spark: SparkSession, n: int, width: int, by: int) -> DataFrame:
     """(t_ds, sample): the mean centre of the samples in each block, full overlaps only."""
     o = spark.range(n - width + 1).select(F.col("id").alias("o"))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from kinetrace.functions import scalar
 from kinetrace.operators import align, cp, points, spectral, tensor, track
 from kinetrace.plans import compare
-from kinetrace.sources import tables
+from kinetrace.sources import frames, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,7 +249,7 @@ def relaxed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACES = "traces AS (SELECT video_id, 0 AS axis, point_id, frame_idx AS t, x - x0 AS d FROM tracks JOIN points USING (point_id) UNION ALL SELECT video_id, 1, point_id, frame_idx, y - y0 FROM tracks JOIN points USING (point_id))"
 _TAPS = "taps(f_idx, k, re, im) AS (VALUES " + ", ".join(f"({f}, {k}, {z.real:.6f}::DOUBLE, {z.imag:.6f}::DOUBLE)" for f, row in enumerate(TAPS) for k, z in enumerate(row)) + ")"
 SPECTRAL = f"""{TRACES}, {_TAPS},
-conv AS (SELECT video_id, axis, point_id, f_idx, t - k AS o, sum(d * re) AS re, -sum(d * im) AS im FROM traces, taps WHERE t - k >= 0 AND t - k <= {tables.N_FRAMES - WIDTH} GROUP BY ALL),
+conv AS (SELECT video_id, axis, point_id, f_idx, t - k AS o, sum(d * re) AS re, -sum(d * im) AS im FROM traces, taps WHERE t - k >= (SELECT min(t) FROM traces) AND t - k <= (SELECT max(t) FROM traces) - {WIDTH - 1} GROUP BY ALL),
 spec AS (SELECT video_id, axis, point_id, f_idx, o // {POOL} AS t_ds, avg(sqrt(re * re + im * im)) AS value FROM conv GROUP BY ALL),
 m AS (SELECT video_id, t_ds, avg(p) AS m FROM (SELECT video_id, t_ds, axis, point_id, sum(value) AS p FROM spec GROUP BY ALL) GROUP BY ALL),
 hz(f_idx, hz) AS (VALUES {", ".join(f"({i}, {h}::DOUBLE)" for i, h in enumerate(HZ))}),
@@ -262,9 +262,8 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relational form; the packed form is checked against the same SQL by :func:`vqt_packed`."""
-    y = spectral.convolved(_traces(spark, sf_dir), spectral.taps_table(spark, TAPS), WIDTH, tables.N_FRAMES)
-    return spectral.pooled(y.withColumn("value", F.hypot("re", "im")), [*KEYS, "f_idx"], "o", ["value"], POOL)
+    """By blocks of each series; the packed form is checked against the same SQL by :func:`vqt_packed`."""
+    return spectral.overlap_saved(_traces(spark, sf_dir), TAPS, POOL, block=256)
 
 
 def _packed_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,6 +285,17 @@ def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_spectrogram(spark, sf_dir), "value")
 
 
+@query(
+    f"""SELECT video_id, axis, point_id, f_idx, s // {POOL} AS t_ds, round(avg(sqrt(re * re + im * im)), 4) + 0.0 AS value FROM (
+  SELECT video_id, axis, point_id, f_idx, t - k + {(WIDTH - 1) // 2} AS s, sum(d * re) AS re, -sum(d * im) AS im FROM traces, taps GROUP BY ALL)
+WHERE s BETWEEN (SELECT min(t) FROM traces) AND (SELECT max(t) FROM traces) GROUP BY ALL""",
+    SPECTRAL,
+)
+def spectrogram_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An output for every sample, zeros beyond the ends of a series."""
+    return rounded(spectral.overlap_saved(_traces(spark, sf_dir), TAPS, POOL, "same", block=256), "value")
+
+
 @query("SELECT video_id, axis, point_id, f_idx, t_ds, round(value, 4) + 0.0 AS value FROM spec", SPECTRAL)
 def vqt_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_packed_spectrogram(spark, sf_dir), "value")
@@ -392,8 +402,7 @@ cm AS (SELECT video_id, t_ds, avg(p) AS m FROM (SELECT video_id, t_ds, axis, poi
 @query("SELECT video_id, axis, point_id, f_idx, t_ds, round(re / (0.95 * m + 0.05) * hz ** 0.5, 4) + 0.0 AS re, round(im / (0.95 * m + 0.05) * hz ** 0.5, 4) + 0.0 AS im FROM ca JOIN cm USING (video_id, t_ds) JOIN hz USING (f_idx)", COMPLEX)
 def normalised_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complex spectrograms pooled before the magnitude is taken; the phase is kept."""
-    y = spectral.convolved(_traces(spark, sf_dir), spectral.taps_table(spark, TAPS), WIDTH, tables.N_FRAMES)
-    pooled = spectral.pooled(y, [*KEYS, "f_idx"], "o", ["re", "im"], POOL)
+    pooled = spectral.overlap_saved(_traces(spark, sf_dir), TAPS, POOL, as_complex=True, block=256)
     return rounded(spectral.normalised_complex(pooled, HZ), "re", "im")
 
 
@@ -702,6 +711,65 @@ def rigid_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, "scale", digits=3), "dx", "dy", digits=2)
 
 
+TRIALS, NEAR = 12, 60.0
+_DRAWN = lambda which: "((n * n + n * (trial + 3)) % {3})".replace("n", f"(((point_id + 1) * {{0}} + (trial + 1) * {{1}} + {which + 1} * {{2}}) % {{3}})").format(*align.DRAW)
+
+
+@query(f"""SELECT video_id, frame_idx, n_inliers, round(sqrt(a * a + b * b), 3) + 0.0 AS scale, round(mx - a * mx0 + b * my0, 2) + 0.0 AS dx, round(my - b * mx0 - a * my0, 2) + 0.0 AS dy FROM (
+  SELECT video_id, frame_idx, n_inliers, sum((x0 - mx0) * (x - mx) + (y0 - my0) * (y - my)) / sum((x0 - mx0) ** 2 + (y0 - my0) ** 2) AS a, sum((x0 - mx0) * (y - my) - (y0 - my0) * (x - mx)) / sum((x0 - mx0) ** 2 + (y0 - my0) ** 2) AS b, any_value(mx0) AS mx0, any_value(my0) AS my0, any_value(mx) AS mx, any_value(my) AS my
+  FROM (SELECT *, avg(x0) OVER w AS mx0, avg(y0) OVER w AS my0, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM chosen WINDOW w AS (PARTITION BY video_id, frame_idx)) GROUP BY ALL)""",
+f"""lots AS (SELECT t.video_id, t.frame_idx, CAST(t.point_id AS BIGINT) AS point_id, x0, y0, x, y, trial FROM tracks t JOIN points USING (point_id), range({TRIALS}) r(trial)),
+two AS (SELECT video_id, frame_idx, trial, arg_min(struct_pack(x0 := x0, y0 := y0, x := x, y := y), row({_DRAWN(0)}, point_id)) AS p, arg_min(struct_pack(x0 := x0, y0 := y0, x := x, y := y), row({_DRAWN(1)}, point_id)) AS q FROM lots GROUP BY ALL),
+ways AS (SELECT video_id, frame_idx, trial, p, ((q.x0 - p.x0) * (q.x - p.x) + (q.y0 - p.y0) * (q.y - p.y)) / n AS a, ((q.x0 - p.x0) * (q.y - p.y) - (q.y0 - p.y0) * (q.x - p.x)) / n AS b
+  FROM (SELECT *, (q.x0 - p.x0) * (q.x0 - p.x0) + (q.y0 - p.y0) * (q.y0 - p.y0) AS n FROM two) WHERE n > 0),
+voters AS (SELECT l.* FROM lots l JOIN ways w ON w.video_id = l.video_id AND w.frame_idx = l.frame_idx AND w.trial = l.trial
+  WHERE (w.p.x + a * (l.x0 - w.p.x0) - b * (l.y0 - w.p.y0) - l.x) ** 2 + (w.p.y + b * (l.x0 - w.p.x0) + a * (l.y0 - w.p.y0) - l.y) ** 2 <= {NEAR * NEAR}),
+chosen AS (SELECT v.*, b.n_inliers FROM voters v JOIN (SELECT video_id, frame_idx, arg_max(trial, row(n, -trial)) AS trial, max(n) AS n_inliers FROM (SELECT video_id, frame_idx, trial, count(*) AS n FROM voters GROUP BY ALL) GROUP BY ALL) b
+  ON b.video_id = v.video_id AND b.frame_idx = v.frame_idx AND b.trial = v.trial)""")
+def robust_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tracks(spark, sf_dir)
+    out = align.robust_motion(t.join(tables.points(t), "point_id"), ["video_id", "frame_idx"], NEAR, TRIALS).drop("angle")
+    return rounded(rounded(out, "scale", digits=3), "dx", "dy", digits=2)
+
+
+FIELD = """vectors AS (SELECT vec_id AS y, CAST(i - 1 AS BIGINT) AS x, CAST(embedding[i] AS DOUBLE) AS v, CAST(embedding[65 - i] AS DOUBLE) AS u FROM embeddings, range(1, 65) r(i)),
+field AS (SELECT y, x, x + v * 0.4 / m AS src_x, y + u * 0.4 / m AS src_y FROM vectors, (SELECT max(abs(v)) AS m FROM vectors))"""
+
+
+def _field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A remap over every vector: each pixel comes from up to 0.4 pixels beside it, as its vector and the reversed one say."""
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.col("embedding").cast("array<double>").alias("e"))
+    cells = e.select("y", F.posexplode(F.arrays_zip(F.col("e").alias("v"), F.reverse("e").alias("u"))).alias("x", "c")).select("y", F.col("x").cast("long").alias("x"), "c.v", "c.u")
+    most = cells.agg(F.max(F.abs("v")).alias("m"))
+    return cells.join(most, F.lit(True)).select("y", "x", (F.col("x") + F.col("v") * 0.4 / F.col("m")).alias("src_x"), (F.col("y") + F.col("u") * 0.4 / F.col("m")).alias("src_y"))
+
+
+@query("""SELECT y, x, round(sx, 4) + 0.0 AS src_x, round(sy, 4) + 0.0 AS src_y FROM (
+  SELECT y, x, cx + pj + u * (qj - pj) + v * (rj - pj) AS sx, cy + pi + u * (qi - pi) + v * (ri - pi) AS sy, row_number() OVER (PARTITION BY y, x ORDER BY cy, cx, h) AS nth FROM (
+    SELECT *, ((x - px) * (ry - py) - (rx - px) * (y - py)) / area AS u, ((qx - px) * (y - py) - (x - px) * (qy - py)) / area AS v
+    FROM (SELECT *, (qx - px) * (ry - py) - (rx - px) * (qy - py) AS area FROM (SELECT *, unnest(range(CAST(ceil(least(px, qx, rx)) AS BIGINT), CAST(floor(greatest(px, qx, rx)) AS BIGINT) + 1)) AS x FROM (
+      SELECT *, unnest(range(CAST(ceil(least(py, qy, ry)) AS BIGINT), CAST(floor(greatest(py, qy, ry)) AS BIGINT) + 1)) AS y FROM halves))) WHERE area <> 0)
+  WHERE u >= -1e-9 AND v >= -1e-9 AND u + v <= 1 + 1e-9) WHERE nth = 1""", FIELD + """,
+quads AS (SELECT a.y AS cy, a.x AS cx, a.src_x AS x00, a.src_y AS y00, b.src_x AS x01, b.src_y AS y01, c.src_x AS x10, c.src_y AS y10, d.src_x AS x11, d.src_y AS y11
+  FROM field a JOIN field b ON b.y = a.y AND b.x = a.x + 1 JOIN field c ON c.y = a.y + 1 AND c.x = a.x JOIN field d ON d.y = a.y + 1 AND d.x = a.x + 1),
+halves AS (SELECT cy, cx, 0 AS h, 0 AS pi, 0 AS pj, 0 AS qi, 1 AS qj, 1 AS ri, 0 AS rj, x00 AS px, y00 AS py, x01 AS qx, y01 AS qy, x10 AS rx, y10 AS ry FROM quads
+  UNION ALL SELECT cy, cx, 1, 1, 1, 1, 0, 0, 1, x11, y11, x10, y10, x01, y01 FROM quads)""")
+def interpolated_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(align.interpolated_inverse(_field(spark, sf_dir)), "src_x", "src_y")
+
+
+@query("""SELECT y, x, round(sum(w * value), 4) + 0.0 AS value FROM (
+  SELECT y, x, bin, floor(fy) + i AS ty, floor(fx) + j AS tx, (CASE i WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE j WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) AS w
+  FROM (SELECT y, x, bin, least(greatest((y + 0.5) / 16 - 0.5, 0), (SELECT max(ty) FROM h)) AS fy, least(greatest((x + 0.5) / 16 - 0.5, 0), (SELECT max(tx) FROM h)) AS fx FROM h), range(2) a(i), range(2) b(j)) JOIN lut USING (ty, tx, bin)
+WHERE w > 0 GROUP BY y, x""", """vectors AS (SELECT vec_id AS y, CAST(i - 1 AS BIGINT) AS x, round(CAST(embedding[i] AS DOUBLE), 4) AS value FROM embeddings, range(1, 65) r(i)),
+h AS (SELECT y, x, y // 16 AS ty, x // 16 AS tx, CAST(least(floor((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) * 64), 63) AS BIGINT) AS bin FROM vectors),
+cut AS (SELECT t.ty, t.tx, b.bin, t.n, least(coalesce(k.k, 0), 4.0 * t.n / 64) AS c FROM (SELECT ty, tx, count(*) AS n FROM h GROUP BY ALL) t CROSS JOIN range(64) b(bin) LEFT JOIN (SELECT ty, tx, bin, count(*) AS k FROM h GROUP BY ALL) k ON k.ty = t.ty AND k.tx = t.tx AND k.bin = b.bin),
+lut AS (SELECT ty, tx, bin, (sum(c) OVER (PARTITION BY ty, tx ORDER BY bin) + (n - sum(c) OVER (PARTITION BY ty, tx)) / 64 * (bin + 1)) / n AS value FROM cut)""")
+def blended_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a row of an image, equalised with tables blended between tiles."""
+    return rounded(align.blended(_whole(spark, sf_dir)[0], 16), "value")
+
+
 # ---- comparison, tracking --------------------------------------------------
 
 
@@ -771,6 +839,34 @@ def dense_flow_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.flow_fields(*_shots(spark))
 
 
+#: Vectors in a frame of :func:`frames.scrolled`, and their neighbours in its averages.
+ROWS, BLUR = 24, 2
+
+
+def _scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.scrolled(tables.table(spark, sf_dir, "embeddings"), ROWS, BLUR)
+
+
+@query(f"""SELECT CAST(label AS VARCHAR) AS session, n - 1 AS frame_idx, 0.0 AS dx, CAST(n - 1 AS DOUBLE) AS dy
+FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, count(*) OVER (PARTITION BY label) AS size FROM embeddings) WHERE n <= size - {ROWS + 2 * BLUR - 1}""")
+def chained_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame of every label's scroll registered to the one before, chained to the first: a row more each frame, to the pixel."""
+    def unpacked(batches):
+        for b in batches:
+            yield b.assign(data=[np.frombuffer(d, np.uint8).astype(float).tolist() for d in b["data"]])
+
+    images = _scrolls(spark, sf_dir).select(F.col("video_id").alias("session"), F.col("frame_idx").alias("image_id"), "height", "width", "data").mapInPandas(unpacked, "session string, image_id long, height int, width int, data array<double>")
+    warps = align.chained(align.registered_to_previous(images, "translation"))
+    return warps.select("session", F.col("image_id").alias("frame_idx"), (F.round(F.abs(F.col("warp")[2])) + 0.0).alias("dx"), (F.round(F.abs(F.col("warp")[5])) + 0.0).alias("dy"))
+
+
+@query()
+def tracked_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four points tracked over every label's scroll; they hold to their places, so rewinds set in as the pictures leave them."""
+    home = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(16, 12), (24, 12), (40, 12), (48, 12)])], "point_id long, x0 double, y0 double")
+    return track.track_points(_scrolls(spark, sf_dir), home, track.TrackerParams(neighbours=2, threshold=6.0, relaxation=0.05))
+
+
 BANK = np.round(spectral.make_taps(1.0, 1 / 24, 0.4, BINS, WIDTH, 2, 4)[0], 8)
 
 
