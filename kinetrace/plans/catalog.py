@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinetrace.functions import scalar
+from kinetrace.functions import scalar, trees
 from kinetrace.operators import align, cp, points, spectral, tensor, track
 from kinetrace.plans import compare
 from kinetrace.sources import frames, tables
@@ -784,6 +784,24 @@ def key_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.key_mismatches(a, tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), "key")
 
 
+@query("SELECT e.event_id, t.fullkey AS path, CAST(t.atom AS VARCHAR) AS value FROM events e, json_tree(e.props) t WHERE t.atom IS NOT NULL")
+def property_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf of every event's properties."""
+    return trees.leaves(tables.table(spark, sf_dir, "events"), ["event_id"], "props").drop("kind")
+
+
+@query("""SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.path, b.path) AS path, a.value AS left, b.value AS right, CASE WHEN a.path IS NULL THEN 'missing left' WHEN b.path IS NULL THEN 'missing right' ELSE 'differs' END AS problem
+FROM a FULL JOIN b ON a.event_id = b.event_id AND a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR NOT (abs(CAST(a.value AS DOUBLE) - CAST(b.value AS DOUBLE)) <= 20 + 1e-5 * abs(CAST(b.value AS DOUBLE)))""",
+"""a AS (SELECT e.event_id, t.fullkey AS path, t.atom->>'$' AS value FROM events e, json_tree(e.props) t WHERE t.atom IS NOT NULL),
+b AS (SELECT e.event_id, t.fullkey AS path, t.atom->>'$' AS value FROM (SELECT event_id, to_json({'k': user_id % 100, 'at': {'kind': event_type, 'days': [day(ts), hour(ts)]}}) AS props FROM events) e, json_tree(e.props) t WHERE t.atom IS NOT NULL)""")
+def tree_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's properties beside a nested tree of its own columns, path by path."""
+    e = tables.table(spark, sf_dir, "events")
+    at = F.struct(F.col("event_type").alias("kind"), F.array(F.dayofmonth("ts"), F.hour("ts")).alias("days"))
+    made = e.select("event_id", F.to_json(F.struct((F.col("user_id") % 100).alias("k"), at.alias("at"))).alias("props"))
+    return trees.tree_differences(e.select("event_id", "props"), made, ["event_id"], "props", atol=20)
+
+
 @query()
 def point_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(16, 16), (32, 16), (16, 32), (32, 32)])], "point_id long, x0 double, y0 double")
