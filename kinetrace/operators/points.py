@@ -83,6 +83,45 @@ def mesh(points: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(near).cast("long")).where(F.col("rank") <= k).select("point_id", "neighbor_id", "rank")
 
 
+def nearest_points(points: DataFrame, k: int, growth: float = 4.0) -> DataFrame:
+    """(point_id, neighbor_id, rank) as :func:`mesh` gives it, for point sets of any size: a grid index instead of all pairs.
+
+    Points at one place have the same neighbours, and no more than the ``k`` least ids of a
+    place can be anyone's, so a crowd at one place is ``k`` candidates. Each place looks
+    through its grid cell and the eight around it; where the k-th candidate is nearer than a
+    cell's width, nothing outside can be nearer or tie. The others go on to a grid of wider
+    cells, until none is left or the nine cells hold all points. Cells start small (half
+    of what holds k points on average), so crowded regions are done before cells grow wide.
+
+    Points without an id or a finite place are left out; sets of fewer than k points give all.
+    """
+    known = keep(points.select("point_id", F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0")).where("point_id IS NOT NULL AND abs(x0) < double('infinity') AND abs(y0) < double('infinity')"), "points")
+    box = known.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x0", "y0")]).first()
+    here = Window.partitionBy("x0", "y0").orderBy("point_id")
+    candidates = keep(known.withColumn("_n", F.row_number().over(here)).where(F.col("_n") <= k).drop("_n"), "candidates")
+    pending, found = candidates.select("x0", "y0").distinct(), []
+    extent = max(box["max_x0"] - box["min_x0"], box["max_y0"] - box["min_y0"]) if box["n"] else 0.0
+    cell = max(extent * (k / max(box["n"], 1)) ** 0.5 / 2, extent * 2**-40) or 1.0
+    shift = lambda c, by=0: (F.floor((F.col(c) - F.lit(box[f"min_{c}"] or 0.0)) / cell) + by).alias(f"_{c}")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while True:
+        c = candidates.select(shift("x0"), shift("y0"), F.col("point_id").alias("neighbor_id"), F.col("x0").alias("cx"), F.col("y0").alias("cy"))
+        q = pending.select("x0", "y0", F.explode(around).alias("_a")).select("x0", "y0", shift("x0", F.col("_a.i")), shift("y0", F.col("_a.j")))
+        d = F.pow(F.col("x0") - F.col("cx"), F.lit(2)) + F.pow(F.col("y0") - F.col("cy"), F.lit(2))
+        order = Window.partitionBy("x0", "y0").orderBy("d", "neighbor_id")
+        near = q.join(c, ["_x0", "_y0"]).select("x0", "y0", "neighbor_id", d.alias("d")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+        whole = Window.partitionBy("x0", "y0")
+        sure = F.lit(True) if extent < cell else (F.count("*").over(whole) == k) & (F.max("d").over(whole) < cell * cell)
+        near = keep(near.withColumn("_sure", sure), "near")
+        found.append(near.where("_sure").select("x0", "y0", "neighbor_id", "rank"))
+        pending = near.where("NOT _sure").select("x0", "y0").distinct()
+        if not pending.head(1):
+            break
+        cell *= growth
+    every = reduce(DataFrame.union, found)
+    return known.join(every, ["x0", "y0"]).select("point_id", "neighbor_id", "rank")
+
+
 def neighbour_offset(tracks: DataFrame, links: DataFrame) -> DataFrame:
     """Mean offset of each point from its neighbours in every frame. One frame's points meet by (video, frame, point), the mesh is broadcast by size."""
     t, m, n = tracks.alias("t"), links.alias("m"), tracks.alias("n")

@@ -170,6 +170,13 @@ def channel_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.channel_collapse(frames)
 
 
+@query("SELECT point_id, neighbor_id, rank FROM (SELECT a.i AS point_id, b.i AS neighbor_id, row_number() OVER (PARTITION BY a.i ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.i) AS rank FROM spots a CROSS JOIN spots b) WHERE rank <= 5", "spots AS (SELECT c_custkey AS i, floor(c_acctbal / 50) * 2 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer)")
+def nearest_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every customer by balance and nation, many of them at one place."""
+    spots = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), (F.floor(F.col("c_acctbal") / 50) * 2).alias("x0"), F.col("c_nationkey").alias("y0"))
+    return points.nearest_points(spots, 5)
+
+
 MESH = """pairs AS (SELECT a.point_id, b.point_id AS neighbor_id, (a.x0 - b.x0) ** 2 + (a.y0 - b.y0) ** 2 AS d FROM points a CROSS JOIN points b),
 mesh AS (SELECT point_id, neighbor_id, row_number() OVER (PARTITION BY point_id ORDER BY d, neighbor_id) AS rank FROM pairs QUALIFY rank <= 4),
 offs AS (SELECT t.video_id, t.frame_idx, t.point_id, avg(t.x - n.x) AS dx, avg(t.y - n.y) AS dy
