@@ -531,12 +531,13 @@ PENALTIES = {"points": cp.Penalty(simplex=True), "frequency": cp.Penalty(sparsit
 @query()
 def cp_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Independent non-negative CP of every element, until an element's error changes by less than a thousandth."""
-    return cp.CP(RANK, iterations=30, tolerance=1e-3).fit(_tensor(spark, sf_dir), DIMS).factors
+    return cp.CP(RANK, iterations=12, tolerance=1e-3).fit(_tensor(spark, sf_dir), DIMS).factors
 
 
 @query()
 def cp_factors_by_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cp.CP(RANK, iterations=20).fit(_tensor(spark, sf_dir), DIMS).factors
+    """Plain alternating least squares of every element."""
+    return cp.CP(RANK, non_negative=False, iterations=6).fit(_tensor(spark, sf_dir), DIMS).factors
 
 
 @query()
@@ -555,7 +556,7 @@ def cp_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A penalised fit of every element: rows of each mode, if they keep what they are held to, if the objective ever
     rose, and if the error that the passes tell is that of the factors against all cells."""
     cells = _tensor(spark, sf_dir)
-    fit = cp.CP(RANK, penalties=PENALTIES, iterations=4).fit(cells, DIMS)
+    fit = cp.CP(RANK, penalties=PENALTIES, iterations=3).fit(cells, DIMS)
     rows = fit.factors.groupBy("elem", "mode", "idx").agg(F.min("value").alias("least"), F.sum("value").alias("total"))
     held = (F.col("least") >= 0) & ((F.col("mode") != "points") | (F.abs(F.col("total") - 1) < 1e-9))
     told = spark.createDataFrame(fit.history, "sweep int, elem string, objective double, told double")
