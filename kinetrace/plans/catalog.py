@@ -873,16 +873,17 @@ def _scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.scrolled(tables.table(spark, sf_dir, "embeddings"), ROWS, BLUR)
 
 
-@query(f"""SELECT CAST(label AS VARCHAR) AS session, n - 1 AS frame_idx, 0.0 AS dx, CAST(n - 1 AS DOUBLE) AS dy
+@query(f"""SELECT CAST(label AS VARCHAR) AS session, n - 1 AS frame_idx, CAST(0 AS DOUBLE) AS dx, CAST(CASE WHEN n > 1 THEN 1 ELSE 0 END AS DOUBLE) AS dy
 FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, count(*) OVER (PARTITION BY label) AS size FROM embeddings) WHERE n <= size - {ROWS + 2 * BLUR - 1}""")
-def chained_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every frame of every label's scroll registered to the one before, chained to the first: a row more each frame, to the pixel."""
+def registered_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame of every label's scroll registered to the one before: a row farther, to the pixel."""
+
     def unpacked(batches):
         for b in batches:
             yield b.assign(data=[np.frombuffer(d, np.uint8).astype(float).tolist() for d in b["data"]])
 
     images = _scrolls(spark, sf_dir).select(F.col("video_id").alias("session"), F.col("frame_idx").alias("image_id"), "height", "width", "data").mapInPandas(unpacked, "session string, image_id long, height int, width int, data array<double>")
-    warps = align.chained(align.registered_to_previous(images, "translation"))
+    warps = align.registered_to_previous(images, "translation")
     return warps.select("session", F.col("image_id").alias("frame_idx"), (F.round(F.abs(F.col("warp")[2])) + 0.0).alias("dx"), (F.round(F.abs(F.col("warp")[5])) + 0.0).alias("dy"))
 
 
