@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import copy
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import islice
 from typing import Any
 
@@ -90,6 +91,24 @@ def merged(base: dict, new: dict) -> dict:
     return out
 
 
+@dataclass(frozen=True)
+class Repeated(Sequence):
+    """One item for every one of ``n`` jobs, held once; without ``n``, for as many as ask."""
+
+    item: Any
+    n: int | None = None
+
+    def __getitem__(self, i: int) -> Any:
+        if self.n is not None and not -self.n <= i < self.n:
+            raise IndexError(i)
+        return self.item
+
+    def __len__(self) -> int:
+        if self.n is None:
+            raise TypeError("an item repeated without end has no length")
+        return self.n
+
+
 def batches(items: Iterable[Any], size: int | None = None, count: int | None = None, least: int = 0) -> Iterator[list[Any]]:
     """Lists of ``size`` items, or ``count`` lists; a last list shorter than ``least`` is dropped."""
     if (size is None) == (count is None):

@@ -106,10 +106,10 @@ def test_sampled_fibres_find_known_factors(spark):
     rng = np.random.default_rng(3)
     x = np.einsum("ir,jr,kr->ijk", *[rng.random((n, 2)) for n in (12, 15, 18)])
     cells = cells_of(spark, {"a": x})
-    fit = cp.CP(2, samples=128, iterations=8).fit(cells, DIMS)  # of 180 to 270 fibres a mode
-    assert error(x, arrays(fit)["a"]) < 0.05
-    again = arrays(cp.CP(2, samples=128, iterations=8).fit(cells, DIMS))["a"]
-    assert all(np.allclose(again[d], v) for d, v in arrays(fit)["a"].items())
+    fit = cp.CP(2, samples=128, iterations=6).fit(cells, DIMS)  # of 180 to 270 fibres a mode
+    assert error(x, arrays(fit)["a"]) < 0.1
+    once, again = (arrays(cp.CP(2, samples=16, iterations=1).fit(cells, DIMS))["a"] for _ in range(2))
+    assert all(np.allclose(again[d], v) for d, v in once.items())
 
 
 def test_draws_follow_the_leverage(spark):

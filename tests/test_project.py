@@ -22,6 +22,16 @@ def test_params():
     assert len(list(params.batches(range(10), count=3))) == 3
 
 
+def test_repeated_items():
+    three, endless = params.Repeated({"a": 1}, 3), params.Repeated("x")
+    assert list(three) == [{"a": 1}] * 3 and three[-1] is three[0] and len(three) == 3
+    with pytest.raises(IndexError):
+        three[3]
+    assert [job + p for job, p in zip(["a", "b"], endless, strict=False)] == ["ax", "bx"] and endless[10**9] == "x"
+    with pytest.raises(TypeError):
+        len(endless)
+
+
 def test_files(spark, tmp_path):
     for n in ("v10.txt", "v9.txt", "sub/v2.txt"):
         (tmp_path / n).parent.mkdir(exist_ok=True)
