@@ -616,4 +616,4 @@ for name, query in entry.queries().items():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-3000:]
-    assert done.stdout.count("rows") == 12
+    assert done.stdout.count("rows") == 15
