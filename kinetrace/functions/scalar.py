@@ -18,11 +18,21 @@ def log_spaced(spark: SparkSession, low: float, high: float, n: int) -> DataFram
     return spark.range(n).select(F.col("id").alias("i"), (low * F.pow(F.lit(high / low), F.col("id") / max(n - 1, 1))).alias("value"))
 
 
+def log_spaced_between(low: Column, high: Column, n: int) -> Column:
+    """An array of n values from low to high in equal ratios."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: low * F.pow(high / low, i / max(n - 1, 1)))
+
+
+def raised_cosine(distance: Column, width: float) -> Column:
+    """1 at a distance of 0, falling to 0 at half of ``width``."""
+    return (F.cos(F.least(F.lit(math.pi), 2 * math.pi * distance / width)) + 1) / 2
+
+
 def cosine_kernel(spark: SparkSession, size: int, width: float, centre: tuple[float, float]) -> DataFrame:
     """(y, x, value): a raised cosine that falls to 0 at half of ``width`` from the centre."""
     grid = spark.range(size * size).select(F.floor(F.col("id") / size).alias("y"), (F.col("id") % size).alias("x"))
     distance = F.sqrt(F.pow(F.col("y") - centre[0], F.lit(2)) + F.pow(F.col("x") - centre[1], F.lit(2)))
-    return grid.select("y", "x", ((F.cos(F.least(F.lit(math.pi), 2 * math.pi * distance / width)) + 1) / 2).alias("value"))
+    return grid.select("y", "x", raised_cosine(distance, width).alias("value"))
 
 
 def colour_map(value: Column, colours: list[tuple[float, float, float]]) -> list[Column]:

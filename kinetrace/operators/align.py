@@ -79,10 +79,14 @@ def interpolated(samples: DataFrame, grid: DataFrame) -> DataFrame:
 
 def warp_remap(spark: SparkSession, m: list[list[float]], height: int, width: int) -> DataFrame:
     """Where each pixel comes from under an affine (2 x 3) or projective (3 x 3) matrix."""
-    grid = spark.range(height * width).select(F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"))
+    return warped(spark.range(height * width).select(F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x")), m)
+
+
+def warped(pixels: DataFrame, m: list[list[float]]) -> DataFrame:
+    """The same for the pixels (y, x) of an image."""
     row = lambda r: r[0] * F.col("x") + r[1] * F.col("y") + r[2]
     z = row(m[2]) if len(m) == 3 else F.lit(1.0)
-    return grid.select("y", "x", (row(m[0]) / z).alias("src_x"), (row(m[1]) / z).alias("src_y"))
+    return pixels.select("y", "x", (row(m[0]) / z).alias("src_x"), (row(m[1]) / z).alias("src_y"))
 
 
 def inverted(m: list[list[float]]) -> list[list[float]]:
@@ -457,6 +461,67 @@ def dense_flow(template: np.ndarray, image: np.ndarray, blur: int = 9, window: i
     return np.stack([u, v])
 
 
+def polynomials(a: np.ndarray, radius: int, sigma: float) -> np.ndarray:
+    """[5, H, W]: for the neighbourhood of each pixel the coefficients of x, y, x^2, y^2 and xy of the quadratic that fits it best.
+
+    Neighbours weigh by a Gaussian; the six moments are separable sums, and one 6 x 6 matrix
+    turns them into coefficients at every pixel.
+    """
+    at = np.arange(-radius, radius + 1)
+    g = np.exp(-(at**2) / (2 * sigma**2))
+    g /= g.sum()
+    padded = np.pad(a, radius, mode="edge")
+    view = np.lib.stride_tricks.sliding_window_view
+    down = [view(padded, 2 * radius + 1, 0) @ (g * at**k) for k in range(3)]
+    moment = lambda i, j: view(down[j], 2 * radius + 1, 1) @ (g * at**i)
+    powers = [(0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1)]
+    sums = [float((g * at**k).sum()) for k in range(5)]
+    gram = np.array([[sums[i + p] * sums[j + q] for p, q in powers] for i, j in powers])
+    return np.tensordot(np.linalg.inv(gram), np.stack([moment(i, j) for i, j in powers]), 1)[1:]
+
+
+def polynomial_flow(template: np.ndarray, image: np.ndarray, radius: int = 3, sigma: float = 1.2, window: int = 15, levels: int = 3, rounds: int = 4) -> np.ndarray:
+    """Dense flow [2, H, W] from template to image coordinates by polynomial expansion, from coarse levels to fine.
+
+    With neighbourhoods as quadratics x'Ax + b'x, a shift by d changes b by -2Ad. Each round
+    expands the image as the flow so far moves it (so that turned neighbourhoods turn back),
+    and solves for the d that is left by least squares over a window, in which pixels near
+    the border, whose neighbourhoods are made up, weigh little.
+    """
+    stack = [(template.astype(float), image.astype(float))]
+    while len(stack) < levels and min(stack[-1][0].shape) >= 4 * (radius + window):
+        stack.append(tuple(blurred(a, 5)[::2, ::2] for a in stack[-1]))
+    flow = np.zeros((2, *stack[-1][0].shape))
+    for t, im in reversed(stack):
+        h, w = t.shape
+        y, x = np.mgrid[:h, :w].astype(float)
+        if flow.shape[1:] != t.shape:
+            flow = 2 * np.stack([sampled(f, np.minimum(x / 2, f.shape[1] - 1), np.minimum(y / 2, f.shape[0] - 1)) for f in flow])
+        first = polynomials(t, radius, sigma)
+        edge = np.minimum(np.minimum(x, w - 1 - x), np.minimum(y, h - 1 - y))
+        sure = np.minimum((edge + 1) / (radius + 1), 1) ** 2
+        for _ in range(rounds):
+            u, v = flow
+            sx, sy = x + u, y + v
+            inside = (sx >= 0) & (sx <= w - 1) & (sy >= 0) & (sy <= h - 1)
+            there = polynomials(sampled(im, np.clip(sx, 0, w - 1), np.clip(sy, 0, h - 1)), radius, sigma)
+            axx, ayy, axy = ((first[k] + there[k]) / 2 for k in (2, 3, 4))
+            axy = axy / 2
+            bx = (first[0] - there[0]) / 2 + axx * u + axy * v
+            by = (first[1] - there[1]) / 2 + axy * u + ayy * v
+            weight = sure * np.where(inside, 1.0, 1e-3)
+            gxx, gxy, gyy, hx, hy = (
+                blurred(weight * q, window)
+                for q in (axx * axx + axy * axy, axy * (axx + ayy), axy * axy + ayy * ayy, axx * bx + axy * by, axy * bx + ayy * by)
+            )
+            held = 1e-6 * (gxx + gyy) + 1e-12
+            gxx, gyy = gxx + held, gyy + held
+            hx, hy = hx + held * blurred(u, window), hy + held * blurred(v, window)
+            det = gxx * gyy - gxy * gxy
+            flow = np.stack([(gyy * hx - gxy * hy) / det, (gxx * hy - gxy * hx) / det])
+    return flow
+
+
 def registered(images: DataFrame, template: np.ndarray, motion: str = "affine", blur: int = 5) -> DataFrame:
     """(image_id, warp): every image (image_id, height, width, data array<double>) against one template, in parallel."""
     shared = images.sparkSession.sparkContext.broadcast(np.asarray(template, float))
@@ -472,8 +537,22 @@ def registered(images: DataFrame, template: np.ndarray, motion: str = "affine",
 def registered_to_previous(images: DataFrame, motion: str = "affine", blur: int = 5) -> DataFrame:
     """(session, image_id, warp): every image of a session against the one before, in parallel; the first has the identity."""
     order = Window.partitionBy("session").orderBy("image_id")
-    pairs = images.select("session", "image_id", "height", "width", "data", F.lag("data").over(order).alias("before"))
+    return _registered_pairs(images.select("session", "image_id", "height", "width", "data", F.lag("data").over(order).alias("before")), motion, blur)
+
+
+def _with_first(images: DataFrame) -> DataFrame:
+    """Every image with the first of its session as ``before``; null beside the first itself. A hot session is left to skew-splitting joins."""
+    first = images.groupBy("session").agg(F.min("image_id").alias("_first"), F.min_by("data", "image_id").alias("_data"))
+    before = F.when(F.col("image_id") != F.col("_first"), F.col("_data")).alias("before")
+    return images.join(first, "session").select("session", "image_id", "height", "width", "data", before)
+
 
+def registered_to_first(images: DataFrame, motion: str = "affine", blur: int = 5) -> DataFrame:
+    """(session, image_id, warp): every image of a session against its first, in parallel; the first has the identity."""
+    return _registered_pairs(_with_first(images), motion, blur)
+
+
+def _registered_pairs(pairs: DataFrame, motion: str, blur: int) -> DataFrame:
     def run(parts):
         for p in parts:
             warps = []
@@ -500,7 +579,8 @@ def chained(warps: DataFrame) -> DataFrame:
 
 
 def transformed(images: DataFrame, warps: DataFrame) -> DataFrame:
-    """Images resampled through their warps; what comes from outside takes the image's mean."""
+    """Images resampled through their warps; what comes from outside takes the image's mean. Images with a session keep it."""
+    keys = ["session", "image_id"] if "session" in images.columns else ["image_id"]
 
     def run(parts):
         for p in parts:
@@ -510,23 +590,41 @@ def transformed(images: DataFrame, warps: DataFrame) -> DataFrame:
                 y, x = np.mgrid[:h, :w].astype(float)
                 z = m[2, 0] * x + m[2, 1] * y + m[2, 2] if len(m) == 3 else 1.0
                 out.append(sampled(a, (m[0, 0] * x + m[0, 1] * y + m[0, 2]) / z, (m[1, 0] * x + m[1, 1] * y + m[1, 2]) / z, float(a.mean())).ravel().tolist())
-            yield pd.DataFrame({"image_id": p["image_id"], "height": p["height"], "width": p["width"], "data": out})
+            yield pd.DataFrame({**{k: p[k] for k in keys}, "height": p["height"], "width": p["width"], "data": out})
 
-    return images.join(warps, "image_id").select("image_id", "height", "width", "data", "warp").mapInPandas(run, "image_id long, height int, width int, data array<double>")
+    schema = ("session string, " if len(keys) == 2 else "") + "image_id long, height int, width int, data array<double>"
+    return images.join(warps, keys).select(*keys, "height", "width", "data", "warp").mapInPandas(run, schema)
 
 
-def flow_fields(images: DataFrame, template: np.ndarray, blur: int = 5, window: int = 7, rounds: int = 10) -> DataFrame:
-    """(image_id, y, x, dx, dy): dense flow of every image against one template, in parallel; a row for each pixel."""
-    shared = images.sparkSession.sparkContext.broadcast(np.asarray(template, float))
+def flow_fields(images: DataFrame, method: str = "polynomial", **settings: float) -> DataFrame:
+    """(session, image_id, y, x, dx, dy): dense flow from a session's first image to every other, in parallel; a row for each pixel.
+
+    ``polynomial`` or ``lucas_kanade``, with that function's settings. A first image has no flow: zeros.
+    """
+    flow = {"polynomial": polynomial_flow, "lucas_kanade": dense_flow}[method]
 
     def run(parts):
         for p in parts:
-            for i, h, w, d in zip(p["image_id"], p["height"], p["width"], p["data"], strict=True):
-                u, v = dense_flow(shared.value, np.array(d, float).reshape(h, w), blur, window, rounds)
+            for s, i, h, w, d, before in zip(p["session"], p["image_id"], p["height"], p["width"], p["data"], p["before"], strict=True):
+                u, v = np.zeros((2, h, w)) if before is None else flow(np.reshape(before, (h, w)), np.reshape(d, (h, w)), **settings)
                 y, x = np.mgrid[:h, :w]
-                yield pd.DataFrame({"image_id": i, "y": y.ravel(), "x": x.ravel(), "dx": u.ravel(), "dy": v.ravel()})
+                yield pd.DataFrame({"session": s, "image_id": i, "y": y.ravel(), "x": x.ravel(), "dx": u.ravel(), "dy": v.ravel()})
 
-    return images.select("image_id", "height", "width", "data").mapInPandas(run, "image_id long, y long, x long, dx double, dy double")
+    return _with_first(images).mapInPandas(run, "session string, image_id long, y long, x long, dx double, dy double")
+
+
+def folded(flows: DataFrame, warps: DataFrame) -> DataFrame:
+    """(session, image_id, y, x, src_x, src_y): flows of images that had been moved by their warps, and the warps, as one remap.
+
+    The moved image at x is the image at W x, and the flow leads from x to x + f(x) in the
+    moved image; so the whole way from x leads to W (x + f(x)). Warps are affine or
+    projective; an image without a warp has no remap.
+    """
+    at = flows.join(warps.select("session", "image_id", "warp"), ["session", "image_id"])
+    x, y, m = F.col("x") + F.col("dx"), F.col("y") + F.col("dy"), F.col("warp")
+    row = lambda i: m[i] * x + m[i + 1] * y + m[i + 2]
+    z = F.when(F.size("warp") == 9, F.get(m, F.lit(6)) * x + F.get(m, F.lit(7)) * y + F.get(m, F.lit(8))).otherwise(1.0)
+    return at.select("session", "image_id", "y", "x", (row(0) / z).alias("src_x"), (row(3) / z).alias("src_y"))
 
 
 def augmented(image: DataFrame, other: DataFrame, weight: float) -> DataFrame:

@@ -67,8 +67,7 @@ def grid_points(mask: DataFrame, spacing: float) -> DataFrame:
     xs = box.select(F.explode(F.sequence("x0", F.col("x1") - 1, F.lit(step).cast("long"))).alias("x"), "y0", "y1")
     grid = xs.select("x", F.explode(F.sequence("y0", F.col("y1") - 1, F.lit(step).cast("long"))).alias("y"))
     kept = grid.join(mask.select("x", "y"), ["x", "y"], "left_semi")
-    # a point set is bounded by the image, and its ids need one order over all of it
-    return kept.select((F.row_number().over(Window.orderBy("x", "y")) - 1).cast("long").alias("point_id"), F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"))
+    return batches(kept, F.struct("x", "y"), 1).select(F.col("batch_id").alias("point_id"), F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"))
 
 
 def mesh(points: DataFrame, k: int) -> DataFrame:

@@ -208,6 +208,13 @@ def time_axis(spark: SparkSession, n: int, width: int, by: int) -> DataFrame:
     return o.groupBy(F.floor(F.col("o") / by).alias("t_ds")).agg((F.avg("o") + (width - 1) / 2).alias("sample"))
 
 
+def time_axes(videos: DataFrame, width: int, by: int) -> DataFrame:
+    """(video_id, t_ds, sample): the same axis for every video, from its own number of frames; none where a video is shorter than the taps."""
+    last = (F.col("num_frames") - width).cast("long")
+    bins = videos.where(last >= 0).select("video_id", last.alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / by))).alias("t_ds"))
+    return bins.select("video_id", "t_ds", ((F.col("t_ds") * by + F.least(F.col("t_ds") * by + by - 1, F.col("_l"))) / 2 + (width - 1) / 2).alias("sample"))
+
+
 def size_estimate(videos: DataFrame, points: int, bins: int, width: int, by: int, itemsize: int = 4) -> DataFrame:
     """Gigabytes of each video's spectrogram."""
     frames: Column = F.floor((F.col("num_frames") - width) / by + 1)

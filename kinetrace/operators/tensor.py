@@ -92,10 +92,10 @@ def mttkrp(tensor: DataFrame, factors: dict[str, DataFrame], mode: str, by: tupl
     return out.groupBy(*by, F.col(mode).alias("idx"), F.col(rank).alias("r")).agg(F.sum(product).alias("value"))
 
 
-def gram(factor: DataFrame) -> DataFrame:
-    """(r, s, value): products of a factor's columns."""
-    a, b = factor.alias("a"), factor.alias("b")
-    return a.join(b, F.col("a.idx") == F.col("b.idx")).groupBy(F.col("a.r").alias("r"), F.col("b.r").alias("s")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("value"))
+def gram(factor: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(r, s, value): products of a factor's columns; each ``by`` for itself."""
+    b = factor.select(*by, "idx", F.col("r").alias("s"), F.col("value").alias("_v"))
+    return factor.join(b, [*by, "idx"]).groupBy(*by, "r", "s").agg(F.sum(F.col("value") * F.col("_v")).alias("value"))
 
 
 def correlations(factor: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

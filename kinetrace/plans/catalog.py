@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from kinetrace.functions import scalar, trees
 from kinetrace.operators import align, cp, points, spectral, tensor, track
 from kinetrace.plans import compare
-from kinetrace.sources import frames, tables
+from kinetrace.sources import files, frames, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +45,16 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.tracks(spark, sf_dir)
 
 
+_HEIGHT = "(SELECT max(vec_id) + 1 FROM embeddings)"
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """All vectors as an image, and its height."""
+    height = tables.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    return tables.image(spark, sf_dir), 0 if height is None else height + 1
+
+
+
 # ---- scans ----------------------------------------------------------------
 
 
@@ -98,69 +108,62 @@ def ordered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.batches(t, F.struct("video_id", "point_id", "frame_idx"), 1000, least=1000)
 
 
-@query("SELECT c_name AS name, row_number() OVER (ORDER BY regexp_replace(c_name, '[0-9]+', '', 'g'), CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_name) AS place FROM customer QUALIFY place <= 200")
-def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in natural order, the first 200: the numbers in them count as numbers."""
-    c = tables.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
-    keys = [F.regexp_replace("name", "[0-9]+", ""), F.regexp_extract("name", "([0-9]+)", 1).cast("long"), F.col("name")]
-    top = c.orderBy(*keys).limit(200)
-    return top.select("name", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
-
-
 @query("SELECT c_name AS name, row_number() OVER (ORDER BY regexp_replace(c_name, '[0-9]+', '', 'g'), CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_name) AS place FROM customer")
-def natural_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every name in natural order, numbered by ranges."""
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name in natural order, numbered by ranges: the numbers in names count as numbers."""
     c = tables.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
-    key = F.struct(F.regexp_replace("name", "[0-9]+", ""), F.regexp_extract("name", "([0-9]+)", 1).cast("long"), F.col("name"))
-    return points.batches(c, key, 1).select("name", (F.col("batch_id") + 1).cast("long").alias("place"))
+    return points.batches(c, F.struct(*files.natural_key(F.col("name"))), 1).select("name", (F.col("batch_id") + 1).cast("long").alias("place"))
 
 
 # ---- masks, meshes, violations --------------------------------------------
 
 POLYGONS = [("a", 0, 4.5, 3.5), ("a", 1, 50.5, 8.5), ("a", 2, 40.5, 55.5), ("a", 3, 10.5, 48.5), ("b", 0, 20.5, 1.5), ("b", 1, 62.5, 30.5), ("b", 2, 22.5, 60.5)]
-_VERTICES = "vert(roi_id, ord, x, y) AS (VALUES " + ", ".join(f"('{r}', {o}, {x}::DOUBLE, {y}::DOUBLE)" for r, o, x, y in POLYGONS) + ")"
+_VERTICES = f"vert AS (SELECT roi_id, ord, x, y * {_HEIGHT} / 64 AS y FROM (VALUES " + ", ".join(f"('{r}', {o}, {x}::DOUBLE, {y}::DOUBLE)" for r, o, x, y in POLYGONS) + ") v(roi_id, ord, x, y))"
 MASKS = f"""{_VERTICES},
 edge AS (SELECT roi_id, x AS xa, y AS ya, coalesce(lead(x) OVER w, first_value(x) OVER w) AS xb, coalesce(lead(y) OVER w, first_value(y) OVER w) AS yb FROM vert WINDOW w AS (PARTITION BY roi_id ORDER BY ord)),
-px AS (SELECT i // 64 AS y, i % 64 AS x FROM range(4096) r(i)),
+px AS (SELECT y, x FROM image),
 mask AS (SELECT roi_id, px.y, px.x FROM px JOIN edge ON (ya > px.y) <> (yb > px.y) AND px.x < (xb - xa) * (px.y - ya) / (yb - ya) + xa GROUP BY ALL HAVING count(*) % 2 = 1),
 both_masks AS (SELECT y, x FROM mask GROUP BY y, x HAVING count(DISTINCT roi_id) = 2)"""
 
 
-def _masks(spark: SparkSession) -> DataFrame:
-    return points.polygon_mask(points.pixels(spark, 64, 64), spark.createDataFrame(POLYGONS, "roi_id string, ord int, x double, y double"))
+def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons, as high as the image of all vectors, over its pixels."""
+    image, height = _whole(spark, sf_dir)
+    return points.polygon_mask(image.select("y", "x"), spark.createDataFrame([(r, o, x, y * height / 64) for r, o, x, y in POLYGONS], "roi_id string, ord int, x double, y double"))
 
 
 @query("SELECT * FROM mask", MASKS)
 def polygon_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _masks(spark)
+    return _masks(spark, sf_dir)
 
 
 @query("SELECT * FROM both_masks", MASKS)
 def mask_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.mask_intersection(_masks(spark))
+    return points.mask_intersection(_masks(spark, sf_dir))
 
 
 @query("SELECT y, x FROM mask WHERE roi_id = 'a' INTERSECT SELECT y, x FROM mask WHERE roi_id = 'b'", MASKS)
 def mask_intersection_by_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _masks(spark)
+    m = _masks(spark, sf_dir)
     return points.mask_intersection_sets([m.where(F.col("roi_id") == r).select("y", "x") for r in "ab"])
 
 
 @query("SELECT i.y, i.x, round(CASE WHEN m.y IS NULL THEN 0 ELSE value END, 4) + 0.0 AS value FROM image i LEFT JOIN both_masks m ON i.y = m.y AND i.x = m.x", MASKS)
 def masked_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(points.masked(tables.image(spark, sf_dir), points.mask_intersection(_masks(spark))), "value")
+    return rounded(points.masked(tables.image(spark, sf_dir), points.mask_intersection(_masks(spark, sf_dir))), "value")
 
 
-@query("SELECT y, x, CASE WHEN y < 3 OR y >= 64 - 2 OR x < 0 OR x >= 64 - 5 OR (abs(y - 32) < 4 AND abs(x - 32) < 4) THEN 0.0 ELSE value END AS value FROM image")
+@query(f"SELECT y, x, CASE WHEN y < 3 OR y >= {_HEIGHT} - 2 OR x < 0 OR x >= 64 - 5 OR (abs(y - {_HEIGHT} // 2) < 4 AND abs(x - 32) < 4) THEN 0.0 ELSE value END AS value FROM image")
 def border_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.border_masked(tables.image(spark, sf_dir), 64, 64, top=3, bottom=2, left=0, right=5, centre=4)
+    image, height = _whole(spark, sf_dir)
+    return points.border_masked(image, height, 64, top=3, bottom=2, left=0, right=5, centre=4)
 
 
 @query("""SELECT row_number() OVER (ORDER BY x, y) - 1 AS point_id, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0
 FROM both_masks m WHERE x < (SELECT max(x) FROM both_masks) AND y < (SELECT max(y) FROM both_masks)
 AND (x - (SELECT min(x) FROM both_masks)) % 4 = 0 AND (y - (SELECT min(y) FROM both_masks)) % 4 = 0""", MASKS)
 def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.grid_points(points.mask_intersection(_masks(spark)), 4.5)
+    return points.grid_points(points.mask_intersection(_masks(spark, sf_dir)), 4.5)
 
 
 @query("SELECT l_returnflag AS video_id, l_orderkey AS frame_idx, l_suppkey AS y, l_linenumber AS x, CAST(floor(avg(l_quantity)) AS BIGINT) AS value FROM lineitem GROUP BY ALL")
@@ -332,9 +335,10 @@ def normalised_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spectral.normalised(_packed_spectrogram(spark, sf_dir), HZ), "value")
 
 
-@query(f"SELECT o // {POOL} AS t_ds, avg(o) + {(WIDTH - 1) / 2} AS sample FROM range({tables.N_FRAMES - WIDTH + 1}) r(o) GROUP BY 1")
+@query(f"SELECT video_id, o // {POOL} AS t_ds, avg(o) + {(WIDTH - 1) / 2} AS sample FROM (SELECT video_id, unnest(range(num_frames - {WIDTH} + 1)) AS o FROM videos) GROUP BY 1, 2")
 def spectrogram_time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.time_axis(spark, tables.N_FRAMES, WIDTH, POOL)
+    """The axis of every video, by its own number of frames."""
+    return spectral.time_axes(tables.videos(_tracks(spark, sf_dir)), WIDTH, POOL)
 
 
 @query(f"SELECT video_id, 2.0 * {BINS} * 8 * floor((num_frames - {WIDTH}) / {POOL} + 1) * 4 / 1e9 AS gb FROM videos")
@@ -345,14 +349,22 @@ def spectrogram_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KERNEL = "kern AS (SELECT y, x, (cos(least(pi(), 2 * pi() * sqrt((y - 2.0) ** 2 + (x - 2.0) ** 2) / 5.0)) + 1) / 2 AS value FROM (SELECT i // 5 AS y, i % 5 AS x FROM range(25) r(i)))"
 
 
-@query("SELECT y, x, round(value, 6) + 0.0 AS value FROM kern", _KERNEL)
+@query("SELECT video_id, point_id, frame_idx, round((cos(least(pi(), 2 * pi() * sqrt((x - x0) ** 2 + (y - y0) ** 2) / 800.0)) + 1) / 2, 6) + 0.0 AS value FROM tracks JOIN points USING (point_id)")
 def cosine_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scalar.cosine_kernel(spark, 5, 5.0, (2.0, 2.0)), "value", digits=6)
+    """The kernel at every tracked point, around its home."""
+    t = _tracks(spark, sf_dir)
+    far = F.sqrt(F.pow(F.col("x") - F.col("x0"), F.lit(2)) + F.pow(F.col("y") - F.col("y0"), F.lit(2)))
+    return rounded(t.join(tables.points(t), "point_id").select("video_id", "point_id", "frame_idx", scalar.raised_cosine(far, 800.0).alias("value")), "value", digits=6)
 
 
-@query("SELECT i.y + k.y - 2 AS y, i.x + k.x - 2 AS x, round(sum(i.value * k.value), 4) + 0.0 AS value FROM image i, kern k WHERE i.y + k.y - 2 BETWEEN 0 AND 63 AND i.x + k.x - 2 BETWEEN 0 AND 63 GROUP BY ALL", _KERNEL)
+def _convolved(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    image, height = _whole(spark, sf_dir)
+    return rounded(spectral.convolved_2d(image, scalar.cosine_kernel(spark, 5, 5.0, (2.0, 2.0)), height, 64, 5, 5, mode), "value")
+
+
+@query(f"SELECT i.y + k.y - 2 AS y, i.x + k.x - 2 AS x, round(sum(i.value * k.value), 4) + 0.0 AS value FROM image i, kern k WHERE i.y + k.y - 2 BETWEEN 0 AND {_HEIGHT} - 1 AND i.x + k.x - 2 BETWEEN 0 AND 63 GROUP BY ALL", _KERNEL)
 def convolution_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spectral.convolved_2d(tables.image(spark, sf_dir), scalar.cosine_kernel(spark, 5, 5.0, (2.0, 2.0)), 64, 64, 5, 5), "value")
+    return _convolved(spark, sf_dir, "same")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, round(exp(-(((l_quantity - 25) / 10) ** 2) / 2) / (sqrt(2 * pi()) * 10), 6) + 0.0 AS density FROM lineitem")
@@ -361,9 +373,11 @@ def gaussian_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(li.select("l_orderkey", "l_linenumber", "l_quantity", scalar.gaussian(F.col("l_quantity"), 25, 10).alias("density")), "density", digits=6)
 
 
-@query("SELECT i, round(1.0 * 60.0 ** (i / 35.0), 6) + 0.0 AS value FROM range(36) r(i)")
+@query("SELECT video_id, CAST(i AS INTEGER) AS i, round(frame_rate ** (i / 35.0), 6) + 0.0 AS value FROM videos, range(36) r(i)")
 def log_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scalar.log_spaced(spark, 1, 60, 36), "value", digits=6)
+    """36 frequencies of every video, from 1 to its frame rate."""
+    v = tables.videos(_tracks(spark, sf_dir))
+    return rounded(v.select("video_id", F.posexplode(scalar.log_spaced_between(F.lit(1.0), F.col("frame_rate"), 36)).alias("i", "value")), "value", digits=6)
 
 
 @query("""SELECT y, x, round(CASE WHEN v < 0.5 THEN 2 * v ELSE 1 - 2 * (v - 0.5) END, 4) + 0.0 AS r, round(CASE WHEN v < 0.5 THEN 0 ELSE 2 * (v - 0.5) END, 4) + 0.0 AS g, round(CASE WHEN v < 0.5 THEN 1 - 2 * v ELSE 0 END, 4) + 0.0 AS b
@@ -385,20 +399,20 @@ def _sobel(spark: SparkSession, turned: bool) -> DataFrame:
 FROM (SELECT y, x, i.i, j.j FROM image, range(3) i(i), range(3) j(j)) a JOIN image i ON i.x = a.x + a.i - 1 AND i.y = a.y + a.j - 1 GROUP BY a.y, a.x""")
 def sobel_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradients by 3 x 3 kernels; outside of the image stands 0."""
-    image = tables.image(spark, sf_dir)
-    gx = spectral.convolved_2d(image, _sobel(spark, False), 64, 64, 3, 3).select("y", "x", F.col("value").alias("gx"))
-    gy = spectral.convolved_2d(image, _sobel(spark, True), 64, 64, 3, 3).select("y", "x", F.col("value").alias("gy"))
+    image, height = _whole(spark, sf_dir)
+    gx = spectral.convolved_2d(image, _sobel(spark, False), height, 64, 3, 3).select("y", "x", F.col("value").alias("gx"))
+    gy = spectral.convolved_2d(image, _sobel(spark, True), height, 64, 3, 3).select("y", "x", F.col("value").alias("gy"))
     return rounded(gx.join(gy, ["y", "x"]), "gx", "gy")
 
 
 @query("SELECT i.y + k.y AS y, i.x + k.x AS x, round(sum(i.value * k.value), 4) + 0.0 AS value FROM image i, kern k GROUP BY ALL", _KERNEL)
 def convolution_2d_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spectral.convolved_2d(tables.image(spark, sf_dir), scalar.cosine_kernel(spark, 5, 5.0, (2.0, 2.0)), 64, 64, 5, 5, "full"), "value")
+    return _convolved(spark, sf_dir, "full")
 
 
-@query("SELECT i.y + k.y - 4 AS y, i.x + k.x - 4 AS x, round(sum(i.value * k.value), 4) + 0.0 AS value FROM image i, kern k WHERE i.y + k.y - 4 BETWEEN 0 AND 59 AND i.x + k.x - 4 BETWEEN 0 AND 59 GROUP BY ALL", _KERNEL)
+@query(f"SELECT i.y + k.y - 4 AS y, i.x + k.x - 4 AS x, round(sum(i.value * k.value), 4) + 0.0 AS value FROM image i, kern k WHERE i.y + k.y - 4 BETWEEN 0 AND {_HEIGHT} - 5 AND i.x + k.x - 4 BETWEEN 0 AND 59 GROUP BY ALL", _KERNEL)
 def convolution_2d_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spectral.convolved_2d(tables.image(spark, sf_dir), scalar.cosine_kernel(spark, 5, 5.0, (2.0, 2.0)), 64, 64, 5, 5, "valid"), "value")
+    return _convolved(spark, sf_dir, "valid")
 
 
 COMPLEX = SPECTRAL + f""", cs AS (SELECT video_id, axis, point_id, f_idx, o // {POOL} AS t_ds, avg(re) AS re, avg(im) AS im FROM conv GROUP BY ALL),
@@ -494,36 +508,6 @@ def fixed_factors(spark: SparkSession) -> dict[str, DataFrame]:
     return out
 
 
-@query("""SELECT t.frequency AS idx, CAST(a.r AS INTEGER) AS r, round(sum(t.value * a.value * b.value * c.value), 2) + 0.0 AS value
-FROM ten t JOIN fac a ON a.mode = 'xy' AND a.idx = t.xy JOIN fac b ON b.mode = 'points' AND b.idx = t.points AND b.r = a.r JOIN fac c ON c.mode = 'time' AND c.idx = t.time AND c.r = a.r
-WHERE t.elem = 'purchase' GROUP BY ALL""", TENSOR + FACTORS)
-def khatri_rao_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tensor(spark, sf_dir).where("elem = 'purchase'")
-    return rounded(tensor.mttkrp(t, fixed_factors(spark), "frequency"), "value", digits=2)
-
-
-@query("SELECT CAST(a.r AS INTEGER) AS r, CAST(b.r AS INTEGER) AS s, round(sum(a.value * b.value), 4) + 0.0 AS value FROM fac a JOIN fac b ON a.mode = b.mode AND a.idx = b.idx WHERE a.mode = 'time' GROUP BY ALL", TENSOR + FACTORS)
-def factor_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tensor.gram(fixed_factors(spark)["time"]), "value")
-
-
-FACTOR = TRACES + ", f AS (SELECT frame_idx AS idx, point_id AS r, x AS value FROM tracks WHERE video_id = 'view')"
-
-
-def _factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tracks(spark, sf_dir).where("video_id = 'view'").select(F.col("frame_idx").alias("idx"), F.col("point_id").alias("r"), F.col("x").alias("value"))
-
-
-@query("SELECT a.r, b.r AS s, round(corr(a.value, b.value) - CASE WHEN a.r = b.r THEN 1 ELSE 0 END, 4) + 0.0 AS corr FROM f a JOIN f b ON a.idx = b.idx GROUP BY a.r, b.r", FACTOR)
-def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tensor.correlations(_factor(spark, sf_dir)), "corr")
-
-
-@query("SELECT idx % 360 AS point, r, round(sqrt(x * x + y * y), 4) + 0.0 AS magnitude, round(atan2(y, x), 4) + 0.0 AS angle FROM (SELECT idx % 360 AS idx, r, sum(CASE WHEN idx < 360 THEN value ELSE 0 END) AS x, sum(CASE WHEN idx >= 360 THEN value ELSE 0 END) AS y FROM f GROUP BY 1, 2)", FACTOR)
-def polar_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tensor.polar_loadings(_factor(spark, sf_dir), 360), "magnitude", "angle")
-
-
 DIMS = ["xy", "points", "frequency", "time"]
 PENALTIES = {"points": cp.Penalty(simplex=True), "frequency": cp.Penalty(sparsity=0.5), "time": cp.Penalty(smoothness=5.0)}
 
@@ -575,79 +559,36 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- events ---------------------------------------------------------------
 
-EVENTS = FACTOR + f""",
-axis AS (SELECT o // {POOL} AS t_ds, avg(o) + {(WIDTH - 1) / 2} AS sample FROM range({tables.N_FRAMES - WIDTH + 1}) r(o) GROUP BY 1),
-ev AS (SELECT event_id, (epoch(ts) - {tables.START}) / 3600.0 AS moment FROM events WHERE event_type = 'purchase'),
-bins AS (SELECT event_id, arg_min(t_ds, row(abs(sample - moment), t_ds)) AS t_ds FROM ev, axis WHERE moment > 100 GROUP BY 1),
-g AS (SELECT idx, r, abs(value) / stddev_pop(abs(value)) OVER (PARTITION BY r) AS value FROM f),
-around AS (SELECT event_id, r, idx - t_ds AS rel, value FROM bins JOIN g ON idx >= t_ds - 4 AND idx < t_ds + 4)"""
-
-
-def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - tables.START) / 3600.0
-    return align.nearest_bins(e.select("event_id", at.alias("at")), spectral.time_axis(spark, tables.N_FRAMES, WIDTH, POOL), least=100)
-
-
-@query("SELECT event_id, t_ds FROM bins", EVENTS)
-def nearest_event_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bins(spark, sf_dir)
-
-
-@query("SELECT idx, r, round(value, 4) + 0.0 AS value FROM g", EVENTS)
-def scaled_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.scaled_factor(_factor(spark, sf_dir)), "value")
-
-
-@query("SELECT r, rel, round(avg(value), 4) + 0.0 AS mean, round(stddev_pop(value), 4) + 0.0 AS std, count(*) AS n FROM around GROUP BY ALL", EVENTS)
-def peri_event_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.peri_event(align.around_events(align.scaled_factor(_factor(spark, sf_dir)), _bins(spark, sf_dir), 4, 4)), "mean", "std")
-
-
-@query("SELECT event_id, r, rel, round(value, 4) + 0.0 AS value FROM around", EVENTS)
-def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.around_events(align.scaled_factor(_factor(spark, sf_dir)), _bins(spark, sf_dir), 4, 4), "value")
-
-
-@query("""SELECT p.r AS key, q.x, round(CASE WHEN a.idx IS NULL THEN NULL WHEN b.idx IS NULL THEN a.value ELSE a.value + (b.value - a.value) * (q.x - a.idx * 2.5) / 2.5 END, 4) + 0.0 AS value
-FROM (SELECT DISTINCT r FROM f) p CROSS JOIN (SELECT i AS x FROM range(600) t(i)) q
-LEFT JOIN f a ON a.r = p.r AND a.idx < 200 AND a.idx = floor(q.x / 2.5) AND q.x <= 199 * 2.5 LEFT JOIN f b ON b.r = p.r AND b.idx = a.idx + 1 AND b.idx < 200""", FACTOR)
-def interpolated_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A factor on the frame grid; outside of its samples there is no value."""
-    s = _factor(spark, sf_dir).where("idx < 200").select(F.col("r").alias("key"), (F.col("idx") * 2.5).alias("x"), "value")
-    out = align.interpolated(s, spark.range(600).select(F.col("id").alias("x")))
-    return rounded(out.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), "value")
-
-
 # ---- images and warps -----------------------------------------------------
 
 WARP = [[0.96, 0.1, 1.5], [-0.08, 1.02, 2.25]]
-_W = f"""remap AS (SELECT y, x, {WARP[0][0]} * x + {WARP[0][1]} * y + {WARP[0][2]} AS src_x, {WARP[1][0]} * x + {WARP[1][1]} * y + {WARP[1][2]} AS src_y FROM (SELECT CAST(i // 64 AS DOUBLE) AS y, CAST(i % 64 AS DOUBLE) AS x FROM range(4096) r(i))),
+_W = f"""remap AS (SELECT y, x, {WARP[0][0]} * x + {WARP[0][1]} * y + {WARP[0][2]} AS src_x, {WARP[1][0]} * x + {WARP[1][1]} * y + {WARP[1][2]} AS src_y FROM (SELECT CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x FROM image)),
 corner AS (SELECT r.*, floor(src_x) + i AS cx, floor(src_y) + j AS cy, (CASE i WHEN 1 THEN src_x - floor(src_x) ELSE 1 - src_x + floor(src_x) END) * (CASE j WHEN 1 THEN src_y - floor(src_y) ELSE 1 - src_y + floor(src_y) END) AS w FROM remap r, range(2) a(i), range(2) b(j))"""
 
 
-def _remap(spark: SparkSession) -> DataFrame:
-    return align.warp_remap(spark, WARP, 64, 64)
+def _remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warp over every pixel of the image of all vectors."""
+    return align.warped(tables.image(spark, sf_dir).select("y", "x"), WARP)
 
 
 @query("SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(src_x, 4) + 0.0 AS src_x, round(src_y, 4) + 0.0 AS src_y FROM remap", _W)
 def warp_to_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_remap(spark), "src_x", "src_y")
+    return rounded(_remap(spark, sf_dir), "src_x", "src_y")
 
 
 @query("SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(src_x - x, 4) + 0.0 AS dx, round(src_y - y, 4) + 0.0 AS dy FROM remap", _W)
 def remap_to_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.remap_to_flow(_remap(spark)), "dx", "dy")
+    return rounded(align.remap_to_flow(_remap(spark, sf_dir)), "dx", "dy")
 
 
 @query("SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(src_x, 4) + 0.0 AS src_x, round(src_y, 4) + 0.0 AS src_y FROM remap", _W)
 def flow_to_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.flow_to_remap(align.remap_to_flow(_remap(spark))), "src_x", "src_y")
+    return rounded(align.flow_to_remap(align.remap_to_flow(_remap(spark, sf_dir))), "src_x", "src_y")
 
 
-@query("SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round((src_x / 63 - 0.5) * 2, 4) + 0.0 AS u, round((src_y / 63 - 0.5) * 2, 4) + 0.0 AS v FROM remap", _W)
+@query(f"SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round((src_x / 63 - 0.5) * 2, 4) + 0.0 AS u, round((src_y / ({_HEIGHT} - 1) - 0.5) * 2, 4) + 0.0 AS v FROM remap", _W)
 def remap_to_unit_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.remap_to_unit(_remap(spark), 64, 64), "u", "v")
+    return rounded(align.remap_to_unit(_remap(spark, sf_dir), _whole(spark, sf_dir)[1], 64), "u", "v")
 
 
 def _shifted(image: DataFrame) -> DataFrame:
@@ -657,30 +598,30 @@ def _shifted(image: DataFrame) -> DataFrame:
 @query("SELECT CAST(c.y AS BIGINT) AS y, CAST(c.x AS BIGINT) AS x, round(sum(w * coalesce(i.value, 0)) + 1e-9, 4) + 0.0 AS value FROM corner c LEFT JOIN image i ON i.y = cy AND i.x = cx GROUP BY ALL", _W)
 def remapped_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bilinear values; a little is added before rounding, so that exact halves go the same way on both sides."""
-    return _shifted(align.remapped(tables.image(spark, sf_dir), _remap(spark)))
+    return _shifted(align.remapped(tables.image(spark, sf_dir), _remap(spark, sf_dir)))
 
 
 @query("SELECT CAST(r.y AS BIGINT) AS y, CAST(r.x AS BIGINT) AS x, coalesce(i.value, 0) AS value FROM remap r LEFT JOIN image i ON i.y = round_even(src_y, 0) AND i.x = round_even(src_x, 0)", _W)
 def remapped_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.remapped(tables.image(spark, sf_dir), _remap(spark), method="nearest")
+    return align.remapped(tables.image(spark, sf_dir), _remap(spark, sf_dir), method="nearest")
 
 
 @query("""SELECT CAST(c.y AS BIGINT) AS y, CAST(c.x AS BIGINT) AS x, round(sum(w * r.src_x), 4) + 0.0 AS src_x, round(sum(w * r.src_y), 4) + 0.0 AS src_y
 FROM corner c LEFT JOIN remap r ON r.y = cy AND r.x = cx WHERE w > 0 GROUP BY c.y, c.x HAVING count(r.src_x) = count(*)""", _W)
 def composed_remaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.composed_remaps(_remap(spark), _remap(spark)), "src_x", "src_y")
+    return rounded(align.composed_remaps(_remap(spark, sf_dir), _remap(spark, sf_dir)), "src_x", "src_y")
 
 
 @query("SELECT CAST(round_even(src_y, 0) AS BIGINT) AS y, CAST(round_even(src_x, 0) AS BIGINT) AS x, round(avg(x), 4) + 0.0 AS src_x, round(avg(y), 4) + 0.0 AS src_y FROM remap GROUP BY 1, 2".replace("avg(x)", "avg(remap.x)").replace("avg(y)", "avg(remap.y)"), _W)
 def inverted_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.inverted_remap(_remap(spark)), "src_x", "src_y")
+    return rounded(align.inverted_remap(_remap(spark, sf_dir)), "src_x", "src_y")
 
 
-@query("""SELECT point_id, round(least(greatest(sum(w * src_x), 0), 63), 4) + 0.0 AS x, round(least(greatest(sum(w * src_y), 0), 63), 4) + 0.0 AS y FROM (
+@query(f"""SELECT point_id, round(least(greatest(sum(w * src_x), 0), 63), 4) + 0.0 AS x, round(least(greatest(sum(w * src_y), 0), {_HEIGHT} - 1), 4) + 0.0 AS y FROM (
   SELECT point_id, floor(px) + i AS cx, floor(py) + j AS cy, (CASE i WHEN 1 THEN px - floor(px) ELSE 1 - px + floor(px) END) * (CASE j WHEN 1 THEN py - floor(py) ELSE 1 - py + floor(py) END) AS w
-  FROM (SELECT point_id, least(greatest(x0, 0), 63) AS px, least(greatest(y0, 0), 63) AS py FROM points), range(2) a(i), range(2) b(j)) JOIN remap r ON r.y = cy AND r.x = cx WHERE w > 0 GROUP BY point_id""", _W)
+  FROM (SELECT point_id, least(greatest(x0, 0), 63) AS px, least(greatest(y0, 0), {_HEIGHT} - 1) AS py FROM points), range(2) a(i), range(2) b(j)) JOIN remap r ON r.y = cy AND r.x = cx WHERE w > 0 GROUP BY point_id""", _W)
 def remapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.remapped_points(tables.points(_tracks(spark, sf_dir)), _remap(spark), 64, 64), "x", "y")
+    return rounded(align.remapped_points(tables.points(_tracks(spark, sf_dir)), _remap(spark, sf_dir), _whole(spark, sf_dir)[1], 64), "x", "y")
 
 
 _CELLS = "a AS (SELECT s_suppkey AS id, i // 3 AS i, i % 3 AS j, ((s_suppkey * 5 + i * 7) % 13) / 13.0::DOUBLE AS value FROM supplier, range(9) r(i))"
@@ -810,10 +751,7 @@ def tree_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.tree_differences(e.select("event_id", "props"), made, ["event_id"], "props", atol=20)
 
 
-@query()
-def point_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    home = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(16, 16), (32, 16), (16, 32), (32, 32)])], "point_id long, x0 double, y0 double")
-    return track.track_points(track.blob_frames(spark), home, track.TrackerParams(neighbours=3))
+
 
 
 @query()
@@ -833,38 +771,6 @@ k AS (
 SELECT video_id, point_id, frame_idx, round(sx, 4) + 0.0 AS x, round(sy, 4) + 0.0 AS y FROM k"""
 
 
-def _shots(spark: SparkSession) -> tuple[DataFrame, np.ndarray]:
-    """Four pictures of two blobs, each a little farther from the first."""
-    y, x = np.mgrid[:48, :48]
-    shot = lambda dx, dy: (np.exp(-((x - 20 - dx) ** 2 + (y - 24 - dy) ** 2) / 60) + 0.7 * np.exp(-((x - 32 - dx) ** 2 + (y - 14 - dy) ** 2) / 30)).ravel().tolist()
-    images = spark.createDataFrame([(i, 48, 48, shot(i * 0.7, -i * 0.4)) for i in range(4)], "image_id long, height int, width int, data array<double>")
-    return images, np.reshape(shot(0, 0), (48, 48))
-
-
-@query()
-def registered_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.registered(*_shots(spark), "affine")
-
-
-@query()
-def transformed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pictures resampled onto the first."""
-    images, first = _shots(spark)
-    return align.transformed(images, align.registered(images, first, "translation")).select("image_id", F.posexplode("data").alias("pixel", "value"))
-
-
-@query()
-def chained_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warps to the first picture from warps to the one before."""
-    images, _ = _shots(spark)
-    return align.chained(align.registered_to_previous(images.withColumn("session", F.lit("s")), "euclidean"))
-
-
-@query()
-def dense_flow_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.flow_fields(*_shots(spark))
-
-
 #: Vectors in a frame of :func:`frames.scrolled`, and their neighbours in its averages.
 ROWS, BLUR = 24, 2
 
@@ -873,134 +779,109 @@ def _scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.scrolled(tables.table(spark, sf_dir, "embeddings"), ROWS, BLUR)
 
 
-@query(f"""SELECT CAST(label AS VARCHAR) AS session, n - 1 AS frame_idx, CAST(0 AS DOUBLE) AS dx, CAST(CASE WHEN n > 1 THEN 1 ELSE 0 END AS DOUBLE) AS dy
-FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, count(*) OVER (PARTITION BY label) AS size FROM embeddings) WHERE n <= size - {ROWS + 2 * BLUR - 1}""")
-def registered_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every frame of every label's scroll registered to the one before: a row farther, to the pixel."""
+def _pictures(spark: SparkSession, sf_dir: str, group: int | None = None) -> DataFrame:
+    """The scrolls' frames as pictures; a session is a label's whole scroll, or ``group`` frames of it."""
 
     def unpacked(batches):
         for b in batches:
             yield b.assign(data=[np.frombuffer(d, np.uint8).astype(float).tolist() for d in b["data"]])
 
-    images = _scrolls(spark, sf_dir).select(F.col("video_id").alias("session"), F.col("frame_idx").alias("image_id"), "height", "width", "data").mapInPandas(unpacked, "session string, image_id long, height int, width int, data array<double>")
-    warps = align.registered_to_previous(images, "translation")
-    return warps.select("session", F.col("image_id").alias("frame_idx"), (F.round(F.abs(F.col("warp")[2])) + 0.0).alias("dx"), (F.round(F.abs(F.col("warp")[5])) + 0.0).alias("dy"))
-
-
-@query()
-def tracked_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four points tracked over every label's scroll; they hold to their places, so rewinds set in as the pictures leave them."""
-    home = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(16, 12), (24, 12), (40, 12), (48, 12)])], "point_id long, x0 double, y0 double")
-    return track.track_points(_scrolls(spark, sf_dir), home, track.TrackerParams(neighbours=2, threshold=6.0, relaxation=0.05))
-
-
-BANK = np.round(spectral.make_taps(1.0, 1 / 24, 0.4, BINS, WIDTH, 2, 4)[0], 8)
-
-
-@query(
-    "SELECT video_id, axis, point_id, f_idx, t_ds, round(value, 4) + 0.0 AS value FROM spec",
-    SPECTRAL.replace(_TAPS, "taps(f_idx, k, re, im) AS (VALUES " + ", ".join(f"({f}, {k}, {z.real:.8f}::DOUBLE, {z.imag:.8f}::DOUBLE)" for f, row in enumerate(BANK) for k, z in enumerate(row)) + ")"),
-)
-def vqt_filter_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variable-Q bank itself, over the same traces."""
-    return rounded(spectral.vqt(spectral.packed(_traces(spark, sf_dir)), BANK, POOL), "value")
-
-
-# ---- every row as an image --------------------------------------------------
+    session = F.col("video_id") if group is None else F.concat_ws("/", "video_id", F.floor(F.col("frame_idx") / group))
+    shown = _scrolls(spark, sf_dir).select(session.alias("session"), F.col("frame_idx").alias("image_id"), "height", "width", "data")
+    return shown.mapInPandas(unpacked, "session string, image_id long, height int, width int, data array<double>")
 
-def _all_sql(name: str, *changes: tuple[str, str]) -> str:
-    """The SQL of a query over the first 64 rows, over all rows of ``embeddings``."""
-    sql = SQL[name]
-    for old, new in (" WHERE vec_id < 64", ""), *changes:
-        if old not in sql:
-            raise ValueError(f"{name}: {old}")
-        sql = sql.replace(old, new)
-    return sql
-
-
-def _over_all(name: str, *changes: tuple[str, str]) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__], SQL[f.__name__] = f, _all_sql(name, *changes)
-        return f
 
-    return put
+def _moved(warps: DataFrame) -> DataFrame:
+    """Shifts of warps, to the pixel."""
+    return warps.select("session", F.col("image_id").alias("frame_idx"), (F.round(F.abs(F.col("warp")[2])) + 0.0).alias("dx"), (F.round(F.abs(F.col("warp")[5])) + 0.0).alias("dy"))
 
 
-_HEIGHT = "(SELECT max(vec_id) + 1 FROM embeddings)"
-_ALL_REMAP = ("range(4096) r(i)", f"range(64 * {_HEIGHT}) r(i)")
+_FRAMES = f"shown AS (SELECT CAST(label AS VARCHAR) AS label, n - 1 AS frame_idx FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, count(*) OVER (PARTITION BY label) AS size FROM embeddings) WHERE n <= size - {ROWS + 2 * BLUR - 1})"
 
 
-def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """All vectors as an image, and its height."""
-    height = tables.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
-    height = 0 if height is None else height + 1
-    return tables.image(spark, sf_dir, height), height
+@query(f"""SELECT CAST(label AS VARCHAR) AS session, n - 1 AS frame_idx, CAST(0 AS DOUBLE) AS dx, CAST(CASE WHEN n > 1 THEN 1 ELSE 0 END AS DOUBLE) AS dy
+FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, count(*) OVER (PARTITION BY label) AS size FROM embeddings) WHERE n <= size - {ROWS + 2 * BLUR - 1}""")
+def registered_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame of every label's scroll registered to the one before: a row farther, to the pixel."""
+    return _moved(align.registered_to_previous(_pictures(spark, sf_dir), "translation"))
 
 
-@_over_all("masked_image")
-def masked_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(points.masked(_whole(spark, sf_dir)[0], points.mask_intersection(_masks(spark))), "value")
+@query("SELECT label || '/' || frame_idx // 3 AS session, frame_idx, CAST(0 AS DOUBLE) AS dx, CAST(frame_idx % 3 AS DOUBLE) AS dy FROM shown", _FRAMES)
+def registered_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame registered to the first of its three."""
+    return _moved(align.registered_to_first(_pictures(spark, sf_dir, 3), "translation"))
 
 
-@_over_all("border_mask", ("y >= 64 - 2", f"y >= {_HEIGHT} - 2"), ("abs(y - 32)", f"abs(y - {_HEIGHT} // 2)"))
-def border_mask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image, height = _whole(spark, sf_dir)
-    return points.border_masked(image, height, 64, top=3, bottom=2, left=0, right=5, centre=4)
+@query()
+def transformed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame resampled onto the first of its three."""
+    images = _pictures(spark, sf_dir, 3)
+    return align.transformed(images, align.registered_to_first(images, "translation")).select("session", "image_id", F.posexplode("data").alias("pixel", "value"))
 
 
-def _convolved_all(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    image, height = _whole(spark, sf_dir)
-    return rounded(spectral.convolved_2d(image, scalar.cosine_kernel(spark, 5, 5.0, (2.0, 2.0)), height, 64, 5, 5, mode), "value")
+@query("SELECT label || '/' || frame_idx // 6 AS session, frame_idx, CAST(0 AS DOUBLE) AS dx, CAST(frame_idx % 6 AS DOUBLE) AS dy FROM shown", _FRAMES)
+def chained_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warps to the first of six frames, from warps to the one before."""
+    return _moved(align.chained(align.registered_to_previous(_pictures(spark, sf_dir, 6), "translation")))
 
 
-@_over_all("convolution_2d", ("i.y + k.y - 2 BETWEEN 0 AND 63", f"i.y + k.y - 2 BETWEEN 0 AND {_HEIGHT} - 1"))
-def convolution_2d_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _convolved_all(spark, sf_dir, "same")
+@query()
+def dense_flow_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow from the first of every two frames to the second, at every pixel."""
+    return align.flow_fields(_pictures(spark, sf_dir, 2))
 
 
-@_over_all("convolution_2d_full")
-def convolution_2d_full_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _convolved_all(spark, sf_dir, "full")
+@query("SELECT label || '/' || frame_idx // 2 AS session, frame_idx, CAST(0 AS DOUBLE) AS dx, CAST(frame_idx % 2 AS DOUBLE) AS dy FROM shown", _FRAMES)
+def flow_of_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median of each frame's flow from the first of its two, to the pixel."""
+    median = align.flow_fields(_pictures(spark, sf_dir, 2)).groupBy("session", F.col("image_id").alias("frame_idx")).agg(F.median("dx").alias("dx"), F.median("dy").alias("dy"))
+    return median.select("session", "frame_idx", *[(F.round(F.abs(c)) + 0.0).alias(c) for c in ("dx", "dy")])
 
 
-@_over_all("convolution_2d_valid", ("i.y + k.y - 4 BETWEEN 0 AND 59", f"i.y + k.y - 4 BETWEEN 0 AND {_HEIGHT} - 5"))
-def convolution_2d_valid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _convolved_all(spark, sf_dir, "valid")
+@query(
+    f"SELECT CAST(vec_id AS VARCHAR) AS session, v.image_id, v.y, v.x, round({WARP[0][0]} * src_x + {WARP[0][1]} * src_y + {WARP[0][2]}, 4) + 0.0 AS src_x, round({WARP[1][0]} * src_x + {WARP[1][1]} * src_y + {WARP[1][2]}, 4) + 0.0 AS src_y FROM (SELECT y AS vec_id, 0 AS image_id, * FROM field) v", FIELD
+)
+def folded_warps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's flow folded with one warp into a remap."""
+    flows = align.remap_to_flow(_field(spark, sf_dir)).select(F.col("y").cast("string").alias("session"), F.lit(0).alias("image_id"), "y", "x", "dx", "dy")
+    warps = flows.select("session", "image_id").distinct().withColumn("warp", F.array(*[F.lit(float(c)) for r in WARP for c in r]))
+    return rounded(align.folded(flows, warps), "src_x", "src_y")
 
 
-@_over_all("sobel_gradients")
-def sobel_gradients_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image, height = _whole(spark, sf_dir)
-    gx = spectral.convolved_2d(image, _sobel(spark, False), height, 64, 3, 3).select("y", "x", F.col("value").alias("gx"))
-    gy = spectral.convolved_2d(image, _sobel(spark, True), height, 64, 3, 3).select("y", "x", F.col("value").alias("gy"))
-    return rounded(gx.join(gy, ["y", "x"]), "gx", "gy")
+@query()
+def nonrigid_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remaps of every frame to the first of its three: registered, moved, and the rest of the motion by flow, folded into one."""
+    images = _pictures(spark, sf_dir, 3)
+    warps = align.registered_to_first(images, "translation")
+    return align.folded(align.flow_fields(align.transformed(images, warps)), warps)
 
 
-@_over_all("colour_mapped")
-def colour_mapped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_whole(spark, sf_dir)[0].select("y", "x", *scalar.colour_map(F.col("value"), [(0, 0, 1), (1, 0, 0), (0, 1, 0)])), "r", "g", "b")
+@query()
+def point_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six points tracked over every label's scroll, held by three neighbours each."""
+    home = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(12, 8), (24, 8), (36, 8), (12, 16), (24, 16), (36, 16)])], "point_id long, x0 double, y0 double")
+    return track.track_points(_scrolls(spark, sf_dir), home, track.TrackerParams(neighbours=3))
 
 
-@_over_all("remapped_image", _ALL_REMAP)
-def remapped_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image, height = _whole(spark, sf_dir)
-    return _shifted(align.remapped(image, align.warp_remap(spark, WARP, height, 64)))
+@query()
+def tracked_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four points tracked over every label's scroll; they hold to their places, so rewinds set in as the pictures leave them."""
+    home = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(16, 12), (24, 12), (40, 12), (48, 12)])], "point_id long, x0 double, y0 double")
+    return track.track_points(_scrolls(spark, sf_dir), home, track.TrackerParams(neighbours=2, threshold=6.0, relaxation=0.05))
 
 
-@_over_all("remapped_nearest", _ALL_REMAP)
-def remapped_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image, height = _whole(spark, sf_dir)
-    return align.remapped(image, align.warp_remap(spark, WARP, height, 64), method="nearest")
+BANK = np.round(spectral.make_taps(1.0, 1 / 24, 0.4, BINS, WIDTH, 2, 4)[0], 8)
 
 
-@_over_all("equalised_image")
-def equalised_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(align.equalised(_whole(spark, sf_dir)[0], 16), "value")
+@query(
+    "SELECT video_id, axis, point_id, f_idx, t_ds, round(value, 4) + 0.0 AS value FROM spec",
+    SPECTRAL.replace(_TAPS, "taps(f_idx, k, re, im) AS (VALUES " + ", ".join(f"({f}, {k}, {z.real:.8f}::DOUBLE, {z.imag:.8f}::DOUBLE)" for f, row in enumerate(BANK) for k, z in enumerate(row)) + ")"),
+)
+def vqt_filter_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variable-Q bank itself, over the same traces."""
+    return rounded(spectral.vqt(spectral.packed(_traces(spark, sf_dir)), BANK, POOL), "value")
 
 
-@_over_all("min_max_image")
-def min_max_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tensor.min_max(_whole(spark, sf_dir)[0].withColumn("k", F.lit(0)), ["k"]), "value")
 
 
 # ---- every video, element and event -------------------------------------------
@@ -1018,52 +899,52 @@ def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tracks(spark, sf_dir).select("video_id", F.col("frame_idx").alias("idx"), F.col("point_id").alias("r"), F.col("x").alias("value"))
 
 
+def _all_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.table(spark, sf_dir, "events")
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - tables.START) / 3600.0
+    bins = align.nearest_bins(e.select("event_id", at.alias("at")), spectral.time_axis(spark, tables.N_FRAMES, WIDTH, POOL), least=100)
+    return bins.join(e.select("event_id", "event_type"), "event_id")
+
+
+def _all_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.around_events(align.scaled_factor(_factors(spark, sf_dir), VIDEO), _all_bins(spark, sf_dir), 4, 4, VIDEO, ("event_type",))
+
+
 @query("SELECT video_id, a.r, b.r AS s, round(corr(a.value, b.value) - CASE WHEN a.r = b.r THEN 1 ELSE 0 END, 4) + 0.0 AS corr FROM f a JOIN f b USING (video_id, idx) GROUP BY video_id, a.r, b.r", EACH)
-def factor_correlations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tensor.correlations(_factors(spark, sf_dir), VIDEO), "corr")
 
 
 @query("SELECT video_id, idx AS point, r, round(sqrt(x * x + y * y), 4) + 0.0 AS magnitude, round(atan2(y, x), 4) + 0.0 AS angle FROM (SELECT video_id, idx % 360 AS idx, r, sum(CASE WHEN idx < 360 THEN value ELSE 0 END) AS x, sum(CASE WHEN idx >= 360 THEN value ELSE 0 END) AS y FROM f GROUP BY 1, 2, 3)", EACH)
-def polar_loadings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def polar_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tensor.polar_loadings(_factors(spark, sf_dir), 360, VIDEO), "magnitude", "angle")
 
 
 @query("SELECT video_id, idx, r, round(value, 4) + 0.0 AS value FROM g", EACH)
-def scaled_factor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scaled_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(align.scaled_factor(_factors(spark, sf_dir), VIDEO), "value")
 
 
-def _all_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.table(spark, sf_dir, "events")
-    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - tables.START) / 3600.0
-    bins = align.nearest_bins(e.select("event_id", at.alias("at")), spectral.time_axis(spark, tables.N_FRAMES, WIDTH, POOL), least=100)
-    return bins.join(e.select("event_id", "event_type"), "event_id")
-
-
 @query("SELECT event_id, event_type, t_ds FROM bins", EACH)
-def nearest_event_bins_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_event_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_bins(spark, sf_dir)
 
 
-def _all_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.around_events(align.scaled_factor(_factors(spark, sf_dir), VIDEO), _all_bins(spark, sf_dir), 4, 4, VIDEO, ("event_type",))
-
-
 @query("SELECT event_type, video_id, r, rel, round(avg(value), 4) + 0.0 AS mean, round(stddev_pop(value), 4) + 0.0 AS std, count(*) AS n FROM around GROUP BY ALL", EACH)
-def peri_event_average_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def peri_event_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averages around each event type of each video's factor."""
     return rounded(align.peri_event(_all_traces(spark, sf_dir), ("event_type", "video_id")), "mean", "std")
 
 
 @query("SELECT event_id, event_type, video_id, r, rel, round(value, 4) + 0.0 AS value FROM around", EACH)
-def event_traces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_all_traces(spark, sf_dir), "value")
 
 
 @query(f"""SELECT p.video_id, p.r AS key, q.x, round(CASE WHEN a.idx IS NULL THEN NULL WHEN b.idx IS NULL THEN a.value ELSE a.value + (b.value - a.value) * (q.x - a.idx * 2.5) / 2.5 END, 4) + 0.0 AS value
 FROM (SELECT DISTINCT video_id, r FROM f) p CROSS JOIN (SELECT i AS x FROM range({tables.N_FRAMES * 5 // 2}) t(i)) q
 LEFT JOIN f a ON a.video_id = p.video_id AND a.r = p.r AND a.idx = floor(q.x / 2.5) AND q.x <= {tables.N_FRAMES - 1} * 2.5 LEFT JOIN f b ON b.video_id = p.video_id AND b.r = p.r AND b.idx = a.idx + 1""", EACH)
-def interpolated_factor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def interpolated_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every video's factor over all frames on the finer grid; outside of its samples there is no value."""
     s = _factors(spark, sf_dir).select(F.struct("video_id", "r").alias("key"), (F.col("idx") * 2.5).alias("x"), "value")
     out = align.interpolated(s, spark.range(tables.N_FRAMES * 5 // 2).select(F.col("id").alias("x")))
@@ -1074,10 +955,15 @@ def interpolated_factor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT t.elem, t.frequency AS idx, CAST(a.r AS INTEGER) AS r, round(sum(t.value * a.value * b.value * c.value), 2) + 0.0 AS value
 FROM ten t JOIN fac a ON a.mode = 'xy' AND a.idx = t.xy JOIN fac b ON b.mode = 'points' AND b.idx = t.points AND b.r = a.r JOIN fac c ON c.mode = 'time' AND c.idx = t.time AND c.r = a.r
 GROUP BY ALL""", TENSOR + FACTORS)
-def khatri_rao_product_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def khatri_rao_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tensor.mttkrp(_tensor(spark, sf_dir), fixed_factors(spark), "frequency", ("elem",)), "value", digits=2)
 
 
+@query("SELECT video_id, a.r, b.r AS s, round(sum(a.value * b.value), 4) + 0.0 AS value FROM f a JOIN f b USING (video_id, idx) GROUP BY video_id, a.r, b.r", EACH)
+def factor_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tensor.gram(_factors(spark, sf_dir), VIDEO), "value")
+
+
 PIXELS = "pix AS (SELECT vec_id AS y, CAST(i - 1 AS BIGINT) AS x, round(CAST(embedding[i] AS DOUBLE), 4) AS value FROM embeddings, range(1, 65) r(i))"
 
 

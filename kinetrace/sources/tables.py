@@ -50,9 +50,9 @@ def trials(spark: SparkSession) -> DataFrame:
     return spark.range(N_FRAMES // TRIAL).select(F.col("id").alias("trial_id"), (F.col("id") * TRIAL).alias("first"), (F.col("id") * TRIAL + TRIAL - 1).alias("last"))
 
 
-def image(spark: SparkSession, sf_dir: str, rows: int = 64) -> DataFrame:
-    """The first vectors by id as an image (y, x, value) with rows of 64 pixels."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < rows)
+def image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a row of an image (y, x, value) of 64 columns."""
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "value")).select("y", F.col("x").cast("long").alias("x"), F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
@@ -72,4 +72,4 @@ videos AS (SELECT video_id, max(frame_idx) + 1 AS num_frames, CAST(60 + length(v
 trials AS (SELECT i AS trial_id, i * {TRIAL} AS first, i * {TRIAL} + {TRIAL - 1} AS last FROM range({N_FRAMES // TRIAL}) r(i)),
 image AS (
   SELECT vec_id AS y, CAST(i - 1 AS BIGINT) AS x, round(CAST(embedding[i] AS DOUBLE), 4) AS value
-  FROM embeddings, range(1, 65) r(i) WHERE vec_id < 64)"""
+  FROM embeddings, range(1, 65) r(i))"""
