@@ -3,8 +3,10 @@
 Archives are .warc.gz: one gzip member per record, as the standard has it.
 
 Writing: equal payloads are found by their digest, and the one with the largest page_id
-is a response record, the others are revisits that refer to it. Each task writes its
-records to archives of its own in the shared folder (a new one after ``ROLL`` bytes)
+is a response record, the others are revisits that refer to it. A payload goes to the
+writer as rows of (page, chunk number, piece) in order, of at most ``CHUNK`` bytes, and is
+compressed and digested piece by piece; at its end the running digest must be the one
+in the header. Each task writes its records to archives of its own in the shared folder (a new one after ``ROLL`` bytes)
 and returns their paths; what a lost or repeated attempt has written is in no list and
 so is never read.
 
@@ -20,8 +22,8 @@ missing digests. Chunks carry the record's own id and its target.
 Defined cases: a null html is an empty payload. A null url is left out of the header; a
 null page_id gives a record without a number, and is the response for its payload only
 if no page with a number has it. Rows that repeat a page_id and a payload are all
-responses if that page_id is the largest (and share a record id, which others never
-do). Extra columns are ignored. No pages: no archives.
+responses if that page_id is the largest, each with an id of its own; revisits of such
+tell the page_id they refer to, but no record id. Extra columns are ignored. No pages: no archives.
 """
 
 from __future__ import annotations
@@ -69,65 +71,118 @@ def info_record(date: str) -> bytes:
     return head.encode() + body + b"\r\n\r\n"
 
 
-def record_head(page_id: int | None, url: str | None, size: int, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """Everything of a record before its payload."""
+def record_head(page_id: int | None, url: str | None, size: int, digest: str, refers_to: int | None, revisit: bool, date: str, single: bool = True) -> bytes:
+    """Everything of a record before its payload; ``single``: no other row has the response's page_id and payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    own = f"<urn:uuid:{uuid.uuid4()}>" if revisit else record_id(page_id, digest)
+    own = f"<urn:uuid:{uuid.uuid4()}>" if revisit or not single else record_id(page_id, digest)
     lines = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=''.join(chr(c) for c in range(33, 127)))}")
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
+        lines.append(f"WARC-Profile: {PROFILE}")
+        if single:
+            lines.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")
         if refers_to is not None:
             lines.append(f"X-Refers-To-Page-ID: {refers_to}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (0 if revisit else size)}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
 
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Rows with a payload as rows of its pieces, one after another: a task holds a piece, not the record."""
+    last = F.greatest(F.ceil(F.col("size") / CHUNK) - 1, F.lit(0)).cast("int")
+    numbered = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    return numbered.withColumn("piece", F.substring("payload", F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK))).drop("payload")
+
+
+class _Writer:
+    """Archives of one task, written a piece at a time."""
+
+    def __init__(self, folder: str, date: str) -> None:
+        self.folder, self.date = folder, date
+        self.fs, self.base = _filesystem(folder)
+        self.fs.create_dir(self.base, recursive=True)
+        self.out, self.records, self.done = None, 0, []
+
+    def begin(self, head: bytes, sha: str, size: int) -> None:
+        if self.out is None:
+            self.name, self.records = f"{uuid.uuid4().hex}.warc.gz", 0
+            self.out = self.fs.open_output_stream(f"{self.base}/{self.name}", compression=None)
+            member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            self.out.write(member.compress(info_record(self.date)) + member.flush())
+        self.member, self.running, self.left, self.sha = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), hashlib.sha1(), size, sha
+        self.out.write(self.member.compress(head))
+
+    def add(self, piece: pa.Buffer) -> None:
+        self.running.update(piece)
+        self.left -= piece.size
+        self.out.write(self.member.compress(piece))
+
+    def end(self) -> None:
+        """The running digest over the pieces must be the one that the header has told."""
+        if self.left or self.running.hexdigest() != self.sha:
+            raise ValueError(f"the pieces of {self.sha} are not its payload")
+        self.close_record()
+
+    def close_record(self) -> None:
+        self.out.write(self.member.compress(b"\r\n\r\n") + self.member.flush())
+        self.records += 1
+        if self.out.tell() >= ROLL:
+            self.close()
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.done.append((f"{self.folder}/{self.name}", self.records, self.out.tell()))
+            self.out.close()
+            self.out = None
+
+
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write every page to archives in ``folder``; the list (archive, records, bytes) of what was written."""
-    html = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    """Write every page to archives in ``folder``; the list (archive, records, bytes) of what was written.
+
+    Which pages are responses is settled on digests alone. Payloads move only once, by
+    (page_id, digest), so many equal ones don't meet in a task; those of revisits end there.
+    """
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     known = known.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    shared = known.groupBy("sha", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") >= least))
-    k, s = known.alias("k"), shared.alias("s")
-    told = k.join(s, (F.col("k.sha") == F.col("s.sha")) & (F.col("k.size") == F.col("s.size")), "left").select(
-        "k.page_id", "k.url", "k.payload", "k.sha", "s.first", (F.col("s.n").isNotNull() & ~F.col("k.page_id").eqNullSafe(F.col("s.first"))).alias("revisit")
-    )
+    each = known.groupBy("sha", "size", "page_id").agg(F.count("*").alias("c"))
+    of_payload = each.groupBy("sha", "size").agg(F.max("page_id").alias("first"), F.sum("c").alias("n"), F.max_by("c", "page_id").alias("copies"))
+    shared = of_payload.where((F.col("n") > 1) & (F.col("size") >= least)).withColumn("copies", F.coalesce("copies", "n"))
+    plain = known.drop("payload").alias("k").join(shared.alias("s"), (F.col("k.sha") == F.col("s.sha")) & (F.col("k.size") == F.col("s.size")))
+    revisits = plain.where(~F.col("k.page_id").eqNullSafe(F.col("s.first"))).select("k.page_id", "k.url", "k.sha", "k.size", "s.first", F.col("s.copies") == 1, F.lit(True), F.lit(0), F.lit(b""))
+    told = each.alias("k").join(shared.alias("s"), (F.col("k.sha") == F.col("s.sha")) & (F.col("k.size") == F.col("s.size")), "left")
+    told = told.where(F.col("s.n").isNull() | F.col("k.page_id").eqNullSafe(F.col("s.first"))).select("k.page_id", "k.sha", "k.size", (F.col("k.c") == 1).alias("single"))
+    k, r = known.alias("k"), told.alias("r")
+    responses = k.join(r, F.col("k.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("k.sha") == F.col("r.sha")) & (F.col("k.size") == F.col("r.size")))
+    responses = responses.select("k.page_id", "k.url", "k.sha", "k.size", F.lit(None).cast("long").alias("first"), "r.single", F.lit(False).alias("revisit"), "k.payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _filesystem(folder)
-        fs.create_dir(base, recursive=True)
-        out, name, records, done = None, "", 0, []
+        w, expected = _Writer(folder, date), 0
         for batch in batches:
-            for page, url, payload, sha, first, revisit in zip(*batch.columns, strict=True):
-                if out is None:
-                    name, records = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                    out.write(member.compress(info_record(date)) + member.flush())
-                body = payload.as_buffer()
-                digest = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
-                member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                out.write(member.compress(record_head(page.as_py(), url.as_py(), body.size, digest, first.as_py(), revisit.as_py(), date)))
-                if not revisit.as_py():
-                    for at in range(0, body.size, CHUNK):
-                        out.write(member.compress(body.slice(at, min(CHUNK, body.size - at))))
-                out.write(member.compress(b"\r\n\r\n") + member.flush())
-                records += 1
-                if out.tell() >= ROLL:
-                    done.append((f"{folder}/{name}", records, out.tell()))
-                    out.close()
-                    out = None
-        if out is not None:
-            done.append((f"{folder}/{name}", records, out.tell()))
-            out.close()
-        a, n, size = zip(*done, strict=True) if done else ((), (), ())
+            for page, url, sha, size, first, single, revisit, number, piece in zip(*batch.columns, strict=True):
+                if number.as_py() != expected:
+                    raise ValueError(f"piece {number} stands where {expected} was expected")
+                if not expected:
+                    digest = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
+                    w.begin(record_head(page.as_py(), url.as_py(), size.as_py(), digest, first.as_py(), revisit.as_py(), date, single.as_py()), sha.as_py(), size.as_py())
+                if revisit.as_py():
+                    w.close_record()
+                    continue
+                w.add(piece.as_buffer())
+                expected += 1
+                if not w.left:
+                    w.end()
+                    expected = 0
+        if expected:
+            raise ValueError("a payload's pieces end before it does")
+        w.close()
+        a, n, size = zip(*w.done, strict=True) if w.done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(n, pa.int64()), pa.array(size, pa.int64())], ["archive", "records", "bytes"])
 
-    return keep(told.mapInArrow(run, "archive string, records long, bytes long"), "warc-list")
+    return keep(_chunked(responses).union(revisits).mapInArrow(run, "archive string, records long, bytes long"), "warc-list")
 
 
 def _fields(lines: Iterator[bytes]) -> dict[str, str]:
