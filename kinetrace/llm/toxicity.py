@@ -16,10 +16,10 @@ bound for a block is the best sum over rare terms in it plus the weights of its
 terms times their block maxima; the blocks with the best bounds are opened first, then
 all whose bound is not under the K-th best cosine so far, so the K nearest are exact.
 
-The neighbours vote with their cosines. The share of toxic votes, the best cosine and
-the length of the document's vector go through a logistic curve, fitted on the examples
-with themselves left out; documents that share no term with any example take the share
-of toxic examples. The nearest examples are returned as evidence.
+The neighbours vote with their cosines. The share of toxic votes goes through a logistic
+curve, fitted on the examples with themselves left out (a row that repeats with all its
+repeats); documents that share no term with any example take the share of toxic examples.
+The nearest examples are returned as evidence.
 
 Defined cases: null, empty and wordless texts have no terms. Without labels of both
 kinds every score is the share of label 1, or 0. Null ids are never held out. Equal
@@ -91,7 +91,7 @@ class Index:
     @classmethod
     def built(cls, vocabulary: np.ndarray, weight: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray) -> tuple[Index, np.ndarray]:
         """The index of ``examples`` (term numbers, times), each with a label and an id, and the examples' order in it."""
-        vectors = [cls.unit(t, n, weight)[0] for t, n in examples]
+        vectors = [cls.unit(t, n, weight) for t, n in examples]
         size = np.array([len(t) for t, _ in examples], np.int64)
         in_examples = np.bincount(np.concatenate([t for t, _ in examples]), minlength=len(vocabulary))
         common = np.flatnonzero(in_examples * FREQUENT > len(examples))
@@ -117,28 +117,27 @@ class Index:
         return cls((vocabulary, weight.astype(np.float32), y[order], ids[order], entry, place[by_term].astype(np.int32), value[by_term].astype(np.float32), frequent, dense, dense.max(axis=2))), order
 
     @staticmethod
-    def unit(terms: np.ndarray, times: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-        """A unit vector of TF-IDF weights, and the length that it had."""
+    def unit(terms: np.ndarray, times: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """A unit vector of TF-IDF weights."""
         w = (1 + np.log(times)) * weight[terms]
-        length = float(np.sqrt((w * w).sum()))
-        return w / max(length, 1e-300), length
+        return w / max(float(np.sqrt((w * w).sum())), 1e-300)
 
-    def query(self, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Numbers and weights of the terms that examples have too, and the length of their vector."""
+    def query(self, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the terms that examples have too."""
         at = np.searchsorted(self.vocabulary, hashes)
         there = at < len(self.vocabulary)
         there[there] = self.vocabulary[at[there]] == hashes[there]
-        return at[there], *self.unit(at[there], times[there], self.weight)
+        return at[there], self.unit(at[there], times[there], self.weight)
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples that share a term, best first; ``without`` is left out."""
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = K, without: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples that share a term, best first; those at ``without`` are left out."""
         often = self.frequent[terms] >= 0
         rare, common = terms[~often], self.frequent[terms[often]]
         begin, size = self.entry[rare].astype(np.int64), (self.entry[rare + 1] - self.entry[rare]).astype(np.int64)
         at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
         known = np.bincount(self.place[at], np.repeat(w[~often], size) * self.value[at], self.blocks * BLOCK).astype(float).reshape(self.blocks, BLOCK)
-        if without >= 0:
-            known[without // BLOCK, without % BLOCK] = -np.inf
+        for at in without:
+            known[at // BLOCK, at % BLOCK] = -np.inf
         weights = w[often].astype(np.float32)
         bound = known.max(axis=1) + weights @ self.top[common]
         by_bound = np.argsort(-bound, kind="stable")
@@ -157,11 +156,10 @@ class Index:
                 least = cosine[-1]
         return place, cosine
 
-    def features(self, hashes: np.ndarray, times: np.ndarray, without: int = -1) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
-        """Share of toxic votes, best cosine and length (None without neighbours), then the neighbours and their cosines."""
-        terms, w, length = self.query(hashes, times)
-        place, cosine = self.nearest(terms, w, without=without)
-        vote = np.array([(cosine * self.y[place]).sum() / cosine.sum(), cosine[0], np.log1p(length)]) if len(place) else None
+    def features(self, hashes: np.ndarray, times: np.ndarray, without: tuple[int, ...] = ()) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """The share of toxic votes (None without neighbours), then the neighbours and their cosines."""
+        place, cosine = self.nearest(*self.query(hashes, times), without=without)
+        vote = np.array([(cosine * self.y[place]).sum() / cosine.sum()]) if len(place) else None
         return vote, place, cosine
 
 
@@ -248,7 +246,10 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tup
     frequency, n = document_frequencies(docs, vocabulary)
     weight = (np.log((1 + n) / (1 + frequency)) + 1) * lift(seen[1], seen.sum(axis=0), sum(y[i] for i in once) / len(once))
     index, order = Index.built(vocabulary, weight, numbered, y, np.array([e[0] for e in examples], np.int64))
-    places = {(examples[i][0], examples[i][2]): at for at, i in enumerate(order.tolist())}
+    places: dict[tuple, tuple[int, ...]] = {}
+    for at, i in enumerate(order.tolist()):
+        known = examples[i][0], examples[i][2]
+        places[known] = (*places.get(known, ()), at)
     shared = docs.sparkSession.sparkContext.broadcast((index.state, places))
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +261,13 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tup
                 x, _, _ = index.features(*memo.of(text), without=places[doc, xxhash.xxh3_64_intdigest(text) - (1 << 63)])
                 if x is not None:
                     rows.append((*x.tolist(), float(y)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], ["vote", "best", "length", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64()) for c in (zip(*rows, strict=True) if rows else [()] * 2)], ["vote", "y"])
 
-    rows = sorted(tuple(r) for r in sample.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(left_out, "vote double, best double, length double, y double").collect())
+    rows = sorted(tuple(r) for r in sample.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(left_out, "vote double, y double").collect())
     if not rows:
         return None, None, share
     x = np.array(rows)
-    return shared, curve(x[:, :3], x[:, 3]), share
+    return shared, curve(x[:, :1], x[:, 1]), share
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:

@@ -477,15 +477,15 @@ def test_toxicity_against_brute_force(spark):
     def vector(i):
         v = {t: (1 + np.log(n)) * weight[t] for t, n in terms[i].items() if t in vocabulary}
         length = sum(x * x for x in v.values()) ** 0.5
-        return {t: x / length for t, x in v.items()}, length
+        return {t: x / length for t, x in v.items()}
 
     vectors = {i: vector(i) for i in terms}
 
     def features(i, without=None):
-        v, length = vectors[i]
-        found = [(sum(x * vectors[j][0].get(t, 0) for t, x in v.items()), j, y) for j, y in examples if j != without]
+        v = vectors[i]
+        found = [(sum(x * vectors[j].get(t, 0) for t, x in v.items()), j, y) for j, y in examples if j != without]
         best = sorted((f for f in found if f[0] > 0), reverse=True)[: toxicity.K]
-        return best, [sum(c * y for c, _, y in best) / sum(c for c, _, _ in best), best[0][0], np.log1p(length)] if best else None
+        return best, [sum(c * y for c, _, y in best) / sum(c for c, _, _ in best)] if best else None
 
     left = [(features(i, i)[1], y) for i, y in examples]
     b = toxicity.curve(np.array([x for x, _ in left if x]), np.array([y for x, y in left if x], float))
@@ -634,3 +634,15 @@ for name, query in entry.queries().items():
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-3000:]
     assert done.stdout.count("rows") == 15
+
+
+def test_toxicity_leaves_out_every_repeat_of_a_row():
+    import numpy as np
+
+    vectors = [(np.array([0, 1]), np.array([1, 2])), (np.array([0, 1]), np.array([1, 2])), (np.array([1, 2]), np.array([1, 1]))]
+    index, order = toxicity.Index.built(np.arange(3, dtype=np.uint64), np.ones(3), vectors, np.array([1.0, 1.0, 0.0]), np.array([5, 5, 6]))
+    twins = tuple(int(np.flatnonzero(order == i)[0]) for i in (0, 1))
+    hashes, times = np.array([0, 1], np.uint64), np.array([1, 2])
+    assert len(index.features(hashes, times)[1]) == 3
+    vote, place, _ = index.features(hashes, times, without=twins)
+    assert vote.tolist() == [0.0] and order[place].tolist() == [2]
