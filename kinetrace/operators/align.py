@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -363,17 +366,36 @@ def blurred(a: np.ndarray, size: int) -> np.ndarray:
     return a
 
 
+def sampled_together(arrays: list[np.ndarray], x: np.ndarray, y: np.ndarray, fill: float = 0.0) -> list[np.ndarray]:
+    """Bilinear samples of arrays of one shape at the same places; x and y may be what broadcasts to them.
+
+    Arrays get a border of ``fill``, on which every place outside falls, so places and weights are found once for all.
+    """
+    h, w = arrays[0].shape
+    fx, fy = np.floor(x), np.floor(y)
+    x0, y0 = fx.astype(int), fy.astype(int)
+    columns = [np.minimum(np.maximum(x0 + (1 + i), 0), w + 1) for i in (0, 1)]
+    rows = [np.minimum(np.maximum(y0 + (1 + j), 0), h + 1) * (w + 2) for j in (0, 1)]
+    wx, wy = (1 - x + x0, x - x0), (1 - y + y0, y - y0)
+    corners = [(rows[j] + columns[i], wx[i], wy[j]) for i in (0, 1) for j in (0, 1)]
+    out = []
+    for a in arrays:
+        wide = np.full((h + 2, w + 2), fill, float)
+        wide[1:-1, 1:-1] = a
+        flat = wide.ravel()
+        total = 0.0
+        for at, p, q in corners:
+            part = flat.take(at)
+            part *= p
+            part *= q
+            total = total + part
+        out.append(total)
+    return out
+
+
 def sampled(a: np.ndarray, x: np.ndarray, y: np.ndarray, fill: float = 0.0) -> np.ndarray:
     """Bilinear samples of an array."""
-    h, w = a.shape
-    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    out = np.zeros(np.broadcast(x, y).shape)
-    for i in (0, 1):
-        for j in (0, 1):
-            cx, cy = x0 + i, y0 + j
-            ok = (cx >= 0) & (cx < w) & (cy >= 0) & (cy < h)
-            out += np.where(ok, a[np.clip(cy, 0, h - 1), np.clip(cx, 0, w - 1)], fill) * np.where(i, x - x0, 1 - x + x0) * np.where(j, y - y0, 1 - y + y0)
-    return out
+    return sampled_together([a], x, y, fill)[0]
 
 
 #: Free parameters of each kind of motion, as derivatives of (x, y) for every pixel.
@@ -395,7 +417,7 @@ def enhanced_correlation(template: np.ndarray, image: np.ndarray, motion: str =
         inside = (u >= 0) & (u <= im.shape[1] - 1) & (v >= 0) & (v <= im.shape[0] - 1)
         if inside.sum() < 16:
             break
-        w, a, b = sampled(im, u, v)[inside], sampled(gx, u, v)[inside], sampled(gy, u, v)[inside]
+        w, a, b = (q[inside] for q in sampled_together([im, gx, gy], u, v))
         xi, yi, di, ui, vi = x[inside], y[inside], d[inside], u[inside], v[inside]
         if motion == "translation":
             jac = np.stack([a, b])
@@ -522,16 +544,48 @@ def polynomial_flow(template: np.ndarray, image: np.ndarray, radius: int = 3, si
     return flow
 
 
+#: Pictures that a task turns into output at a time.
+_SLICE = 64
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+    """The columns of at most ``_SLICE`` rows at a time; Spark's batches go by rows, which pictures make large."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(at, _SLICE)
+            yield dict(zip(part.schema.names, part.columns, strict=True))
+
+
+def _picture(data: pa.Scalar, height: pa.Scalar, width: pa.Scalar) -> np.ndarray:
+    """A cell of numbers, or of a byte for each pixel, as doubles [H, W]."""
+    flat = np.frombuffer(data.as_buffer(), np.uint8) if isinstance(data, (pa.BinaryScalar, pa.LargeBinaryScalar)) else data.values.to_numpy(zero_copy_only=False)
+    return flat.astype(float).reshape(height.as_py(), width.as_py())
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """Arrays as the cells of a list column, without a Python number for each value."""
+    flat = [np.ravel(r) for r in rows]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate(flat), pa.float64()))
+
+
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all shuffle partitions by keys: numpy's time goes by rows, and Spark merges partitions by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def registered(images: DataFrame, template: np.ndarray, motion: str = "affine", blur: int = 5) -> DataFrame:
-    """(image_id, warp): every image (image_id, height, width, data array<double>) against one template, in parallel."""
+    """(image_id, warp): every image (image_id, height, width, data) against one template, in parallel.
+
+    Here and below ``data`` is array<double>, or binary with a byte for each pixel.
+    """
     shared = images.sparkSession.sparkContext.broadcast(np.asarray(template, float))
 
-    def run(parts):
-        for p in parts:
-            warps = [safe_registration(shared.value, np.array(d, float).reshape(h, w), motion, blur).ravel().tolist() for h, w, d in zip(p["height"], p["width"], p["data"], strict=True)]
-            yield pd.DataFrame({"image_id": p["image_id"], "warp": warps})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _slices(batches):
+            warps = [safe_registration(shared.value, _picture(d, h, w), motion, blur) for h, w, d in zip(p["height"], p["width"], p["data"], strict=True)]
+            yield pa.RecordBatch.from_arrays([p["image_id"], _lists(warps)], ["image_id", "warp"])
 
-    return images.select("image_id", "height", "width", "data").mapInPandas(run, "image_id long, warp array<double>")
+    return images.select(F.col("image_id").cast("long").alias("image_id"), "height", "width", "data").mapInArrow(run, "image_id long, warp array<double>")
 
 
 def registered_to_previous(images: DataFrame, motion: str = "affine", blur: int = 5) -> DataFrame:
@@ -553,15 +607,16 @@ def registered_to_first(images: DataFrame, motion: str = "affine", blur: int = 5
 
 
 def _registered_pairs(pairs: DataFrame, motion: str, blur: int) -> DataFrame:
-    def run(parts):
-        for p in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _slices(batches):
             warps = []
             for h, w, d, before in zip(p["height"], p["width"], p["data"], p["before"], strict=True):
                 first = np.eye(3)[: 3 if motion == "homography" else 2]
-                warps.append((first if before is None else safe_registration(np.reshape(before, (h, w)).astype(float), np.reshape(d, (h, w)).astype(float), motion, blur)).ravel().tolist())
-            yield pd.DataFrame({"session": p["session"], "image_id": p["image_id"], "warp": warps})
+                warps.append(safe_registration(_picture(before, h, w), _picture(d, h, w), motion, blur) if before.is_valid else first)
+            yield pa.RecordBatch.from_arrays([p["session"], p["image_id"], _lists(warps)], ["session", "image_id", "warp"])
 
-    return pairs.mapInPandas(run, "session string, image_id long, warp array<double>")
+    typed = pairs.select("session", F.col("image_id").cast("long").alias("image_id"), "height", "width", "data", "before")
+    return _spread(typed, "session", "image_id").mapInArrow(run, "session string, image_id long, warp array<double>")
 
 
 def chained(warps: DataFrame) -> DataFrame:
@@ -582,18 +637,19 @@ def transformed(images: DataFrame, warps: DataFrame) -> DataFrame:
     """Images resampled through their warps; what comes from outside takes the image's mean. Images with a session keep it."""
     keys = ["session", "image_id"] if "session" in images.columns else ["image_id"]
 
-    def run(parts):
-        for p in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _slices(batches):
             out = []
             for h, w, d, m in zip(p["height"], p["width"], p["data"], p["warp"], strict=True):
-                a, m = np.array(d, float).reshape(h, w), np.reshape(m, (-1, 3))
-                y, x = np.mgrid[:h, :w].astype(float)
+                a, m = _picture(d, h, w), np.reshape(m.as_py(), (-1, 3))
+                y, x = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
                 z = m[2, 0] * x + m[2, 1] * y + m[2, 2] if len(m) == 3 else 1.0
-                out.append(sampled(a, (m[0, 0] * x + m[0, 1] * y + m[0, 2]) / z, (m[1, 0] * x + m[1, 1] * y + m[1, 2]) / z, float(a.mean())).ravel().tolist())
-            yield pd.DataFrame({**{k: p[k] for k in keys}, "height": p["height"], "width": p["width"], "data": out})
+                out.append(sampled(a, (m[0, 0] * x + m[0, 1] * y + m[0, 2]) / z, (m[1, 0] * x + m[1, 1] * y + m[1, 2]) / z, float(a.mean())))
+            yield pa.RecordBatch.from_arrays([*[p[k] for k in keys], p["height"], p["width"], _lists(out)], [*keys, "height", "width", "data"])
 
     schema = ("session string, " if len(keys) == 2 else "") + "image_id long, height int, width int, data array<double>"
-    return images.join(warps, keys).select(*keys, "height", "width", "data", "warp").mapInPandas(run, schema)
+    typed = images.join(warps, keys).select(*keys[:-1], F.col("image_id").cast("long").alias("image_id"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "data", "warp")
+    return _spread(typed, *keys).mapInArrow(run, schema)
 
 
 def flow_fields(images: DataFrame, method: str = "polynomial", **settings: float) -> DataFrame:
@@ -603,14 +659,17 @@ def flow_fields(images: DataFrame, method: str = "polynomial", **settings: float
     """
     flow = {"polynomial": polynomial_flow, "lucas_kanade": dense_flow}[method]
 
-    def run(parts):
-        for p in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _slices(batches):
             for s, i, h, w, d, before in zip(p["session"], p["image_id"], p["height"], p["width"], p["data"], p["before"], strict=True):
-                u, v = np.zeros((2, h, w)) if before is None else flow(np.reshape(before, (h, w)), np.reshape(d, (h, w)), **settings)
-                y, x = np.mgrid[:h, :w]
-                yield pd.DataFrame({"session": s, "image_id": i, "y": y.ravel(), "x": x.ravel(), "dx": u.ravel(), "dy": v.ravel()})
-
-    return _with_first(images).mapInPandas(run, "session string, image_id long, y long, x long, dx double, dy double")
+                shape = (h.as_py(), w.as_py())
+                u, v = flow(_picture(before, h, w), _picture(d, h, w), **settings) if before.is_valid else np.zeros((2, *shape))
+                y, x = np.mgrid[: shape[0], : shape[1]]
+                keys = [pa.repeat(k, u.size) for k in (s, i)]
+                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(np.ravel(c)) for c in (y, x, u, v)]], ["session", "image_id", "y", "x", "dx", "dy"])
+
+    typed = _with_first(images).withColumn("image_id", F.col("image_id").cast("long"))
+    return _spread(typed, "session", "image_id").mapInArrow(run, "session string, image_id long, y long, x long, dx double, dy double")
 
 
 def folded(flows: DataFrame, warps: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.operators.align import sampled
+from kinetrace.operators.align import sampled, sampled_together
 
 
 @dataclass(frozen=True)
@@ -55,13 +55,13 @@ def pyramid(a: np.ndarray, levels: int) -> list[np.ndarray]:
 def lucas_kanade(previous: np.ndarray, current: np.ndarray, points: np.ndarray, window: int = 9, levels: int = 3, iterations: int = 12) -> np.ndarray:
     """New positions of points (n, 2) as (x, y): iterative Lucas-Kanade from the coarsest level down."""
     a, b = pyramid(previous, levels), pyramid(current, levels)
-    oy, ox = np.mgrid[-(window // 2) : window // 2 + 1, -(window // 2) : window // 2 + 1].astype(float)
+    side = np.arange(-(window // 2), window // 2 + 1, dtype=float)
     shift = np.zeros_like(points, dtype=float)
     for level in range(len(a) - 1, -1, -1):
         p = points / 2**level
-        x, y = p[:, 0, None, None] + ox, p[:, 1, None, None] + oy
+        x, y = p[:, 0, None, None] + side, p[:, 1, None, None] + side[:, None]
         gy, gx = np.gradient(a[level])
-        ix, iy, it = sampled(gx, x, y), sampled(gy, x, y), sampled(a[level], x, y)
+        ix, iy, it = sampled_together([gx, gy, a[level]], x, y)
         xx, xy, yy = (ix * ix).sum((1, 2)), (ix * iy).sum((1, 2)), (iy * iy).sum((1, 2))
         det = xx * yy - xy * xy
         ok = det > 1e-6 * np.maximum(xx + yy, 1e-9) ** 2

@@ -13,6 +13,7 @@ from kinetrace.functions import scalar, trees
 from kinetrace.operators import align, cp, points, spectral, tensor, track
 from kinetrace.plans import compare
 from kinetrace.sources import files, frames, tables
+from kinetrace.storage import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -780,15 +781,10 @@ def _scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pictures(spark: SparkSession, sf_dir: str, group: int | None = None) -> DataFrame:
-    """The scrolls' frames as pictures; a session is a label's whole scroll, or ``group`` frames of it."""
-
-    def unpacked(batches):
-        for b in batches:
-            yield b.assign(data=[np.frombuffer(d, np.uint8).astype(float).tolist() for d in b["data"]])
-
+    """The scrolls' frames as pictures, a byte for each pixel; a session is a label's whole scroll, or ``group`` frames of it. Written once, for queries that read them several times."""
     session = F.col("video_id") if group is None else F.concat_ws("/", "video_id", F.floor(F.col("frame_idx") / group))
-    shown = _scrolls(spark, sf_dir).select(session.alias("session"), F.col("frame_idx").alias("image_id"), "height", "width", "data")
-    return shown.mapInPandas(unpacked, "session string, image_id long, height int, width int, data array<double>")
+    shown = keep(_scrolls(spark, sf_dir), "pictures")
+    return shown.select(session.alias("session"), F.col("frame_idx").alias("image_id"), "height", "width", "data")
 
 
 def _moved(warps: DataFrame) -> DataFrame:

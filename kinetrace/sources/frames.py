@@ -37,6 +37,8 @@ _HEADER = re.compile(rb"P([56])\s(?:\s*#[^\n]*\n)*\s*(\d+)\s(?:\s*#[^\n]*\n)*\s*
 _SHAPE = re.compile(r"_(\d+)x(\d+)(?:x(\d+))?$")
 #: Bytes in which a header must end.
 _LONGEST_HEADER = 4096
+#: Frames of a scroll that one group makes.
+_BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -227,29 +229,32 @@ def scrolled(vectors: DataFrame, rows: int, blur: int = 2) -> DataFrame:
 
     Frame i shows vectors i to i + ``rows`` of its label in order of vec_id, each value
     averaged with ``blur`` neighbours on every side and scaled to 0..255. So everything in a
-    frame is one pixel farther up than in the frame before.
+    frame is one pixel farther up than in the frame before. Frames are made in blocks of a
+    label's vectors, each a group of bounded size with the vectors that its last frames show.
     """
     import numpy as np
     from pyspark.sql.window import Window
 
     known = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").select(F.col("label").cast("string").alias("video_id"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    span = known.select(F.array_min("v").alias("a"), F.array_max("v").alias("b")).agg(F.min("a"), F.max("b")).first()
-    low, scale = float(span[0] or 0.0), 255.0 / max(float((span[1] or 0.0) - (span[0] or 0.0)), 1e-12)
-    order = Window.partitionBy("video_id").orderBy("vec_id")
-    held = F.collect_list("v").over(order.rowsBetween(-blur, rows + blur - 1))
-    windows = known.withColumn("_n", F.row_number().over(order)).select("video_id", (F.col("_n") - 1).alias("frame_idx"), held.alias("rows"))
-    whole = windows.where((F.col("frame_idx") >= blur) & (F.size("rows") == rows + 2 * blur)).withColumn("frame_idx", F.col("frame_idx") - blur)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for video, frame, held in zip(*batch.columns, strict=True):
-                a = np.array(held.as_py(), float)
-                a = np.pad((a - low) * scale, ((0, 0), (blur, blur)), mode="edge")
-                width = 2 * blur + 1
-                a = np.lib.stride_tricks.sliding_window_view(a, (width, width)).mean((2, 3))
-                a = np.clip((a - 127.5) * width / 2 + 127.5, 0, 255).astype(np.uint8)
-                row = ([video.as_py()], [frame.as_py()], [a.shape[0]], [a.shape[1]], [1], [a.tobytes()])
-                types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["video_id", "frame_idx", "height", "width", "channels", "data"])
-
-    return whole.mapInArrow(run, SCHEMA)
+    ends = known.select(F.array_min("v").alias("a"), F.array_max("v").alias("b")).agg(F.min("a"), F.max("b")).first()
+    low, scale = float(ends[0] or 0.0), 255.0 / max(float((ends[1] or 0.0) - (ends[0] or 0.0)), 1e-12)
+    span, width = rows + 2 * blur, 2 * blur + 1
+    numbered = known.withColumn("n", F.row_number().over(Window.partitionBy("video_id").orderBy("vec_id")) - 1)
+    touched = F.sequence(F.greatest(F.floor((F.col("n") - (span - 1)) / _BLOCK), F.lit(0)), F.floor(F.col("n") / _BLOCK))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        first, vectors = (table.column("n")[0].as_py(), np.array(table.column("v").to_pylist(), float))
+        shown = []
+        for at in range(min(_BLOCK, len(vectors) - span + 1)):
+            a = np.pad((vectors[at : at + span] - low) * scale, ((0, 0), (blur, blur)), mode="edge")
+            a = np.lib.stride_tricks.sliding_window_view(a, (width, width)).mean((2, 3))
+            shown.append(np.clip((a - 127.5) * width / 2 + 127.5, 0, 255).astype(np.uint8))
+        n = len(shown)
+        sides = [[a.shape[k] for a in shown] for k in (0, 1)]
+        columns = ([table.column("video_id")[0].as_py()] * n, range(first, first + n), *sides, [1] * n, [a.tobytes() for a in shown])
+        types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["video_id", "frame_idx", "height", "width", "channels", "data"])
+
+    blocks = numbered.select("video_id", "n", "v", F.explode(touched).alias("block"))
+    return blocks.groupBy("video_id", "block").applyInArrow(run, SCHEMA)
