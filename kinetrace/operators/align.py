@@ -17,18 +17,19 @@ _RANGES = 4096
 
 
 def nearest_bins(events: DataFrame, axis: DataFrame, least: float = 800.0) -> DataFrame:
-    """(event_id, t_ds): for events that are a number above ``least``, the bin whose sample is nearest, the first on ties.
+    """(event_id, t_ds), with the events' other columns: for events that are a number above ``least``, the bin whose sample is nearest, the first on ties.
 
     Time is cut into equal ranges. Samples are ordered within their range, and the ranges'
     ends follow from one bounded table, so every gap between neighbouring samples is known
     without ordering all; it is dealt to the ranges that it touches, where events meet it.
     Work is in proportion to samples and events, in tasks by range.
     """
-    e = events.where(~F.isnan("at") & (F.col("at") > least)).select("event_id", F.col("at").alias("x"))
+    others = [c for c in events.columns if c not in ("event_id", "at")]
+    e = events.where(~F.isnan("at") & (F.col("at") > least)).select("event_id", *others, F.col("at").alias("x"))
     samples = axis.groupBy(F.col("sample").cast("double").alias("x")).agg(F.min(F.col("t_ds").cast("long")).alias("first"), F.max(F.col("t_ds").cast("long")).alias("last"))
     low, high = samples.agg(F.min("x"), F.max("x")).first()
     if low is None:
-        return e.select("event_id", F.lit(None).cast("long").alias("t_ds"))
+        return e.select("event_id", *others, F.lit(None).cast("long").alias("t_ds"))
     step = (high - low) / _RANGES or 1.0
     at = lambda x: F.greatest(F.lit(0), F.least(F.lit(_RANGES - 1), F.floor((x - low) / step))).cast("int")
     dealt = samples.withColumn("range", at(F.col("x")))
@@ -41,13 +42,18 @@ def nearest_bins(events: DataFrame, axis: DataFrame, least: float = 800.0) -> Da
     touched = gaps.select("lo", "hi", F.explode(F.sequence(*ends)).alias("range"))
     inside = (F.col("lo").isNull() | (F.col("x") >= F.col("lo.x"))) & (F.col("hi").isNull() | (F.col("x") < F.col("hi.x")))
     near = F.when(F.col("hi").isNull() | (F.col("x") - F.col("lo.x") <= F.col("hi.x") - F.col("x")), F.col("lo.last")).otherwise(F.col("hi.first"))
-    return e.withColumn("range", at(F.col("x"))).join(touched, "range").where(inside).select("event_id", near.alias("t_ds"))
+    return e.withColumn("range", at(F.col("x"))).join(touched, "range").where(inside).select("event_id", *others, near.alias("t_ds"))
 
 
 def around_events(factor: DataFrame, bins: DataFrame, before: int, after: int, by: tuple[str, ...] = (), events: tuple[str, ...] = ()) -> DataFrame:
-    """(event_id, r, rel, value), with the keys ``by`` of the factor and ``events`` of the bins: the factor (idx, r, value) at [t - before, t + after) around each event's bin."""
-    at = bins.select("event_id", *events, F.col("t_ds").alias("mid"), F.explode(F.sequence(F.col("t_ds") - before, F.col("t_ds") + after - 1)).alias("idx"))
-    return at.join(factor, "idx").select("event_id", *events, *by, "r", (F.col("idx") - F.col("mid")).alias("rel"), "value")
+    """(event_id, r, rel, value), with the keys ``by`` of the factor and ``events`` of the bins: the factor (idx, r, value) at [t - before, t + after) around each event's bin.
+
+    What stands around a bin is put together once for each bin; events only join it.
+    """
+    mids = bins.select(F.col("t_ds").alias("mid")).distinct()
+    at = mids.select("mid", F.explode(F.sequence(F.col("mid") - before, F.col("mid") + after - 1)).alias("idx"))
+    around = at.join(factor, "idx").select("mid", *by, "r", (F.col("idx") - F.col("mid")).alias("rel"), "value")
+    return bins.select("event_id", *events, F.col("t_ds").alias("mid")).join(around, "mid").select("event_id", *events, *by, "r", "rel", "value")
 
 
 def scaled_factor(factor: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -898,12 +898,12 @@ def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _all_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.table(spark, sf_dir, "events")
     at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - tables.START) / 3600.0
-    bins = align.nearest_bins(e.select("event_id", at.alias("at")), spectral.time_axis(spark, tables.N_FRAMES, WIDTH, POOL), least=100)
-    return bins.join(e.select("event_id", "event_type"), "event_id")
+    return align.nearest_bins(e.select("event_id", "event_type", at.alias("at")), spectral.time_axis(spark, tables.N_FRAMES, WIDTH, POOL), least=100)
 
 
-def _all_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.around_events(align.scaled_factor(_factors(spark, sf_dir), VIDEO), _all_bins(spark, sf_dir), 4, 4, VIDEO, ("event_type",))
+def _all_traces(spark: SparkSession, sf_dir: str, factor: DataFrame | None = None) -> DataFrame:
+    factor = align.scaled_factor(_factors(spark, sf_dir), VIDEO) if factor is None else factor
+    return align.around_events(factor, _all_bins(spark, sf_dir), 4, 4, VIDEO, ("event_type",))
 
 
 @query("SELECT video_id, a.r, b.r AS s, round(corr(a.value, b.value) - CASE WHEN a.r = b.r THEN 1 ELSE 0 END, 4) + 0.0 AS corr FROM f a JOIN f b USING (video_id, idx) GROUP BY video_id, a.r, b.r", EACH)
@@ -934,7 +934,8 @@ def peri_event_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, video_id, r, rel, round(value, 4) + 0.0 AS value FROM around", EACH)
 def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_all_traces(spark, sf_dir), "value")
+    """The factors around every event; rounded before they are joined, as a value stands beside many events."""
+    return _all_traces(spark, sf_dir, rounded(align.scaled_factor(_factors(spark, sf_dir), VIDEO), "value"))
 
 
 @query(f"""SELECT p.video_id, p.r AS key, q.x, round(CASE WHEN a.idx IS NULL THEN NULL WHEN b.idx IS NULL THEN a.value ELSE a.value + (b.value - a.value) * (q.x - a.idx * 2.5) / 2.5 END, 4) + 0.0 AS value
