@@ -372,33 +372,44 @@ def blurred(a: np.ndarray, size: int) -> np.ndarray:
     return a
 
 
-def sampled_together(arrays: list[np.ndarray], x: np.ndarray, y: np.ndarray, fill: float = 0.0) -> list[np.ndarray]:
-    """Bilinear samples of arrays of one shape at the same places; x and y may be what broadcasts to them.
+def framed(a: np.ndarray, fill: float = 0.0) -> np.ndarray:
+    """An array with a border of ``fill``, on which every sample outside falls."""
+    wide = np.full((a.shape[0] + 2, a.shape[1] + 2), fill, float)
+    wide[1:-1, 1:-1] = a
+    return wide
 
-    Arrays get a border of ``fill``, on which every place outside falls, so places and weights are found once for all.
-    """
+
+def _sides(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """[2, ...]: both neighbours of each place on an axis of ``n`` in a framed array, and their weights."""
+    low = np.floor(x)
+    at = low.astype(int) + np.array([1, 2]).reshape(2, *[1] * x.ndim)
+    weights = np.empty(at.shape)
+    np.add(1 - x, low, out=weights[0])
+    np.subtract(x, low, out=weights[1])
+    return np.minimum(np.maximum(at, 0), n + 1), weights
+
+
+def sampled_framed(arrays: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Bilinear samples of framed arrays of one shape at the same places, which are found once for all; x and y of as many axes broadcast."""
     h, w = arrays[0].shape
-    fx, fy = np.floor(x), np.floor(y)
-    x0, y0 = fx.astype(int), fy.astype(int)
-    columns = [np.minimum(np.maximum(x0 + (1 + i), 0), w + 1) for i in (0, 1)]
-    rows = [np.minimum(np.maximum(y0 + (1 + j), 0), h + 1) * (w + 2) for j in (0, 1)]
-    wx, wy = (1 - x + x0, x - x0), (1 - y + y0, y - y0)
-    corners = [(rows[j] + columns[i], wx[i], wy[j]) for i in (0, 1) for j in (0, 1)]
+    (cx, wx), (cy, wy) = _sides(x, w - 2), _sides(y, h - 2)
+    at, wx, wy = (cy * w)[None] + cx[:, None], wx[:, None], wy[None]
     out = []
     for a in arrays:
-        wide = np.full((h + 2, w + 2), fill, float)
-        wide[1:-1, 1:-1] = a
-        flat = wide.ravel()
-        total = 0.0
-        for at, p, q in corners:
-            part = flat.take(at)
-            part *= p
-            part *= q
-            total = total + part
-        out.append(total)
+        part = a.ravel().take(at)
+        part *= wx
+        part *= wy
+        out.append(part[0, 0] + part[0, 1] + part[1, 0] + part[1, 1])
     return out
 
 
+def sampled_together(arrays: list[np.ndarray], x: np.ndarray, y: np.ndarray, fill: float = 0.0) -> list[np.ndarray]:
+    """Bilinear samples of arrays of one shape at the same places."""
+    if x.ndim != y.ndim:
+        x, y = np.broadcast_arrays(x, y)
+    return sampled_framed([framed(a, fill) for a in arrays], x, y)
+
+
 def sampled(a: np.ndarray, x: np.ndarray, y: np.ndarray, fill: float = 0.0) -> np.ndarray:
     """Bilinear samples of an array."""
     return sampled_together([a], x, y, fill)[0]

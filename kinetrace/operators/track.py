@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.operators.align import sampled, sampled_together
+from kinetrace.operators.align import framed, sampled_framed, sampled_together
 
 
 @dataclass(frozen=True)
@@ -65,10 +65,13 @@ def lucas_kanade(previous: np.ndarray, current: np.ndarray, points: np.ndarray,
         xx, xy, yy = (ix * ix).sum((1, 2)), (ix * iy).sum((1, 2)), (iy * iy).sum((1, 2))
         det = xx * yy - xy * xy
         ok = det > 1e-6 * np.maximum(xx + yy, 1e-9) ** 2
+        divisor, still, target = np.where(ok, det, 1), ~ok, framed(b[level])
         for _ in range(iterations):
-            e = it - sampled(b[level], x + shift[:, 0, None, None], y + shift[:, 1, None, None])
+            e = it - sampled_framed([target], x + shift[:, 0, None, None], y + shift[:, 1, None, None])[0]
             ex, ey = (e * ix).sum((1, 2)), (e * iy).sum((1, 2))
-            step = np.where(ok[:, None], np.stack([yy * ex - xy * ey, xx * ey - xy * ex], 1) / np.where(ok, det, 1)[:, None], 0)
+            step = np.empty_like(shift)
+            step[:, 0], step[:, 1] = (yy * ex - xy * ey) / divisor, (xx * ey - xy * ex) / divisor
+            step[still] = 0
             shift = shift + step
             if np.abs(step).max(initial=0) < 0.01:
                 break
@@ -194,7 +197,9 @@ def track_points(frames: DataFrame, points: DataFrame, params: TrackerParams | N
                 name, frame = names.popleft()
                 yield pd.DataFrame({"video_id": name, "frame_idx": frame, "point_id": ids, "x": xy[:, 0], "y": xy[:, 1], "violation": bad})
 
-    dealt = frames.repartition(1) if contiguous else frames.repartition("video_id")
+    # by number: partitions merged for their few bytes would track their videos one after the other
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frames.repartition(1) if contiguous else frames.repartition(parts, "video_id")
     ordered = dealt.sortWithinPartitions("video_id", "frame_idx")
     return ordered.mapInPandas(run, "video_id string, frame_idx long, point_id long, x double, y double, violation boolean")
 
