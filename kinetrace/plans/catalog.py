@@ -848,8 +848,9 @@ def folded_warps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nonrigid_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remaps of every frame to the first of its three: registered, moved, and the rest of the motion by flow, folded into one."""
     images = _pictures(spark, sf_dir, 3)
-    warps = align.registered_to_first(images, "translation")
-    return align.folded(align.flow_fields(align.transformed(images, warps)), warps)
+    warps = keep(align.registered_to_first(images, "translation"), "warps")
+    moved = keep(align.transformed(images, warps), "moved")
+    return align.folded(align.flow_fields(moved), warps)
 
 
 @query()
