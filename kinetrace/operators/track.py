@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -193,17 +193,40 @@ def track_points(frames: DataFrame, points: DataFrame, params: TrackerParams | N
                     names.append((r.video_id, r.frame_idx))
                     yield np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
 
-            for _, xy, bad in Tracker(home, params).stream(images()):
-                name, frame = names.popleft()
-                yield pd.DataFrame({"video_id": name, "frame_idx": frame, "point_id": ids, "x": xy[:, 0], "y": xy[:, 1], "violation": bad})
+            settled = Tracker(home, params).stream(images())
+            while block := list(islice(settled, _BLOCK)):  # a table for every frame would take longer than its tracking
+                of = [names.popleft() for _ in block]
+                xy, bad = np.concatenate([r[1] for r in block]), np.concatenate([r[2] for r in block])
+                video_id, frame = (np.repeat(np.array(c, object), len(ids)) for c in zip(*of, strict=True))
+                yield pd.DataFrame({"video_id": video_id, "frame_idx": frame.astype(int), "point_id": ids * len(block), "x": xy[:, 0], "y": xy[:, 1], "violation": bad})
 
-    # by number: partitions merged for their few bytes would track their videos one after the other
-    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = frames.repartition(1) if contiguous else frames.repartition(parts, "video_id")
+    dealt = frames.repartition(1) if contiguous else _dealt(frames)
     ordered = dealt.sortWithinPartitions("video_id", "frame_idx")
     return ordered.mapInPandas(run, "video_id string, frame_idx long, point_id long, x double, y double, violation boolean")
 
 
+#: Frames whose positions a task gives out together.
+_BLOCK = 256
+#: Videos for each partition that are dealt by their length; all others go by hash.
+_LARGEST = 4
+
+
+def _dealt(frames: DataFrame) -> DataFrame:
+    """Frames by video over all shuffle partitions; the longest videos go one to a partition, there and back again.
+
+    Time goes by a task's frames, and few videos dealt by hash often meet. Partitions are
+    numbered, since Spark would merge them for their few bytes. Frames are read twice.
+    """
+    spark = frames.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    longest = frames.where("video_id IS NOT NULL").groupBy("video_id").count().orderBy(F.desc("count"), "video_id").limit(_LARGEST * parts).collect()
+    turn = [*range(parts), *reversed(range(parts))]
+    slots = spark.createDataFrame([(r["video_id"], turn[i % len(turn)]) for i, r in enumerate(longest)], "video_id string, _slot int")
+    by_hash = F.pmod(F.hash("video_id"), F.lit(parts))
+    numbered = frames.join(F.broadcast(slots), "video_id", "left").withColumn("_slot", F.coalesce("_slot", by_hash))
+    return numbered.repartitionById(parts, F.col("_slot")).drop("_slot")
+
+
 def blob_frames(spark: SparkSession, videos: int = 2, n: int = 12, size: int = 48) -> DataFrame:
     """Synthetic frames: Gaussian blobs that circle with a known motion."""
 

@@ -857,14 +857,14 @@ def nonrigid_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def point_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six points tracked over every label's scroll, held by three neighbours each."""
     home = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(12, 8), (24, 8), (36, 8), (12, 16), (24, 16), (36, 16)])], "point_id long, x0 double, y0 double")
-    return track.track_points(_scrolls(spark, sf_dir), home, track.TrackerParams(neighbours=3))
+    return track.track_points(keep(_scrolls(spark, sf_dir), "scrolls"), home, track.TrackerParams(neighbours=3))
 
 
 @query()
 def tracked_scrolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four points tracked over every label's scroll; they hold to their places, so rewinds set in as the pictures leave them."""
     home = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([(16, 12), (24, 12), (40, 12), (48, 12)])], "point_id long, x0 double, y0 double")
-    return track.track_points(_scrolls(spark, sf_dir), home, track.TrackerParams(neighbours=2, threshold=6.0, relaxation=0.05))
+    return track.track_points(keep(_scrolls(spark, sf_dir), "scrolls"), home, track.TrackerParams(neighbours=2, threshold=6.0, relaxation=0.05))
 
 
 BANK = np.round(spectral.make_taps(1.0, 1 / 24, 0.4, BINS, WIDTH, 2, 4)[0], 8)
