@@ -194,7 +194,7 @@ def track_points(frames: DataFrame, points: DataFrame, params: TrackerParams | N
                     yield np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
 
             settled = Tracker(home, params).stream(images())
-            while block := list(islice(settled, _BLOCK)):  # a table for every frame would take longer than its tracking
+            while block := list(islice(settled, _BLOCK)):  # a table for every frame costs time
                 of = [names.popleft() for _ in block]
                 xy, bad = np.concatenate([r[1] for r in block]), np.concatenate([r[2] for r in block])
                 video_id, frame = (np.repeat(np.array(c, object), len(ids)) for c in zip(*of, strict=True))
