@@ -18,6 +18,8 @@ the smaller period p, and by the periodicity lemma no other stretch is touched.
 Defined cases: a null or blank text has no words and no run; a null doc_id leaves the
 text as it is. Rows that repeat are rows of their own. Extra columns are ignored.
 A text is held whole in a worker, as its row is; nothing else grows with the table.
+Rows are dealt to all shuffle partitions by id and text, since a row group of the input
+is else one task, that keeps it in memory for as long as numpy takes for all its texts.
 """
 
 from __future__ import annotations
@@ -181,6 +183,7 @@ def run_digests(docs: DataFrame, least: int = LEAST, turns: int = TURNS) -> Data
 def _scanned(docs: DataFrame, least: int, turns: int, edited: bool) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.crc32(doc_id.cast("string").cast("binary")).alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.xxhash64("text"))
     numbers = ["n_words", "n_runs", "start", "length", "period", "exponent_milli"]
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

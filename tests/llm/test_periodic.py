@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetrace.llm import periodic
 
@@ -105,3 +106,15 @@ def test_collapsed_texts(spark):
     rows = {r["doc_id"]: r for r in periodic.periodic_runs(docs).collect()}
     assert rows[1]["collapsed"] == "so it goes" and [tuple(r) for r in rows[1]["runs"]] == [(0, 6, 1)]
     assert (rows[2]["n_words"], rows[2]["runs"], rows[2]["collapsed"]) == (0, [], "")
+
+
+def test_a_row_group_is_dealt_to_many_tasks(spark, tmp_path):
+    """One row group, with ids and without, is one task's scan but many tasks' work; rows that repeat stay."""
+    texts = [(i if i % 2 else None, f"w{i} go go go go go go {i}") for i in range(200)] + [(5, "w5 go go go go go go 5")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for told in (periodic.run_digests(docs), periodic.periodic_runs(docs)):
+        rows = told.withColumn("task", F.spark_partition_id()).collect()
+        assert len(rows) == 201 and sum(r["doc_id"] is None for r in rows) == 100 and sum(r["doc_id"] == 5 for r in rows) == 2
+        for some in ([r for r in rows if r["doc_id"] is None], [r for r in rows if r["doc_id"] is not None]):
+            assert len({r["task"] for r in some}) > 1
