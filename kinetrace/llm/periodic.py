@@ -66,7 +66,8 @@ def lag_counts(ids: np.ndarray, width: int, most: int) -> np.ndarray:
             a = b
         total = a.conj() * b if total is None else total + a.conj() * b
     if total is not None:
-        counts += np.rint(np.fft.irfft(total, size)[: most + 1]).astype(np.int64)
+        some = min(most + 1, len(ids))  # no pairs of larger lags; a short last window's transform can have fewer places than most + 1
+        counts[:some] += np.rint(np.fft.irfft(total, size)[:some]).astype(np.int64)
     last = np.repeat(first + n - 1, n)  # the place of each word's last one
     places = np.flatnonzero((order < width) & (np.repeat(n, n) > 1) & ~np.repeat(frequent, n))
     step = 1

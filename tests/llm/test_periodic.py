@@ -68,6 +68,19 @@ def test_long_texts():
     assert periodic.runs(np.zeros(200_000, np.int64)) == [(0, 200_000, 1)]
 
 
+def test_a_short_last_window_with_a_frequent_word(spark):
+    """Texts a little longer than a window, whose rest is one word or two in turn: the rest has fewer words than there are lags."""
+    for rest in (65, 128, 129, 200, 256, 257, 512, 513):
+        for period in (1, 2, 3):
+            x = np.concatenate((np.arange(16_384) + 3, np.resize(np.arange(period), rest)))
+            assert periodic.runs(x) == [(16_384, rest, period)]
+    counts = periodic.lag_counts(np.zeros(100, np.int64), 100, 1024)
+    assert counts.tolist() == [0, *range(99, 0, -1), *[0] * 925]
+    docs = spark.createDataFrame([(1, " ".join([f"w{i}" for i in range(16_384)] + ["|", "x"] * 100)), (2, "so it goes")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in periodic.run_digests(docs).collect()}
+    assert tuple(rows[1])[1:7] == (16_584, 1, 16_384, 200, 2, 100_000) and rows[2]["n_runs"] == 0
+
+
 TEXTS = [
     (1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, "a a a a a a"), (6, "a b a b a b a b c c c c c c c"), (7, "x y z " * 4 + "x y"), (8, "the end of it . " * 50),
     (None, "b b b b b b b"), (None, None), (6, "a b a b a b a b c c c c c c c"), (12, "é😀 é😀 é😀 é😀 é😀 é😀 é😀   q"), (14, " ".join(f"w{i % 37}" for i in range(500))),
